@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "sharding")
+MODULES = ("packing", "simhash", "topk", "decontaminate", "warc", "sharding")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
