@@ -16,6 +16,7 @@ into sequences; only the last sequence can be short.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,6 +34,10 @@ from dendrospark.llm.common import mapped, table, written
 SEQUENCE, WINDOW_SEQUENCES, MAX_QUEUES, END_ID = 1024, 64, 1024, 0
 
 
+#: A space that doesn't begin a word.
+_odd = re.compile(r" (?:\s|$)").search
+
+
 class WordTokenizer:
     """Ids of whole texts, with a bounded cache of what stands between spaces.
 
@@ -70,8 +75,8 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > self.limit:
             self.cache.clear()
+        plain = [_odd(t) is None for t in texts]
         parts = [t.split(" ") for t in texts]
-        plain = [not any(not w or w[0].isspace() for w in p[1:]) and not p[0][-1:].isspace() for p in parts]
         known = self.cache
         self._learn(list({w for p, ok in zip(parts, plain) if ok for w in p[1:] if w not in known}))
         return [
