@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "simhash", "topk", "decontaminate", "warc", "sharding")
+MODULES = ("packing", "simhash", "toxicity", "topk", "decontaminate", "language", "warc", "sharding")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
