@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "simhash", "toxicity", "topk", "decontaminate", "hmm", "language", "warc", "sharding")
+MODULES = ("packing", "suffixdedup", "simhash", "toxicity", "topk", "decontaminate", "hmm", "language", "warc", "sharding")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

@@ -181,6 +181,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words: int = WORD
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = linked.join(least, "root").select("fp", "component_id")
     named = own.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    named = written(named, "named-fingerprints")
     return docs.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
