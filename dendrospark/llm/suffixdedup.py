@@ -1,19 +1,20 @@
 """Removal of repeated passages by suffix arrays (operator 2).
 
-A string of ``length`` bytes that starts in two places holds the same minimizer (the
-smallest hash of its ``GRAM``-byte parts) at the same offset. So minimizers are
-anchors: all places of a repeated string meet under one anchor hash, within the
-anchor's context, the bytes of every string that can hold it. Contexts are
-counted first: those that occur more than once are repeated as a whole, in
-however many documents. Only where contexts of one anchor differ are their bytes
-sorted, each different context once.
+A string of ``length`` bytes belongs to its minimizer: the place of the smallest hash
+of its ``GRAM``-byte parts. Equal strings have it at the same offset, so all places of
+a repeated string meet under one anchor hash. The strings of one anchor stand side by
+side and make up its context. Contexts are counted first: those that occur more than
+once are repeated as a whole, in however many documents. Where contexts of one anchor
+differ, their strings are cut into blocks by offset from the anchor; all strings of a
+block hold the block's core, so a core that no other context has ends the matter.
+What is left are blocks of equal cores with different edges. There the core is one
+symbol, and suffixes over edges and core are sorted.
 
 Suffixes are sorted in two stages: those smaller than their successors directly,
 by ranks of the pieces between them; the others are induced by one scan over the buckets
 of first bytes. Common prefixes of neighbours then show which strings repeat.
 
-An anchor with more than HOT different contexts is split instead: by blocks of
-offsets, whose common core must repeat, and there by the strings themselves.
+A core with more than HOT different blocks is split over all tasks by the strings themselves.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ from pyspark.sql import functions as F
 from dendrospark.llm.common import mapped, table, written
 
 LENGTH, GRAM = 400, 32
-HOT, BLOCK = 1500, 46
-#: Bytes that one suffix array, or one round of hashing, takes.
-SORT_BYTES, HASH_BYTES = 1_500_000, 1 << 20
+HOT, BLOCK = 10_000, 46
+#: Symbols that one suffix array takes at least, and bytes of one round of hashing.
+SORT_SYMBOLS, HASH_BYTES = 1_000_000, 1 << 20
+#: Symbols: 0 between strings, bytes from 1 on, and the core's mark.
+CORE = 257
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -65,34 +68,62 @@ def _sliding(x: np.ndarray, w: int, best: np.ufunc, fill: int) -> np.ndarray:
     return best(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def minimizers(parts: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of each part: its number, the anchors' places and hashes."""
+def minimizers(parts: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each part: its number, and rows of anchor, its hash, and the first and last string that belong to it."""
     buf = np.frombuffer(b"".join(parts), dtype=np.uint8)
     ends = np.cumsum([len(p) for p in parts])
-    w = length - GRAM + 1
-    h = _hashes(buf)
-    low = _sliding(h, w, np.minimum, 0)  # of each string of `length` bytes
     starts = ends - [len(p) for p in parts]
-    inside = np.zeros(len(low) + 1, dtype=np.int8)
-    for a, b in zip(starts, ends):
-        if b - a >= length:
-            inside[a] += 1
-            inside[b - length + 1] -= 1
-    low = np.where(np.cumsum(inside[:-1]) > 0, low, np.uint64(0))
-    edge = np.zeros(w - 1, dtype=np.uint64)
-    top = _sliding(np.concatenate([edge, low, edge]), w, np.maximum, 0)  # over the strings that hold each place
-    at = np.flatnonzero(top == h)
-    own = np.searchsorted(ends, at, side="right")
-    for i in np.unique(own):
-        mine = at[own == i] if len(parts) > 1 else at
-        yield int(i), mine - starts[i], h[mine].view(np.int64)
+    h = _hashes(buf)
+    low = _sliding(h, length - GRAM + 1, np.minimum, 0)  # of the string from each place
+    part = np.searchsorted(ends, np.arange(len(low)), side="right")
+    good = np.arange(len(low)) + length <= ends[part]
+    edge = np.ones(len(low), dtype=bool)
+    edge[1:] = (low[1:] != low[:-1]) | (part[1:] != part[:-1])
+    first = np.flatnonzero(edge & good)
+    bound = np.flatnonzero(edge | ~good)
+    after = np.searchsorted(bound, first, side="right")
+    last = np.where(after < len(bound), np.append(bound, len(low))[after], len(low)) - 1
+    # the place of a run's smallest hash: the first not before the run's first string; when strings pass it, the next
+    value = low[first]
+    pad = np.zeros(length - GRAM, dtype=np.uint64)
+    top = _sliding(np.concatenate([pad, np.where(good, low, np.uint64(0)), pad]), length - GRAM + 1, np.maximum, 0)
+    places = np.flatnonzero(top == h)  # smallest in some string
+    rank = np.unique(h[places], return_inverse=True)
+    order = np.lexsort((places, rank[1]))
+    keys, sorted_places = rank[1][order] * len(buf) + places[order], places[order]
+    own = np.searchsorted(rank[0], value) * len(buf)
+    out = []
+    while len(first):
+        at = sorted_places[np.searchsorted(keys, own + first)]
+        stop = np.minimum(last, at)
+        out.append(np.stack([at, value.view(np.int64), first, stop]))
+        more = last > at
+        first, last, value, own = at[more] + 1, last[more], value[more], own[more]
+    rows = np.concatenate(out, axis=1) if out else np.zeros((4, 0), dtype=np.int64)
+    rows = rows[:, np.argsort(rows[2], kind="stable")]
+    whose = part[rows[2]] if rows.shape[1] else rows[2]
+    for i, mine in zip(*_groups(whose)):
+        got = rows[:, mine].copy()
+        got[[0, 2, 3]] -= starts[i]
+        yield int(i), got
+
+
+def _groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, list[slice]]:
+    cut = np.append(0, np.flatnonzero(np.diff(sorted_keys)) + 1)
+    if not len(sorted_keys):
+        return sorted_keys, []
+    return sorted_keys[cut], [slice(a, b) for a, b in zip(cut, np.append(cut[1:], len(sorted_keys)))]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def anchors(texts: DataFrame, length: int) -> DataFrame:
-    """Per anchor of each text: hash ``h``, hash ``c`` of its context, place, and the context's reach to left and in all."""
+    """Per anchor of each text: its hash ``h``, hash ``c`` of its context, its place, and its first and last string."""
     from xxhash import xxh3_64_intdigest
 
-    names = ["h", "c", "t", "pos", "left", "len"]
+    names = ["h", "c", "t", "pos", "low", "high"]
     step = HASH_BYTES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,35 +131,26 @@ def anchors(texts: DataFrame, length: int) -> DataFrame:
             held, size = [], 0
             for t, text in zip(pdf["t"], pdf["text"]):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                if len(raw) < length:
-                    continue
-                if len(raw) >= step + length:  # in parts, whose strings are each in one part and whose anchors may be in two
-                    parts = [raw[a : a + step + length - 1] for a in range(0, len(raw) - length + 1, step)]
-                    got = [next(minimizers([p], length)) for p in parts]
-                    pos, at = np.unique(np.concatenate([x[1] + i * step for i, x in enumerate(got)]), return_index=True)
-                    yield frame([rows(t, raw, pos, np.concatenate([x[2] for x in got])[at])])
-                    continue
-                held.append((t, raw))
-                size += len(raw)
-                if size >= step:
-                    yield found(held)
-                    held, size = [], 0
+                for a in range(0, len(raw) - length + 1, step):  # parts of a long text, each string in one of them
+                    held.append((t, raw, a, raw[a : a + step + length - 1]))
+                    size += len(held[-1][3])
+                    if size >= step:
+                        yield found(held)
+                        held, size = [], 0
             if held:
                 yield found(held)
 
-    def rows(t: bytes, raw: bytes, pos: np.ndarray, hashes: np.ndarray) -> tuple:
-        left = np.minimum(pos, length - GRAM)
-        size = np.minimum(len(raw), pos + length) - pos + left
-        c = [xxh3_64_intdigest(raw[p - b : p - b + n], b) for p, b, n in zip(pos.tolist(), left.tolist(), size.tolist())]
-        return hashes, np.array(c, dtype=np.uint64).view(np.int64), [t] * len(pos), pos, left, size
-
-    def frame(made: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame({n: [t for x in v for t in x] if n == "t" else np.concatenate(v) for n, v in zip(names, zip(*made))})
+    def found(held: list[tuple[bytes, bytes, int, bytes]]) -> pd.DataFrame:
+        cols: dict[str, list] = {n: [] for n in names}
+        for i, rows in minimizers([x[3] for x in held], length):
+            t, raw, a, _ = held[i]
+            pos, h, low, high = rows[0] + a, rows[1], rows[2] + a, rows[3] + a
+            c = [xxh3_64_intdigest(raw[b : e + length], p - b) for p, b, e in zip(pos.tolist(), low.tolist(), high.tolist())]
+            for n, v in zip(names, (h, np.array(c, dtype=np.uint64).view(np.int64), [t] * len(pos), pos, low, high)):
+                cols[n].append(v)
+        return pd.DataFrame({n: [t for x in v for t in x] if n == "t" else np.concatenate(v) for n, v in cols.items()})
 
-    def found(held: list[tuple[bytes, bytes]]) -> pd.DataFrame:
-        return frame([rows(*held[i], pos, h) for i, pos, h in minimizers([raw for _, raw in held], length)])
-
-    return mapped(texts.select("t", "text"), run, "h long, c long, t binary, pos int, left int, len int")
+    return mapped(texts.select("t", "text"), run, "h long, c long, t binary, pos int, low int, high int")
 
 
 # --- suffix arrays -----------------------------------------------------------------------
@@ -172,7 +194,7 @@ def _sorted_small(text: np.ndarray, small: np.ndarray, depth: int) -> np.ndarray
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``text`` (numbers up to 256) in order, by ``depth`` bytes at least."""
+    """Suffixes of ``text`` (numbers up to CORE) in order, by ``depth`` bytes at least."""
     n = len(text)
     t = text.astype(np.int64)
     rise = np.sign(np.diff(t))
@@ -183,8 +205,8 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     small[:-1][known] = rise[last[known]] > 0
     direct = _sorted_small(text, small, depth)
     first = t[direct]
-    cut = np.searchsorted(first, np.arange(258))
-    induced: list[list[np.ndarray]] = [[] for _ in range(257)]
+    cut = np.searchsorted(first, np.arange(CORE + 2))
+    induced: list[list[np.ndarray]] = [[] for _ in range(CORE + 1)]
     induced[t[-1]].append(np.array([n - 1]))
     out = []
 
@@ -203,7 +225,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
                 induced[head].append(part)
         return here
 
-    for c in range(257):
+    for c in range(CORE + 1):
         now = np.concatenate(induced[c]) if induced[c] else np.zeros(0, dtype=np.int64)
         while len(now):
             out.append(now)
@@ -245,16 +267,18 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     return shared[order]
 
 
-def repeated(contexts: list[bytes], gid: list[int], many: list[bool], length: int) -> list[np.ndarray]:
-    """Of each context, the offsets of strings of ``length`` bytes that start elsewhere too.
+def repeated(strings: list[np.ndarray], gid: list[int], many: list[bool], length: int) -> list[np.ndarray]:
+    """Of each string of symbols, the offsets of parts of ``length`` symbols that start elsewhere too.
 
-    ``gid``: number of the context's first byte over all texts, so that a place in two contexts is
-    one place. ``many``: the context as a whole is known to occur more than once.
+    ``gid``: number of the string's first place over all texts. ``many``: the string as a whole
+    is known to occur more than once.
     """
-    text = np.frombuffer(b"\0".join(contexts) + b"\0", dtype=np.uint8).astype(np.int16) + 1
-    size = np.array([len(c) for c in contexts])
+    size = np.array([len(c) for c in strings])
     ends = np.cumsum(size + 1) - 1
-    text[ends] = 0
+    text = np.zeros(int(ends[-1]) + 1, dtype=np.int16)
+    inside = np.ones(len(text), dtype=bool)
+    inside[ends] = False
+    text[inside] = np.concatenate(strings)
     order = suffix_array(text, length)
     shared = common_prefixes(text, order, length)
     own = np.searchsorted(ends, order, side="left")
@@ -263,7 +287,7 @@ def repeated(contexts: list[bytes], gid: list[int], many: list[bool], length: in
     block = np.cumsum(~(shared >= length))  # neighbours that share `length` bytes are one block
     block, own, offset = block[whole], own[whole], offset[whole]
     if not len(block):
-        return [np.zeros(0, dtype=np.int64) for _ in contexts]
+        return [np.zeros(0, dtype=np.int64) for _ in strings]
     place = np.array(gid)[own] + offset
     first = np.append(0, np.flatnonzero(np.diff(block)) + 1)
     twice = np.minimum.reduceat(place, first) != np.maximum.reduceat(place, first)
@@ -272,7 +296,7 @@ def repeated(contexts: list[bytes], gid: list[int], many: list[bool], length: in
     own, offset = own[hit], offset[hit]
     sort = np.lexsort((offset, own))
     own, offset = own[sort], offset[sort]
-    return np.split(offset, np.searchsorted(own, np.arange(1, len(contexts))))
+    return np.split(offset, np.searchsorted(own, np.arange(1, len(strings))))
 
 
 def runs(offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -286,8 +310,16 @@ def runs(offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 # --- the job ------------------------------------------------------------------------------
 
 
-def _contexts(candidates: DataFrame) -> DataFrame:
-    """The bytes of contexts to be compared: those that occur once, and one of each that occurs more often."""
+def _blocks(candidates: DataFrame, length: int) -> DataFrame:
+    """The blocks of contexts that occur once, and of one of each that occurs more often.
+
+    ``core`` and ``own``: hashes of the bytes that all strings of the block hold, and of all bytes of its strings.
+    ``edge``: the bytes before and after the core, ``cut`` bytes before it.
+    """
+    from xxhash import xxh3_64_intdigest
+
+    schema = "h long, block int, core long, own long, t binary, low int, high int, shift int, once boolean, edge binary, cut int"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -295,131 +327,118 @@ def _contexts(candidates: DataFrame) -> DataFrame:
             for t, text, occ in zip(pdf["t"], pdf["text"], pdf["occ"]):
                 raw = text.encode("utf-8", "surrogatepass")
                 for o in occ:
-                    if o["check"] and (o["once"] or o["sample"]):
-                        a = o["pos"] - o["left"]
-                        out.append((o["h"], o["c"], t, a, o["left"], o["once"], o["m"], raw[a : a + o["len"]]))
+                    if not (o["once"] or o["sample"]):
+                        continue
+                    origin = o["pos"] - (length - GRAM)  # of the offsets' grid
+                    for block in range((o["low"] - origin) // BLOCK, (o["high"] - origin) // BLOCK + 1):
+                        first = origin + block * BLOCK  # the block's first string and last,
+                        last = first + BLOCK - 1
+                        low, high = max(o["low"], first), min(o["high"], last)  # and those that are this anchor's
+                        core = xxh3_64_intdigest(raw[last : first + length], 0)
+                        own = xxh3_64_intdigest(raw[low : high + length], low - first)
+                        edge = raw[low:last] + raw[first + length : high + length]
+                        out.append((o["h"], block, _signed(core), _signed(own), t, low, high, low - first, o["once"], edge, last - low))
                 if len(out) > 5000:
                     yield pd.DataFrame(out, columns=names)
                     out = []
             yield pd.DataFrame(out, columns=names)
 
-    schema = "h long, c long, t binary, at int, left int, once boolean, m long, bytes binary"
-    names = [x.split()[0] for x in schema.split(", ")]
     return mapped(candidates.select("t", "text", "occ"), run, schema)
 
 
-def _sorted_repeats(contexts: DataFrame, length: int) -> DataFrame:
-    """Runs (t, a, b) that repeat, from suffix arrays over whole anchors' contexts."""
+KEY = ["h", "block", "core"]
+
+
+def _sorted_repeats(blocks: DataFrame, length: int) -> DataFrame:
+    """Runs (t, a, b) that repeat, by suffix arrays over whole cores' blocks."""
+    part = BLOCK + 9  # symbols of a string whose core is a mark and eight bytes of its hash
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         size = 0
         for pdf in batches:
-            cut = np.append(np.flatnonzero(np.diff(pdf["h"].to_numpy())) + 1, len(pdf))
+            core = pdf["core"].to_numpy()
+            cut = np.append(np.flatnonzero(np.diff(core)) + 1, len(pdf))
             low = 0
             for high in cut.tolist():
-                part = pdf.iloc[low:high]
-                new = not held or held[-1]["h"].iloc[-1] != part["h"].iloc[0]
-                if size >= SORT_BYTES and new:
+                rows = pdf.iloc[low:high]
+                if size >= SORT_SYMBOLS and held[-1]["core"].iloc[-1] != rows["core"].iloc[0]:
                     yield solved(pd.concat(held))
                     held, size = [], 0
-                held.append(part)
-                size += int(part["bytes"].map(len).sum())
+                held.append(rows)
+                size += len(rows) * (part + BLOCK)
                 low = high
         if held:
             yield solved(pd.concat(held))
 
     def solved(pdf: pd.DataFrame) -> pd.DataFrame:
         number = {t: i for i, t in enumerate(dict.fromkeys(pdf["t"]))}
-        gid = [(number[t] << 32) + a for t, a in zip(pdf["t"], pdf["at"])]
-        once = pdf["once"].tolist()
-        hits = repeated([bytes(b) for b in pdf["bytes"]], gid, [not x for x in once], length)
+        gid = [(number[t] << 32) + a for t, a in zip(pdf["t"], pdf["low"])]
+        once = (pdf["n"] == 1).tolist()
+        marks = np.concatenate([np.full((len(pdf), 1), CORE, dtype=np.int16), pdf["core"].to_numpy(np.int64).view(np.uint8).reshape(-1, 8).astype(np.int16) + 1], axis=1)
+        strings = []
+        for edge, cut, mark in zip(pdf["edge"], pdf["cut"], marks):
+            e = np.frombuffer(edge, dtype=np.uint8).astype(np.int16) + 1
+            strings.append(np.concatenate([e[:cut], mark, e[cut:]]))
         out = []
-        for t, a, own, x in zip(pdf["t"], pdf["at"], once, hits):
+        for t, a, own, x in zip(pdf["t"], pdf["low"], once, repeated(strings, gid, [not x for x in once], part - 1)):
             if own and len(x):
                 low, high = runs(x, length)
                 out += [(t, a + int(p), a + int(q)) for p, q in zip(low, high)]
         return pd.DataFrame(out, columns=["t", "a", "b"])
 
-    return mapped(contexts.repartition("h").sortWithinPartitions("h"), run, "t binary, a int, b int")
+    return mapped(blocks.repartition("core").sortWithinPartitions("core"), run, "t binary, a int, b int")
 
 
-def _split_repeats(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with many different contexts, spread over all tasks by hashes of strings.
-
-    Strings of one anchor can only be equal at equal offsets from it. All strings of a block of
-    offsets hold the block's core; where no other context has the core, none repeats.
-    """
+def _split_repeats(blocks: DataFrame, length: int) -> DataFrame:
+    """The same by hashes of the strings, spread over all tasks; equal strings are at equal offsets from their anchors."""
     from xxhash import xxh3_64_intdigest
 
-    def signed(x: int) -> int:
-        return x - (1 << 64) if x >> 63 else x
-
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for h, c, t, a, left, once, raw in pdf[["h", "c", "t", "at", "left", "once", "bytes"]].itertuples(index=False):
-                for block in range(-(-length // BLOCK)):
-                    first = block * BLOCK - (length - GRAM) + left  # offsets of the block's first string and its last,
-                    last = first + BLOCK - 1
-                    low, high = max(0, first), min(len(raw) - length, last)  # and of those that the text has
-                    if low <= high and high >= 0:
-                        own = raw[low : high + length]
-                        core = xxh3_64_intdigest(raw[last : first + length], 0)
-                        out.append((h, block, signed(core), signed(xxh3_64_intdigest(own, high - low + 1)), t, a + low, a + high, left - low, once, own))
-            yield pd.DataFrame(out, columns=names)
-
-    schema = "h long, block int, core long, own long, t binary, low int, high int, shift int, once boolean, bytes binary"
-    names = [x.split()[0] for x in schema.split(", ")]
-    parts = written(mapped(contexts, blocks, schema), "hot-blocks")
-    weight = F.when(F.col("once"), 1).otherwise(2)
-    owns = parts.groupBy("h", "block", "core", "own", "shift").agg(F.sum(weight).alias("n"))
-    cores = owns.groupBy("h", "block", "core").agg(F.sum("n").alias("all"))
-    open_ = owns.join(cores, ["h", "block", "core"]).where("all > 1").select("h", "block", "core", "own", "shift", "n")
-    live = parts.join(open_, ["h", "block", "core", "own", "shift"])
-    whole = live.where("once and n > 1").select("t", F.col("low").alias("a"), (F.col("high") + length).alias("b"))
-
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for h, t, low, high, shift, n, raw in pdf[["h", "t", "low", "high", "shift", "n", "bytes"]].itertuples(index=False):
+            for core, t, low, high, shift, n, edge, cut in pdf[["core", "t", "low", "high", "shift", "n", "edge", "cut"]].itertuples(index=False):
+                before, after = edge[:cut], edge[cut:]
                 for i in range(high - low + 1):
-                    out.append((h, shift - i, signed(xxh3_64_intdigest(raw[i : i + length], 0)), t, low + i, min(n, 2)))
-            yield pd.DataFrame(out, columns=["h", "shift", "string", "t", "a", "n"])
+                    out.append((core, shift + i, _signed(xxh3_64_intdigest(before[i:] + b"|" + after[: shift + i], 0)), t, low + i, min(n, 2)))
+            yield pd.DataFrame(out, columns=["core", "offset", "string", "t", "a", "n"])
 
-    least = live.groupBy("h", "block", "core", "own", "shift").agg(F.max(F.xxhash64("t", "low")).alias("pick"))
-    one = live.join(least, ["h", "block", "core", "own", "shift"]).where((F.col("n") == 1) | (F.xxhash64("t", "low") == F.col("pick")))
-    each = mapped(one.select("h", "t", "low", "high", "shift", "n", "bytes"), strings, "h long, shift int, string long, t binary, a int, n long")
+    each = mapped(blocks.select("core", "t", "low", "high", "shift", "n", "edge", "cut"), strings, "core long, offset int, string long, t binary, a int, n long")
     each = written(each, "hot-strings")
-    twice = each.groupBy("h", "shift", "string").agg(F.sum("n").alias("n")).where("n > 1").drop("n")
-    found = each.join(twice, ["h", "shift", "string"]).select("t", "a", (F.col("a") + length).alias("b"))
-    return whole.unionByName(found)
+    key = ["core", "offset", "string"]
+    twice = each.groupBy(*key).agg(F.sum("n").alias("n")).where("n > 1").drop("n")
+    return each.where("n = 1").join(twice, key).select("t", "a", (F.col("a") + length).alias("b"))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Texts (t: the first half of their sha256, text) with repeated strings, and their runs (t, runs of a, b).
+    """Texts (t: the first half of their sha256, text) with repeated strings, and their runs (a, b).
 
     Runs may overlap and touch.
     """
     keyed = docs.select(
         F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("k")
     ).withColumn("t", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
-    found = written(anchors(keyed, length), "anchors").withColumn("s", F.xxhash64("t", "pos"))
+    found = written(anchors(keyed, length), "anchors").withColumn("s", F.xxhash64("t", "pos", "low"))
     each = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.max("s").alias("pick"))
-    of_anchor = each.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.sum("n").alias("all"))
-    known = each.join(of_anchor.where("all > 1"), "h").select(
-        "h", "c", "pick", "m", (F.col("n") == 1).alias("once"), ((F.col("m") > 1) & (F.col("least") == 1)).alias("check")
-    )
-    occ = found.join(known, ["h", "c"]).select("t", "h", "c", "pos", "left", "len", "once", "check", (F.col("s") == F.col("pick")).alias("sample"), "m")
-    need = occ.distinct().groupBy("t").agg(F.collect_list(F.struct("h", "c", "pos", "left", "len", "once", "check", "sample", "m")).alias("occ"))
+    of_anchor = each.groupBy("h").agg(F.sum("n").alias("all")).where("all > 1")
+    known = each.join(of_anchor, "h").select("h", "c", "pick", (F.col("n") == 1).alias("once"), (F.col("all") > F.col("n")).alias("others"))
+    occ = found.join(known, ["h", "c"]).select("t", "h", "pos", "low", "high", "once", (F.col("others") & (F.col("s") == F.col("pick"))).alias("sample"))
+    need = occ.distinct().groupBy("t").agg(F.collect_list(F.struct("h", "pos", "low", "high", "once", "sample")).alias("occ"))
     one = keyed.groupBy("t").agg(F.max("k").alias("k"))
     candidates = written(keyed.join(need.join(one, "t"), ["t", "k"]).select("t", "text", "occ"), "repeat-candidates")
-    contexts = written(_contexts(candidates), "contexts")
-    partly = _sorted_repeats(contexts.where(F.col("m") <= HOT), length).unionByName(_split_repeats(contexts.where(F.col("m") > HOT), length))
+    blocks = written(_blocks(candidates, length), "blocks")
+    weight = F.when(F.col("once"), 1).otherwise(2)
+    owns = blocks.groupBy(*KEY, "own").agg(F.sum(weight).alias("n"), F.max(F.xxhash64("t", "low")).alias("pick"))
+    cores = owns.groupBy(*KEY).agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("all > 1")
+    open_ = owns.join(cores, KEY).select(*KEY, "own", "n", "m", "pick")
+    live = written(blocks.join(open_, [*KEY, "own"]).drop("own"), "open-blocks")
+    whole = live.where("once and n > 1").select("t", F.col("low").alias("a"), (F.col("high") + length).alias("b"))
+    unlike = live.where(F.col("m") > 1).where((F.col("n") == 1) | (F.xxhash64("t", "low") == F.col("pick")))
+    partly = whole.unionByName(_sorted_repeats(unlike.where(F.col("m") <= HOT), length)).unionByName(_split_repeats(unlike.where(F.col("m") > HOT), length))
     partly = partly.groupBy("t").agg(F.collect_list(F.struct("a", "b")).alias("partly"))
-    whole = F.transform(F.filter("occ", lambda o: ~o["once"]), lambda o: F.struct((o["pos"] - o["left"]).alias("a"), (o["pos"] - o["left"] + o["len"]).alias("b")))
-    return candidates.select("t", "text", whole.alias("whole")).join(partly, "t", "left").select(
-        "t", "text", F.concat("whole", F.coalesce("partly", F.array().cast("array<struct<a:int,b:int>>"))).alias("runs")
+    fully = F.transform(F.filter("occ", lambda o: ~o["once"]), lambda o: F.struct(o["low"].alias("a"), (o["high"] + length).alias("b")))
+    return candidates.select("t", "text", fully.alias("fully")).join(partly, "t", "left").select(
+        "t", "text", F.concat("fully", F.coalesce("partly", F.array().cast("array<struct<a:int,b:int>>"))).alias("runs")
     ).where(F.size("runs") > 0)
 
 
