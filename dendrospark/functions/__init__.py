@@ -1 +1 @@
-
+"""Scalar functions from Column to Column."""
