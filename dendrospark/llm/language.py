@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 
 from dendrospark.llm.common import fold, mapped, table
 
-BUCKETS, AFFIX, GRAM = 1 << 16, 4, 3
+BUCKETS, AFFIX, GRAM = 1 << 16, 4, 3  # lengths in bytes
 #: Bounds of the training sample: texts of each language, languages, and bytes of a text in it.
 TEXTS, LANGUAGES, SAMPLE_BYTES = 600, 256, 64_000
 SEQUENCE, RUN, STEPS, BATCH, RATE = 64, 16, 240, 128, 0.3
 #: Longer texts are read as sequences of this many words, each with its own start.
 WORDS = 256
-CACHE, UNDETERMINED = 300_000, "und"
+CACHE, UNDETERMINED = 500_000, "und"
 
 _edges = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _letter = re.compile(r"[^\W\d_]")
@@ -36,12 +36,15 @@ _letter = re.compile(r"[^\W\d_]")
 
 def features(token: str) -> list[int]:
     """Hashed affixes, n-grams and the word itself, of a token without the signs around it; none if no letter is left."""
-    w = _edges.sub("", token.lower())
+    w = _edges.sub("", token.lower()).encode("utf-8", "surrogatepass")
     if not w:
         return []
-    raw = [f"^{w[:n]}" for n in range(1, min(AFFIX, len(w)) + 1)] + [f"{w[-n:]}$" for n in range(1, min(AFFIX, len(w)) + 1)]
-    raw += [w[i : i + n] for n in (2, GRAM) for i in range(len(w) - n + 1)] + [f"={w}"]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in dict.fromkeys(raw)]
+    n, crc = len(w), zlib.crc32
+    out = [crc(w[i : i + GRAM]) % BUCKETS for i in range(n - GRAM + 1)]
+    for k in range(1, min(AFFIX, n) + 1):  # prefixes, suffixes and the word start from checksums of their own
+        out += (crc(w[:k], 1) % BUCKETS, crc(w[-k:], 2) % BUCKETS)
+    out.append(crc(w, 3) % BUCKETS)
+    return out
 
 
 @dataclass
@@ -167,6 +170,7 @@ def identify(docs: DataFrame, field: Field | None, *keep: str) -> DataFrame:
                 yield pdf[list(keep)].assign(lang_pred=UNDETERMINED, score=0.0)
             return
         k = len(field.labels)
+        weights = field.weights.astype(np.float32)
         known: dict[str, int] = {}
         sums = np.zeros((1 << 12, k), dtype=np.float32)
 
@@ -175,10 +179,15 @@ def identify(docs: DataFrame, field: Field | None, *keep: str) -> DataFrame:
             need = len(known) + len(words)
             if need > len(sums):
                 sums = np.concatenate([sums[: len(known)], np.zeros((need * 2 - len(known), k), dtype=np.float32)])
-            for w in words:
-                f = features(w)
-                i = known.setdefault(w, len(known))
-                sums[i] = field.weights[f].sum(axis=0) if f else 0.0
+            found = [features(w) for w in words]
+            n = np.array([len(f) for f in found])
+            flat = np.fromiter((x for f in found for x in f), dtype=np.int64, count=int(n.sum()))
+            at = len(known)
+            known.update(zip(words, range(at, need)))
+            sums[at:need] = 0.0
+            some = np.flatnonzero(n)
+            if len(some):
+                sums[at + some] = np.add.reduceat(weights[flat], (np.cumsum(n) - n)[some], axis=0)
 
         for pdf in batches:
             texts = [t if t is not None and _letter.search(t) else "" for t in pdf["text"]]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from dendrospark.llm.common import fold, mapped, table
 
-BUCKETS, WIDTH, SHORTEST, LONGEST = 1 << 16, 8, 3, 5
+BUCKETS, WIDTH, SHORTEST, LONGEST = 1 << 16, 8, 3, 5  # n-gram lengths in bytes
 #: Bounds of the training sample: rows of each label, and bytes of a text that may be in it.
 SAMPLE = {1: 2500, 0: 5000}
 SAMPLE_BYTES = 64_000
@@ -36,11 +36,13 @@ _edges = re.compile(r"^\W+|\W+$")
 
 def features(token: str) -> list[int]:
     """Hashed n-grams of a token without the signs around it, and the word itself."""
-    word = "<" + _edges.sub("", token.lower()) + ">"
-    if len(word) == 2:
+    word = b"<" + _edges.sub("", token.lower()).encode("utf-8", "surrogatepass") + b">"
+    n, crc = len(word), zlib.crc32
+    if n == 2:
         return []
-    raw = [word[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(word) - n + 1)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in dict.fromkeys([*raw, word])]
+    out = {crc(word[i : i + k]) % BUCKETS for k in range(SHORTEST, LONGEST + 1) for i in range(n - k + 1)}
+    out.add(crc(word, 1) % BUCKETS)
+    return sorted(out)
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
@@ -128,11 +130,12 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], *keep: str) -> Data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weight, bias = shared.value
+        weight = weight.tolist()
         known: dict[str, float] = {}
 
         def learn(word: str) -> float:
             g = features(word)
-            known[word] = x = float(weight[g].mean()) if g else 0.0
+            known[word] = x = sum([weight[i] for i in g]) / len(g) if g else 0.0
             return x
 
         for pdf in batches:
