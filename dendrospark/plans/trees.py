@@ -27,11 +27,11 @@ def part_merges(spark, d):
     """Binary trees over parts, one a project: node k has the children 2k and 2k + 1; scores fall with depth."""
     p = read(spark, d, "part").select(F.col("p_partkey").alias("k"))
     n = p.agg(F.max("k").alias("n"))
-    rows = p.join(F.broadcast(n)).where("2 * k + 1 <= n")
+    rows = p.join(F.broadcast(n)).where("k >= 1 AND 2 * k + 1 <= n")
     t = lambda c: c.cast("string")
     return rows.select(
         F.lit("p").alias("project"), (F.col("n") - F.col("k")).alias("step"), t(2 * F.col("k")).alias("child_a"), t(2 * F.col("k") + 1).alias("child_b"), t(F.col("k")).alias("parent"),
-        F.pow(F.lit(10.0), -F.floor(F.log2(F.col("k").cast("double")))).alias("score"),
+        F.concat(F.lit("1e-"), (F.length(F.bin("k")) - 1).cast("string")).cast("double").alias("score"),
     )
 
 
@@ -40,7 +40,7 @@ _UP = f"RECURSIVE {_E}, up AS (SELECT child, parent AS ancestor, 1 AS n FROM e U
 _P = "pe AS (SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey > 1)"
 _PUP = f"RECURSIVE {_P}, up AS (SELECT child, parent AS ancestor, 1 AS n FROM pe UNION ALL SELECT up.child, pe.parent, n + 1 FROM up JOIN pe ON pe.child = up.ancestor)"
 _M = """n AS (SELECT max(p_partkey) AS n FROM part), m AS (SELECT p_partkey AS k, n, CAST(2 * p_partkey AS VARCHAR) AS child_a, CAST(2 * p_partkey + 1 AS VARCHAR) AS child_b,
-CAST(p_partkey AS VARCHAR) AS parent, pow(10.0, -floor(log2(p_partkey))) AS score, n - p_partkey AS step FROM part, n WHERE 2 * p_partkey + 1 <= n),
+CAST(p_partkey AS VARCHAR) AS parent, CAST('1e-' || (length(bin(p_partkey)) - 1) AS DOUBLE) AS score, n - p_partkey AS step FROM part, n WHERE p_partkey >= 1 AND 2 * p_partkey + 1 <= n),
 te AS (SELECT child_a AS child, parent FROM m UNION ALL SELECT child_b, parent FROM m)"""
 _MUP = f"RECURSIVE {_M}, up AS (SELECT child, parent AS ancestor, 1 AS n FROM te UNION ALL SELECT up.child, te.parent, n + 1 FROM up JOIN te ON te.child = up.ancestor)"
 _LEAF = "lv AS (SELECT ancestor AS node, child AS leaf, n AS depth FROM up WHERE child NOT IN (SELECT parent FROM te) UNION ALL SELECT DISTINCT child, child, 0 FROM te WHERE child NOT IN (SELECT parent FROM te))"
@@ -165,7 +165,7 @@ def _(spark, d):
 @query("GR-17_filter_tree")
 def _(spark, d):
     m = part_merges(spark, d)
-    omit = h.tree_edges(m).where("CAST(child AS BIGINT) % 5 = 2").select("project", F.col("child").alias("node"))
+    omit = h.tree_edges(m).where("CAST(child AS BIGINT) % 5 = 2 AND CAST(child AS BIGINT) > 30").select("project", F.col("child").alias("node"))
     return h.filter_tree(m, omit)
 
 
@@ -235,8 +235,8 @@ def _(spark, d):
     return alive_at(births.join(deaths, ["project", "node"], "left"), m).select("step", "other")
 
 
-@query("SRC-10_trace_sink", f"""WITH {_M}, s AS (SELECT *, row_number() OVER (ORDER BY step) AS i FROM m), n AS (SELECT parent AS node, 'merge_node_' || i AS name FROM s)
-SELECT i AS step, coalesce(x.name, child_a) AS child_a, coalesce(y.name, child_b) AS child_b, 'merge_node_' || i AS parent, score FROM s LEFT JOIN n x ON x.node = child_a LEFT JOIN n y ON y.node = child_b""")
+@query("SRC-10_trace_sink", f"""WITH {_M}, s AS (SELECT *, row_number() OVER (ORDER BY step) AS i FROM m), nm AS (SELECT parent AS node, 'merge_node_' || i AS name FROM s)
+SELECT i AS step, coalesce(x.name, child_a) AS child_a, coalesce(y.name, child_b) AS child_b, 'merge_node_' || i AS parent, score FROM s LEFT JOIN nm x ON x.node = child_a LEFT JOIN nm y ON y.node = child_b""")
 def _(spark, d):
     from dendrospark.sources.trees import trace_rows
 
