@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrospark.llm.common import mapped, table, written
+from dendrospark.llm.common import mapped, small, table, written
 
 LENGTH, GRAM = 400, 32
 HOT, BLOCK = 10_000, 46
@@ -120,10 +120,11 @@ def _signed(x: int) -> int:
 
 
 def anchors(texts: DataFrame, length: int) -> DataFrame:
-    """Per anchor of each text: its hash ``h``, hash ``c`` of its context, its place, and its first and last string."""
+    """Per anchor of each text: its hash ``h``, hash ``c`` of its context, and ``at``: its first string, with
+    the steps from there to the anchor and to its last string in higher bits."""
     from xxhash import xxh3_64_intdigest
 
-    names = ["h", "c", "t", "pos", "low", "high"]
+    names = ["h", "c", "t", "at"]
     step = HASH_BYTES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,11 +147,11 @@ def anchors(texts: DataFrame, length: int) -> DataFrame:
             t, raw, a, _ = held[i]
             pos, h, low, high = rows[0] + a, rows[1], rows[2] + a, rows[3] + a
             c = [xxh3_64_intdigest(raw[b : e + length], p - b) for p, b, e in zip(pos.tolist(), low.tolist(), high.tolist())]
-            for n, v in zip(names, (h, np.array(c, dtype=np.uint64).view(np.int64), [t] * len(pos), pos, low, high)):
+            for n, v in zip(names, (h, np.array(c, dtype=np.uint64).view(np.int64), [t] * len(pos), low + (pos - low << 32) + (high - low << 44))):
                 cols[n].append(v)
         return pd.DataFrame({n: [t for x in v for t in x] if n == "t" else np.concatenate(v) for n, v in cols.items()})
 
-    return mapped(texts.select("t", "text"), run, "h long, c long, t binary, pos int, low int, high int")
+    return mapped(texts.select("t", "text"), run, "h long, c long, t binary, at long")
 
 
 # --- suffix arrays -----------------------------------------------------------------------
@@ -310,15 +311,19 @@ def runs(offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 # --- the job ------------------------------------------------------------------------------
 
 
+def _low(at: int) -> int:
+    return at & 0xFFFFFFFF
+
+
 def _blocks(candidates: DataFrame, length: int) -> DataFrame:
     """The blocks of contexts that occur once, and of one of each that occurs more often.
 
-    ``core`` and ``own``: hashes of the bytes that all strings of the block hold, and of all bytes of its strings.
-    ``edge``: the bytes before and after the core, ``cut`` bytes before it.
+    ``core`` and ``own``: hashes of the bytes that all strings of the block hold, and of all bytes of its
+    strings. ``edge``: the bytes before and after the core, ``BLOCK - 1 - shift`` of them before.
     """
     from xxhash import xxh3_64_intdigest
 
-    schema = "h long, block int, core long, own long, t binary, low int, high int, shift int, once boolean, edge binary, cut int"
+    schema = "core long, own long, t binary, low int, width int, shift int, once boolean, edge binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -329,15 +334,18 @@ def _blocks(candidates: DataFrame, length: int) -> DataFrame:
                 for o in occ:
                     if not (o["once"] or o["sample"]):
                         continue
-                    origin = o["pos"] - (length - GRAM)  # of the offsets' grid
-                    for block in range((o["low"] - origin) // BLOCK, (o["high"] - origin) // BLOCK + 1):
+                    at = o["at"]
+                    begin = _low(at)
+                    end = begin + (at >> 44)
+                    origin = begin + (at >> 32 & 0xFFF) - (length - GRAM)  # of the offsets' grid
+                    for block in range((begin - origin) // BLOCK, (end - origin) // BLOCK + 1):
                         first = origin + block * BLOCK  # the block's first string and last,
                         last = first + BLOCK - 1
-                        low, high = max(o["low"], first), min(o["high"], last)  # and those that are this anchor's
-                        core = xxh3_64_intdigest(raw[last : first + length], 0)
+                        low, high = max(begin, first), min(end, last)  # and those that are this anchor's
+                        core = xxh3_64_intdigest(raw[last : first + length], block)
                         own = xxh3_64_intdigest(raw[low : high + length], low - first)
                         edge = raw[low:last] + raw[first + length : high + length]
-                        out.append((o["h"], block, _signed(core), _signed(own), t, low, high, low - first, o["once"], edge, last - low))
+                        out.append((_signed(core), _signed(own), t, low, high - low, low - first, o["once"], edge))
                 if len(out) > 5000:
                     yield pd.DataFrame(out, columns=names)
                     out = []
@@ -346,9 +354,6 @@ def _blocks(candidates: DataFrame, length: int) -> DataFrame:
     return mapped(candidates.select("t", "text", "occ"), run, schema)
 
 
-KEY = ["h", "block", "core"]
-
-
 def _sorted_repeats(blocks: DataFrame, length: int) -> DataFrame:
     """Runs (t, a, b) that repeat, by suffix arrays over whole cores' blocks."""
     part = BLOCK + 9  # symbols of a string whose core is a mark and eight bytes of its hash
@@ -377,7 +382,8 @@ def _sorted_repeats(blocks: DataFrame, length: int) -> DataFrame:
         once = (pdf["n"] == 1).tolist()
         marks = np.concatenate([np.full((len(pdf), 1), CORE, dtype=np.int16), pdf["core"].to_numpy(np.int64).view(np.uint8).reshape(-1, 8).astype(np.int16) + 1], axis=1)
         strings = []
-        for edge, cut, mark in zip(pdf["edge"], pdf["cut"], marks):
+        for edge, shift, mark in zip(pdf["edge"], pdf["shift"], marks):
+            cut = BLOCK - 1 - shift
             e = np.frombuffer(edge, dtype=np.uint8).astype(np.int16) + 1
             strings.append(np.concatenate([e[:cut], mark, e[cut:]]))
         out = []
@@ -397,19 +403,45 @@ def _split_repeats(blocks: DataFrame, length: int) -> DataFrame:
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for core, t, low, high, shift, n, edge, cut in pdf[["core", "t", "low", "high", "shift", "n", "edge", "cut"]].itertuples(index=False):
-                before, after = edge[:cut], edge[cut:]
-                for i in range(high - low + 1):
+            for core, t, low, width, shift, n, edge in pdf[["core", "t", "low", "width", "shift", "n", "edge"]].itertuples(index=False):
+                before, after = edge[: BLOCK - 1 - shift], edge[BLOCK - 1 - shift :]
+                for i in range(width + 1):
                     out.append((core, shift + i, _signed(xxh3_64_intdigest(before[i:] + b"|" + after[: shift + i], 0)), t, low + i, min(n, 2)))
             yield pd.DataFrame(out, columns=["core", "offset", "string", "t", "a", "n"])
 
-    each = mapped(blocks.select("core", "t", "low", "high", "shift", "n", "edge", "cut"), strings, "core long, offset int, string long, t binary, a int, n long")
+    each = mapped(blocks.select("core", "t", "low", "width", "shift", "n", "edge"), strings, "core long, offset int, string long, t binary, a int, n long")
     each = written(each, "hot-strings")
     key = ["core", "offset", "string"]
     twice = each.groupBy(*key).agg(F.sum("n").alias("n")).where("n > 1").drop("n")
     return each.where("n = 1").join(twice, key).select("t", "a", (F.col("a") + length).alias("b"))
 
 
+def _candidates(keyed: DataFrame, length: int) -> DataFrame:
+    """Texts with repeated anchors, each once, and those anchors: ``once`` where no other context is the same,
+    ``sample`` on one of equal contexts whose anchor has others."""
+    found = written(anchors(keyed, length), "anchors", "zstd")
+    again = written(found.groupBy("h").agg(F.count("*").alias("all")).where("all > 1"), "repeated-anchors")
+    shared = written(found.join(small(again), "h"), "anchors-met-again", "zstd")
+    each = shared.groupBy("h", "c").agg(F.count("*").alias("n"), F.max(F.xxhash64("t")).alias("pick"), F.max("all").alias("all"))
+    known = each.select("h", "c", "pick", (F.col("n") == 1).alias("once"), (F.col("all") > F.col("n")).alias("others"))
+    occ = shared.drop("all").join(known, ["h", "c"]).select("t", "at", "once", (F.col("others") & (F.xxhash64("t") == F.col("pick"))).alias("sample"))
+    need = written(occ.distinct().groupBy("t").agg(F.collect_list(F.struct("at", "once", "sample")).alias("occ")), "texts-met-again", "zstd")
+    one = keyed.groupBy("t").agg(F.max("k").alias("k"))
+    need = written(need.join(one, "t"), "texts-met-again", "zstd")
+    few = keyed.join(small(need.select("t", "k")), ["t", "k"], "left_semi")  # texts that don't matter stay where they are
+    return written(few.join(need, ["t", "k"]).select("t", "text", "occ"), "repeat-candidates", "zstd")
+
+
+def _open_blocks(candidates: DataFrame, length: int) -> DataFrame:
+    """Blocks whose core another has: ``n`` blocks are the same, ``m`` different ones share the core."""
+    blocks = written(_blocks(candidates, length), "blocks", "zstd")
+    weight = F.when(F.col("once"), 1).otherwise(2)
+    owns = blocks.groupBy("core", "own").agg(F.sum(weight).alias("n"), F.max(F.xxhash64("t")).alias("pick"))
+    cores = owns.groupBy("core").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("all > 1").drop("all")
+    open_ = owns.join(cores, "core").select("core", "own", "n", "m", "pick")
+    return written(blocks.join(open_, ["core", "own"]).drop("own"), "open-blocks", "zstd")
+
+
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Texts (t: the first half of their sha256, text) with repeated strings, and their runs (a, b).
 
@@ -418,26 +450,16 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keyed = docs.select(
         F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("k")
     ).withColumn("t", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
-    found = written(anchors(keyed, length), "anchors").withColumn("s", F.xxhash64("t", "pos", "low"))
-    each = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.max("s").alias("pick"))
-    of_anchor = each.groupBy("h").agg(F.sum("n").alias("all")).where("all > 1")
-    known = each.join(of_anchor, "h").select("h", "c", "pick", (F.col("n") == 1).alias("once"), (F.col("all") > F.col("n")).alias("others"))
-    occ = found.join(known, ["h", "c"]).select("t", "h", "pos", "low", "high", "once", (F.col("others") & (F.col("s") == F.col("pick"))).alias("sample"))
-    need = occ.distinct().groupBy("t").agg(F.collect_list(F.struct("h", "pos", "low", "high", "once", "sample")).alias("occ"))
-    one = keyed.groupBy("t").agg(F.max("k").alias("k"))
-    candidates = written(keyed.join(need.join(one, "t"), ["t", "k"]).select("t", "text", "occ"), "repeat-candidates")
-    blocks = written(_blocks(candidates, length), "blocks")
-    weight = F.when(F.col("once"), 1).otherwise(2)
-    owns = blocks.groupBy(*KEY, "own").agg(F.sum(weight).alias("n"), F.max(F.xxhash64("t", "low")).alias("pick"))
-    cores = owns.groupBy(*KEY).agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("all > 1")
-    open_ = owns.join(cores, KEY).select(*KEY, "own", "n", "m", "pick")
-    live = written(blocks.join(open_, [*KEY, "own"]).drop("own"), "open-blocks")
-    whole = live.where("once and n > 1").select("t", F.col("low").alias("a"), (F.col("high") + length).alias("b"))
-    unlike = live.where(F.col("m") > 1).where((F.col("n") == 1) | (F.xxhash64("t", "low") == F.col("pick")))
+    candidates = _candidates(keyed, length)
+    live = _open_blocks(candidates, length)
+    whole = live.where("once and n > 1").select("t", F.col("low").alias("a"), (F.col("low") + F.col("width") + length).alias("b"))
+    unlike = live.where(F.col("m") > 1).where((F.col("n") == 1) | (F.xxhash64("t") == F.col("pick")))
     partly = whole.unionByName(_sorted_repeats(unlike.where(F.col("m") <= HOT), length)).unionByName(_split_repeats(unlike.where(F.col("m") > HOT), length))
-    partly = partly.groupBy("t").agg(F.collect_list(F.struct("a", "b")).alias("partly"))
-    fully = F.transform(F.filter("occ", lambda o: ~o["once"]), lambda o: F.struct(o["low"].alias("a"), (o["high"] + length).alias("b")))
-    return candidates.select("t", "text", fully.alias("fully")).join(partly, "t", "left").select(
+    partly = written(partly.groupBy("t").agg(F.collect_list(F.struct("a", "b")).alias("partly")), "partly-repeated", "zstd")
+    low = lambda o: o["at"].bitwiseAND(0xFFFFFFFF).cast("int")
+    end = lambda o: (low(o) + F.shiftright(o["at"], 44) + length).cast("int")
+    fully = F.transform(F.filter("occ", lambda o: ~o["once"]), lambda o: F.struct(low(o).alias("a"), end(o).alias("b")))
+    return candidates.select("t", "text", fully.alias("fully")).join(small(partly), "t", "left").select(
         "t", "text", F.concat("fully", F.coalesce("partly", F.array().cast("array<struct<a:int,b:int>>"))).alias("runs")
     ).where(F.size("runs") > 0)
 
