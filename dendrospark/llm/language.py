@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendrospark.llm.common import fold, mapped, table
+from dendrospark.llm.toxicity import flat_features
 
 BUCKETS, AFFIX, GRAM = 1 << 16, 4, 3  # lengths in bytes
 #: Bounds of the training sample: texts of each language, languages, and bytes of a text in it.
@@ -97,9 +98,8 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Field | None:
     if not any(pools):
         return None
     usable = [i for i, p in enumerate(pools) if p]
-    words = [features(w) for w in known]
-    size = np.array([len(f) for f in words])
-    flat, first = np.array([f for g in words for f in g], dtype=np.int64), np.append(0, np.cumsum(size))
+    size, flat = flat_features(known, features)
+    first = np.append(0, np.cumsum(size))
     k = len(labels)
     field = Field(labels, np.zeros((BUCKETS, k)), np.zeros(k), np.zeros((k, k)))
     seen = [np.full_like(x, 1e-6) for x in (field.weights, field.start, field.moves)]

@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from dendrospark.llm.common import fold, mapped, table
 
 BUCKETS, WIDTH, SHORTEST, LONGEST = 1 << 16, 8, 3, 5  # n-gram lengths in bytes
 #: Bounds of the training sample: rows of each label, and bytes of a text that may be in it.
-SAMPLE = {1: 2500, 0: 5000}
+SAMPLE = {1: 2000, 0: 3500}
 SAMPLE_BYTES = 64_000
 GAIN, RATE, EPOCHS, BATCH = 25.0, 0.25, 12, 64
 CACHE = 500_000
@@ -45,6 +46,16 @@ def features(token: str) -> list[int]:
     return sorted(out)
 
 
+def flat_features(words: Iterable[str], of: Callable[[str], list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """How many features each word has, and all of them in one array."""
+    size, flat = array("i"), array("i")
+    for w in words:
+        f = of(w)
+        size.append(len(f))
+        flat.extend(f)
+    return np.array(size, dtype=np.int64), np.frombuffer(flat, dtype=np.int32) if len(flat) else np.zeros(0, dtype=np.int32)
+
+
 def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
     """The weight of each hashed feature in the log-odds of label 1 of a text, and the bias."""
     rng = np.random.default_rng(seed)
@@ -52,10 +63,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
     docs = []
     for t in texts:
         ids, n = np.unique([known.setdefault(w, len(known)) for w in t.split()], return_counts=True)
-        docs.append((ids.astype(np.int64), n / max(1, n.sum())))
-    grams = [features(w) for w in known]
-    size = np.array([len(g) for g in grams], dtype=np.int64)
-    flat = np.array([f for g in grams for f in g], dtype=np.int64)
+        docs.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
+    size, flat = flat_features(known, features)
+    known.clear()
     first = np.append(0, np.cumsum(size))
     y = np.array(labels)
     emb = rng.normal(0, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
@@ -117,7 +127,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> tupl
     """A model of ``labels.toxic``, from the rows of ``labels`` where ``learn`` holds (default: all)."""
     labels = labels if learn is None else labels.where(learn)
     rows = sorted(map(tuple, sample(docs, labels, "toxic", SAMPLE).collect()))
-    return train([r[1] for r in rows], [int(r[2]) for r in rows])
+    texts, marks = [r[1] for r in rows], [int(r[2]) for r in rows]
+    del rows
+    return train(texts, marks)
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], *keep: str) -> DataFrame:
