@@ -32,7 +32,7 @@ def write_traces(merges: DataFrame, path: str) -> None:
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     """Merges from four-column files; the project is the file's name up to its last dot. Other lines are an error."""
-    lines = spark.read.option("wholetext", True).text(path).select(
+    lines = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("project"), F.posexplode(F.split(F.regexp_replace("value", r"\n+$", ""), "\n")).alias("step", "line")
     )
     cols = F.split("line", "\t")
@@ -43,7 +43,7 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
 
 def read_old_traces(spark: SparkSession, path: str) -> DataFrame:
     """The older form: two lines a merge, one for each child; the parent is the second-last column, the score the third-last."""
-    lines = spark.read.option("wholetext", True).text(path).select(
+    lines = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("project"), F.posexplode(F.split(F.regexp_replace("value", r"\n+$", ""), "\n")).alias("at", "line")
     )
     c = F.split(F.trim("line"), r"\s+")
