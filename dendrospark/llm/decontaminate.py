@@ -87,7 +87,7 @@ def contamination(
 
     def occurrences(picked: DataFrame) -> DataFrame:
         """Document places whose shingle is among ``picked`` (token, k, ...)."""
-        at = base.select("doc_id", "h1", "h2", "n_words", _words("joined").alias("w"))
+        at = base.select("h1", "h2", "n_words", _words("joined").alias("w"))
         out = None
         for k in sorted(lengths):
             places = at.where(F.col("n_words") >= k).select("*", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("p"))
@@ -117,11 +117,11 @@ def contamination(
         occurrences(prefix)
         .where(inside)
         .where(F.slice("w", start + 1, F.col("m")) == F.col("win"))
-        .select("doc_id", "h1", "h2", start.alias("s"), (start + F.col("m")).alias("e"), "win")
+        .select("h1", "h2", start.alias("s"), (start + F.col("m")).alias("e"), "win")
         .distinct()
     )
     hits = written(hits, "hits")
-    key = ["doc_id", "h1", "h2"]
+    key = ["h1", "h2"]  # of the text: copies have the same hits
     before = W.Window.partitionBy(*key).orderBy("s", "e").rowsBetween(W.Window.unboundedPreceding, -1)
     reach = F.greatest(F.col("s"), F.coalesce(F.max("e").over(before), F.lit(0)))
     covered = (
@@ -139,10 +139,7 @@ def contamination(
         .agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
         .select(*key, F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
     )
-    found = covered.join(named, key).withColumnsRenamed({"doc_id": "_id", "h1": "_h1", "h2": "_h2"})
-    same = (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    # nulls of doc_id in `covered` and `named` are joined on their hashes
-    return base.drop("joined").join(found, same, "left").select(
+    return base.drop("joined").join(covered.join(named, key), key, "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
