@@ -424,6 +424,7 @@ def _candidates(keyed: DataFrame, length: int) -> DataFrame:
     shared = written(found.join(small(again), "h"), "anchors-met-again", "zstd")
     each = shared.groupBy("h", "c").agg(F.count("*").alias("n"), F.max(F.xxhash64("t")).alias("pick"), F.max("all").alias("all"))
     known = each.select("h", "c", "pick", (F.col("n") == 1).alias("once"), (F.col("all") > F.col("n")).alias("others"))
+    known = written(known, "contexts-met-again", "zstd")  # a table of its own, so that the join can split a hot context
     occ = shared.drop("all").join(known, ["h", "c"]).select("t", "at", "once", (F.col("others") & (F.xxhash64("t") == F.col("pick"))).alias("sample"))
     need = written(occ.distinct().groupBy("t").agg(F.collect_list(F.struct("at", "once", "sample")).alias("occ")), "texts-met-again", "zstd")
     one = keyed.groupBy("t").agg(F.max("k").alias("k"))
