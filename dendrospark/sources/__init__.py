@@ -1 +1 @@
-
+"""Readers and writers of file formats."""

@@ -1 +1 @@
-
+"""Nothing here: none of the operators in the inventory works on streams."""
