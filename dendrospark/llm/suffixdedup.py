@@ -493,6 +493,27 @@ def removed(found: DataFrame) -> DataFrame:
 ADDED = ("n_removed", "n_spans", "kept_sha256", "kept")
 
 
+def _made(docs: DataFrame, length: int, added: tuple[str, ...]) -> DataFrame:
+    """What is removed and kept of each text that loses something, one row a text."""
+    made = written(removed(repeats(docs, length)).select("t", *added), "removed", "zstd")
+    once = made.count() == made.select("t").distinct().count()
+    return made if once else made.dropDuplicates(["t"])  # repeated rows gave a text more than once
+
+
+def replaced(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with the text kept in place of each text that loses something, and ``changed``.
+
+    As ``deduplicated``; texts that stay are not moved, and of the others only what is kept. Clashing columns
+    named t or changed are replaced.
+    """
+    made = _made(docs, length, ("kept",))
+    rows = docs.drop("t", "changed").withColumn("t", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)))
+    ids = small(made.select("t"))
+    stay = rows.join(ids, "t", "left_anti").withColumn("changed", F.lit(False))
+    new = rows.join(ids, "t", "left_semi").drop("text").join(made.withColumnRenamed("kept", "text"), "t").withColumn("changed", F.lit(True))
+    return stay.unionByName(new).drop("t")
+
+
 def deduplicated(docs: DataFrame, length: int = LENGTH, added: tuple[str, ...] = ADDED) -> DataFrame:
     """``docs`` (doc_id, text, ...) with n_bytes and, of each text, what is removed and kept.
 
@@ -502,8 +523,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, added: tuple[str, ...] =
     ``length`` stay as they are; repeated rows lose all that they hold if it is long enough. Clashing
     columns of ``docs`` are replaced.
     """
-    found = repeats(docs, length)
-    made = removed(found).groupBy("t").agg(*[F.max(c).alias(c) for c in added])
+    made = _made(docs, length, added)
     text = F.coalesce("text", F.lit(""))
     rows = docs.drop("n_bytes", "_sha", "t", *ADDED).withColumns({"n_bytes": F.octet_length(text).cast("long"), "_sha": F.sha2(text, 256)})
     rows = rows.withColumn("t", F.unhex(F.substring("_sha", 1, 32))).join(made, "t", "left").drop("t")

@@ -321,3 +321,10 @@ def test_sharding(docs, texts):
     total, largest = sum(r["size"] for r in got), max(r["size"] for r in got)
     assert all(abs(sum(r["size"] for r in own) - total / 4) <= largest for own in shards.values())
     assert sharding.histogram_shards(docs.limit(0), F.col("text"), size, 4).count() == 0
+
+
+def test_replaced_texts(docs, texts):
+    """Rows keep their columns; what stays of a text is what deduplicated() keeps."""
+    want = sorted((r.doc_id is None, r.doc_id or 0, r.kept or "") for r in suffixdedup.deduplicated(docs).collect())
+    got = suffixdedup.replaced(docs).select("doc_id", "text", "source", "changed").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got) == want
