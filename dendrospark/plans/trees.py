@@ -47,8 +47,9 @@ _LEAF = "lv AS (SELECT ancestor AS node, child AS leaf, n AS depth FROM up WHERE
 _SETS = "s AS (SELECT DISTINCT c_mktsegment || c_custkey % 40 AS key, n_name AS term FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 3 = 0)"
 
 
-def _sets(spark, d):
-    c = read(spark, d, "customer").where("c_custkey % 3 = 0").join(read(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+def _sets(spark, d, every=False):
+    c = read(spark, d, "customer")
+    c = (c if every else c.where("c_custkey % 3 = 0")).join(read(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     return c.select(F.concat("c_mktsegment", (F.col("c_custkey") % 40).cast("string")).alias("key"), F.col("n_name").alias("term")).distinct()
 
 
@@ -84,8 +85,8 @@ def _(spark, d):
 _MIXED = f"{_UP}, {_SETS}, x AS (SELECT key, term FROM s UNION SELECT key, ancestor FROM s JOIN up ON up.child = s.term WHERE ancestor <> 'all' AND key LIKE '%1')"
 
 
-def _mixed(spark, d):
-    s, up = _sets(spark, d), h.closure(nation_edges(spark, d))
+def _mixed(spark, d, every=False):
+    s, up = _sets(spark, d, every), h.closure(nation_edges(spark, d))
     more = s.where("key LIKE '%1'").join(up.select(F.col("child").alias("term"), "ancestor"), "term").where("ancestor <> 'all'").select("key", F.col("ancestor").alias("term"))
     return s.unionByName(more).distinct(), up
 
@@ -225,14 +226,71 @@ def _(spark, d):
 @query("JN-12_later_scans", f"""WITH {_M}, nodes AS (SELECT parent AS node, step AS birth FROM m WHERE k > 960 UNION ALL SELECT DISTINCT child, -1 FROM te WHERE CAST(parent AS BIGINT) > 960 AND child NOT IN (SELECT parent FROM m WHERE k > 960)),
 d AS (SELECT child AS node, step AS death FROM te JOIN m USING (parent) WHERE m.k > 960) SELECT m.step, other.node AS other FROM m, nodes other LEFT JOIN d USING (node) WHERE m.k > 960 AND birth < m.step AND (death IS NULL OR death > m.step)""")
 def _(spark, d):
+    return _later_scans(part_merges(spark, d).where("CAST(parent AS BIGINT) > 960")).select("step", "other")
+
+
+def _later_scans(m):
     from dendrospark.operators.relational import alive_at
 
-    m = part_merges(spark, d).where("CAST(parent AS BIGINT) > 960")
     e = h.tree_edges(m)
-    deaths = e.join(m.select("parent", F.col("step").alias("death")), "parent").select("project", F.col("child").alias("node"), "death")
+    deaths = e.join(m.select("project", "parent", F.col("step").alias("death")), ["project", "parent"]).select("project", F.col("child").alias("node"), "death")
     births = m.select("project", F.col("parent").alias("node"), F.col("step").alias("birth"))
     births = births.unionByName(e.select("project", F.col("child").alias("node")).distinct().join(births, ["project", "node"], "left_anti").withColumn("birth", F.lit(-1).cast("long")))
-    return alive_at(births.join(deaths, ["project", "node"], "left"), m).select("step", "other")
+    return alive_at(births.join(deaths, ["project", "node"], "left"), m).select("project", "step", "other")
+
+
+#: Parts in one of the small trees.
+TREE_PARTS = 64
+
+
+def small_merges(spark, d):
+    """All parts in trees of TREE_PARTS nodes, one a project: in each, node k has the children 2k and 2k + 1, as far as they are parts."""
+    at = F.col("p_partkey") - 1
+    p = read(spark, d, "part").select(F.floor(at / TREE_PARTS).alias("tree"), (at % TREE_PARTS + 1).alias("k"))
+    n = p.groupBy("tree").agg(F.max("k").alias("n"))
+    t = lambda c: c.cast("string")
+    return p.join(n, "tree").where("2 * k + 1 <= n").select(
+        t(F.col("tree")).alias("project"), (F.col("n") - F.col("k")).alias("step"), t(2 * F.col("k")).alias("child_a"), t(2 * F.col("k") + 1).alias("child_b"), t(F.col("k")).alias("parent"),
+    )
+
+
+# Over all customers and parts, where the query of the same name and its SQL read a part of them; no SQL.
+
+
+@query("JN-12_later_scans_all")
+def _(spark, d):
+    return _later_scans(small_merges(spark, d))
+
+
+@query("GR-04_common_ancestors_all")
+def _(spark, d):
+    return h.common_ancestors(_sets(spark, d, True), h.closure(nation_edges(spark, d)))
+
+
+@query("GR-05_most_specific_common_ancestor_all")
+def _(spark, d):
+    return h.most_specific_common_ancestor(_sets(spark, d, True), h.closure(nation_edges(spark, d)))
+
+
+@query("GR-06_most_specific_all")
+def _(spark, d):
+    return h.most_specific(*_mixed(spark, d, True))
+
+
+@query("GR-06_most_general_all")
+def _(spark, d):
+    return h.most_general(*_mixed(spark, d, True))
+
+
+@query("GR-09_annotation_specific_all")
+def _(spark, d):
+    return h.most_specific(*_mixed(spark, d, True)).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("GR-11_common_lineage_all")
+def _(spark, d):
+    tops = read(spark, d, "region").select(F.col("r_name").alias("term"))
+    return h.common_lineage(_sets(spark, d, True), h.closure(nation_edges(spark, d)), tops, everything="everything")
 
 
 @query("SRC-10_trace_sink", f"""WITH {_M}, s AS (SELECT *, row_number() OVER (ORDER BY step) AS i FROM m), nm AS (SELECT parent AS node, 'merge_node_' || i AS name FROM s)
