@@ -24,12 +24,13 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from dendrospark.llm.common import mapped, table, written
+from dendrospark.operators.windows import dense_rank_over_all
 
 SEQUENCE, WINDOW_SEQUENCES, MAX_QUEUES, END_ID = 1024, 64, 1024, 0
 
@@ -105,12 +106,12 @@ def slices(texts: list[str], most: int = 4_000_000) -> Iterator[slice]:
 def tokenize(docs: DataFrame, tokenizer: str, queues: list[str | None] | None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Per document: its queue, its ids (with the end id) and its start in its partition's part of the queue.
 
-    ``queues``: the sources by number; where None, sources are pooled by hash into MAX_QUEUES.
+    ``queues``: the sources by number; where None, the queue is the source itself.
     """
     number = None if queues is None else {q: i for i, q in enumerate(queues)}
     id_type = docs.schema[doc_id].dataType
     schema = T.StructType(
-        [T.StructField("doc_id", id_type), T.StructField("chunk", T.IntegerType()), T.StructField("queue", T.IntegerType())]
+        [T.StructField("doc_id", id_type), T.StructField("chunk", T.IntegerType()), T.StructField("queue", T.StringType() if queues is None else T.IntegerType())]
         + [T.StructField(c, T.LongType()) for c in ("start", "n")]
         + [T.StructField("ids", T.BinaryType())]
     )
@@ -124,7 +125,7 @@ def tokenize(docs: DataFrame, tokenizer: str, queues: list[str | None] | None, d
             for part in slices(texts):
                 ids = [x + end for x in words.encode(texts[part])]
                 names = [None if s is None else s for s in pdf["source"].iloc[part]]
-                qs = [zlib.crc32(repr(s).encode()) % MAX_QUEUES if number is None else number[s] for s in names]
+                qs = names if number is None else [number[s] for s in names]
                 starts = []
                 for q, x in zip(qs, ids):
                     starts.append(served.get(q, 0))
@@ -137,6 +138,139 @@ def tokenize(docs: DataFrame, tokenizer: str, queues: list[str | None] | None, d
     return mapped(picked, run, schema)
 
 
+class Rounds:
+    """What a queue has been served after each window, from its own total and weight and the curve of all queues.
+
+    ``dry``: distinct rounds at which queues run dry, with the tokens and weights of those that do (bounded by the
+    different totals, not by the queues).
+    """
+
+    def __init__(self, dry: list[tuple[float, int, float]], window_tokens: int):
+        dry = sorted(dry)
+        r, n, w = (np.array([x[i] for x in dry], dtype=float) for i in range(3))
+        self.window, self.total = window_tokens, int(sum(x[1] for x in dry))
+        self.windows = max(1, -(-self.total // window_tokens))
+        gone, live = np.cumsum(n), w.sum() - np.cumsum(w)
+        self.rounds, self.at = np.append(0.0, r), np.append(0.0, gone + np.maximum(live, 0) * r)
+        self.at[-1] = self.total
+
+    def served(self, total: np.ndarray, weight: np.ndarray, window: np.ndarray) -> np.ndarray:
+        rounds = np.interp(np.minimum(window * float(self.window), self.total), self.at, self.rounds)
+        now = np.minimum(total, np.floor(weight * rounds * (1 + 1e-15)).astype(np.int64))
+        return np.where(window >= self.windows, total, np.where(window <= 0, 0, now))
+
+    def window_of(self, total: np.ndarray, weight: np.ndarray, token: np.ndarray) -> np.ndarray:
+        w = (np.interp(token / weight, self.rounds, self.at) / self.window).astype(np.int64).clip(0, self.windows - 1)
+        while (high := self.served(total, weight, w) > token).any():
+            w -= high
+        while (low := self.served(total, weight, w + 1) <= token).any():
+            w += low
+        return w
+
+    def split(self, total: np.ndarray, weight: np.ndarray, start: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+        """Token runs cut by windows: of which run, its window, and the tokens [low, high) of its queue."""
+        first, last = self.window_of(total, weight, start), self.window_of(total, weight, start + n - 1)
+        many = last - first + 1
+        run = np.repeat(np.arange(len(n)), many)
+        w = first[run] + np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many)
+        low = np.maximum(start[run], self.served(total[run], weight[run], w))
+        high = np.minimum(start[run] + n[run], self.served(total[run], weight[run], w + 1))
+        run, w, low, high = (x[high > low] for x in (run, w, low, high))
+        return {"run": run, "window": w, "low": low, "high": high}
+
+
+def _pack_many(docs: DataFrame, tokenizer: str, targets: dict[str | None, float] | None, sequence: int, window_sequences: int, doc_id: str, text: str, source: str) -> DataFrame:
+    """``pack`` where queues are too many for one task: a queue's total and weight travel with its rows, and the tokens that
+    other queues have before it in a window are summed over a table of queues and windows, which has no more rows than the result."""
+    tokens = written(tokenize(docs, tokenizer, None, doc_id, text, source).withColumnRenamed("queue", "source"), "tokens")
+    parts = written(tokens.groupBy("source", "chunk").agg(F.sum("n").alias("n")), "token-parts")
+    own = parts.groupBy("source").agg(F.sum("n").alias("total"))
+    if targets:
+        want = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "of string, weight double")
+        own = own.join(want, F.col("source").eqNullSafe(F.col("of")), "left").drop("of").fillna(float(min(targets.values())), "weight")
+    else:
+        own = own.withColumn("weight", F.col("total").cast("double"))
+    own = dense_rank_over_all(own, [F.col("source").isNotNull(), F.col("source")], "queue")
+    own = written(own.withColumn("queue", (F.col("queue") - 1).cast("int")), "token-queues")
+    curve = own.groupBy((F.col("total") / F.col("weight")).alias("r")).agg(F.sum("total").alias("n"), F.sum("weight").alias("w")).collect()
+    plan = Rounds([tuple(x) for x in curve], sequence * window_sequences)
+    before = W.Window.partitionBy("source").orderBy("chunk").rowsBetween(W.Window.unboundedPreceding, -1)
+    base = parts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    base = base.join(own, base["source"].eqNullSafe(own["source"])).select(base["source"], "chunk", "base", "queue", "total", "weight")
+    base = written(base, "token-bases")
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def made(q: np.ndarray, total: np.ndarray, weight: np.ndarray, w: np.ndarray) -> pd.DataFrame:
+            a, b = plan.served(total, weight, w), plan.served(total, weight, w + 1)
+            return pd.DataFrame({"queue": q, "window": w, "low_q": a, "count": b - a})[b > a]
+
+        for pdf in batches:
+            short = pdf[pdf["total"] <= plan.windows]  # by token, the others by window: as many steps as rows, about
+            for _, part in short.groupby((short["total"].cumsum() - 1) // (1 << 20)):
+                many = part["total"].to_numpy(np.int64)
+                run = np.repeat(np.arange(len(many)), many)
+                token = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many)
+                q, weight = part["queue"].to_numpy()[run], part["weight"].to_numpy(float)[run]
+                w = plan.window_of(many[run], weight, token)
+                new = np.append(True, (q[1:] != q[:-1]) | (w[1:] != w[:-1]))
+                yield made(q[new], many[run][new], weight[new], w[new])
+            for q, total, weight in pdf.loc[pdf["total"] > plan.windows, ["queue", "total", "weight"]].itertuples(index=False):
+                for at in range(0, plan.windows, 1 << 16):
+                    w = np.arange(at, min(plan.windows, at + (1 << 16)))
+                    yield made(np.full(len(w), q), np.full(len(w), total), np.full(len(w), weight), w)
+
+    each = written(mapped(own.select("queue", "total", "weight"), cells, "queue int, window long, low_q long, count long"), "token-cells")
+    windows = each.groupBy("window").agg(F.sum("count").alias("count"))
+    ends = W.Window.orderBy("window").rowsBetween(W.Window.unboundedPreceding, -1)  # one row a window
+    begin = windows.select("window", F.coalesce(F.sum("count").over(ends), F.lit(0)).alias("begin"))
+    ahead = W.Window.partitionBy("window").orderBy("queue").rowsBetween(W.Window.unboundedPreceding, -1)
+    placed = each.withColumn("ahead", F.coalesce(F.sum("count").over(ahead), F.lit(0))).join(begin, "window")
+    placed = written(placed.select("queue", "window", (F.col("begin") + F.col("ahead") - F.col("low_q")).alias("shift")), "token-places")
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for part in slices([x[::2] for x in whole["ids"]], 2_000_000):
+                pdf = whole.iloc[part]
+                n, first = pdf["n"].to_numpy(np.int64), (pdf["start"] + pdf["base"]).to_numpy(np.int64)
+                got = plan.split(pdf["total"].to_numpy(np.int64), pdf["weight"].to_numpy(float), first, n)
+                wide = [np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * m else "<u4").astype("<u4").tobytes() for raw, m in zip(pdf["ids"], n)]
+                run, start = got["run"], got["low"] - first[got["run"]]
+                yield pd.DataFrame(
+                    {
+                        "doc_id": pdf["doc_id"].take(run).reset_index(drop=True), "queue": pdf["queue"].to_numpy()[run], "window": got["window"],
+                        "low": got["low"], "start": start, "doc_tokens": n[run],
+                        "ids": [wide[i][4 * s : 4 * (s + k)] for i, s, k in zip(run.tolist(), start.tolist(), (got["high"] - got["low"]).tolist())],
+                    }
+                )
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            place, size = (pdf["shift"] + pdf["low"]).to_numpy(np.int64), np.array([len(x) // 4 for x in pdf["ids"]], dtype=np.int64)
+            many = (place + size - 1) // sequence - place // sequence + 1
+            run = np.repeat(np.arange(len(size)), many)
+            step = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many)
+            begin = np.maximum(place[run], (place[run] // sequence + step) * sequence)
+            end = np.minimum(place[run] + size[run], (begin // sequence + 1) * sequence)
+            raw = pdf["ids"].tolist()
+            ids = [raw[i][4 * a : 4 * b] for i, a, b in zip(run.tolist(), (begin - place[run]).tolist(), (end - place[run]).tolist())]
+            yield pd.DataFrame(
+                {
+                    "doc_id": pdf["doc_id"].take(run).reset_index(drop=True), "start": pdf["start"].to_numpy()[run] + begin - place[run], "length": end - begin,
+                    "ids_crc32": [zlib.crc32(x) for x in ids], "doc_tokens": pdf["doc_tokens"].to_numpy()[run], "sequence_id": begin // sequence, "offset": begin % sequence,
+                    "window": pdf["window"].to_numpy()[run], "queue": pdf["queue"].to_numpy()[run], "ids": ids,
+                }
+            )
+
+    id_field = tokens.schema["doc_id"]
+    longs = lambda *names: [T.StructField(c, T.LongType()) for c in names]
+    queue, ids = T.StructField("queue", T.IntegerType()), T.StructField("ids", T.BinaryType())
+    based = base.withColumnRenamed("source", "of").withColumnRenamed("chunk", "at")
+    runs = tokens.join(based, F.col("source").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("at"))).drop("of", "at", "source")
+    pieces = mapped(runs, split, T.StructType([id_field, queue, *longs("window", "low", "start", "doc_tokens"), ids]))
+    schema = T.StructType([id_field, *longs("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window"), queue, ids])
+    return mapped(pieces.join(placed, ["queue", "window"]), cut, schema)
+
+
 class Schedule:
     """What each queue has been served after each window."""
 
@@ -205,12 +339,14 @@ def pack(
     ``targets``: weight of each source in every window (default: its share of all tokens, with
     which all queues end together); sources without a weight get the smallest one given.
     A null text is empty; an empty text is the end id alone. Null sources are one queue. Beyond
-    MAX_QUEUES sources, sources are pooled into that many queues by hash, so that what the tasks
-    hold of the queues stays bounded. Repeated rows are packed each. An empty table gives no rows.
+    MAX_QUEUES sources, the queues are a distributed table (``_pack_many``), with the same results.
+    Repeated rows are packed each. An empty table gives no rows.
     Columns other than the three named are not read.
     """
     named = [r[0] for r in docs.select(F.col(source).cast("string")).distinct().limit(MAX_QUEUES + 1).collect()]
     queues = sorted(named, key=lambda s: (s is not None, s)) if len(named) <= MAX_QUEUES else None
+    if queues is None:
+        return _pack_many(docs, tokenizer, targets, sequence, window_sequences, doc_id, text, source)
     tokens = written(tokenize(docs, tokenizer, queues, doc_id, text, source), "tokens")
     parts = tokens.groupBy("queue", "chunk").agg(F.sum("n").alias("n"))
     before = W.Window.partitionBy("queue").orderBy("chunk").rowsBetween(W.Window.unboundedPreceding, -1)
@@ -219,7 +355,7 @@ def pack(
     numbers = sorted(sums)
     dense = {q: i for i, q in enumerate(numbers)}
     weights = None
-    if targets and queues is not None:
+    if targets:
         weights = [targets.get(queues[q], min(targets.values())) for q in numbers]
     plan = Schedule([sums[q] for q in numbers], weights, sequence * window_sequences) if sums else None
     schema = T.StructType(
