@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,21 +20,41 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where none is set (tests, a single machine) is a temporary folder made
-    and put into the session.
+    Only where none is set and the master is this machine is a temporary folder made and put into the session.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("spark.dendrospark.scratch", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.dendrospark.scratch", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="dendrospark-")
         spark.conf.set("spark.dendrospark.scratch", path)
     return path.rstrip("/")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: Folders written inside each ``clearing`` that is open, the innermost last.
+_open: list[list[str]] = []
+
+
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A path in the shared folder that nothing has used yet. ``keep``: it outlives the ``clearing`` around it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    level = len(_open) - 1 - keep
+    if level >= 0:
+        _open[level].append(path)
+    return path
+
+
+@contextmanager
+def clearing(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables written inside at its end, but those written with ``keep``: only these may be read afterwards."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in _open.pop():
+            where = hadoop(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Rows of ids up to which a table is sent to every task; beyond, both sides are shuffled.
@@ -39,16 +62,16 @@ BROADCAST_ROWS = 1_000_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df``, a table that is cheap to count, with a broadcast hint if it has few rows."""
+    """``df``, a table of ids and numbers that is cheap to count, with a broadcast hint if it has few rows."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy", keep: bool = False) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     Cuts the lineage: losing an executor afterwards costs no recomputation.
     """
-    path = scratch(df.sparkSession, name)
+    path = scratch(df.sparkSession, name, keep)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -85,3 +108,26 @@ def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``mapInPandas`` with this package at hand in the workers."""
     ship(df.sparkSession)
     return df.mapInPandas(run, schema)
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], *keys: str) -> Iterator[pd.DataFrame]:
+    """The rows of batches sorted by ``keys``, in frames of which each holds all rows of its groups."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        edge = np.zeros(len(pdf) - 1, dtype=bool)
+        for k in keys:
+            x = pdf[k].to_numpy()
+            edge |= x[1:] != x[:-1]
+        if held and any(held[-1][k].iloc[-1] != pdf[k].iloc[0] for k in keys):
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        cut = np.flatnonzero(edge)
+        if len(cut):
+            at = int(cut[-1]) + 1
+            yield pd.concat([*held, pdf.iloc[:at]], ignore_index=True)
+            held, pdf = [], pdf.iloc[at:]
+        held.append(pdf)
+    if held:
+        yield pd.concat(held, ignore_index=True)

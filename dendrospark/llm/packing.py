@@ -16,27 +16,31 @@ into sequences; only the last sequence can be short.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from dendrospark.llm.common import mapped, table, written
+from dendrospark.llm.common import mapped, small, table, written
 from dendrospark.operators.windows import dense_rank_over_all
 
 SEQUENCE, WINDOW_SEQUENCES, MAX_QUEUES, END_ID = 1024, 64, 1024, 0
+#: The mixture of the query: the largest source at four times the share of each other one, wherever both have tokens left.
+MIXTURE, OTHERS = {"src0": 4.0}, 1.0
 
 
-#: A space that doesn't begin a word.
-_odd = re.compile(r" (?:\s|$)").search
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (size[0] places), first[1], ..."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 class WordTokenizer:
@@ -55,35 +59,63 @@ class WordTokenizer:
         size = self.model.get_vocab_size()
         self.kind = "<u2" if size <= 1 << 16 else "<u4"
         self.opens = np.array([(self.model.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.cache: dict[str, bytes] = {}
         self.limit = cache
+        self._forget()
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.first, self.size, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=self.kind)
+        self.strange = np.zeros(0, dtype=bool)  # what stands after a space that doesn't begin a word
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has."""
+        ids = [np.array(x.ids, dtype=self.kind) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, dtype=self.kind), *ids]), np.array([len(x) for x in ids], dtype=np.int64)
 
     def _learn(self, words: list[str]) -> None:
+        flat, size = [self.flat], [self.size]
         for at in range(0, len(words), 512):
             part = words[at : at + 512]
-            ids = np.array(self.model.encode(" " + " ".join(part), add_special_tokens=False).ids)
+            ids = self.whole([" " + " ".join(part)])[0]
             cut = np.flatnonzero(self.opens[ids])
-            raw, width = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+            n = np.diff(np.append(cut, len(ids)))
             if len(cut) != len(part):  # a word with a space inside can't come here; be safe
-                self.cache.update((w, self._whole(" " + w)) for w in part)
-                continue
-            ends = [*(cut[1:] * width).tolist(), len(raw)]
-            self.cache.update((w, raw[a:b]) for w, a, b in zip(part, (cut * width).tolist(), ends))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        plain = [_odd(t) is None for t in texts]
-        parts = [t.split(" ") for t in texts]
-        known = self.cache
-        self._learn(list({w for p, ok in zip(parts, plain) if ok for w in p[1:] if w not in known}))
-        return [
-            self._whole(p[0]) + b"".join([known[w] for w in p[1:]]) if ok else self._whole(t)
-            for t, p, ok in zip(texts, parts, plain)
-        ]
+                ids, n = self.whole([" " + w for w in part])
+            flat.append(ids)
+            size.append(n)
+        self.strange = np.append(self.strange, np.array([not w or w[0].isspace() for w in words], dtype=bool))
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.flat, self.size = np.concatenate(flat), np.concatenate(size)
+        self.first = np.cumsum(self.size) - self.size
+
+    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each closed by ``end``, and how many each has."""
+        cuts = [t.partition(" ") for t in texts]
+        heads = [c[0] for c in cuts]
+        parts = pc.split_pattern(pa.array([c[2] if c[1] else None for c in cuts], pa.large_string()), " ")
+        many = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = parts.flatten().dictionary_encode()
+        own, at = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
+        if len(self.known) > self.limit:
+            self._forget()
+        self._learn([w for w in own if w not in self.known])
+        number = np.array([*map(self.known.__getitem__, own)], dtype=np.int64)[at]
+        met, ends = np.append(0, np.cumsum(self.strange[number])), np.cumsum(many)
+        odd = met[ends] > met[ends - many]
+        if odd.any():
+            number = number[np.repeat(~odd, many)]
+            many = np.where(odd, 0, many)
+            heads = [t if o else h for t, h, o in zip(texts, heads, odd)]
+        n = self.size[number]
+        by_text = np.append(0, np.cumsum(n))[np.cumsum(many)]
+        head_ids, head_n = self.whole(heads)
+        in_words = np.diff(by_text, prepend=0)
+        total = head_n + in_words + 1
+        begin = np.cumsum(total) - total
+        out = np.full(int(total.sum()), end, dtype=self.kind)
+        out[_spread(begin, head_n)] = head_ids
+        out[_spread(begin + head_n, in_words)] = self.flat[_spread(self.first[number], n)]
+        return out, total
 
 
 @lru_cache(maxsize=1)
@@ -91,7 +123,7 @@ def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def slices(texts: list[str], most: int = 4_000_000) -> Iterator[slice]:
+def slices(texts: list[str], most: int = 6_000_000) -> Iterator[slice]:
     """Runs of texts of about ``most`` characters, so that memory follows neither batch nor text."""
     at = size = 0
     for i, t in enumerate(texts):
@@ -118,21 +150,18 @@ def tokenize(docs: DataFrame, tokenizer: str, queues: list[str | None] | None, d
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, chunk, served = _tokenizer(tokenizer), TaskContext.get().partitionId(), {}
-        end = np.array([END_ID], dtype=words.kind).tobytes()
-        width = len(end)
         for pdf in batches:
             texts = ["" if t is None else t for t in pdf["text"]]
             for part in slices(texts):
-                ids = [x + end for x in words.encode(texts[part])]
+                ids, n = words.encode(texts[part], END_ID)
                 names = [None if s is None else s for s in pdf["source"].iloc[part]]
                 qs = names if number is None else [number[s] for s in names]
-                starts = []
-                for q, x in zip(qs, ids):
+                starts, cuts = [], np.cumsum(n).tolist()
+                for q, m in zip(qs, n.tolist()):
                     starts.append(served.get(q, 0))
-                    served[q] = starts[-1] + len(x) // width
-                yield pd.DataFrame(
-                    {"doc_id": pdf["doc_id"].iloc[part], "chunk": chunk, "queue": qs, "start": starts, "n": [len(x) // width for x in ids], "ids": ids}
-                )
+                    served[q] = starts[-1] + m
+                raw = [ids[a:b].tobytes() for a, b in zip([0, *cuts], cuts)]
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[part], "chunk": chunk, "queue": qs, "start": starts, "n": n, "ids": raw})
 
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"))
     return mapped(picked, run, schema)
@@ -142,25 +171,37 @@ class Rounds:
     """What a queue has been served after each window, from its own total and weight and the curve of all queues.
 
     ``dry``: distinct rounds at which queues run dry, with the tokens and weights of those that do (bounded by the
-    different totals, not by the queues).
+    different totals, not by the queues). ``rest``: tokens of the queues of weight 0, which come when all others are dry,
+    by their shares; here their weight is their total, negative.
     """
 
-    def __init__(self, dry: list[tuple[float, int, float]], window_tokens: int):
+    def __init__(self, dry: list[tuple[float, int, float]], rest: int, window_tokens: int):
         dry = sorted(dry)
         r, n, w = (np.array([x[i] for x in dry], dtype=float) for i in range(3))
-        self.window, self.total = window_tokens, int(sum(x[1] for x in dry))
+        self.window, self.total = window_tokens, int(sum(x[1] for x in dry)) + rest
         self.windows = max(1, -(-self.total // window_tokens))
         gone, live = np.cumsum(n), w.sum() - np.cumsum(w)
         self.rounds, self.at = np.append(0.0, r), np.append(0.0, gone + np.maximum(live, 0) * r)
-        self.at[-1] = self.total
+        self.at[-1], self.last = self.total - rest, float(self.rounds[-1])
+        if rest:
+            self.rounds, self.at = np.append(self.rounds, self.last + 1), np.append(self.at, self.total)
+
+    @classmethod
+    def of(cls, totals: np.ndarray, weights: np.ndarray, window_tokens: int) -> Rounds:
+        first = weights > 0
+        dry = [(n / w, int(n), w) for n, w in zip(totals[first].tolist(), weights[first].tolist())]
+        return cls(dry, int(totals[~first].sum()), window_tokens)
 
     def served(self, total: np.ndarray, weight: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """Tokens of each queue in the windows before ``window``."""
         rounds = np.interp(np.minimum(window * float(self.window), self.total), self.at, self.rounds)
-        now = np.minimum(total, np.floor(weight * rounds * (1 + 1e-15)).astype(np.int64))
+        rounds = np.where(weight > 0, rounds, np.maximum(rounds - self.last, 0))
+        now = np.minimum(total, np.floor(np.abs(weight) * rounds * (1 + 1e-15)).astype(np.int64))
         return np.where(window >= self.windows, total, np.where(window <= 0, 0, now))
 
     def window_of(self, total: np.ndarray, weight: np.ndarray, token: np.ndarray) -> np.ndarray:
-        w = (np.interp(token / weight, self.rounds, self.at) / self.window).astype(np.int64).clip(0, self.windows - 1)
+        rounds = token / np.abs(weight) + np.where(weight > 0, 0, self.last)
+        w = (np.interp(rounds, self.rounds, self.at) / self.window).astype(np.int64).clip(0, self.windows - 1)
         while (high := self.served(total, weight, w) > token).any():
             w -= high
         while (low := self.served(total, weight, w + 1) <= token).any():
@@ -179,21 +220,23 @@ class Rounds:
         return {"run": run, "window": w, "low": low, "high": high}
 
 
-def _pack_many(docs: DataFrame, tokenizer: str, targets: dict[str | None, float] | None, sequence: int, window_sequences: int, doc_id: str, text: str, source: str) -> DataFrame:
+def _pack_many(docs: DataFrame, tokenizer: str, targets: dict[str | None, float] | None, others: float, sequence: int, window_sequences: int, doc_id: str, text: str, source: str) -> DataFrame:
     """``pack`` where queues are too many for one task: a queue's total and weight travel with its rows, and the tokens that
     other queues have before it in a window are summed over a table of queues and windows, which has no more rows than the result."""
     tokens = written(tokenize(docs, tokenizer, None, doc_id, text, source).withColumnRenamed("queue", "source"), "tokens")
     parts = written(tokens.groupBy("source", "chunk").agg(F.sum("n").alias("n")), "token-parts")
     own = parts.groupBy("source").agg(F.sum("n").alias("total"))
-    if targets:
-        want = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "of string, weight double")
-        own = own.join(want, F.col("source").eqNullSafe(F.col("of")), "left").drop("of").fillna(float(min(targets.values())), "weight")
-    else:
+    if targets is None:
         own = own.withColumn("weight", F.col("total").cast("double"))
+    else:
+        want = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "of string, weight double")
+        own = own.join(want, F.col("source").eqNullSafe(F.col("of")), "left").drop("of").fillna(others, "weight")
+        own = own.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight")).otherwise(-F.col("total").cast("double")))
     own = dense_rank_over_all(own, [F.col("source").isNotNull(), F.col("source")], "queue")
     own = written(own.withColumn("queue", (F.col("queue") - 1).cast("int")), "token-queues")
-    curve = own.groupBy((F.col("total") / F.col("weight")).alias("r")).agg(F.sum("total").alias("n"), F.sum("weight").alias("w")).collect()
-    plan = Rounds([tuple(x) for x in curve], sequence * window_sequences)
+    curve = own.where("weight > 0").groupBy((F.col("total") / F.col("weight")).alias("r")).agg(F.sum("total").alias("n"), F.sum("weight").alias("w")).collect()
+    rest = own.where("weight < 0").agg(F.sum("total")).first()[0] or 0
+    plan = Rounds([tuple(x) for x in curve], rest, sequence * window_sequences)
     before = W.Window.partitionBy("source").orderBy("chunk").rowsBetween(W.Window.unboundedPreceding, -1)
     base = parts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     base = base.join(own, base["source"].eqNullSafe(own["source"])).select(base["source"], "chunk", "base", "queue", "total", "weight")
@@ -272,45 +315,21 @@ def _pack_many(docs: DataFrame, tokenizer: str, targets: dict[str | None, float]
 
 
 class Schedule:
-    """What each queue has been served after each window."""
+    """The pieces of all queues' tokens in the stream of windows."""
 
-    def __init__(self, totals: list[int], weights: list[float] | None, window_tokens: int):
-        self.totals = np.array(totals, dtype=np.int64)
-        self.weights = self.totals.astype(float) if weights is None else np.array(weights, dtype=float)
-        self.window, self.total = window_tokens, int(self.totals.sum())
-        self.windows = max(1, -(-self.total // window_tokens))
-        dry = np.unique(np.append(0.0, self.totals / self.weights))
-        self.rounds, self.at = dry, np.array([np.minimum(self.totals, self.weights * r).sum() for r in dry])
-
-    def served(self, queue: np.ndarray, window: np.ndarray) -> np.ndarray:
-        """Tokens of the queue in the windows before ``window``."""
-        rounds = np.interp(np.minimum(window * float(self.window), self.total), self.at, self.rounds)
-        most = self.totals[queue]
-        now = np.minimum(most, np.floor(self.weights[queue] * rounds * (1 + 1e-15)).astype(np.int64))
-        return np.where(window >= self.windows, most, np.where(window <= 0, 0, now))
-
-    def window_of(self, queue: np.ndarray, token: np.ndarray) -> np.ndarray:
-        rounds = token / self.weights[queue]
-        w = (np.interp(rounds, self.rounds, self.at) / self.window).astype(np.int64).clip(0, self.windows - 1)
-        while (high := self.served(queue, w) > token).any():
-            w -= high
-        while (low := self.served(queue, w + 1) <= token).any():
-            w += low
-        return w
+    def __init__(self, totals: list[int], weights: list[float], window_tokens: int):
+        self.totals, self.weights = np.array(totals, dtype=np.int64), np.array(weights, dtype=float)
+        self.plan = Rounds.of(self.totals, self.weights, window_tokens)
 
     def before(self, window: np.ndarray) -> np.ndarray:
-        """All tokens in the windows before ``window``; per queue too, as rows."""
-        return np.stack([self.served(np.full(len(window), q), window) for q in range(len(self.totals))])
+        """Tokens in the windows before ``window``, a row for each queue."""
+        return np.stack([self.plan.served(n, w, window) for n, w in zip(self.totals, self.weights)])
 
     def pieces(self, queue: np.ndarray, start: np.ndarray, n: np.ndarray, sequence: int) -> dict[str, np.ndarray]:
         """The pieces of token runs: of which run, its first token in it, its length, window and place in the stream."""
-        first, last = self.window_of(queue, start), self.window_of(queue, start + n - 1)
-        run = np.repeat(np.arange(len(n)), last - first + 1)
-        step = np.arange(len(run)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1)
-        w, q = first[run] + step, queue[run]
-        low = np.maximum(start[run], self.served(q, w))
-        high = np.minimum(start[run] + n[run], self.served(q, w + 1))
-        run, w, q, low, high = (x[high > low] for x in (run, w, q, low, high))
+        got = self.plan.split(self.totals[queue], self.weights[queue], start, n)
+        run, w, low, high = got["run"], got["window"], got["low"], got["high"]
+        q = queue[run]
         own, at = np.unique(w, return_inverse=True)
         here, after = self.before(own), self.before(own + 1)
         ahead = np.cumsum(after - here, axis=0) - (after - here)
@@ -328,6 +347,7 @@ def pack(
     docs: DataFrame,
     tokenizer: str,
     targets: dict[str | None, float] | None = None,
+    others: float | None = None,
     sequence: int = SEQUENCE,
     window_sequences: int = WINDOW_SEQUENCES,
     doc_id: str = "doc_id",
@@ -337,26 +357,29 @@ def pack(
     """Pieces of every document in packed sequences, with the ids of each piece (``ids``: little-endian uint32).
 
     ``targets``: weight of each source in every window (default: its share of all tokens, with
-    which all queues end together); sources without a weight get the smallest one given.
+    which all queues end together); ``others``: weight of sources that aren't in it (default: the smallest one given).
+    A source of weight 0 comes when all others are dry; a negative weight is an error.
     A null text is empty; an empty text is the end id alone. Null sources are one queue. Beyond
     MAX_QUEUES sources, the queues are a distributed table (``_pack_many``), with the same results.
     Repeated rows are packed each. An empty table gives no rows.
     Columns other than the three named are not read.
     """
+    if targets is not None:
+        others = min(targets.values(), default=1.0) if others is None else others
+        if not all(0 <= w < float("inf") for w in (others, *targets.values())):
+            raise ValueError("weights must be numbers from 0 on")
     named = [r[0] for r in docs.select(F.col(source).cast("string")).distinct().limit(MAX_QUEUES + 1).collect()]
     queues = sorted(named, key=lambda s: (s is not None, s)) if len(named) <= MAX_QUEUES else None
     if queues is None:
-        return _pack_many(docs, tokenizer, targets, sequence, window_sequences, doc_id, text, source)
+        return _pack_many(docs, tokenizer, targets, others, sequence, window_sequences, doc_id, text, source)
     tokens = written(tokenize(docs, tokenizer, queues, doc_id, text, source), "tokens")
-    parts = tokens.groupBy("queue", "chunk").agg(F.sum("n").alias("n"))
+    parts = written(tokens.groupBy("queue", "chunk").agg(F.sum("n").alias("n")), "token-parts")
     before = W.Window.partitionBy("queue").orderBy("chunk").rowsBetween(W.Window.unboundedPreceding, -1)
     base = parts.select("queue", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    sums = {r["queue"]: r["n"] for r in tokens.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES rows at most
+    sums = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES rows at most
     numbers = sorted(sums)
     dense = {q: i for i, q in enumerate(numbers)}
-    weights = None
-    if targets:
-        weights = [targets.get(queues[q], min(targets.values())) for q in numbers]
+    weights = [float(sums[q] if targets is None else targets.get(queues[q], others) or -sums[q]) for q in numbers]
     plan = Schedule([sums[q] for q in numbers], weights, sequence * window_sequences) if sums else None
     schema = T.StructType(
         [tokens.schema["doc_id"]]
@@ -391,17 +414,19 @@ def pack(
                     }
                 )
 
-    return mapped(tokens.join(base, ["queue", "chunk"]), run, schema)
+    return mapped(tokens.join(small(base), ["queue", "chunk"]), run, schema)
 
 
-def packed_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
-    return pack(docs, tokenizer).drop("ids")
+def packed_digest(docs: DataFrame, tokenizer: str, targets: dict[str | None, float] | None = None, others: float | None = None) -> DataFrame:
+    """``pack`` without the ids."""
+    return pack(docs, tokenizer, targets, others).drop("ids")
 
 
 def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, as ``pack`` does, mixed by MIXTURE and OTHERS."""
     import public_tokenizers
 
-    return packed_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), MIXTURE, OTHERS)
 
 
 QUERIES = {"op1_mixture_packing": op1_mixture_packing}
