@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrospark.llm.common import mapped, small, table, written
+from dendrospark.llm.common import clearing, mapped, small, table, written
 
 LENGTH, GRAM = 400, 32
 HOT, BLOCK = 10_000, 46
@@ -446,8 +446,10 @@ def _open_blocks(candidates: DataFrame, length: int) -> DataFrame:
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Texts (t: the first half of their sha256, text) with repeated strings, and their runs (a, b).
 
-    Runs may overlap and touch.
+    Runs may overlap and touch. ``length`` may be from 2 * BLOCK to 4000.
     """
+    if not 2 * BLOCK <= length <= 4000:
+        raise ValueError(f"length must be from {2 * BLOCK} to 4000")
     keyed = docs.select(
         F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("k")
     ).withColumn("t", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
@@ -465,24 +467,37 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ).where(F.size("runs") > 0)
 
 
-def removed(found: DataFrame) -> DataFrame:
-    """Per text of ``repeats``: n_removed, n_spans, kept_sha256 and the text kept, without characters cut in half."""
+def whole_words(raw: bytes, a: int, b: int) -> int:
+    """The words that stand in raw[a:b] from their first byte to their last."""
+    part = raw[a:b]
+    first = a > 0 and not raw[a - 1 : a].isspace() and not part[:1].isspace()
+    last = b < len(raw) and not raw[b : b + 1].isspace() and not part[-1:].isspace()
+    return len(part.split()) - first - last
+
+
+def removed(found: DataFrame, words: int = 0) -> DataFrame:
+    """Per text of ``repeats``: n_removed, n_spans, kept_sha256 and the text kept, without characters cut in half.
+
+    ``words``: runs that hold fewer whole words stay; texts that lose nothing aren't returned.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for t, text, spans in zip(pdf["t"], pdf["text"], pdf["runs"]):
                 raw = text.encode("utf-8", "surrogatepass")
-                kept, gone, n, end = [], 0, 0, -1
+                whole: list[list[int]] = []
                 for a, b in sorted((r["a"], r["b"]) for r in spans):
-                    if a > end:
-                        n += 1
-                        kept.append(raw[max(end, 0) : a])
-                        gone += b - a
-                    elif b > end:
-                        gone += b - end
-                    end = max(end, b)
-                kept.append(raw[max(end, 0) :])
+                    if whole and a <= whole[-1][1]:
+                        whole[-1][1] = max(whole[-1][1], b)
+                    else:
+                        whole.append([a, b])
+                if words:
+                    whole = [x for x in whole if whole_words(raw, *x) >= words]
+                if not whole:
+                    continue
+                n, gone = len(whole), sum(b - a for a, b in whole)
+                kept = [raw[a:b] for a, b in zip([0, *(b for _, b in whole)], [*(a for a, _ in whole), len(raw)])]
                 rest = b"".join(kept)
                 out.append((t, gone, n, hashlib.sha256(rest).hexdigest(), b" ".join(kept).decode("utf-8", "ignore").strip()))
             yield pd.DataFrame(out, columns=["t", "n_removed", "n_spans", "kept_sha256", "kept"])
@@ -493,20 +508,21 @@ def removed(found: DataFrame) -> DataFrame:
 ADDED = ("n_removed", "n_spans", "kept_sha256", "kept")
 
 
-def _made(docs: DataFrame, length: int, added: tuple[str, ...]) -> DataFrame:
+def _made(docs: DataFrame, length: int, added: tuple[str, ...], words: int = 0) -> DataFrame:
     """What is removed and kept of each text that loses something, one row a text."""
-    made = written(removed(repeats(docs, length)).select("t", *added), "removed", "zstd")
+    with clearing(docs.sparkSession):
+        made = written(removed(repeats(docs, length), words).select("t", *added), "removed", "zstd", keep=True)
     once = made.count() == made.select("t").distinct().count()
     return made if once else made.dropDuplicates(["t"])  # repeated rows gave a text more than once
 
 
-def replaced(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def replaced(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
     """``docs`` with the text kept in place of each text that loses something, and ``changed``.
 
-    As ``deduplicated``; texts that stay are not moved, and of the others only what is kept. Clashing columns
+    As ``deduplicated``; runs of fewer than ``words`` whole words stay. Texts that stay are not moved, and of the others only what is kept. Clashing columns
     named t or changed are replaced.
     """
-    made = _made(docs, length, ("kept",))
+    made = _made(docs, length, ("kept",), words)
     rows = docs.drop("t", "changed").withColumn("t", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)))
     ids = small(made.select("t"))
     stay = rows.join(ids, "t", "left_anti").withColumn("changed", F.lit(False))
