@@ -104,10 +104,31 @@ def ship(spark: SparkSession) -> None:
     sc._dendrospark_shipped = True
 
 
+def give_back() -> None:
+    """Free what a worker's allocators hold unused: workers live on while other operators run beside the JVM."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``mapInPandas`` with this package at hand in the workers."""
+    """``mapInPandas`` with this package at hand in the workers, which keep no unused memory."""
     ship(df.sparkSession)
-    return df.mapInPandas(run, schema)
+
+    def lean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInPandas(lean, schema)
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], *keys: str) -> Iterator[pd.DataFrame]:

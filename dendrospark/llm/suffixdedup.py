@@ -32,7 +32,7 @@ from dendrospark.llm.common import clearing, mapped, small, table, written
 LENGTH, GRAM = 400, 32
 HOT, BLOCK = 10_000, 46
 #: Symbols that one suffix array takes at least, and bytes of one round of hashing.
-SORT_SYMBOLS, HASH_BYTES = 1_000_000, 1 << 20
+SORT_SYMBOLS, HASH_BYTES = 1_000_000, 1 << 19
 #: Symbols: 0 between strings, bytes from 1 on, and the core's mark.
 CORE = 257
 
