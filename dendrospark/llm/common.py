@@ -104,6 +104,41 @@ def ship(spark: SparkSession) -> None:
     sc._dendrospark_shipped = True
 
 
+def cuts_of(texts: list, most: int = 6_000_000) -> Iterator[slice]:
+    """Runs of texts of about ``most`` characters, so that memory follows neither batch nor text."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= most:
+            yield slice(at, i + 1)
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
+def slices(texts: list[str], most: int = 6_000_000) -> Iterator[list[str]]:
+    for part in cuts_of(texts, most):
+        yield texts[part]
+
+
+def words_of(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of all texts, the number of each word in turn, and how many words each text has."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    parts = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+    many = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = parts.flatten().dictionary_encode()
+    own, at = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
+    if "" in own:  # of white space at an end
+        none = at == own.index("")
+        ends = np.cumsum(many)
+        gone = np.append(0, np.cumsum(none))
+        many = many - (gone[ends] - gone[ends - many])
+        at = at[~none]
+    return own, at, many
+
+
 def give_back() -> None:
     """Free what a worker's allocators hold unused: workers live on while other operators run beside the JVM."""
     import ctypes

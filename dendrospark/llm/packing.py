@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from dendrospark.llm.common import mapped, small, table, written
+from dendrospark.llm.common import cuts_of, mapped, small, table, written
 from dendrospark.operators.windows import dense_rank_over_all
 
 SEQUENCE, WINDOW_SEQUENCES, MAX_QUEUES, END_ID = 1024, 64, 1024, 0
@@ -123,18 +123,6 @@ def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def slices(texts: list[str], most: int = 6_000_000) -> Iterator[slice]:
-    """Runs of texts of about ``most`` characters, so that memory follows neither batch nor text."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield slice(at, i + 1)
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
-
-
 def tokenize(docs: DataFrame, tokenizer: str, queues: list[str | None] | None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Per document: its queue, its ids (with the end id) and its start in its partition's part of the queue.
 
@@ -152,7 +140,7 @@ def tokenize(docs: DataFrame, tokenizer: str, queues: list[str | None] | None, d
         words, chunk, served = _tokenizer(tokenizer), TaskContext.get().partitionId(), {}
         for pdf in batches:
             texts = ["" if t is None else t for t in pdf["text"]]
-            for part in slices(texts):
+            for part in cuts_of(texts):
                 ids, n = words.encode(texts[part], END_ID)
                 names = [None if s is None else s for s in pdf["source"].iloc[part]]
                 qs = names if number is None else [number[s] for s in names]
@@ -272,7 +260,7 @@ def _pack_many(docs: DataFrame, tokenizer: str, targets: dict[str | None, float]
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            for part in slices([x[::2] for x in whole["ids"]], 2_000_000):
+            for part in cuts_of([x[::2] for x in whole["ids"]], 2_000_000):
                 pdf = whole.iloc[part]
                 n, first = pdf["n"].to_numpy(np.int64), (pdf["start"] + pdf["base"]).to_numpy(np.int64)
                 got = plan.split(pdf["total"].to_numpy(np.int64), pdf["weight"].to_numpy(float), first, n)
@@ -389,7 +377,7 @@ def pack(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            for part in slices([x[::2] for x in whole["ids"]], 2_000_000):
+            for part in cuts_of([x[::2] for x in whole["ids"]], 2_000_000):
                 pdf = whole.iloc[part]
                 q = pdf["queue"].map(dense).to_numpy(np.int64)
                 n = pdf["n"].to_numpy(np.int64)
