@@ -19,16 +19,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from dendrospark.llm.common import fold, mapped, table
+from dendrospark.llm.common import fold, mapped, slices, table, words_of
 from dendrospark.llm.toxicity import flat_features
 
 BUCKETS, AFFIX, GRAM = 1 << 16, 4, 3  # lengths in bytes
-#: Bounds of the training sample: texts of each language, languages, and bytes of a text in it.
-TEXTS, LANGUAGES, SAMPLE_BYTES = 600, 256, 64_000
+#: Bounds of the training sample: texts of each language, and bytes of a text in it. More languages than LANGUAGES are an error.
+TEXTS, LANGUAGES, SAMPLE_BYTES = 600, 1024, 64_000
 SEQUENCE, RUN, STEPS, BATCH, RATE = 64, 16, 240, 128, 0.3
-#: Longer texts are read as sequences of this many words, each with its own start.
-WORDS = 256
+#: Words of a chain whose states are held at once; of longer ones, the forward pass is done again from the last border.
+BLOCK = 4096
 CACHE, UNDETERMINED = 500_000, "und"
 
 _edges = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -85,6 +86,51 @@ def marginals(emit: np.ndarray, start: np.ndarray, moves: np.ndarray, lengths: n
     return gamma, (pair * on[:, :, None, None]).sum(axis=(0, 1))
 
 
+def marginal_sums(chains: list[np.ndarray], sums: np.ndarray, start: np.ndarray, moves: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Of each chain of words (rows of ``sums``, their label scores), the sum of its words' label marginals. Chains aren't cut."""
+    n = np.array([len(c) for c in chains], dtype=np.int64)
+    k = len(start)
+    out = np.zeros((len(chains), k))
+    order = np.argsort(-n, kind="stable")
+    order = order[n[order] > 0]
+    if not len(order):
+        return out
+    n = n[order]
+    flat, first, width = np.concatenate([chains[i] for i in order]), np.cumsum(n) - n, int(n[0])
+    live = len(n) - np.cumsum(np.bincount(n, minlength=width + 1))[: width + 1]  # chains longer than t: the first ones
+    m, begin = np.exp(moves), np.exp(start)
+
+    def scores(t: int) -> np.ndarray:
+        e = sums[flat[first[: live[t]] + t]].astype(np.float64)
+        return np.exp(e - e.max(axis=1, keepdims=True))
+
+    def ahead(before: np.ndarray | None, e: np.ndarray) -> np.ndarray:
+        a = (begin if before is None else before[: len(e)] @ m) * e
+        return a / a.sum(axis=1, keepdims=True)
+
+    lows, borders, alpha = range(0, width, block), [], None
+    for low in lows:
+        borders.append(alpha)
+        for t in range(low, low + block) if low + block < width else ():
+            alpha = ahead(alpha, scores(t))
+    total, beta, after = np.zeros((len(n), k)), np.ones((len(n), k)), None
+    for low, alpha in zip(reversed(lows), reversed(borders)):
+        held = []
+        for t in range(low, min(low + block, width)):
+            e = scores(t)
+            alpha = ahead(alpha, e)
+            held.append((alpha, e))
+        for alpha, e in reversed(held):
+            if after is not None:
+                x = (after * beta[: len(after)]) @ m.T
+                beta[: len(after)] = x / x.sum(axis=1, keepdims=True)
+            g = alpha * beta[: len(alpha)]
+            total[: len(g)] += g / g.sum(axis=1, keepdims=True)
+            after = e
+    out[order] = total
+    return out
+
+
 def train(texts: list[str], langs: list[str], seed: int = 7) -> Field | None:
     """A field for the languages given; None where there are none."""
     rng = np.random.default_rng(seed)
@@ -138,96 +184,75 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Field | None:
 
 
 def fit(docs: DataFrame, learn=None) -> Field | None:
-    """A field from at most TEXTS texts of each language, those whose ids hash lowest; ids are picked before texts move."""
+    """A field from at most TEXTS ids of each language, those that hash lowest; ids are picked before texts move.
+
+    Null ids, languages and texts, and texts of more than SAMPLE_BYTES, aren't learned from; of rows that share id and
+    language, the smallest text is. No rows give no field. More than LANGUAGES languages are an error.
+    """
     rows = docs if learn is None else docs.where(learn)
-    rows = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
-    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(LANGUAGES).collect())
-    picked = None
-    for lang in langs:
-        own = rows.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TEXTS)
-        picked = own if picked is None else picked.unionByName(own)
-    if picked is None:
-        return None
-    ids = docs.sparkSession.createDataFrame([tuple(r) for r in picked.distinct().collect()], picked.schema)
-    got = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).collect()
+    rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).select("doc_id", "lang", "text")
+    known = rows.select("lang").distinct().limit(LANGUAGES + 1).count()
+    if known > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    lowest = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = rows.select("doc_id", "lang").withColumn("_n", F.dense_rank().over(lowest)).where(F.col("_n") <= TEXTS).select("doc_id", "lang").distinct()
+    ids = docs.sparkSession.createDataFrame([tuple(r) for r in picked.collect()], picked.schema)
+    got = rows.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     got = sorted((r["doc_id"], r["lang"], r["text"]) for r in got)
     return train([r[2] for r in got], [r[1] for r in got])
 
 
 def identify(docs: DataFrame, field: Field | None, *keep: str) -> DataFrame:
-    """``keep`` columns, lang_pred and score (the mean marginal of the language) of each row, from the whole text.
+    """``keep`` columns, lang_pred and score (the mean marginal of the language) of each row, from the whole text as one chain.
 
-    ``und`` with score 0 where the text is null or has no letter, or there is no field.
-    Repeated rows get equal results; other columns are not read.
+    ``und`` with score 0 where the text is null or has no letter, or there is no field. Equal means go to the label that sorts first.
+    Repeated rows get equal results; ``keep`` may hold columns called lang_pred or score: the new ones come last. Others are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    schema = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    names = [f"_{i}" for i in range(len(keep))]
+    schema = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.lit("").alias("_lang"), F.lit(0.0).alias("_score")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         field = shared.value
         if field is None:
             for pdf in batches:
-                yield pdf[list(keep)].assign(lang_pred=UNDETERMINED, score=0.0)
+                yield pdf[names].assign(_lang=UNDETERMINED, _score=0.0)
             return
-        k = len(field.labels)
         weights = field.weights.astype(np.float32)
         known: dict[str, int] = {}
-        sums = np.zeros((1 << 12, k), dtype=np.float32)
+        sums = np.zeros((0, len(field.labels)), dtype=np.float32)
 
         def learn(words: list[str]) -> None:
             nonlocal sums
-            need = len(known) + len(words)
-            if need > len(sums):
-                sums = np.concatenate([sums[: len(known)], np.zeros((need * 2 - len(known), k), dtype=np.float32)])
-            found = [features(w) for w in words]
-            n = np.array([len(f) for f in found])
-            flat = np.fromiter((x for f in found for x in f), dtype=np.int64, count=int(n.sum()))
-            at = len(known)
-            known.update(zip(words, range(at, need)))
-            sums[at:need] = 0.0
-            some = np.flatnonzero(n)
+            size, flat = flat_features(words, features)
+            made, some = np.zeros((len(words), weights.shape[1]), dtype=np.float32), np.flatnonzero(size)
             if len(some):
-                sums[at + some] = np.add.reduceat(weights[flat], (np.cumsum(n) - n)[some], axis=0)
+                made[some] = np.add.reduceat(weights[flat], (np.cumsum(size) - size)[some], axis=0)
+            known.update(zip(words, range(len(known), len(known) + len(words))))
+            sums = np.concatenate([sums, made])
 
         for pdf in batches:
-            texts = [t if t is not None and _letter.search(t) else "" for t in pdf["text"]]
-            means = np.zeros((len(texts), k))
-            at = 0
-            while at < len(texts):  # some 200,000 words at a time
-                parts, size, low = [], 0, at
-                while at < len(texts) and size < 200_000:
-                    w = texts[at].split()
-                    parts.append(w)
-                    size += len(w)
-                    at += 1
-                missing = {w for p in parts for w in p if w not in known}
-                if len(known) + len(missing) > CACHE:
+            texts = [t if t is not None and _letter.search(t) else "" for t in pdf["_text"]]
+            means = []
+            for part in slices(texts, 1_500_000):
+                own, at, many = words_of(part)
+                if len(known) > CACHE:
                     known.clear()
-                    missing = {w for p in parts for w in p}
-                learn(list(missing))
-                ids = [np.fromiter((known[w] for w in p), dtype=np.int64, count=len(p)) for p in parts]
-                seqs = [(i, x[a : a + WORDS]) for i, x in enumerate(ids) for a in range(0, len(x), WORDS)]
-                seqs.sort(key=lambda s: len(s[1]))
-                for a in range(0, len(seqs), 512):
-                    batch = seqs[a : a + 512]
-                    n = np.array([len(x) for _, x in batch])
-                    grid = np.zeros((len(batch), n.max()), dtype=np.int64)
-                    for r, (_, x) in enumerate(batch):
-                        grid[r, : len(x)] = x
-                    gamma = marginals(sums[grid].astype(np.float64), field.start, field.moves, n)
-                    gamma *= (np.arange(n.max())[None] < n[:, None])[:, :, None]
-                    np.add.at(means, low + np.array([i for i, _ in batch]), gamma.sum(axis=1))
-            total = means.sum(axis=1)
-            best = means.argmax(axis=1)
+                    sums = sums[:0]
+                learn([w for w in own if w not in known])
+                ids = np.array([*map(known.__getitem__, own)], dtype=np.int64)[at]
+                means.append(marginal_sums(np.split(ids, np.cumsum(many)[:-1]), sums, field.start, field.moves))
+            means = np.concatenate(means)
+            total, best = means.sum(axis=1), means.argmax(axis=1)
             score = np.where(total > 0, means[np.arange(len(means)), best] / np.maximum(total, 1), 0.0)
-            yield pdf[list(keep)].assign(
-                lang_pred=[field.labels[b] if t else UNDETERMINED for b, t in zip(best, texts)], score=np.clip(score, 0, 1)
-            )
+            yield pdf[names].assign(_lang=[field.labels[b] if t else UNDETERMINED for b, t in zip(best, texts)], _score=np.clip(score, 0, 1))
 
-    return mapped(docs.select(*dict.fromkeys([*keep, "text"])), run, schema)
+    picked = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col("text").alias("_text"))
+    return mapped(picked, run, schema).toDF(*keep, "lang_pred", "score")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by a field of the documents outside the held-out third; und for null texts and those without letters."""
     docs = table(spark, sf_dir, "documents")
     field = fit(docs, fold(F.col("doc_id"), 3) != 1)
     return identify(docs, field, "doc_id").select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
