@@ -101,3 +101,59 @@ def annotation_transfer(terms: DataFrame, codes: DataFrame, reliable: DataFrame)
     has = terms.distinct().join(seen, "term").groupBy("item", "code").agg(F.count("*").alias("has"))
     more_codes = has.join(size, "code").where("has = need").select("item", "code").unionByName(codes).distinct()
     return more_terms, more_codes
+
+
+def cluster_sizes(rows: DataFrame, cluster: str) -> DataFrame:
+    """(cluster, n): rows of each."""
+    return rows.groupBy(cluster).agg(F.count("*").alias("n"))
+
+
+def size_summary(sizes: DataFrame, cluster: str) -> DataFrame:
+    """total, and the largest cluster with its size (the smallest name of equal ones); nulls if there is none."""
+    most = F.max(F.struct("n", F.lit(0).alias("_")))["n"]
+    top = sizes.agg(F.sum("n").alias("total"), most.alias("largest"))
+    name = sizes.join(F.broadcast(top), F.col("n") == F.col("largest")).agg(F.min(cluster).alias(cluster))
+    return top.join(F.broadcast(name))  # a row each
+
+
+def length_stats(rows: DataFrame, key: str, length: Column) -> DataFrame:
+    """(key, mean, least, most) of a length."""
+    return rows.groupBy(key).agg(F.round(F.avg(length), 6).alias("mean"), F.min(length).alias("least"), F.max(length).alias("most"))
+
+
+def length_mean(rows: DataFrame, key: str, length: Column) -> DataFrame:
+    """(key, n, mean) of a length."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg(length), 6).alias("mean"))
+
+
+def length_spread(rows: DataFrame, key: str, length: Column) -> DataFrame:
+    """(key, spread): 100 times the longest over the shortest."""
+    return rows.groupBy(key).agg(F.round(100.0 * F.max(length) / F.min(length), 6).alias("spread"))
+
+
+def code_counts(rows: DataFrame, cluster: str, code: str) -> DataFrame:
+    """(cluster, code, n): how often each cluster has each code."""
+    return rows.groupBy(cluster, code).agg(F.count("*").alias("n"))
+
+
+def distinct_families(rows: DataFrame, *family: str) -> DataFrame:
+    return rows.select(*family).distinct()
+
+
+def first_accessions(rows: DataFrame, accession: str, *key: str, order: str | None = None, name: str = "acc") -> DataFrame:
+    """Of each key, the accession that is first by ``order`` (default: the smallest)."""
+    return rows.groupBy(*key).agg(F.min_by(accession, order or accession).alias(name))
+
+
+def row_count(rows: DataFrame, name: str = "n") -> DataFrame:
+    return rows.agg(F.count("*").alias(name))
+
+
+def filter_terms(terms: DataFrame, known: DataFrame, key: str, types: str, deny: list[str]) -> DataFrame:
+    """(key, valid, invalid): how many of a key's terms have a wanted type and are, or aren't, outside ``deny``; unknown terms are dropped.
+
+    ``known`` has term and type; ``types`` is a pattern.
+    """
+    mine = terms.join(known.where(F.col("type").rlike(types)).select("term"), "term")
+    denied = F.col("term").isin(deny)
+    return mine.groupBy(key).agg(F.count(F.when(~denied, 1)).alias("valid"), F.count(F.when(denied, 1)).alias("invalid"))

@@ -9,6 +9,7 @@ tree of one merge at a time.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +17,11 @@ from pyspark.sql.window import Window
 
 from dendrospark.functions import scalar as fn
 from dendrospark.operators.aggregates import symmetrised
-from dendrospark.operators.storage import kept
+from dendrospark.operators.hierarchy import THRESHOLDS
+from dendrospark.operators.storage import Rounds, kept
 
-MOST_ROUNDS = 500
-THRESHOLDS = (1e-100, 1e-90, 1e-80, 1e-70, 1e-60, 1e-50, 1e-40, 1e-30, 1e-20, 1e-10, 1e-05, 100.0)
+#: What a missing score counts as in a geometric mean, and a score of zero.
+MISSING, ZERO = 1e10, 1e-200
 
 #: For each policy: a link's state, how states of links that become one are joined, and its score.
 State = tuple[dict[str, Column], dict[str, Column], Column]
@@ -27,12 +29,14 @@ State = tuple[dict[str, Column], dict[str, Column], Column]
 
 def _states(pseudo: int) -> dict[str, State]:
     one, score = F.lit(1).cast("long"), F.col("score")
-    log = F.log10(F.when(score == 0, F.lit(1e-200)).otherwise(score))
+    log = F.log10(F.when(score == 0, F.lit(ZERO)).otherwise(score))
+    missing = F.col("pairs") - F.col("n")  # member pairs without a score
+    logs = F.col("t") + missing * F.log10(F.lit(MISSING))
     mean = ({"t": score, "n": one}, {"t": F.sum("t"), "n": F.sum("n")}, F.col("t") / F.col("n"))
     return {
         "single": ({"t": score}, {"t": F.min("t")}, F.col("t")),
-        "complete": ({"t": score}, {"t": F.max("t")}, F.col("t")),
-        "geomean": ({"t": log, "n": one}, {"t": F.sum("t"), "n": F.sum("n")}, F.pow(F.lit(10.0), F.col("t") / (F.col("n") + pseudo))),
+        "complete": ({"t": score, "n": one}, {"t": F.max("t"), "n": F.sum("n")}, F.when(missing > 0, F.lit(float("inf"))).otherwise(F.col("t"))),
+        "geomean": ({"t": log, "n": one}, {"t": F.sum("t"), "n": F.sum("n")}, F.pow(F.lit(10.0), logs / (F.col("pairs") + pseudo))),
         "rescored": mean,
         "windowed": mean,
     }
@@ -47,17 +51,15 @@ def mutual_nearest(scores: DataFrame) -> DataFrame:
 
 def greedy_matching(scores: DataFrame) -> DataFrame:
     """What taking pairs in order of (score, id1, id2), each id once, gives - by rounds of pairs that are first at both ends."""
-    left, taken = kept(scores.select("project", "id1", "id2", "score"), "matching"), None
-    for _ in range(MOST_ROUNDS):
-        found = kept(mutual_nearest(left), "matching")
+    left, taken = kept(scores.select("project", "id1", "id2", "score"), "matching"), Rounds(scores.sparkSession, "matched")
+    while True:
+        found = taken.add(mutual_nearest(left))
         if found.isEmpty():
-            return taken if taken is not None else found
-        taken = found if taken is None else taken.unionByName(found)
+            return taken.all()
         used = found.select("project", F.explode(F.array("id1", "id2")).alias("id"))
         for end in ("id1", "id2"):
             left = left.join(used.select("project", F.col("id").alias(end)), ["project", end], "left_anti")
         left = kept(left.select("project", "id1", "id2", "score"), "matching")
-    raise RuntimeError("matching hasn't ended")
 
 
 def window_bundle(scores: DataFrame, base: int = 10) -> DataFrame:
@@ -80,20 +82,31 @@ def relinked(links: DataFrame, merged: DataFrame, join: dict[str, Column]) -> Da
     return pairs.groupBy("project", "id1", "id2").agg(*[c.alias(n) for n, c in join.items()])
 
 
+def cluster_pairs(links: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``links`` with ``pairs``, how many member pairs two clusters have, scored or not."""
+    for end in ("id1", "id2"):
+        links = links.join(sizes.select("project", F.col("id").alias(end), F.col("size").alias(f"_{end}")), ["project", end])
+    return links.withColumn("pairs", F.col("_id1") * F.col("_id2")).drop("_id1", "_id2")
+
+
 def cluster(scores: DataFrame, policy: str = "single", pseudo_count: int = 0, window_base: int = 10, threshold: float | None = None, linkage: State | None = None) -> DataFrame:
     """The merges (project, step, child_a, child_b, parent, score) of every project.
 
-    ``policy``: single, complete, geomean, rescored (mean over member pairs) or windowed (a whole bundle a
-    round, then re-scored). Pairs without a score never link. ``pseudo_count=1`` divides the
+    ``policy``: single, complete, geomean, rescored (mean over scored member pairs) or windowed (a whole bundle a
+    round, then re-scored). Clusters none of whose member pairs has a score never link. Where some have none, complete
+    linkage puts the clusters infinitely far apart, and the geometric mean takes MISSING for each. ``pseudo_count=1`` divides the
     geometric mean's exponent by one more; that linkage needs one merge a round. ``threshold``:
     merges above it are not made. ``linkage``: a caller's own state, joining and score, instead of the policy's.
-    Parents are ``merge_node_1`` and on; children come in the order of their creation.
+    Of equal scores, a round may take another pair first than one merge at a time would.
+    Parents are ``merge_node_1`` and on; children come in the order of their creation. Each round merges something, until nothing is left to merge.
     """
     start, join, value = linkage or _states(pseudo_count)[policy]
     links = kept(scores.select("project", "id1", "id2", *[c.alias(n) for n, c in start.items()]), "links")
-    done = None
-    for at in range(MOST_ROUNDS * (20 if pseudo_count else 1)):
-        now = links.select("project", "id1", "id2", value.alias("score"))
+    sized = linkage is None and policy in ("complete", "geomean")
+    sizes = scores.select("project", F.explode(F.array("id1", "id2")).alias("id")).distinct().withColumn("size", F.lit(1).cast("long"))
+    sizes, done, at = kept(sizes, "sizes") if sized else None, Rounds(scores.sparkSession, "merges"), 0
+    while True:
+        now = (cluster_pairs(links, sizes) if sized else links).select("project", "id1", "id2", value.alias("score"))
         if threshold is not None:
             now = now.where(F.col("score") <= threshold)
         if pseudo_count:
@@ -101,16 +114,26 @@ def cluster(scores: DataFrame, policy: str = "single", pseudo_count: int = 0, wi
             found = low.select("project", "b.id1", "b.id2", "b.score")
         else:
             found = window_bundle(now, window_base) if policy == "windowed" else mutual_nearest(now)
-        found = kept(found.withColumn("round", F.lit(at)), "merges")
+        found = done.add(found.withColumn("round", F.lit(at)))
         if found.isEmpty():
             break
-        done = found if done is None else done.unionByName(found)
-        links = kept(relinked(links, found, join), "links")
-    else:
-        raise RuntimeError(f"not one tree after {at + 1} rounds")
-    if done is None:
-        done = kept(now.limit(0).withColumn("round", F.lit(0)), "merges")
-    return named_merges(done, by_round=policy == "windowed" or bool(pseudo_count))
+        links, at = kept(relinked(links, found, join), "links"), at + 1
+        if sized:
+            moved = sizes.join(found.select("project", F.col("id2").alias("id"), "id1"), ["project", "id"], "left")
+            sizes = kept(moved.groupBy("project", F.coalesce("id1", "id").alias("id")).agg(F.sum("size").alias("size")), "sizes")
+    return named_merges(done.all(), by_round=policy == "windowed" or bool(pseudo_count))
+
+
+def flavours(scores: DataFrame, policies: tuple[str, ...], **kinds: Column) -> DataFrame:
+    """A tree for each kind of score and policy: merges with a project for each of the old ones, and ``kind`` and ``policy`` beside it.
+
+    ``kinds``: name = score as a Column of ``scores``. All kinds of a policy are clustered in the same rounds.
+    """
+    ids = [F.col(c) for c in ("project", "id1", "id2")]
+    each = [scores.select(F.struct(F.col("project").alias("project"), F.lit(n).alias("kind")).alias("project"), *ids[1:], c.alias("score")) for n, c in kinds.items()]
+    every = kept(reduce(DataFrame.unionByName, each), "flavours")
+    trees = [cluster(every, policy).withColumn("policy", F.lit(policy)) for policy in policies]
+    return reduce(DataFrame.unionByName, trees).select("project.kind", "policy", "project.project", "step", "child_a", "child_b", "parent", "score")
 
 
 def named_merges(done: DataFrame, by_round: bool = False) -> DataFrame:
@@ -158,23 +181,19 @@ def cluster_ladder(scores: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS
     """
     start, join, value = _states(0)["rescored"]
     links = kept(scores.select("project", "id1", "id2", *[c.alias(n) for n, c in start.items()]), "links")
-    done, at = None, 0
+    done, at = Rounds(scores.sparkSession, "merges"), 0
     for threshold in thresholds:
-        for _ in range(MOST_ROUNDS):
+        while True:
             now = links.select("project", "id1", "id2", value.alias("score")).where(F.col("score") <= threshold)
             found = greedy_matching(now)
             if most is not None:
                 own = Window.partitionBy("project").orderBy("score", "id1", "id2")
                 found = found.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= most).drop("_n")
-            found = kept(found.withColumn("round", F.lit(at)), "merges")
+            found = done.add(found.withColumn("round", F.lit(at)))
             if found.isEmpty():
                 break
-            at += 1
-            done = found if done is None else done.unionByName(found)
-            links = kept(relinked(links, found, join), "links")
-    if done is None:
-        done = kept(scores.select("project", "id1", "id2", "score").limit(0).withColumn("round", F.lit(0)), "merges")
-    return named_merges(done, by_round=True)
+            links, at = kept(relinked(links, found, join), "links"), at + 1
+    return named_merges(done.all(), by_round=True)
 
 
 def score_state(waiting: DataFrame, new: DataFrame, retired: DataFrame) -> DataFrame:

@@ -6,36 +6,39 @@ A graph is edges (child, parent); a tree is merges (project, step, child_a, chil
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dendrospark.functions import scalar as fn
-from dendrospark.operators.storage import kept
+from dendrospark.operators.storage import Rounds, kept
 from dendrospark.operators.windows import running_cut
 
-DEEPEST = 40  # doublings: paths of up to 2**40 edges
+#: The ladder of thresholds at which trees are built and cut.
+THRESHOLDS = (1e-100, 1e-90, 1e-80, 1e-70, 1e-60, 1e-50, 1e-40, 1e-30, 1e-20, 1e-10, 1e-05, 100.0)
 
 
 def closure(edges: DataFrame, *group: str) -> DataFrame:
     """(group, child, ancestor, least, most): the shortest and longest way up, self left out, for acyclic graphs.
 
-    Ways double in each round, so a graph of depth d takes log2(d) rounds.
+    Ways double in each round, so a graph of depth d takes log2(d) rounds. A cycle is an error.
     """
     now = kept(edges.select(*group, "child", F.col("parent").alias("ancestor"), F.lit(1).alias("least"), F.lit(1).alias("most")).distinct(), "closure")
-    size = now.count()
-    for _ in range(DEEPEST):
+    size = None
+    while True:
         up = now.select(*group, F.col("child").alias("ancestor"), F.col("ancestor").alias("_up"), F.col("least").alias("_l"), F.col("most").alias("_m"))
         longer = now.join(up, [*group, "ancestor"]).select(
             *group, "child", F.col("_up").alias("ancestor"), (F.col("least") + F.col("_l")).alias("least"), (F.col("most") + F.col("_m")).alias("most")
         )
         grown = kept(now.unionByName(longer).groupBy(*group, "child", "ancestor").agg(F.min("least").alias("least"), F.max("most").alias("most")), "closure")
-        state = grown.agg(F.count("*"), F.sum("most"), F.sum("least")).first()
+        state = grown.agg(F.count("*"), F.sum("most"), F.sum("least"), F.max(F.col("child") == F.col("ancestor"))).first()
+        if state[3]:
+            raise ValueError("the graph has a cycle")
         if size == state:
             return grown
         now, size = grown, state
-    raise RuntimeError("the closure doesn't end: is there a cycle?")
 
 
 def descendants(edges: DataFrame, *group: str) -> DataFrame:
@@ -219,33 +222,58 @@ def node_keys(merges: DataFrame) -> DataFrame:
     return ids.select("project", "node", fn.cluster_key(F.col("ids")).alias("key"))
 
 
-def folded_text(merges: DataFrame, leaf: Callable[[Column], Column], join: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
+def cut_ladder(merges: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """(threshold, project, cluster, leaf) of the trees cut at each threshold."""
+    return reduce(DataFrame.unionByName, [cut_tree(merges, t).select(F.lit(t).alias("threshold"), "project", "cluster", "leaf") for t in thresholds])
+
+
+def folded_text(merges: DataFrame, leaf: Callable[[Column], Column], join: Callable[..., Column], *more: str) -> DataFrame:
     """(project, node, text) of each root: texts of children joined upwards, level by level.
 
-    ``leaf`` makes a leaf's text of its id; ``join`` a parent's of both children's texts, its id and score.
-    One row holds a tree's whole text.
+    ``leaf`` makes a leaf's text of its id; ``join`` a parent's of both children's texts, its id, its score and the columns ``more``.
+    One row holds a tree's whole text. Merges that none of the leaves leads up to (a cycle) are an error.
     """
-    todo = kept(merges.select("project", "child_a", "child_b", "parent", "score"), "fold")
+    columns = ["project", "child_a", "child_b", "parent", "score", *more]
+    todo = kept(merges.select(*columns), "fold")
     edges = tree_edges(merges)
     own = edges.join(edges.select("project", F.col("parent").alias("child")), ["project", "child"], "left_anti").select("project", F.col("child").alias("node")).distinct()
     ready = kept(own.withColumn("text", leaf(F.col("node"))), "fold")
-    tops, done = kept(roots(merges), "fold"), None
+    tops, done = kept(roots(merges), "fold"), Rounds(merges.sparkSession, "folded")
     while not todo.isEmpty():
         a, b = (ready.select("project", F.col("node").alias(f"child_{s}"), F.col("text").alias(f"_{s}")) for s in "ab")
         both = todo.join(a, ["project", "child_a"]).join(b, ["project", "child_b"])
-        made = kept(both.select("project", F.col("parent").alias("node"), join(F.col("_a"), F.col("_b"), F.col("parent"), F.col("score")).alias("text")), "fold")
-        whole = made.join(tops, ["project", "node"], "left_semi")
-        done = whole if done is None else done.unionByName(whole)
-        todo = kept(todo.join(made.select("project", F.col("node").alias("parent")), ["project", "parent"], "left_anti").select(*todo.columns), "fold")
+        made = kept(both.select("project", F.col("parent").alias("node"), join(F.col("_a"), F.col("_b"), F.col("parent"), F.col("score"), *map(F.col, more)).alias("text")), "fold")
+        if made.isEmpty():
+            raise ValueError("the merges have a cycle")
+        done.add(made.join(tops, ["project", "node"], "left_semi"))
+        todo = kept(todo.join(made.select("project", F.col("node").alias("parent")), ["project", "parent"], "left_anti").select(*columns), "fold")
         waited = tree_edges(todo).select("project", F.col("child").alias("node")).distinct()
         ready = kept(ready.unionByName(made).join(waited, ["project", "node"], "left_semi").select("project", "node", "text"), "fold")
-    return ready if done is None else done
+    return done.all() if done.n else ready
 
 
 def newick(merges: DataFrame) -> DataFrame:
     return folded_text(merges, lambda n: n.cast("string"), lambda a, b, p, s: F.concat(F.lit("("), a, F.lit(","), b, F.lit(")")))
 
 
+def newick_lengths(merges: DataFrame) -> DataFrame:
+    """As ``(a:l,b:l)cP``: both branches have the length that ``branch_lengths`` gives the merge, and P is the parent's id."""
+
+    def joined(a: Column, b: Column, parent: Column, score: Column, length: Column) -> Column:
+        n = F.concat(F.lit(":"), length.cast("string"))
+        return F.concat(F.lit("("), a, n, F.lit(","), b, n, F.lit(")c"), parent.cast("string"))
+
+    return folded_text(branch_lengths(merges), lambda n: n.cast("string"), joined, "branch_length")
+
+
 def json_tree(merges: DataFrame) -> DataFrame:
-    leaf = lambda n: F.concat(F.lit('{"id":"'), n.cast("string"), F.lit('","children":[]}'))
-    return folded_text(merges, leaf, lambda a, b, p, s: F.concat(F.lit('{"id":"'), p.cast("string"), F.lit('","score":'), F.coalesce(s.cast("string"), F.lit("null")), F.lit(',"children":['), a, F.lit(","), b, F.lit("]}")))
+    """Nested {"id", "name", "score", "data": {"branch_length"}, "children"}; a leaf has neither score nor data. Ids are escaped."""
+    text = lambda n: F.regexp_replace(F.to_json(F.array(n.cast("string"))), r"^\[|\]$", "")
+    number = lambda x: F.coalesce(F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit("null")).otherwise(x.cast("string")), F.lit("null"))
+    named = lambda n: F.concat(F.lit('{"id":'), text(n), F.lit(',"name":'), text(n))
+
+    def joined(a: Column, b: Column, parent: Column, score: Column, length: Column) -> Column:
+        data = F.concat(F.lit(',"score":'), number(score), F.lit(',"data":{"branch_length":'), number(length), F.lit("}"))
+        return F.concat(named(parent), data, F.lit(',"children":['), a, F.lit(","), b, F.lit("]}"))
+
+    return folded_text(branch_lengths(merges), lambda n: F.concat(named(n), F.lit(',"children":[]}')), joined, "branch_length")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -196,3 +198,74 @@ def centre_pairs(ids: DataFrame, order: Column, least: int = 10, share: int = 10
 def first_rows(rows: DataFrame, most: int, *order: Column) -> DataFrame:
     """At most ``most`` rows of each project."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("project").orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+
+
+def with_details(rows: DataFrame, *tables: tuple[DataFrame, str, str]) -> DataFrame:
+    """``rows`` with the columns of tables (table, its key, the rows' key); rows without a match in all of them are dropped."""
+    for other, own, key in tables:
+        rows = rows.join(other, F.col(own) == F.col(key))
+    return rows
+
+
+def first_matches(ids: DataFrame, rows: DataFrame, id_: str, key: str, value: str, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, first): the first ``value`` of the rows whose ``key`` is the id; and the ids that no row has."""
+    both = ids.select(id_).distinct().join(rows, F.col(id_) == F.col(key))
+    found = both.groupBy(id_).agg(F.min_by(value, order or value).alias("first"))
+    return found, ids.select(id_).distinct().join(rows.select(F.col(key).alias(id_)), id_, "left_anti")
+
+
+def id_mapping(rows: DataFrame, wanted: DataFrame, key: str, *tables: tuple[DataFrame, str, str]) -> DataFrame:
+    """Rows whose key is wanted, with the columns of tables as ``with_details`` takes them."""
+    return with_details(rows.join(wanted.select(key), key, "left_semi"), *tables)
+
+
+def joined_terms(accessions: DataFrame, terms: DataFrame, own: str, key: str, id_: str, term: str) -> DataFrame:
+    """Distinct (id, term) of accessions and the terms of each."""
+    return accessions.join(terms, F.col(own) == F.col(key)).select(id_, F.col(term).alias("term")).distinct()
+
+
+def of_annotated(rows: DataFrame, marked: DataFrame, key: str) -> DataFrame:
+    """All rows of the keys that a marked row has."""
+    return rows.join(marked.select(key), key, "left_semi")
+
+
+def cluster_annotations(clusters: DataFrame, annotations: DataFrame, item: str, *columns: str) -> DataFrame:
+    return clusters.join(annotations, item).select(*columns)
+
+
+def in_list(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in the list, each once however often it is listed."""
+    return rows.join(ids.select(key), key, "left_semi")
+
+
+def sorted_scores(scores: DataFrame, low: float, high: float) -> DataFrame:
+    """Scores up to ``low`` and above ``high``, in order."""
+    return scores.where((F.col("score") <= low) | (F.col("score") > high)).orderBy("score", "id1", "id2")
+
+
+def value_sorted(rows: DataFrame, *order: str | Column) -> DataFrame:
+    return rows.orderBy(*order)
+
+
+def row_limit(rows: DataFrame, n: int, *order: str | Column) -> DataFrame:
+    """The first ``n`` rows in order."""
+    return rows.orderBy(*order).limit(n)
+
+
+def shuffled(rows: DataFrame, key: str, seed: int | str) -> DataFrame:
+    """``rows`` with ``place``, a digest of key and seed, in its order: a repeatable shuffle."""
+    return rows.withColumn("place", F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))).orderBy("place")
+
+
+def union_distinct(*tables: DataFrame) -> DataFrame:
+    return union_all(*tables).distinct()
+
+
+def union_all(*tables: DataFrame) -> DataFrame:
+    """The rows of all tables, columns by name."""
+    return reduce(DataFrame.unionByName, tables)
+
+
+def pool_mappings(*mappings: DataFrame) -> DataFrame:
+    """Mappings (columns alike) as one, each pair once."""
+    return union_distinct(*mappings)

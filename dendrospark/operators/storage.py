@@ -5,16 +5,36 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame, name: str = "round") -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir`` and read again: a cut lineage that survives lost executors."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """An unused path in the folder in ``spark.checkpoint.dir``. Where none is set, a temporary one on this machine, if it is the only one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.dendrospark.scratch", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="dendrospark-")
         spark.conf.set("spark.dendrospark.scratch", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str = "round", path: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder (or ``path``) and read again: a cut lineage that survives lost executors."""
+    path = path or new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """Tables of all rounds in one folder, so that what they have in common is one scan, however many they are."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n, self.schema = spark, new_path(spark, name), 0, None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        self.n, self.schema = self.n + 1, df.schema
+        return kept(df, path=f"{self.path}/{self.n}")
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(self.path)

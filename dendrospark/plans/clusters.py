@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dendrospark.functions import scalar as fn
 from dendrospark.operators import cluster as cl
@@ -74,6 +75,21 @@ def _(spark, d):
     return cl.cluster_ladder(supplier_scores(spark, d), (10.0, 100.0, 1000.0, 20000.0))
 
 
+@query("CL-08_standard_ladder")
+def _(spark, d):
+    """The standard thresholds, with differences as powers of ten."""
+    scores = supplier_scores(spark, d).withColumn("score", F.pow(F.lit(10.0), F.col("score") / 100 - 100))
+    return cl.cluster_ladder(scores)
+
+
+@query("GR-23_tree_flavours")
+def _(spark, d):
+    """Trees by difference and by its rank in the nation, single and complete."""
+    s = supplier_scores(spark, d)
+    rank = F.rank().over(Window.partitionBy("project").orderBy("score")).cast("double")
+    return cl.flavours(s.withColumn("rank", rank), ("single", "complete"), difference=F.col("score"), rank=F.col("rank"))
+
+
 @query("CL-09_score_state", f"""WITH {_SC}, r AS (SELECT s_suppkey FROM supplier WHERE s_acctbal < 1000) SELECT * FROM s WHERE id1 NOT IN (FROM r) AND id2 NOT IN (FROM r)""")
 def _(spark, d):
     s = supplier_scores(spark, d)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from dendrospark.functions import scalar as fn
+from dendrospark.operators import aggregates as ag
+from dendrospark.operators.storage import new_path
 from dendrospark.plans.common import Registry, read
 from dendrospark.plans.trees import ORACLE as TREES
 from dendrospark.sources import text as src
@@ -17,11 +16,6 @@ query = Registry()
 TRACE = TREES["SRC-10_trace_sink"]
 
 
-def _path(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="dendrospark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _records(spark, d):
     return read(spark, d, "part").select(
         F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("seq_id"), F.concat(F.lit("size "), F.col("p_size").cast("string"), F.lit(" "), "p_type", F.lit(";")).alias("description"), F.upper(F.regexp_replace("p_name", r"\s", "")).alias("sequence")
@@ -33,21 +27,21 @@ _REC = "SELECT p_brand || '/' || p_partkey AS seq_id, trim('size ' || p_size ||
 
 @query("SRC-01_fasta_scan", _REC)
 def _(spark, d):
-    path = _path(spark, "fasta")
+    path = new_path(spark, "fasta")
     src.write_fasta(_records(spark, d), path)
     return src.read_fasta(spark, path).drop("file")
 
 
 @query("SRC-02_fasta_to_csv", f"SELECT seq_id AS label, sequence FROM ({_REC})")
 def _(spark, d):
-    path = _path(spark, "csv")
+    path = new_path(spark, "csv")
     src.fasta_to_csv(_records(spark, d), path)
     return spark.read.schema("label string, sequence string").option("header", True).csv(path)
 
 
 @query("SRC-03_pfam_normalise", f"SELECT split_part(seq_id, '/', 1) AS acc, split_part(seq_id, '/', 2) AS bounds, replace(regexp_extract(description, '(\\S+)$', 1), ';', '') AS family FROM ({_REC})")
 def _(spark, d):
-    path = _path(spark, "fasta")
+    path = new_path(spark, "fasta")
     src.write_fasta(_records(spark, d), path)
     return src.pfam_rows(src.read_fasta(spark, path)).drop("sequence")
 
@@ -58,7 +52,7 @@ def _(spark, d):
     members = F.array_sort(F.collect_list("s_suppkey"))
     line = lambda k, i: F.concat(i.cast("string"), F.lit("\t100aa, >s"), k.cast("string"), F.lit("... "), F.when(i == 0, F.lit("*")).otherwise(F.lit("at 95%")))
     rows = s.groupBy("s_nationkey").agg(F.concat(F.lit(">Cluster "), F.first("s_nationkey").cast("string"), F.lit("\n"), F.array_join(F.transform(members, line), "\n")).alias("value"))
-    path = _path(spark, "clusters")
+    path = new_path(spark, "clusters")
     rows.select("value").write.text(path)
     return src.read_clusters(spark, path)
 
@@ -66,7 +60,7 @@ def _(spark, d):
 @query("SRC-05_score_scan", "SELECT CAST(l_suppkey AS VARCHAR) AS id1, CAST(l_partkey AS VARCHAR) AS id2, min(l_discount) AS score FROM lineitem GROUP BY ALL")
 def _(spark, d):
     rows = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id1"), F.col("l_partkey").alias("id2")).agg(F.min("l_discount").alias("score"))
-    path = _path(spark, "scores")
+    path = new_path(spark, "scores")
     src.write_scores(rows, path)
     return src.read_scores(spark, path)
 
@@ -74,7 +68,7 @@ def _(spark, d):
 @query("SRC-06_score_sink", "SELECT count(*) AS n, round(sum(score), 4) AS total FROM (SELECT min(l_discount) AS score FROM lineitem GROUP BY l_suppkey, l_partkey)")
 def _(spark, d):
     rows = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id1"), F.col("l_partkey").alias("id2")).agg(F.min("l_discount").alias("score"))
-    path = _path(spark, "scores")
+    path = new_path(spark, "scores")
     src.write_scores(rows, path)
     return src.read_scores(spark, path).agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
 
@@ -84,7 +78,7 @@ def _(spark, d):
     o = read(spark, d, "orders").select((F.col("o_custkey") % 40).alias("q"), F.replace("o_orderpriority", F.lit(" "), F.lit("_")).alias("p"), (F.col("o_orderkey") / F.lit(8.0)).alias("e"))
     line = F.concat_ws(" ", F.lit("1"), "p", F.lit("99.9"), F.col("e").cast("string"), F.lit("0 1 2 3 4-5 6-7 (8)"))
     text = F.concat(F.lit("Query         c"), F.col("q").cast("string"), F.lit("\n\n No Hit Prob\n"), F.array_join("lines", "\n"), F.lit("\n\nNo 1\n"))
-    path = _path(spark, "hits")
+    path = new_path(spark, "hits")
     o.groupBy("q").agg(F.collect_list(line).alias("lines")).select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return src.read_profile_hits(spark, path)
 
@@ -93,7 +87,7 @@ def _(spark, d):
 def _(spark, d):
     s = read(spark, d, "supplier")
     e = F.when(F.col("s_suppkey") % 5 != 0, F.concat(F.lit("Evalue = "), (F.col("s_suppkey") / F.lit(8.0)).cast("string"))).otherwise(F.lit("** not found **"))
-    path = _path(spark, "compass")
+    path = new_path(spark, "compass")
     s.select(F.concat(F.lit("Ali1: s"), F.col("s_suppkey").cast("string"), F.lit(" Ali2: n"), F.col("s_nationkey").cast("string"), F.lit("\n"), e).alias("value")).write.text(path)
     return src.read_compass(spark, path)
 
@@ -102,7 +96,7 @@ def _(spark, d):
 def _(spark, d):
     from dendrospark.plans.trees import part_merges
 
-    path = _path(spark, "traces")
+    path = new_path(spark, "traces")
     tr.write_traces(part_merges(spark, d), path)
     return tr.read_traces(spark, path).drop("project")
 
@@ -110,9 +104,9 @@ def _(spark, d):
 @query("SRC-13_distance_scan", "SELECT least(l_suppkey, l_partkey) AS id1, greatest(l_suppkey, l_partkey) AS id2, min(l_tax) AS dist FROM lineitem GROUP BY ALL")
 def _(spark, d):
     rows = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("id1"), F.col("l_partkey").alias("id2"), F.col("l_tax").alias("score"))
-    path = _path(spark, "distances")
+    path = new_path(spark, "distances")
     src.write_scores(rows, path, sep=" ")
-    got = src.read_scores(spark, path, sep=" ")
+    got = src.read_scores(spark, path)
     a, b = fn.canonical_pair(F.col("id1").cast("long"), F.col("id2").cast("long"))
     return got.groupBy(a.alias("id1"), b.alias("id2")).agg(F.min("score").alias("dist"))
 
@@ -128,7 +122,7 @@ def _(spark, d):
     rows = read(spark, d, "lineitem").where("l_linenumber = 2")
     t = lambda c: F.col(c).cast("string")
     cols = [F.concat(F.lit("s"), t("l_suppkey")), F.concat(F.lit("p"), t("l_partkey")), F.lit(100), F.lit(90), F.col("l_quantity").cast("int"), F.col("l_extendedprice")]
-    path = _path(spark, "hits")
+    path = new_path(spark, "hits")
     rows.select(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).write.csv(path, sep="\t")
     return src.read_hits(spark, path).select("query", "target", "alnlen", "bits")
 
@@ -137,7 +131,7 @@ def _(spark, d):
 def _(spark, d):
     o = read(spark, d, "orders")
     cols = {i: F.lit("x") for i in range(13)} | {0: F.lit("UniProtKB"), 1: F.concat(F.lit("A"), F.col("o_orderkey").cast("string")), 3: F.when(F.col("o_orderstatus") == "P", F.lit("NOT")), 4: F.col("o_orderpriority"), 12: F.col("o_custkey").cast("string")}
-    path = _path(spark, "gaf")
+    path = new_path(spark, "gaf")
     o.select(*[c.alias(f"c{i}") for i, c in cols.items()]).write.csv(path, sep="\t")
     return src.read_gaf(spark, path).select("acc", "qualifier", "term", "taxon")
 
@@ -147,7 +141,7 @@ def _(spark, d):
     rows = read(spark, d, "nation").join(read(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
     old = F.when(F.col("n_nationkey") % 6 == 5, F.lit("<is_obsolete>1</is_obsolete>")).otherwise(F.lit(""))
     x = F.concat(F.lit("<term>\n<id>"), "n_name", F.lit("</id><name>"), "n_name", F.lit("</name><namespace>molecular_function</namespace>"), F.lit("<is_a>"), "r_name", F.lit("</is_a>"), old, F.lit("</term>"))
-    path = _path(spark, "obo")
+    path = new_path(spark, "obo")
     rows.select(x.alias("value")).write.text(path)
     return src.read_obo(spark, path)[1]
 
@@ -157,7 +151,7 @@ def _(spark, d):
     p = read(spark, d, "part")
     cols = [F.lit("x")] * 10
     cols[0], cols[2], cols[9] = F.col("p_partkey").cast("string"), F.col("p_name"), F.when(F.col("p_size") > 3, F.floor(F.col("p_partkey") / 2).cast("string"))
-    path = _path(spark, "taxonomy")
+    path = new_path(spark, "taxonomy")
     p.select(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).write.csv(path, sep="\t")
     return src.read_taxonomy(spark, path)
 
@@ -165,7 +159,7 @@ def _(spark, d):
 @query("SRC-19_keyed_list_scan", "SELECT CAST(user_id AS VARCHAR) AS key, string_agg(DISTINCT event_type, ';' ORDER BY event_type) AS terms FROM events GROUP BY user_id")
 def _(spark, d):
     rows = read(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("key")).agg(F.collect_set("event_type").alias("values"))
-    path = _path(spark, "lists")
+    path = new_path(spark, "lists")
     src.write_keyed_lists(rows, path)
     return src.read_keyed_lists(spark, path).select("key", fn.terms_text(F.col("values")).alias("terms"))
 
@@ -173,15 +167,15 @@ def _(spark, d):
 @query("SRC-21_id_list_scan", "SELECT 'C' || c_custkey AS id FROM customer WHERE c_custkey % 4 <> 0")
 def _(spark, d):
     line = F.concat(F.when(F.col("c_custkey") % 4 == 0, F.lit("# ")).otherwise(F.lit(" ")), F.lit("C"), F.col("c_custkey").cast("string"), F.lit(" more"))
-    path = _path(spark, "ids")
+    path = new_path(spark, "ids")
     read(spark, d, "customer").select(line.alias("value")).write.text(path)
     return src.read_id_list(spark, path)
 
 
 @query("SRC-22_cluster_sink", "SELECT s_nationkey AS project, count(*) AS n FROM supplier GROUP BY ALL")
 def _(spark, d):
-    path = _path(spark, "projects")
-    read(spark, d, "supplier").select(F.col("s_nationkey").alias("project"), "s_suppkey").write.partitionBy("project").parquet(path)
+    path = new_path(spark, "projects")
+    src.write_clusters(read(spark, d, "supplier").select(F.col("s_nationkey").alias("project"), "s_suppkey"), path, "project")
     return spark.read.parquet(path).groupBy("project").agg(F.count("*").alias("n"))
 
 
@@ -192,9 +186,9 @@ def _(spark, d):
 
 @query("SRC-24_compressed_input", "SELECT c_custkey AS k, c_name AS name FROM customer")
 def _(spark, d):
-    path = _path(spark, "gz")
+    path = new_path(spark, "gz")
     read(spark, d, "customer").select("c_custkey", "c_name").write.option("compression", "gzip").csv(path, sep="\t")
-    return spark.read.schema("k long, name string").csv(path, sep="\t")
+    return src.read_rows(spark, path, "k long, name string")
 
 
 @query("SRC-25_node_seqs_sink", f"""WITH RECURSIVE m AS (SELECT p_partkey AS k FROM part WHERE p_partkey >= 1 AND 2 * p_partkey + 1 <= (SELECT max(p_partkey) FROM part)), e AS (SELECT 2 * k AS child, k AS parent FROM m UNION ALL SELECT 2 * k + 1, k FROM m),
@@ -206,7 +200,7 @@ def _(spark, d):
 
     own = leaves(part_merges(spark, d)).where(F.col("node").isin("4", "5", "6"))
     rows = _records(spark, d).withColumn("leaf", fn.id_tail(F.col("seq_id"))).join(own, "leaf").select("node", "seq_id", "description", "sequence")
-    path = _path(spark, "nodes")
+    path = new_path(spark, "nodes")
     src.write_fasta(rows, path, "node")
     got = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
     return got.select(F.col("node").cast("long").alias("node"), F.substring_index(F.substring_index("value", "\n", 1), " ", 1).alias("seq_id"))
@@ -216,9 +210,9 @@ def _(spark, d):
 def _(spark, d):
     n = read(spark, d, "nation")
     kind = F.when(F.col("n_nationkey") % 3 == 0, F.lit("F")).when(F.col("n_nationkey") % 3 == 1, F.lit("P")).otherwise(F.lit("C"))
-    path = _path(spark, "terms")
-    n.select(F.col("n_name"), F.col("n_nationkey"), kind.alias("t")).write.csv(path, sep="\t")
-    return spark.read.schema("term string, name string, type string").csv(path, sep="\t", comment="!").where(F.col("type").rlike("^[FC]$"))
+    path = new_path(spark, "terms")
+    src.write_term_names(n.select(F.col("n_name").alias("term"), F.col("n_nationkey").alias("name"), kind.alias("type")), path)
+    return src.read_term_names(spark, path, "^[FC]$")
 
 
 @query("FN-15_term_type_filter", """SELECT o_custkey, count(*) FILTER (WHERE t IN ('1-URGENT', '2-HIGH')) AS valid, count(*) FILTER (WHERE t = '3-MEDIUM') AS invalid FROM (SELECT DISTINCT o_custkey, o_orderpriority AS t FROM orders) GROUP BY o_custkey HAVING count(*) FILTER (WHERE t IN ('1-URGENT', '2-HIGH', '3-MEDIUM')) > 0""")
@@ -226,9 +220,7 @@ def _(spark, d):
     """Terms of wanted types, split by a deny list; others are dropped."""
     terms = read(spark, d, "orders").select("o_custkey", F.col("o_orderpriority").alias("term")).distinct()
     known = read(spark, d, "orders").select(F.col("o_orderpriority").alias("term")).distinct().withColumn("type", F.when(F.substring("term", 1, 1).isin("1", "2", "3"), F.lit("F")).otherwise(F.lit("P")))
-    mine = terms.join(known.where("type = 'F'"), "term")
-    denied = F.col("term") == "3-MEDIUM"
-    return mine.groupBy("o_custkey").agg(F.count(F.when(~denied, 1)).alias("valid"), F.count(F.when(denied, 1)).alias("invalid"))
+    return ag.filter_terms(terms, known, "o_custkey", "^F$", ["3-MEDIUM"])
 
 
 QUERIES, ORACLE = query.queries, query.sql

@@ -149,7 +149,7 @@ def _(spark, d):
 @query("JN-01_domains_with_sequence", "SELECT l_orderkey, l_linenumber, p_name, s_name FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity < 5")
 def _(spark, d):
     rows = read(spark, d, "lineitem").where("l_quantity < 5")
-    rows = rows.join(read(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).join(read(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    rows = rel.with_details(rows, (read(spark, d, "part"), "p_partkey", "l_partkey"), (read(spark, d, "supplier"), "s_suppkey", "l_suppkey"))
     return rows.select("l_orderkey", "l_linenumber", "p_name", "s_name")
 
 
@@ -167,20 +167,19 @@ def _(spark, d):
 
 @query("JN-04_first_accession", "SELECT c_custkey, min(o_orderkey) AS first FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def _(spark, d):
-    both = read(spark, d, "customer").join(read(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"))
-    return both.groupBy("c_custkey").agg(F.min_by("o_orderkey", "o_orderkey").alias("first"))
+    return rel.first_matches(read(spark, d, "customer"), read(spark, d, "orders"), "c_custkey", "o_custkey", "o_orderkey")[0]
 
 
 @query("JN-05_id_mapping", "SELECT o_orderkey, c_name, n_name, length(c_name) AS len FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def _(spark, d):
     seqs = read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    rows = read(spark, d, "orders").join(seqs, "o_orderkey", "left_semi").join(read(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    return rows.join(read(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select("o_orderkey", "c_name", "n_name", F.length("c_name").cast("long").alias("len"))
+    rows = rel.id_mapping(read(spark, d, "orders"), seqs, "o_orderkey", (read(spark, d, "customer"), "c_custkey", "o_custkey"), (read(spark, d, "nation"), "n_nationkey", "c_nationkey"))
+    return rows.select("o_orderkey", "c_name", "n_name", F.length("c_name").cast("long").alias("len"))
 
 
 @query("JN-06_accession_terms_join", "SELECT DISTINCT o_custkey, l_returnflag AS term FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def _(spark, d):
-    return read(spark, d, "orders").join(read(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", F.col("l_returnflag").alias("term")).distinct()
+    return rel.joined_terms(read(spark, d, "orders"), read(spark, d, "lineitem"), "l_orderkey", "o_orderkey", "o_custkey", "l_returnflag")
 
 
 @query("JN-07_all_pairs", "SELECT a.s_nationkey AS project, a.s_suppkey AS id1, b.s_suppkey AS id2 FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <= b.s_suppkey")
@@ -246,18 +245,18 @@ def _(spark, d):
 @query("JN-16_annotate_proteins", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 40 = 1)")
 def _(spark, d):
     rows = read(spark, d, "lineitem")
-    return rows.join(rows.where("l_partkey % 40 = 1").select("l_orderkey"), "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber")
+    return rel.of_annotated(rows, rows.where("l_partkey % 40 = 1"), "l_orderkey").select("l_orderkey", "l_linenumber")
 
 
 @query("JN-17_cluster_ec", "SELECT source, d.doc_id, quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id")
 def _(spark, d):
-    return read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select("source", "doc_id", "quality")
+    return rel.cluster_annotations(read(spark, d, "documents"), read(spark, d, "labels"), "doc_id", "source", "doc_id", "quality")
 
 
 @query("JN-18_in_list_lookup", "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def _(spark, d):
     ids = read(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
-    return read(spark, d, "part").join(ids, "p_partkey", "left_semi").select("p_partkey", "p_name")
+    return rel.in_list(read(spark, d, "part"), ids, "p_partkey").select("p_partkey", "p_name")
 
 
 # aggregations -------------------------------------------------------------------------------
@@ -290,7 +289,7 @@ def _(spark, d):
 
 @query("AG-05_cluster_sizes", "SELECT source, count(*) AS n FROM documents GROUP BY source")
 def _(spark, d):
-    return read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    return ag.cluster_sizes(read(spark, d, "documents"), "source")
 
 
 _MDA = "c AS (SELECT conv_id, string_agg(role, '-' ORDER BY turn, role) AS mda, count(*) AS domains FROM conversations GROUP BY conv_id)"
@@ -306,12 +305,12 @@ def _(spark, d):
 @query("AG-07_domain_length_stats", "SELECT role, round(avg(length(text)), 6) AS mean, min(length(text)) AS least, max(length(text)) AS most FROM conversations GROUP BY role")
 def _(spark, d):
     n = F.length("text").cast("long")
-    return read(spark, d, "conversations").groupBy("role").agg(F.round(F.avg(n), 6).alias("mean"), F.min(n).alias("least"), F.max(n).alias("most"))
+    return ag.length_stats(read(spark, d, "conversations"), "role", n)
 
 
 @query("AG-08_ec_counts", "SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL")
 def _(spark, d):
-    return read(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return ag.code_counts(read(spark, d, "documents"), "source", "lang")
 
 
 @query("AG-09_term_counts", "SELECT event_type AS term, count(DISTINCT user_id) AS n FROM events GROUP BY event_type")
@@ -401,12 +400,12 @@ def _(spark, d):
 
 @query("AG-21_distinct_families", "SELECT DISTINCT p_brand, p_type FROM part WHERE p_size > 20")
 def _(spark, d):
-    return read(spark, d, "part").where("p_size > 20").select("p_brand", "p_type").distinct()
+    return ag.distinct_families(read(spark, d, "part").where("p_size > 20"), "p_brand", "p_type")
 
 
 @query("AG-22_first_accession_per_domain", "SELECT l_partkey, l_suppkey, min(l_orderkey) AS acc FROM lineitem GROUP BY ALL")
 def _(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_orderkey").alias("acc"))
+    return ag.first_accessions(read(spark, d, "lineitem"), "l_orderkey", "l_partkey", "l_suppkey")
 
 
 @query("AG-23_annotation_load", """WITH t AS (SELECT DISTINCT c_custkey AS key, c_mktsegment, n_name AS term FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_name NOT LIKE '%1'),
@@ -434,12 +433,12 @@ def _(spark, d):
 
 @query("AG-25_cluster_length_mean", "SELECT source, count(*) AS n, round(avg(length(text)), 6) AS mean FROM documents GROUP BY source")
 def _(spark, d):
-    return read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg(F.length("text")), 6).alias("mean"))
+    return ag.length_mean(read(spark, d, "documents"), "source", F.length("text"))
 
 
 @query("AG-26_domain_count", "SELECT count(*) AS n FROM conversations")
 def _(spark, d):
-    return read(spark, d, "conversations").agg(F.count("*").alias("n"))
+    return ag.row_count(read(spark, d, "conversations"))
 
 
 # windows ------------------------------------------------------------------------------------
@@ -480,8 +479,7 @@ def _(spark, d):
 
 @query("SO-01_sort_scores", f"WITH {_SC} SELECT * FROM s WHERE score <= 100 UNION ALL SELECT * FROM s WHERE score > 5000")
 def _(spark, d):
-    s = _scores(spark, d)
-    return s.where("score <= 100").unionByName(s.where("score > 5000")).orderBy("score", "id1", "id2")
+    return rel.sorted_scores(_scores(spark, d), 100, 5000)
 
 
 @query("SO-02_natural_sort", "SELECT p_brand, string_agg('b' || p_partkey, ',' ORDER BY p_partkey) AS ids FROM part GROUP BY p_brand")
@@ -492,7 +490,7 @@ def _(spark, d):
 
 @query("SO-03_row_limit", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 500")
 def _(spark, d):
-    return read(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(500).select("o_orderkey")
+    return rel.row_limit(read(spark, d, "orders"), 500, F.desc("o_totalprice"), "o_orderkey").select("o_orderkey")
 
 
 @query("SO-04_sample_pairs", f"WITH {_SC} SELECT id1, id2 FROM s ORDER BY md5(id1 || ':' || id2), id1, id2 LIMIT (SELECT greatest(10, count(*) // 10) FROM s)")
@@ -511,8 +509,7 @@ def _(spark, d):
 
 @query("SO-06_shuffle", "SELECT c_custkey, md5(c_custkey::VARCHAR || '7') AS place FROM customer")
 def _(spark, d):
-    place = F.md5(F.concat(F.col("c_custkey").cast("string"), F.lit("7")).cast("binary"))
-    return read(spark, d, "customer").select("c_custkey", place.alias("place")).orderBy("place")
+    return rel.shuffled(read(spark, d, "customer").select("c_custkey"), "c_custkey", 7)
 
 
 @query("SO-07_merge_cap", f"WITH {_SC} SELECT project, id1, id2, score FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY score, id1, id2) AS r FROM s) WHERE r <= 3")
@@ -522,7 +519,7 @@ def _(spark, d):
 
 @query("SO-08_value_sorted", "SELECT c_custkey, c_acctbal FROM customer")
 def _(spark, d):
-    return read(spark, d, "customer").select("c_custkey", "c_acctbal").orderBy("c_acctbal", "c_custkey")
+    return rel.value_sorted(read(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey")
 
 
 # sets ---------------------------------------------------------------------------------------
@@ -531,12 +528,12 @@ def _(spark, d):
 @query("ST-01_union_distinct", "SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A' UNION SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'F'")
 def _(spark, d):
     rows = read(spark, d, "lineitem")
-    return rows.where("l_returnflag = 'A'").select("l_partkey", "l_suppkey").union(rows.where("l_linestatus = 'F'").select("l_partkey", "l_suppkey")).distinct()
+    return rel.union_distinct(*[rows.where(x).select("l_partkey", "l_suppkey") for x in ("l_returnflag = 'A'", "l_linestatus = 'F'")])
 
 
 @query("ST-02_union_all", "SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey FROM supplier")
 def _(spark, d):
-    return read(spark, d, "customer").select(F.col("c_custkey").alias("k")).unionByName(read(spark, d, "supplier").select(F.col("s_suppkey").alias("k")))
+    return rel.union_all(read(spark, d, "customer").select(F.col("c_custkey").alias("k")), read(spark, d, "supplier").select(F.col("s_suppkey").alias("k")))
 
 
 @query("ST-03_override_union", "SELECT s_suppkey AS k, s_name AS name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
@@ -554,7 +551,7 @@ def _(spark, d):
 @query("ST-05_pool_mappings", "SELECT n, count(*) AS size FROM (SELECT c_nationkey AS n, c_custkey AS k FROM customer UNION SELECT s_nationkey, s_suppkey FROM supplier) GROUP BY n")
 def _(spark, d):
     a = read(spark, d, "customer").select(F.col("c_nationkey").alias("n"), F.col("c_custkey").alias("k"))
-    return a.unionByName(read(spark, d, "supplier").select(F.col("s_nationkey").alias("n"), F.col("s_suppkey").alias("k"))).distinct().groupBy("n").agg(F.count("*").alias("size"))
+    return rel.pool_mappings(a, read(spark, d, "supplier").select(F.col("s_nationkey").alias("n"), F.col("s_suppkey").alias("k"))).groupBy("n").agg(F.count("*").alias("size"))
 
 
 QUERIES, ORACLE = query.queries, query.sql

@@ -253,8 +253,10 @@ def _(spark, d):
 
 @query("FN-30_length_spread", "SELECT p_brand, round(100.0 * max(length(p_name)) / min(length(p_name)), 6) AS spread FROM part GROUP BY p_brand")
 def _(spark, d):
+    from dendrospark.operators.aggregates import length_spread
+
     n = F.length("p_name")
-    return read(spark, d, "part").groupBy("p_brand").agg(F.round(100.0 * F.max(n) / F.min(n), 6).alias("spread"))
+    return length_spread(read(spark, d, "part"), "p_brand", n)
 
 
 QUERIES, ORACLE = query.queries, query.sql

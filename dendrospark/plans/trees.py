@@ -202,6 +202,11 @@ def _(spark, d):
     return h.cut_tree(part_merges(spark, d), 0.005).select("cluster", "leaf")
 
 
+@query("GR-21_cut_ladder")
+def _(spark, d):
+    return h.cut_ladder(part_merges(spark, d)).select("threshold", "cluster", "leaf")
+
+
 @query("GR-22_tree_depths", f"WITH {_MUP} SELECT child AS node, max(n) AS depth FROM up GROUP BY child UNION ALL SELECT '1', 0")
 def _(spark, d):
     return h.depths(part_merges(spark, d)).select("node", "depth")

@@ -13,12 +13,24 @@ def _stem() -> Column:
     return F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1)
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """file, seq_id (the header's first word), description, sequence (its lines joined)."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "").withColumn("file", _stem())
-    head = F.substring_index("value", "\n", 1)
-    body = F.regexp_replace(F.expr("substring(value, length(substring_index(value, '\n', 1)) + 1)"), r"\s", "")
-    return rows.select("file", F.substring_index(head, " ", 1).alias("seq_id"), F.trim(F.expr("substring(substring_index(value, '\n', 1), length(substring_index(substring_index(value, '\n', 1), ' ', 1)) + 1)")).alias("description"), body.alias("sequence"))
+def read_fasta(spark: SparkSession, path: str, order: bool = False) -> DataFrame:
+    """file, seq_id (the header's first word), description, sequence (its lines joined). A record begins with ``>`` at a line's start.
+
+    ``order``: a column ``at`` too, by which the records of a file sort as they stand in it.
+    """
+    rows = spark.read.option("lineSep", "\n>").text(path)
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("n"))
+    rows = rows.select(F.regexp_replace("value", r"^\s*>", "").alias("value"), _stem().alias("file"), *[at.alias("at")] * order).where(F.trim("value") != "")
+    head = F.regexp_replace(F.regexp_extract("value", r"^([^\r\n]*)", 1), r"\s+$", "")
+    body = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "")
+    seq_id = F.regexp_extract(head, r"^(\S*)", 1)
+    return rows.select("file", seq_id.alias("seq_id"), F.regexp_replace(head, r"^\S*\s*", "").alias("description"), body.alias("sequence"), *["at"] * order)
+
+
+def last_records(records: DataFrame) -> DataFrame:
+    """Of records with equal seq_id (read with ``order``), the last."""
+    own = F.max_by(F.struct("file", "description", "sequence"), "at").alias("r")
+    return records.groupBy("seq_id").agg(own).select("r.file", "seq_id", "r.description", "r.sequence")
 
 
 def write_fasta(rows: DataFrame, path: str, *partition: str) -> None:
@@ -49,9 +61,23 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
 SCORES = T.StructType([T.StructField("id1", T.StringType()), T.StructField("id2", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
-def read_scores(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """Triples; a line that isn't one is an error. (Distances are the same with ``sep=' '``.)"""
-    return spark.read.option("mode", "FAILFAST").schema(SCORES).csv(path, sep=sep)
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """Triples apart by white space of any kind; a line that isn't one is an error, and so is an empty or missing file."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    if names := [str(f.getPath()) for f in found if not f.isDirectory() and f.getLen() == 0 and f.getPath().getName()[0] not in "_."]:
+        raise ValueError(f"no scores in {names}")
+    c = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+    number = F.try_element_at(c, F.lit(3)).try_cast("double")
+    good = (F.size(c) == 3) & number.isNotNull()
+    wrong = F.raise_error(F.concat(F.lit("not a score: "), F.col("value")))
+    return spark.read.text(path).select(F.when(good, c[0]).otherwise(wrong.cast("string")).alias("id1"), c[1].alias("id2"), F.when(good, number).otherwise(wrong.cast("double")).alias("score"))
+
+
+def missing_scores(pairs: DataFrame, scores: DataFrame) -> DataFrame:
+    """The expected pairs (id1, id2) that have no score, in either order."""
+    have = scores.select(F.least("id1", "id2").alias("_a"), F.greatest("id1", "id2").alias("_b"))
+    return pairs.join(have, (F.least("id1", "id2") == F.col("_a")) & (F.greatest("id1", "id2") == F.col("_b")), "left_anti")
 
 
 def write_scores(scores: DataFrame, path: str, sep: str = "\t") -> None:
@@ -148,3 +174,22 @@ def ec_counts_json(counts: DataFrame, cluster: str, ec: str) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct(fn.natural_key(F.col(ec)).alias("k"), F.col("n"))))
     entries = F.map_from_entries(F.transform(parts, lambda p: F.struct(p["k"]["name"], p["n"])))
     return counts.groupBy(cluster).agg(F.to_json(F.struct(F.first(cluster).alias("cluster_name"), entries.alias("ec_codes"))).alias("json"))
+
+
+def write_clusters(rows: DataFrame, path: str, key: str, mode: str = "errorifexists", kind: str = "parquet") -> None:
+    """A folder for each value of ``key``; ``mode``: append, overwrite or errorifexists."""
+    rows.write.partitionBy(key).mode(mode).format(kind).save(path)
+
+
+def read_rows(spark: SparkSession, path: str, schema: str, sep: str = "\t") -> DataFrame:
+    """Separated rows of plain or compressed files (by their names' endings)."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").csv(path, sep=sep)
+
+
+def write_term_names(terms: DataFrame, path: str) -> None:
+    terms.select("term", "name", "type").write.csv(path, sep="\t")
+
+
+def read_term_names(spark: SparkSession, path: str, types: str = ".") -> DataFrame:
+    """term, name, type of the terms whose type matches ``types``; ``!`` begins a comment."""
+    return spark.read.schema("term string, name string, type string").csv(path, sep="\t", comment="!").where(F.col("type").rlike(types))
