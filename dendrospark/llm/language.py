@@ -29,7 +29,7 @@ BUCKETS, AFFIX, GRAM = 1 << 16, 4, 3  # lengths in bytes
 TEXTS, LANGUAGES, SAMPLE_BYTES = 600, 1024, 64_000
 SEQUENCE, RUN, STEPS, BATCH, RATE = 64, 16, 240, 128, 0.3
 #: Words of a chain whose states are held at once; of longer ones, the forward pass is done again from the last border.
-BLOCK = 4096
+BLOCK = 1 << 15
 CACHE, UNDETERMINED = 500_000, "und"
 
 _edges = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -234,7 +234,7 @@ def identify(docs: DataFrame, field: Field | None, *keep: str) -> DataFrame:
         for pdf in batches:
             texts = [t if t is not None and _letter.search(t) else "" for t in pdf["_text"]]
             means = []
-            for part in slices(texts, 1_500_000):
+            for part in slices(texts):
                 own, at, many = words_of(part)
                 if len(known) > CACHE:
                     known.clear()
