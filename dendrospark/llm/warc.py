@@ -1,10 +1,10 @@
 """WARC archives with revisit resolution (operator 9).
 
-Headers are shuffled by payload digest to find the record that keeps the
+Headers (ids and digests, no payloads) are shuffled by payload digest to find the record that keeps the
 payload; the others become revisits that point to it. Archives are written by
 Spark's text writer - a record's closing blank lines are the line separator -
-so they go to any store that Spark reaches, gzipped. Reading parses whole
-files by Content-Length and joins revisits to the responses they refer to.
+so they go to any store that Spark reaches, gzipped, each file of bounded size. Reading parses
+files as streams by Content-Length and joins revisits to the responses they refer to.
 """
 
 from __future__ import annotations
@@ -12,13 +12,15 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrospark.llm.common import mapped, scratch, table, written
+from dendrospark.llm.common import mapped, scratch, small, table, written
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -54,9 +56,10 @@ def resolve(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = records.select("page_id", "url", payload.alias("payload")).withColumns(
         {"digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")}
     )
-    largest = rows.groupBy("digest").agg(F.max("page_id").alias("largest"))
+    largest = rows.select("page_id", "digest").groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1")
+    largest = small(written(largest.select("digest", "largest"), "digests-met-again"))
     revisits = (F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("largest"))
-    return rows.join(largest, "digest").withColumn("original", F.when(revisits, F.col("largest"))).drop("largest")
+    return rows.join(largest, "digest", "left").withColumn("original", F.when(revisits, F.col("largest"))).drop("largest")
 
 
 def as_warc(resolved: DataFrame) -> DataFrame:
@@ -90,21 +93,28 @@ def as_warc(resolved: DataFrame) -> DataFrame:
     return resolved.select(F.concat(head, block).alias("value"))
 
 
-def write_warc(resolved: DataFrame, path: str, records_a_file: int = 20_000) -> None:
+#: Bytes that a file may have before compression, and records.
+FILE_BYTES, FILE_RECORDS = 1 << 30, 20_000
+
+
+def write_warc(resolved: DataFrame, path: str, longest: int | None = None) -> None:
+    """Archives under ``path``. ``longest``: bytes of the longest payload, if known; by it files hold so many records that none exceeds FILE_BYTES."""
+    if longest is None:
+        longest = resolved.agg(F.max("payload_bytes")).first()[0] or 0
+    records_a_file = min(FILE_RECORDS, max(1, FILE_BYTES // (longest + 10_000)))
     as_warc(resolved).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_a_file).option("compression", "gzip").text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record."""
-    at = 0
-    while (start := data.find(b"WARC/1.", at)) >= 0:
-        end = data.index(b"\r\n\r\n", start)
+def parse(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record, one record in memory at a time."""
+    while line := stream.readline():
+        if not line.startswith(b"WARC/1."):
+            continue  # the blank lines that close a record
         fields = {}
-        for line in data[start:end].decode().split(CRLF)[1:]:
-            name, _, value = line.partition(":")
+        while line := stream.readline().rstrip(b"\r\n"):
+            name, _, value = line.decode().partition(":")
             fields[name.strip().lower()] = value.strip()
-        at = end + 4 + int(fields["content-length"])
-        yield fields, data[end + 4 : at]
+        yield fields, stream.read(int(fields["content-length"]))
 
 
 HEADERS = (
@@ -120,7 +130,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             for content in pdf["content"]:
                 rows = []
-                for h, block in parse(gzip.decompress(content)):
+                for h, block in parse(gzip.GzipFile(fileobj=io.BytesIO(content))):
                     http, _, body = block.partition(b"\r\n\r\n")
                     told = [x.partition(b":")[2] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
                     page = h.get("x-page-id")
@@ -167,8 +177,9 @@ def resolved_headers(headers: DataFrame) -> DataFrame:
 
 
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "warc")
-    write_warc(resolve(table(spark, sf_dir, "pages")), path)
+    """Every page written to archives and read back; a null html is the empty payload."""
+    path, pages = scratch(spark, "warc"), table(spark, sf_dir, "pages")
+    write_warc(resolve(pages), path, pages.agg(F.max(F.octet_length("html"))).first()[0] or 0)
     return resolved_headers(written(read_warc(spark, path), "warc-headers")).drop("url")
 
 
