@@ -86,12 +86,18 @@ def contamination(
     n_tokens = tokens.count()
 
     def occurrences(picked: DataFrame) -> DataFrame:
-        """Document places whose shingle is among ``picked`` (token, k, ...)."""
+        """Document places whose shingle is among ``picked`` (token, k, ...), with the document's words ``w`` from place ``low`` on.
+
+        Where both sides are shuffled, these are only the words that a window over the place can hold.
+        """
         at = base.select("h1", "h2", "n_words", _words("joined").alias("w"))
         out = None
         for k in sorted(lengths):
             places = at.where(F.col("n_words") >= k).select("*", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("p"))
-            places = places.withColumn("token", _shingle("w", F.col("p"), k))
+            places = places.withColumn("token", _shingle("w", F.col("p"), k)).withColumn("low", F.lit(0))
+            if n_tokens > BROADCAST_ROWS:
+                places = places.withColumn("low", F.greatest(F.lit(0), F.col("p") - (window - 1)))
+                places = places.withColumn("w", F.slice("w", F.col("low") + 1, 2 * window - 1))
             got = places.join(_small(picked.where(F.col("k") == k).drop("k"), n_tokens), "token")
             out = got if out is None else out.unionByName(got)
         return out
@@ -116,7 +122,7 @@ def contamination(
     hits = (
         occurrences(prefix)
         .where(inside)
-        .where(F.slice("w", start + 1, F.col("m")) == F.col("win"))
+        .where(F.slice("w", start - F.col("low") + 1, F.col("m")) == F.col("win"))
         .select("h1", "h2", start.alias("s"), (start + F.col("m")).alias("e"), "win")
         .distinct()
     )

@@ -231,7 +231,9 @@ def test_top_k(spark):
 # 6 ------------------------------------------------------------------------------------------
 
 
-def test_contamination(spark, docs, texts):
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_contamination(spark, docs, texts, monkeypatch, rows):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
     items = [("a", " ".join(PASSAGES[0].split()[5:30])), ("b", "IDLE, words"), ("c", None), ("d", "..."), ("e", " ".join(["ab"] * 12)), ("a", PASSAGES[1][:90]), ("f", "a")]
     table = spark.createDataFrame(items, "item_id string, text string")
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
@@ -286,10 +288,11 @@ def test_forward_is_the_sum_over_paths():
 # 9, 10 --------------------------------------------------------------------------------------
 
 
-def test_warc(spark):
+def test_warc(spark, monkeypatch):
     rows = [(1, "u", "x"), (2, None, "x"), (3, "a\r\nb", None), (4, "u", ""), (None, "u", "x"), (5, "u", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n"), (5, "u", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n"), (None, "u", "é" * 5000)]
     table = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, digest string")
     path = scratch(spark, "warc")
+    monkeypatch.setattr(warc, "FILE_BYTES", 30_000)
     warc.write_warc(warc.resolve(table), path)
     got = [tuple(r)[:1] + tuple(r)[2:] for r in warc.resolved_headers(warc.read_warc(spark, path)).collect()]
     want = []
