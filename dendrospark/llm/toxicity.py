@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrospark.llm.common import fold, mapped, slices, table, words_of
+from dendrospark.llm.common import fold, give_back, mapped, slices, table, words_of
 
 BUCKETS, WIDTH, SHORTEST, LONGEST = 1 << 17, 8, 3, 6  # n-gram lengths in bytes
 #: Bounds of the training sample: rows of each label, and bytes of a text that may be in it.
@@ -224,7 +224,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> tupl
     rows = sorted(map(tuple, sample(docs, labels, "toxic", SAMPLE).collect()))
     texts, marks = [r[1] for r in rows], [int(r[2]) for r in rows]
     del rows
-    return train(texts, marks)
+    model = train(texts, marks)
+    del texts
+    give_back()
+    return model
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], *keep: str) -> DataFrame:
