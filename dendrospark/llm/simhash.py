@@ -11,17 +11,18 @@ edges, not their square. Components are found by rounds of joins.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrospark.llm.common import mapped, table, written
+from dendrospark.llm.common import mapped, small, table, whole_groups, written
 
 WORDS, DISTANCE, BLOCKS = 4, 4, 6
-#: A key with more fingerprints than this is cut by further blocks of the other bits.
+#: A key with more fingerprints than this is cut by further blocks of the other bits before its rows are dealt to tasks.
 KEY_ROWS = 20_000
 
 
@@ -77,67 +78,59 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _keyed_forest(fps: np.ndarray, free: list[int], distance: int) -> list[tuple[int, int]]:
-    """The forest of one key's fingerprints, which agree outside the bits ``free``."""
-    if len(fps) <= KEY_ROWS or len(free) < 12:
-        return forest(fps, distance)
-    edges = []
-    for chosen in combinations(_cuts(free, BLOCKS), BLOCKS - distance):
-        own = [b for c in chosen for b in c]
-        mask = np.uint64(sum(1 << (63 - b) for b in own))
-        rest = [b for b in free if b not in own]
-        order = np.argsort(fps & mask, kind="stable")
-        keys = (fps & mask)[order]
-        for part in np.split(fps[order], np.flatnonzero(np.diff(keys)) + 1):
-            if len(part) > 1:
-                edges += _keyed_forest(part, rest, distance)
-    return edges
+def _long(bits: list[int]) -> int:
+    """The mask of bits (0 is the highest) as a signed long."""
+    m = sum(1 << (63 - b) for b in bits)
+    return m - (1 << 64) if m >= 1 << 63 else m
+
+
+def _masks(fixed: list[int], distance: int, blocks: int) -> list[list[int]]:
+    """What keys of fingerprints that agree in the bits ``fixed`` hold fixed at the next level: those bits and some blocks of the others."""
+    free = [b for b in range(64) if b not in set(fixed)]
+    return [sorted([*fixed, *sum(chosen, [])]) for chosen in combinations(_cuts(free, blocks), blocks - distance)]
+
 
+def _keyed(rows: DataFrame, masks: Column) -> DataFrame:
+    """``rows`` (fp) once for each of the masks: the mask m and the bits k that it keeps."""
+    return rows.select("fp", F.explode(masks).alias("m")).withColumn("k", F.col("fp").bitwiseAND(F.col("m")))
 
-def links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that join all that are within ``distance``, directly or in steps."""
-    cuts = _cuts(list(range(64)), blocks)
-    choices = list(combinations(range(blocks), blocks - distance))
-    masks = []
-    for chosen in choices:
-        m = sum(1 << (63 - b) for c in chosen for b in cuts[c])
-        masks.append(m - (1 << 64) if m >= 1 << 63 else m)
-    keys = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("k")) for i, m in enumerate(masks)])
-    rows = fps.select("fp", F.explode(keys).alias("key")).select("fp", "key.c", "key.k")
-    free = [[b for c in range(blocks) if c not in chosen for b in cuts[c]] for chosen in choices]
+
+def links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, key_rows: int = KEY_ROWS) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints that join all that are within ``distance``, directly or in steps.
+
+    ``fps`` holds each fingerprint once. Keys of more than ``key_rows`` fingerprints are counted first and cut by
+    further blocks, until none is larger or fewer than 12 bits are free, so no task gets a larger group.
+    """
+    spark, rows, parts = fps.sparkSession, fps.select("fp"), []
+    masks = F.array(*[F.lit(_long(m)) for m in _masks([], distance, blocks)])
+    while True:
+        keyed = _keyed(rows, masks)
+        hot = keyed.where(64 - F.bit_count("m") >= 12).groupBy("m", "k").agg(F.count("*").alias("n"))  # others hold at most 2,048
+        hot = written(hot.where(F.col("n") > key_rows).select("m", "k"), "hot-keys")
+        met = [r["m"] for r in hot.select("m").distinct().collect()]  # masks are few, however many the keys
+        if not met:
+            parts.append(keyed)
+            break
+        parts.append(keyed.join(small(hot), ["m", "k"], "left_anti"))
+        further = [(m, [_long(x) for x in _masks([b for b in range(64) if m >> (63 - b) & 1], distance, blocks)]) for m in met]
+        cut = keyed.join(small(hot), ["m", "k"], "left_semi").join(small(spark.createDataFrame(further, "m long, masks array<long>")), "m")
+        rows, masks = written(cut.select("fp", "masks"), "hot-rows"), F.col("masks")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def settled(pdf: pd.DataFrame) -> list[tuple[int, int]]:
-            c, k, fp = (pdf[x].to_numpy() for x in ("c", "k", "fp"))
-            cut = np.flatnonzero((c[1:] != c[:-1]) | (k[1:] != k[:-1])) + 1
-            lows, highs = np.append(0, cut), np.append(cut, len(fp))
-            u = fp.view(np.uint64)
-            out = []
+        for pdf in whole_groups(batches, "m", "k"):
+            m, k, u = pdf["m"].to_numpy(), pdf["k"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64)
+            cut = np.flatnonzero((m[1:] != m[:-1]) | (k[1:] != k[:-1])) + 1
+            lows, highs = np.append(0, cut), np.append(cut, len(u))
             two = highs - lows == 2
             a, b = u[lows[two]], u[lows[two] + 1]
             near = np.bitwise_count(a ^ b) <= distance
-            out += zip(a[near].tolist(), b[near].tolist())
+            edges = list(zip(a[near].tolist(), b[near].tolist()))
             for low, high in zip(lows[highs - lows > 2].tolist(), highs[highs - lows > 2].tolist()):
-                out += _keyed_forest(u[low:high], free[int(c[low])], distance)
-            return out
+                edges += forest(u[low:high], distance)
+            e = np.array(edges, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            yield pd.DataFrame({"a": e[:, 0], "b": e[:, 1]})
 
-        kept = None
-        for pdf in batches:
-            pdf = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
-            c, k = pdf["c"].to_numpy(), pdf["k"].to_numpy()
-            last = np.flatnonzero((c != c[-1]) | (k != k[-1]))
-            at = last[-1] + 1 if len(last) else 0  # the last key may go on in the next batch
-            kept = pdf.iloc[at:]
-            if at:
-                yield _signed(settled(pdf.iloc[:at]))
-        if kept is not None and len(kept):
-            yield _signed(settled(kept))
-
-    def _signed(edges: list[tuple[int, int]]) -> pd.DataFrame:
-        e = np.array(edges, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        return pd.DataFrame({"a": e[:, 0], "b": e[:, 1]})
-
-    spread = rows.repartition("c", "k").sortWithinPartitions("c", "k")
+    spread = reduce(DataFrame.unionByName, parts).repartition("m", "k").sortWithinPartitions("m", "k")
     return mapped(spread, run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
