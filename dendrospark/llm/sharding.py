@@ -17,15 +17,22 @@ from pyspark.sql import window as W
 
 from dendrospark.llm.common import table, written
 
-#: Bits that a round adds to a splitter, and bits of the whole key.
-ROUND_BITS, KEY_BITS = 16, 128
+#: Bits that each round adds to a splitter: the first 2**16 cells of all rows, later 256 of each splitter. Those of the text's hash, then of the row's.
+BITS = (16, 8, 8, 8, 8, 8, 8) * 2
+TEXT_ROUNDS, KEY_BITS = len(BITS) // 2, sum(BITS)
 
 
 def _cell(level: int) -> Column:
-    """The 16 bits of the key at a level; the first level keeps the sign's order."""
-    key, at = ("_k1", level) if level < 4 else ("_k2", level - 4)
-    part = F.shiftright(F.col(key), 48 - 16 * at)
-    return part + 32768 if at == 0 else part.bitwiseAND(0xFFFF)
+    """The bits of the key that a level adds; the first of each hash keep the sign's order."""
+    key, at = ("_k1", level) if level < TEXT_ROUNDS else ("_k2", level - TEXT_ROUNDS)
+    part = F.shiftright(F.col(key), 64 - sum(BITS[: at + 1]))
+    return part + 32768 if at == 0 else part.bitwiseAND(0xFF)
+
+
+def _cells(k1: int) -> tuple[int, ...]:
+    """The cells of a text's hash at all its levels."""
+    whole = k1 + (1 << 63)
+    return tuple(whole >> 64 - sum(BITS[: i + 1]) & (1 << BITS[i]) - 1 for i in range(TEXT_ROUNDS))
 
 
 def _prefix(level: int) -> Column:
@@ -37,51 +44,51 @@ def splitters(keyed: DataFrame, n_shards: int, tolerance: float, weight: str = "
     """The ``n_shards - 1`` keys (k1, k2) at which shards begin.
 
     ``keyed`` has longs ``_k1``, ``_k2`` and ``weight``. To the driver come at most
-    2**16 sums in the first round and ``(n_shards - 1) * 2**16`` in a later one,
-    however many rows there are.
+    2**16 sums in a hash's first round (2**16 a hot text that splitters fall into in the second's) and 256 a
+    splitter in any other, however many rows there are. A cell of one text alone skips the text's other rounds.
     """
     total = None
     open_: dict[int, tuple[tuple[int, ...], int]] = {i: ((), 0) for i in range(1, n_shards)}
     done: dict[int, tuple[int, ...]] = {}
-    for level in range(KEY_BITS // ROUND_BITS):
-        wanted = sorted({p for p, _ in open_.values()})
+    for level in range(len(BITS)):
+        due = {i: x for i, x in open_.items() if len(x[0]) == level}
+        if not due:
+            continue
+        wanted = sorted({p for p, _ in due.values()})
         rows = keyed
         if level:
             rows = rows.where(_prefix(level).isin(["-".join(map(str, p)) for p in wanted]))
         sums = (
             rows.groupBy((_prefix(level) if level else F.lit("")).alias("prefix"), _cell(level).alias("cell"))
-            .agg(F.sum(weight).alias("w"), F.count("*").alias("n"))
+            .agg(F.sum(weight).alias("w"), F.count("*").alias("n"), F.min("_k1").alias("low"), F.max("_k1").alias("high"))
             .collect()
         )
-        cells: dict[str, list[tuple[int, int, int]]] = {}
+        cells: dict[str, list[tuple[int, int, int, int | None]]] = {}
         for r in sums:
-            cells.setdefault(r["prefix"], []).append((r["cell"], r["w"], r["n"]))
+            cells.setdefault(r["prefix"], []).append((r["cell"], r["w"], r["n"], r["low"] if r["low"] == r["high"] else None))
         if total is None:
-            total = sum(w for own in cells.values() for _, w, _ in own)
-        still = {}
-        for i, (prefix, below) in open_.items():
+            total = sum(w for own in cells.values() for _, w, _, _ in own)
+        for i, (prefix, below) in due.items():
             goal, slack = total * i / n_shards, tolerance * total / n_shards
             at = below
-            for cell, w, n in sorted(cells.get("-".join(map(str, prefix)), [])):
+            del open_[i]
+            for cell, w, n, text in sorted(cells.get("-".join(map(str, prefix)), []), key=lambda x: x[0]):
                 if at + w <= goal:
                     at += w
                     continue
                 if min(goal - at, at + w - goal) <= slack or n == 1:  # the nearer edge
                     done[i] = (*prefix, cell + (at + w - goal < goal - at))
                 else:
-                    still[i] = ((*prefix, cell), at)
+                    open_[i] = ((*prefix, cell) if text is None or level >= TEXT_ROUNDS else _cells(text), at)
                 break
             else:
-                done[i] = (*prefix, 1 << ROUND_BITS)
-        open_ = still
-        if not open_:
-            break
+                done[i] = (*prefix, 1 << BITS[level])
     done |= {i: prefix for i, (prefix, _) in open_.items()}
 
     def key(cells: tuple[int, ...]) -> tuple[int, int]:
         whole = 0
-        for c in (*cells, *[0] * (KEY_BITS // ROUND_BITS - len(cells))):
-            whole = (whole << ROUND_BITS) + c  # a cell of 2**16 carries into the one before
+        for bits, c in zip(BITS, (*cells, *[0] * (len(BITS) - len(cells)))):
+            whole = (whole << bits) + c  # a cell beyond the last carries into the one before
         whole = min(whole, (1 << KEY_BITS) - 1)
         return (whole >> 64) - (1 << 63), (whole & ((1 << 64) - 1)) - (1 << 63)
 
