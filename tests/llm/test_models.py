@@ -123,3 +123,21 @@ def test_baum_welch_counts_are_sums_over_paths():
     prior = np.full(4, 0.25)
     new = hmm.maximized(states, moves, start, prior)
     assert new.emit.sum(axis=0) == pytest.approx(1) and new.moves.sum(axis=1) == pytest.approx(1) and new.start == pytest.approx((start + 0.1) / (start + 0.1).sum())
+
+
+@pytest.mark.parametrize("cut", [1, 2, 3, 50])
+def test_runs_add_up_to_whole_texts(cut):
+    """Counts of runs that pass their states on are those of the sequences as one."""
+    rng = np.random.default_rng(7)
+    model = hmm.Model(rng.dirichlet([1] * 3), rng.dirichlet([1] * 3, 3), rng.dirichlet([1] * 5, 3).T)
+    seqs = sorted((rng.integers(0, 5, n).astype("<u2") for n in (1, 2, 3, 6, 7, 7, 11, 20)), key=len, reverse=True)
+    own, s, m, a = hmm.expected(model, seqs)
+    want, got = np.zeros((5, 3)), np.zeros((5, 3))
+    want[own] = s
+    moves, start = np.zeros((3, 3)), np.zeros(3)
+    for own, s, mm, aa in hmm.expected_whole(model, seqs, cut):
+        got[own] += s
+        moves += mm
+        start += aa
+    assert got == pytest.approx(want) and moves == pytest.approx(m) and start == pytest.approx(a)
+    assert got.sum() == pytest.approx(sum(map(len, seqs))) and start.sum() == pytest.approx(len(seqs))
