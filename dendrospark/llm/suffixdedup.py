@@ -14,13 +14,19 @@ Suffixes are sorted in two stages: those smaller than their successors directly,
 by ranks of the pieces between them; the others are induced by one scan over the buckets
 of first bytes. Common prefixes of neighbours then show which strings repeat.
 
-A core with more than HOT different blocks is split over all tasks by the strings themselves.
+The blocks of a core that has more than HOT different ones are halved: the strings of a half share the core
+and the bytes next to it on one side, which make up a longer core. Halves are counted and sorted as
+blocks were, and halved again where a core still has too many; at one string a block the core is the string.
+
+Digests only bring equal bytes together. Contexts are named by 128 bits (``h`` and ``c``), cores by 128 bits, and blocks of one
+core by 64 bits more.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -315,16 +321,18 @@ def _low(at: int) -> int:
     return at & 0xFFFFFFFF
 
 
+_SCHEMA = "core binary, own long, t binary, low int, width int, shift int, n int, edge binary"
+_NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
+
+
 def _blocks(candidates: DataFrame, length: int) -> DataFrame:
     """The blocks of contexts that occur once, and of one of each that occurs more often.
 
-    ``core`` and ``own``: hashes of the bytes that all strings of the block hold, and of all bytes of its
-    strings. ``edge``: the bytes before and after the core, ``BLOCK - 1 - shift`` of them before.
+    ``core`` and ``own``: digests of the bytes that all strings of the block hold, and of all bytes of its
+    strings. ``edge``: the bytes before and after the core, ``BLOCK - 1 - shift`` of them before. ``n``: 1 if the
+    context occurs once, else 2.
     """
-    from xxhash import xxh3_64_intdigest
-
-    schema = "core long, own long, t binary, low int, width int, shift int, once boolean, edge binary"
-    names = [x.split()[0] for x in schema.split(", ")]
+    from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -342,28 +350,54 @@ def _blocks(candidates: DataFrame, length: int) -> DataFrame:
                         first = origin + block * BLOCK  # the block's first string and last,
                         last = first + BLOCK - 1
                         low, high = max(begin, first), min(end, last)  # and those that are this anchor's
-                        core = xxh3_64_intdigest(raw[last : first + length], block)
+                        core = xxh3_128_digest(raw[last : first + length], block)
                         own = xxh3_64_intdigest(raw[low : high + length], low - first)
                         edge = raw[low:last] + raw[first + length : high + length]
-                        out.append((_signed(core), _signed(own), t, low, high - low, low - first, o["once"], edge))
+                        out.append((core, _signed(own), t, low, high - low, low - first, 1 if o["once"] else 2, edge))
                 if len(out) > 5000:
-                    yield pd.DataFrame(out, columns=names)
+                    yield pd.DataFrame(out, columns=_NAMES)
                     out = []
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=_NAMES)
+
+    return mapped(candidates.select("t", "text", "occ"), run, _SCHEMA)
+
 
-    return mapped(candidates.select("t", "text", "occ"), run, schema)
+def _halves(blocks: DataFrame, width: int) -> DataFrame:
+    """Each block of ``width`` offsets as two of half as many, rounded up, with the longer cores that these have."""
+    from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
+    half = (width + 1) // 2
+    rest = width - half
 
-def _sorted_repeats(blocks: DataFrame, length: int) -> DataFrame:
-    """Runs (t, a, b) that repeat, by suffix arrays over whole cores' blocks."""
-    part = BLOCK + 9  # symbols of a string whose core is a mark and eight bytes of its hash
+    def block(core: bytes, more: bytes, t: bytes, low: int, width: int, shift: int, n: int, edge: bytes) -> tuple:
+        return xxh3_128_digest(core + more), _signed(xxh3_64_intdigest(edge, shift)), t, low, width, shift, n, edge
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for core, t, low, more, shift, n, edge in pdf[["core", "t", "low", "width", "shift", "n", "edge"]].itertuples(index=False):
+                before, after = edge[: width - 1 - shift], edge[width - 1 - shift :]
+                if shift < half:  # strings that hold the bytes before the core
+                    high, cut = min(shift + more, half - 1), half - 1 - shift
+                    out.append(block(core, b"<" + before[cut:], t, low, high - shift, shift, n, before[:cut] + after[:high]))
+                if shift + more >= half:  # strings that hold the bytes after it
+                    first = max(shift, half)
+                    out.append(block(core, b">" + after[:rest], t, low + first - shift, shift + more - first, first - rest, n, before[first - shift :] + after[rest:]))
+            yield pd.DataFrame(out, columns=_NAMES)
+
+    return mapped(blocks.select("core", "t", "low", "width", "shift", "n", "edge"), run, _SCHEMA)
+
+
+def _sorted_repeats(blocks: DataFrame, length: int, width: int) -> DataFrame:
+    """Runs (t, a, b) that repeat, by suffix arrays over whole cores' blocks of ``width`` offsets. ``n``: how many blocks are the same."""
+    part = width + 17  # symbols of a string whose core is a mark and sixteen bytes of its digest, and the 0 after it
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         size = 0
         for pdf in batches:
             core = pdf["core"].to_numpy()
-            cut = np.append(np.flatnonzero(np.diff(core)) + 1, len(pdf))
+            cut = np.append(np.flatnonzero(core[1:] != core[:-1]) + 1, len(pdf))
             low = 0
             for high in cut.tolist():
                 rows = pdf.iloc[low:high]
@@ -371,7 +405,7 @@ def _sorted_repeats(blocks: DataFrame, length: int) -> DataFrame:
                     yield solved(pd.concat(held))
                     held, size = [], 0
                 held.append(rows)
-                size += len(rows) * (part + BLOCK)
+                size += len(rows) * (part + width)
                 low = high
         if held:
             yield solved(pd.concat(held))
@@ -380,10 +414,10 @@ def _sorted_repeats(blocks: DataFrame, length: int) -> DataFrame:
         number = {t: i for i, t in enumerate(dict.fromkeys(pdf["t"]))}
         gid = [(number[t] << 32) + a for t, a in zip(pdf["t"], pdf["low"])]
         once = (pdf["n"] == 1).tolist()
-        marks = np.concatenate([np.full((len(pdf), 1), CORE, dtype=np.int16), pdf["core"].to_numpy(np.int64).view(np.uint8).reshape(-1, 8).astype(np.int16) + 1], axis=1)
+        marks = np.concatenate([np.full((len(pdf), 1), CORE, dtype=np.int16), np.frombuffer(b"".join(pdf["core"]), dtype=np.uint8).reshape(-1, 16).astype(np.int16) + 1], axis=1)
         strings = []
         for edge, shift, mark in zip(pdf["edge"], pdf["shift"], marks):
-            cut = BLOCK - 1 - shift
+            cut = width - 1 - shift
             e = np.frombuffer(edge, dtype=np.uint8).astype(np.int16) + 1
             strings.append(np.concatenate([e[:cut], mark, e[cut:]]))
         out = []
@@ -396,26 +430,6 @@ def _sorted_repeats(blocks: DataFrame, length: int) -> DataFrame:
     return mapped(blocks.repartition("core").sortWithinPartitions("core"), run, "t binary, a int, b int")
 
 
-def _split_repeats(blocks: DataFrame, length: int) -> DataFrame:
-    """The same by hashes of the strings, spread over all tasks; equal strings are at equal offsets from their anchors."""
-    from xxhash import xxh3_64_intdigest
-
-    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for core, t, low, width, shift, n, edge in pdf[["core", "t", "low", "width", "shift", "n", "edge"]].itertuples(index=False):
-                before, after = edge[: BLOCK - 1 - shift], edge[BLOCK - 1 - shift :]
-                for i in range(width + 1):
-                    out.append((core, shift + i, _signed(xxh3_64_intdigest(before[i:] + b"|" + after[: shift + i], 0)), t, low + i, min(n, 2)))
-            yield pd.DataFrame(out, columns=["core", "offset", "string", "t", "a", "n"])
-
-    each = mapped(blocks.select("core", "t", "low", "width", "shift", "n", "edge"), strings, "core long, offset int, string long, t binary, a int, n long")
-    each = written(each, "hot-strings")
-    key = ["core", "offset", "string"]
-    twice = each.groupBy(*key).agg(F.sum("n").alias("n")).where("n > 1").drop("n")
-    return each.where("n = 1").join(twice, key).select("t", "a", (F.col("a") + length).alias("b"))
-
-
 def _candidates(keyed: DataFrame, length: int) -> DataFrame:
     """Texts with repeated anchors, each once, and those anchors: ``once`` where no other context is the same,
     ``sample`` on one of equal contexts whose anchor has others."""
@@ -433,16 +447,29 @@ def _candidates(keyed: DataFrame, length: int) -> DataFrame:
     return written(few.join(need, ["t", "k"]).select("t", "text", "occ"), "repeat-candidates", "zstd")
 
 
-def _open_blocks(candidates: DataFrame, length: int) -> DataFrame:
-    """Blocks whose core another has: ``n`` blocks are the same, ``m`` different ones share the core."""
-    blocks = written(_blocks(candidates, length), "blocks", "zstd")
-    weight = F.when(F.col("once"), 1).otherwise(2)
-    owns = blocks.groupBy("core", "own").agg(F.sum(weight).alias("n"), F.max(F.xxhash64("t")).alias("pick"))
-    cores = owns.groupBy("core").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("all > 1").drop("all")
-    open_ = owns.join(cores, "core").select("core", "own", "n", "m", "pick")
+def _open_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks whose core another has: ``all`` blocks are the same, ``m`` different ones share the core."""
+    owns = blocks.groupBy("core", "own").agg(F.sum("n").alias("all"), F.max(F.xxhash64("t")).alias("pick"))
+    cores = owns.groupBy("core").agg(F.count("*").alias("m"), F.sum("all").alias("any")).where("any > 1").drop("any")
+    open_ = owns.join(cores, "core").select("core", "own", "all", "m", "pick")
     return written(blocks.join(open_, ["core", "own"]).drop("own"), "open-blocks", "zstd")
 
 
+def _partly(candidates: DataFrame, length: int) -> DataFrame:
+    """Runs (t, a, b) that repeat in contexts that don't as a whole. Cores with too many blocks are halved until none is left."""
+    found, width = [], BLOCK
+    blocks = written(_blocks(candidates, length), "blocks", "zstd")
+    while True:
+        live = _open_blocks(blocks)
+        found.append(live.where("n = 1 AND all > 1").select("t", F.col("low").alias("a"), (F.col("low") + F.col("width") + length).alias("b")))
+        unlike = live.where(F.col("m") > 1).where((F.col("all") == 1) | (F.xxhash64("t") == F.col("pick"))).withColumn("n", F.least("all", F.lit(2)).cast("int"))
+        found.append(_sorted_repeats(unlike.where(F.col("m") <= HOT), length, width))
+        if width == 1 or live.where(F.col("m") > HOT).isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        blocks = written(_halves(unlike.where(F.col("m") > HOT), width), "half-blocks", "zstd")
+        width = (width + 1) // 2
+
+
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Texts (t: the first half of their sha256, text) with repeated strings, and their runs (a, b).
 
@@ -454,10 +481,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("k")
     ).withColumn("t", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     candidates = _candidates(keyed, length)
-    live = _open_blocks(candidates, length)
-    whole = live.where("once and n > 1").select("t", F.col("low").alias("a"), (F.col("low") + F.col("width") + length).alias("b"))
-    unlike = live.where(F.col("m") > 1).where((F.col("n") == 1) | (F.xxhash64("t") == F.col("pick")))
-    partly = whole.unionByName(_sorted_repeats(unlike.where(F.col("m") <= HOT), length)).unionByName(_split_repeats(unlike.where(F.col("m") > HOT), length))
+    partly = _partly(candidates, length)
     partly = written(partly.groupBy("t").agg(F.collect_list(F.struct("a", "b")).alias("partly")), "partly-repeated", "zstd")
     low = lambda o: o["at"].bitwiseAND(0xFFFFFFFF).cast("int")
     end = lambda o: (low(o) + F.shiftright(o["at"], 44) + length).cast("int")

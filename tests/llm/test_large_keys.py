@@ -1,13 +1,15 @@
-"""Large keys, many shelves and splitters inside groups of copies, against brute force."""
+"""Large keys, hot cores, many shelves and splitters inside groups of copies, against brute force."""
 
 from __future__ import annotations
 
+import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from dendrospark.llm import sharding, simhash, topk
+from dendrospark.llm import sharding, simhash, suffixdedup, topk
 
 RNG = random.Random(8)
 
@@ -78,3 +80,25 @@ def test_boundaries_against_a_sort(spark, tolerance):
         below += sum(r.size for r in own)
         off = abs(below - total * (shard + 1) / 9)
         assert off <= max(tolerance * total / 9, 45)  # half of the largest row
+
+
+@pytest.mark.parametrize("hot", [1, 2, 10_000])
+def test_hot_cores_are_halved(spark, monkeypatch, hot):
+    """One passage between edges that agree for some bytes: blocks of one core, halved down to single strings where few may meet."""
+    monkeypatch.setattr(suffixdedup, "HOT", hot)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    passage = "".join(RNG.choices(letters, k=385))
+    left, right = ("".join(RNG.choices(letters, k=60)) for _ in range(2))
+    texts = []
+    for i in range(24):
+        a, b = RNG.randint(0, 40), RNG.randint(0, 40)
+        texts.append("".join(RNG.choices(letters, k=50)) + left[60 - a :] + passage + right[:b] + "".join(RNG.choices(letters, k=50)))
+    texts += [texts[0], texts[1] + "!"]
+    raw = [t.encode() for t in texts]
+    seen = Counter(b[j : j + 400] for b in raw for j in range(len(b) - 399))
+    want = []
+    for i, b in enumerate(raw):
+        gone = {k for j in range(len(b) - 399) if seen[b[j : j + 400]] > 1 for k in range(j, j + 400)}
+        want.append((i, len(gone), hashlib.sha256(bytes(x for k, x in enumerate(b) if k not in gone)).hexdigest()))
+    got = suffixdedup.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == want and len({n for _, n, _ in want}) > 5
