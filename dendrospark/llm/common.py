@@ -61,9 +61,13 @@ def clearing(spark: SparkSession) -> Iterator[None]:
 BROADCAST_ROWS = 1_000_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df``, a table of ids and numbers that is cheap to count, with a broadcast hint if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, many: Column | None = None) -> DataFrame:
+    """``df``, a table of ids and numbers that is cheap to count, with a broadcast hint if it has few rows.
+
+    ``many``: how many entries a row holds, where it holds an array; rows and entries are counted then.
+    """
+    rows = df.count() if many is None else df.agg(F.sum(many + 1)).first()[0] or 0
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy", keep: bool = False) -> DataFrame:

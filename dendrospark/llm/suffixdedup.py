@@ -486,7 +486,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     low = lambda o: o["at"].bitwiseAND(0xFFFFFFFF).cast("int")
     end = lambda o: (low(o) + F.shiftright(o["at"], 44) + length).cast("int")
     fully = F.transform(F.filter("occ", lambda o: ~o["once"]), lambda o: F.struct(low(o).alias("a"), end(o).alias("b")))
-    return candidates.select("t", "text", fully.alias("fully")).join(small(partly), "t", "left").select(
+    return candidates.select("t", "text", fully.alias("fully")).join(small(partly, F.size("partly")), "t", "left").select(
         "t", "text", F.concat("fully", F.coalesce("partly", F.array().cast("array<struct<a:int,b:int>>"))).alias("runs")
     ).where(F.size("runs") > 0)
 
