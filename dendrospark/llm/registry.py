@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "suffixdedup", "simhash", "toxicity", "topk", "decontaminate", "hmm", "language", "warc", "sharding", "embeddingdedup")
+MODULES = ("packing", "suffixdedup", "simhash", "toxicity", "topk", "decontaminate", "hmm", "language", "warc", "sharding", "embeddingdedup", "merkle", "lexical")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
