@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dendrospark.functions import scalar as fn
@@ -9,6 +11,8 @@ from dendrospark.operators import aggregates as ag
 from dendrospark.operators.storage import new_path
 from dendrospark.plans.common import Registry, read
 from dendrospark.plans.trees import ORACLE as TREES
+from dendrospark.sources import jdbc
+from dendrospark.sources import matrix as mx
 from dendrospark.sources import text as src
 from dendrospark.sources import trees as tr
 
@@ -117,6 +121,23 @@ def _(spark, d):
     return src.embedding_subset(read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), names).select("id", F.size("embedding").cast("long").alias("n"))
 
 
+def _matrix(kind):
+    def plan(spark, d):
+        """All vectors as matrices with names, read in ranges of 100 rows; those of large parts."""
+        path = new_path(spark, "matrix")
+        vectors = read(spark, d, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), "embedding")
+        mx.write_matrix(vectors.repartition(3, "name"), path, kind)
+        names = read(spark, d, "part").where("p_size > 25").select(F.concat(F.lit("v"), F.col("p_partkey").cast("string")).alias("name"))
+        return mx.read_matrix(spark, path, 100, names)
+
+    return plan
+
+
+_MATRIX = "SELECT 'v' || vec_id AS name, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings WHERE vec_id IN (SELECT p_partkey FROM part WHERE p_size > 25)"
+query("SRC-14_matrix_scan", _MATRIX)(_matrix("npy"))
+query("SRC-14_archive_scan", _MATRIX)(_matrix("npz"))
+
+
 @query("SRC-15_alignment_hits_scan", "SELECT 's' || l_suppkey AS query, 'p' || l_partkey AS target, CAST(l_quantity AS INTEGER) AS alnlen, l_extendedprice AS bits FROM lineitem WHERE l_linenumber = 2")
 def _(spark, d):
     rows = read(spark, d, "lineitem").where("l_linenumber = 2")
@@ -164,6 +185,17 @@ def _(spark, d):
     return src.read_keyed_lists(spark, path).select("key", fn.terms_text(F.col("values")).alias("terms"))
 
 
+@query("SRC-20_jdbc_source", """SELECT p_partkey, p_brand, p_size, p_retailprice FROM part WHERE p_size < 30 AND p_brand <> 'it''s' AND p_retailprice > 1000""")
+def _(spark, d):
+    """Parts in a database of this process; a parameterised select, read in eight ranges of the key, with a filter pushed down."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url = f"jdbc:derby:memory:parts{uuid.uuid4().hex}"
+    own = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    jdbc.write_table(read(spark, d, "part"), f"{url};create=true", "parts", "p_name VARCHAR(200), p_brand VARCHAR(40), p_type VARCHAR(60)", **own)
+    chosen = jdbc.select('SELECT "p_partkey", "p_brand", "p_size", "p_retailprice" FROM parts WHERE "p_size" < :most AND "p_brand" <> :brand', most=30, brand="it's")
+    return jdbc.read_query(spark, url, chosen, "p_partkey", **own).where("p_retailprice > 1000")
+
+
 @query("SRC-21_id_list_scan", "SELECT 'C' || c_custkey AS id FROM customer WHERE c_custkey % 4 <> 0")
 def _(spark, d):
     line = F.concat(F.when(F.col("c_custkey") % 4 == 0, F.lit("# ")).otherwise(F.lit(" ")), F.lit("C"), F.col("c_custkey").cast("string"), F.lit(" more"))

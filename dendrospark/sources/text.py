@@ -158,12 +158,6 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.when(word != "", word).otherwise(F.raise_error(F.concat(F.lit("no id: "), F.col("value"))).cast("string")).alias("id"))
 
 
-def read_jdbc(spark: SparkSession, url: str, query: str, key: str, low: int, high: int, parts: int = 8, **options: str) -> DataFrame:
-    """A query's rows in ``parts`` ranges of a numeric key."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=f"({query}) q", partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts), **options)
-    return reader.load()
-
-
 def embedding_subset(vectors: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Vectors (id, embedding), those of ``names`` (id) only if given: joined by id, never by place."""
     return vectors if names is None else vectors.join(names, "id", "left_semi")
