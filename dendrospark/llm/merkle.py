@@ -5,7 +5,8 @@ three consecutive nodes to one, and stored as rows that link each node with its
 its left and right. To prove a leaf, a recursive query joins it with its node's row, folds its digest with the siblings, and goes on from the parent; what it has met is the proof.
 
 A node's id is the number of the first leaf below it, and its level; both fit one long.
-The stored rows are bucketed by node, so each step of the climb moves only the leaves that climb.
+The stored rows are bucketed by node, so each step of the climb moves only the leaves that climb. The nodes near the root, of which there are few and each stands above
+many leaves, are climbed in a second query that sends them to every task, so no task gets all leaves below one node.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from dendrospark.llm.common import clearing, scratch, small, table, written
 ARITY = 3
 #: An id is the first leaf's number times this, plus the level; levels above the sources' subroots begin at half of it.
 LEVELS = 128
+#: Rows of nodes near the root that are sent to every task: whole levels, from the top.
+UPPER = 50_000
 
 
 def digest(*parts: Column) -> Column:
@@ -99,39 +102,59 @@ CLIMB = """
 WITH RECURSIVE climb (leaf, step, node, folded, siblings) AS (
   SELECT leaf, 0, node, folded, CAST(NULL AS BINARY) FROM {leaves}
   UNION ALL
-  SELECT c.leaf, c.step + 1, n.parent, unhex(sha2(lower(concat(hex(n.left), hex(c.folded), hex(n.right))), 256)), concat(n.left, n.right)
+  SELECT {hint} c.leaf, c.step + 1, n.parent, unhex(sha2(lower(concat(hex(n.left), hex(c.folded), hex(n.right))), 256)), concat(n.left, n.right)
   FROM climb c JOIN {nodes} n ON n.node = c.node)
-SELECT leaf, step, siblings, CASE WHEN node = {root} THEN folded END AS folded FROM climb
+SELECT * FROM climb
 """
 
 
-def climbed(leaves: DataFrame, nodes: DataFrame, root: int) -> DataFrame:
-    """(leaf, proof, folded): what each leaf (leaf, node, folded) meets up to the node ``root``, and what its digest becomes there.
+def climbed(leaves: DataFrame, nodes: DataFrame, few: bool) -> DataFrame:
+    """(leaf, node, folded, proof): where each leaf (leaf, node, folded) ends, what its digest is there, and what it has met on the way.
 
-    A node without a row in ``nodes`` ends the climb. The query's settings hold only while it runs.
+    A node without a row in ``nodes`` ends the climb. ``few``: the nodes are sent to every task, else stored in buckets. The query's settings hold only while it runs.
     """
     spark = leaves.sparkSession
     tag = uuid.uuid4().hex
-    names = {"leaves": f"merkle_leaves_{tag}", "nodes": f"merkle_nodes_{tag}"}
+    names = {"leaves": f"merkle_leaves_{tag}", "nodes": f"merkle_nodes_{tag}", "hint": "/*+ BROADCAST(n) */" if few else ""}
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     conf = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.cteRecursionLevelLimit": str(LEVELS)}
     old = {k: spark.conf.get(k) for k in conf}
     leaves.createOrReplaceTempView(names["leaves"])
-    nodes.repartition(parts, "node").write.bucketBy(parts, "node").option("path", scratch(spark, "merkle-nodes")).format("parquet").saveAsTable(names["nodes"])
+    if few:
+        nodes.createOrReplaceTempView(names["nodes"])
+    else:
+        nodes.repartition(parts, "node").write.bucketBy(parts, "node").option("path", scratch(spark, "merkle-nodes")).format("parquet").saveAsTable(names["nodes"])
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        met = spark.sql(CLIMB.format(root=root, **names)).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("step", "siblings"))).alias("way"), F.max("folded").alias("folded"))
+        met = spark.sql(CLIMB.format(**names)).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("step", "siblings"))).alias("way"), F.max(F.struct("step", "node", "folded")).alias("last"))
         proof = F.unhex(F.array_join(F.transform("way", lambda w: F.hex(w["siblings"])), ""))  # null at the leaf itself, and left out
-        return written(met.select("leaf", proof.alias("proof"), "folded"), "climbed")
+        return written(met.select("leaf", "last.node", "last.folded", proof.alias("proof")), "climbed")
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
         spark.catalog.dropTempView(names["leaves"])
-        spark.sql(f"DROP TABLE IF EXISTS {names['nodes']}")
+        if few:
+            spark.catalog.dropTempView(names["nodes"])
+        else:
+            spark.sql(f"DROP TABLE IF EXISTS {names['nodes']}")
+
 
+def proofs(leaves: DataFrame, runs: Sequence[DataFrame], upper: int = UPPER) -> DataFrame:
+    """(leaf, folded, proof) of the whole way up for leaves (leaf, node, folded). ``runs``: of all levels, from below."""
+    sizes = [one.agg(F.coalesce(F.sum(F.size("kids")), F.lit(0))).first()[0] for one in runs]
+    cut = len(runs)
+    while cut and sum(sizes[cut - 1 :]) <= upper:
+        cut -= 1
+    met = leaves.withColumn("proof", F.unhex(F.lit("")))
+    for part, few in ((runs[:cut], False), (runs[cut:], True)):
+        if part:
+            way = climbed(met.select("leaf", "node", "folded"), linked(part), few)
+            met = written(met.select("leaf", F.col("proof").alias("before")).join(way, "leaf").select("leaf", "node", "folded", F.concat("before", "proof").alias("proof")), "proofs")
+    return met.select("leaf", "folded", "proof")
 
-def manifest(docs: DataFrame, tampered: Column, arity: int = ARITY) -> DataFrame:
+
+def manifest(docs: DataFrame, tampered: Column, arity: int = ARITY, upper: int = UPPER) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source, lang, n_chars): leaf, subroot, root, proof_sha256, folded_root, verified.
 
     ``tampered`` is the text to fold, against the siblings of the original. Leaves of a source ascend by doc_id (null first),
@@ -155,12 +178,7 @@ def manifest(docs: DataFrame, tampered: Column, arity: int = ARITY) -> DataFrame
         above = written(above.select("start", "size", F.col("at").alias("pos"), "id", "h"), "sources")
         more, ends = levels(above, above.agg(F.max("size")).first()[0], arity, LEVELS // 2)
         root = ends.first()
-        nodes = linked([*runs, *more])
-        climb = leaves.select(F.col("id").alias("leaf"), F.col("id").alias("node"), "folded")
-        if nodes is None:
-            met = climb.select("leaf", F.unhex(F.lit("")).alias("proof"), "folded")
-        else:
-            met = climbed(climb, nodes, root["id"])
+        met = proofs(leaves.select(F.col("id").alias("leaf"), F.col("id").alias("node"), "folded"), [*runs, *more], upper)
         subroots = tops.select("start", F.col("h").alias("subroot"))
         out = leaves.join(met.withColumnsRenamed({"leaf": "id", "folded": "up"}), "id").join(small(subroots), "start")
         top = F.lit(bytes(root["h"]).hex())

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from dendrospark.llm import merkle
@@ -74,15 +75,17 @@ def table_of(spark, rows):
     return spark.createDataFrame([(t, "x", i, 1, lang, s, n, "y", 1, 2, "z") for i, t, s, lang, n in rows], SCHEMA)
 
 
-def run(spark, rows):
+def run(spark, rows, **more):
     even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     tampered = F.when(even, F.regexp_replace("text", "\n", "")).otherwise(F.col("text"))
-    return [tuple(r) for r in merkle.manifest(table_of(spark, rows), tampered).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()]
+    return [tuple(r) for r in merkle.manifest(table_of(spark, rows), tampered, **more).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()]
 
 
-def test_whole_manifest(spark):
+@pytest.mark.parametrize("upper", [merkle.UPPER, 30, 0])
+def test_whole_manifest(spark, upper):
+    """All levels sent to every task; the upper ones only; none."""
     rows = fixture()
-    got, want = run(spark, rows), brute(rows)
+    got, want = run(spark, rows, upper=upper), brute(rows)
     assert Counter(got) == Counter(want)
     assert {g[-1] for g in got} == {True, False}
 
