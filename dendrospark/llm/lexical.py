@@ -25,7 +25,7 @@ TOP = 10
 #: Query terms of at most this many bytes in all go to every task, which then counts these terms only; beyond, all terms are counted and joined.
 TERMS_BYTES = 16 << 20
 #: Postings that a row of the index holds before a stratum is cut into pieces.
-PIECE = 1 << 20
+PIECE = 1 << 17
 #: Queries in a block, and cells (queries times documents) of scores at a time.
 QUERIES_A_BLOCK, CELLS = 256, 4_000_000
 #: Query blocks of at most this many bytes go to every task; beyond, they meet shelves of so many index rows by a shuffle.
