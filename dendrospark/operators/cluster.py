@@ -17,8 +17,11 @@ from pyspark.sql.window import Window
 
 from dendrospark.functions import scalar as fn
 from dendrospark.operators.aggregates import symmetrised
+from dendrospark.operators.forest import forest_merges, spanning_forest
 from dendrospark.operators.hierarchy import THRESHOLDS
+from dendrospark.operators.relational import tiled
 from dendrospark.operators.storage import Rounds, kept
+from dendrospark.operators.windows import numbered
 
 #: What a missing score counts as in a geometric mean, and a score of zero.
 MISSING, ZERO = 1e10, 1e-200
@@ -100,6 +103,8 @@ def cluster(scores: DataFrame, policy: str = "single", pseudo_count: int = 0, wi
     Of equal scores, a round may take another pair first than one merge at a time would.
     Parents are ``merge_node_1`` and on; children come in the order of their creation. Each round merges something, until nothing is left to merge.
     """
+    if linkage is None and policy == "single":
+        return single(scores, threshold)
     start, join, value = linkage or _states(pseudo_count)[policy]
     links = kept(scores.select("project", "id1", "id2", *[c.alias(n) for n, c in start.items()]), "links")
     sized = linkage is None and policy in ("complete", "geomean")
@@ -124,6 +129,13 @@ def cluster(scores: DataFrame, policy: str = "single", pseudo_count: int = 0, wi
     return named_merges(done.all(), by_round=policy == "windowed" or bool(pseudo_count))
 
 
+def single(scores: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Single linkage: the merges of each project's minimum spanning forest, links of equal score in the order of their ids."""
+    within = scores if threshold is None else scores.where(F.col("score") <= threshold)
+    forest, _ = spanning_forest(within)
+    return named_steps(kept(forest_merges(forest), "merges"))
+
+
 def flavours(scores: DataFrame, policies: tuple[str, ...], **kinds: Column) -> DataFrame:
     """A tree for each kind of score and policy: merges with a project for each of the old ones, and ``kind`` and ``policy`` beside it.
 
@@ -139,7 +151,11 @@ def flavours(scores: DataFrame, policies: tuple[str, ...], **kinds: Column) -> D
 def named_merges(done: DataFrame, by_round: bool = False) -> DataFrame:
     """Steps and node names for merges (project, round, id1, id2, score) of clusters known by their smallest leaf."""
     order = ["round", "score", "id1", "id2"] if by_round else ["score", "round", "id1", "id2"]
-    steps = kept(done.withColumn("step", F.row_number().over(Window.partitionBy("project").orderBy(*order)).cast("long")), "merges")
+    return named_steps(kept(numbered(done, ["project"], [F.col(c) for c in order], "step"), "merges"))
+
+
+def named_steps(steps: DataFrame) -> DataFrame:
+    """Node names for merges (project, step, id1, id2, score) of clusters known by their smallest leaf, in the order of ``step``."""
     parent = F.concat(F.lit("merge_node_"), F.col("step").cast("string"))
     before = F.lag("step").over(Window.partitionBy("project", "id1").orderBy("step"))
     last = steps.groupBy("project", F.col("id1").alias("id2")).agg(F.max("step").alias("_b"))
@@ -187,8 +203,7 @@ def cluster_ladder(scores: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS
             now = links.select("project", "id1", "id2", value.alias("score")).where(F.col("score") <= threshold)
             found = greedy_matching(now)
             if most is not None:
-                own = Window.partitionBy("project").orderBy("score", "id1", "id2")
-                found = found.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= most).drop("_n")
+                found = numbered(found, ["project"], [F.col(c) for c in ("score", "id1", "id2")], "_n").where(F.col("_n") <= most).drop("_n")
             found = done.add(found.withColumn("round", F.lit(at)))
             if found.isEmpty():
                 break
@@ -207,8 +222,7 @@ def score_state(waiting: DataFrame, new: DataFrame, retired: DataFrame) -> DataF
 def pending_pairs(current: DataFrame, new: DataFrame, scored: DataFrame) -> DataFrame:
     """Pairs of a new id with any other id, current or new, that have no score yet."""
     every = current.select("project", "id").unionByName(new.select("project", "id")).distinct()
-    a = new.select("project", F.col("id").alias("x"))
-    both = a.join(every.select("project", F.col("id").alias("y")), "project").where("x <> y")
+    both = tiled(new.select("project", F.col("id").alias("x")), every.select("project", F.col("id").alias("y")), ("x", "y")).where("x <> y")
     lo, hi = fn.canonical_pair(F.col("x"), F.col("y"))
     return both.select("project", lo.alias("id1"), hi.alias("id2")).distinct().join(scored, ["project", "id1", "id2"], "left_anti")
 

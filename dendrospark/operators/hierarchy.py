@@ -6,39 +6,45 @@ A graph is edges (child, parent); a tree is merges (project, step, child_a, chil
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dendrospark.functions import scalar as fn
-from dendrospark.operators.storage import Rounds, kept
-from dendrospark.operators.windows import running_cut
+from dendrospark.operators.intervals import containing
+from dendrospark.operators.jumps import Tree, chain_ends
+from dendrospark.operators.storage import kept
 
 #: The ladder of thresholds at which trees are built and cut.
 THRESHOLDS = (1e-100, 1e-90, 1e-80, 1e-70, 1e-60, 1e-50, 1e-40, 1e-30, 1e-20, 1e-10, 1e-05, 100.0)
 
 
 def closure(edges: DataFrame, *group: str) -> DataFrame:
-    """(group, child, ancestor, least, most): the shortest and longest way up, self left out, for acyclic graphs.
+    """(group, child, ancestor, least, most): the shortest and longest way up, self left out, for acyclic graphs. A cycle is an error.
 
-    Ways double in each round, so a graph of depth d takes log2(d) rounds. A cycle is an error.
+    A round joins the ways that the last round found or made longer or shorter with all ways known, on both sides, so ways double and a graph of depth d takes about
+    log2(d) rounds; what a round joins follows the last round's new ways, not all. The known ways are rewritten with their new lengths only where those changed.
     """
-    now = kept(edges.select(*group, "child", F.col("parent").alias("ancestor"), F.lit(1).alias("least"), F.lit(1).alias("most")).distinct(), "closure")
-    size = None
+    key = [*group, "child", "ancestor"]
+    fold = lambda df: df.groupBy(*key).agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    known = kept(edges.select(*group, "child", F.col("parent").alias("ancestor"), F.lit(1).alias("least"), F.lit(1).alias("most")).distinct(), "closure")
+    new, rounds = known, 0
+    above = lambda df: df.select(*group, F.col("child").alias("ancestor"), F.col("ancestor").alias("_up"), F.col("least").alias("_l"), F.col("most").alias("_m"))
+    longer = lambda a, b: a.join(above(b), [*group, "ancestor"]).select(*group, "child", F.col("_up").alias("ancestor"), (F.col("least") + F.col("_l")).alias("least"), (F.col("most") + F.col("_m")).alias("most"))
     while True:
-        up = now.select(*group, F.col("child").alias("ancestor"), F.col("ancestor").alias("_up"), F.col("least").alias("_l"), F.col("most").alias("_m"))
-        longer = now.join(up, [*group, "ancestor"]).select(
-            *group, "child", F.col("_up").alias("ancestor"), (F.col("least") + F.col("_l")).alias("least"), (F.col("most") + F.col("_m")).alias("most")
-        )
-        grown = kept(now.unionByName(longer).groupBy(*group, "child", "ancestor").agg(F.min("least").alias("least"), F.max("most").alias("most")), "closure")
-        state = grown.agg(F.count("*"), F.sum("most"), F.sum("least"), F.max(F.col("child") == F.col("ancestor"))).first()
-        if state[3]:
+        state = new.agg(F.count("*"), F.max(F.col("child") == F.col("ancestor"))).first()
+        if state[1]:
             raise ValueError("the graph has a cycle")
-        if size == state:
-            return grown
-        now, size = grown, state
+        if not state[0]:
+            return known
+        found = longer(new, known)
+        if rounds:  # new ways were joined with themselves in the first line, too
+            found = found.unionByName(longer(known.join(new.select(*key), key, "left_anti"), new))
+        old = known.select(*key, F.col("least").alias("_least"), F.col("most").alias("_most"))
+        better = fold(found).join(old, key, "left").where("_least IS NULL OR least < _least OR most > _most")
+        new = kept(better.select(*key, F.least("least", "_least").alias("least"), F.greatest("most", "_most").alias("most")), "closure-new")
+        known, rounds = kept(known.join(new.select(*key), key, "left_anti").unionByName(new), "closure"), rounds + 1
 
 
 def descendants(edges: DataFrame, *group: str) -> DataFrame:
@@ -116,26 +122,42 @@ def tree_links(merges: DataFrame) -> DataFrame:
     return sib.unionByName(rev).unionByName(par).unionByName(chi)
 
 
-def leaves(merges: DataFrame, up: DataFrame | None = None) -> DataFrame:
+def node_ancestors(merges: DataFrame) -> DataFrame:
+    """(project, child, ancestor, distance) of all nodes and those above them."""
+    t = Tree(merges)
+    above = t.nodes.select(F.col("id").alias("above"), F.col("node").alias("ancestor"))
+    return t.named(t.ancestors(), "above", "distance").withColumnRenamed("node", "child").join(above, "above").select("project", "child", "ancestor", "distance")
+
+
+def leaves(merges: DataFrame) -> DataFrame:
     """(project, node, leaf, depth): the leaves below every node; a leaf is its own."""
-    edges = tree_edges(merges)
-    up = closure(edges, "project") if up is None else up
-    inner = edges.select("project", F.col("parent").alias("child")).distinct()
-    below = up.join(inner, ["project", "child"], "left_anti").select("project", F.col("ancestor").alias("node"), F.col("child").alias("leaf"), F.col("most").alias("depth"))
-    own = edges.join(inner, ["project", "child"], "left_anti").select("project", F.col("child").alias("node"), F.col("child").alias("leaf"), F.lit(0).alias("depth"))
-    return below.unionByName(own.distinct())
+    t = Tree(merges)
+    own = t.nodes.where("leaf").select(F.col("id").alias("leaf"), F.col("node").alias("_leaf"))
+    return t.named(t.leaves(), "leaf", "distance").join(own, "leaf").select("project", "node", F.col("_leaf").alias("leaf"), F.col("distance").alias("depth"))
 
 
-def heights(merges: DataFrame, fold: Callable[[str], Column] = F.max) -> DataFrame:
-    """Edges from each node down to a leaf: the most, or with ``F.min`` the fewest."""
-    return leaves(merges).groupBy("project", "node").agg(fold("depth").alias("height"))
+def heights(merges: DataFrame, fold: Callable[[str], Column] | None = None, **folds: Callable[[str], Column]) -> DataFrame:
+    """Edges from each node down to a leaf: the most, or with ``F.min`` the fewest. ``folds``: several at once, by name."""
+    folds = folds or {"height": fold or F.max}
+    t = Tree(merges)
+    deep = t.climb(t.nodes.select("id", F.col("parent").isNotNull().cast("int").alias("depth")), "depth")
+    deep = kept(t.nodes.select("id", "leaf").join(deep.select("id", "depth"), "id"), "depths")
+    low = t.fold(deep.select("id", *[F.when(F.col("leaf"), F.col("depth")).alias(n) for n in folds]), folds)
+    both = low.join(deep.select("id", "depth"), "id").select("id", *[(F.col(n) - F.col("depth")).alias(n) for n in folds])
+    return t.named(both, *folds)
 
 
 def depths(merges: DataFrame) -> DataFrame:
     """Edges from each node up to its root."""
-    edges = tree_edges(merges)
-    up = closure(edges, "project").groupBy("project", F.col("child").alias("node")).agg(F.max("most").alias("depth"))
-    return up.unionByName(roots(merges).select("project", "node", F.lit(0).alias("depth")))
+    t = Tree(merges)
+    return t.named(t.climb(t.nodes.select("id", F.col("parent").isNotNull().cast("int").alias("depth")), "depth"), "depth")
+
+
+def propagated(merges: DataFrame, values: DataFrame, **folds: Callable[[str], Column]) -> DataFrame:
+    """(project, node, ...): for each node, the values (project, node, ...) of itself and of all below, put together by ``folds`` (name: F.sum, F.min, F.max)."""
+    t = Tree(merges)
+    own = t.ids.join(values, ["project", "node"], "left").select("id", *folds)
+    return t.named(t.fold(own.groupBy("id").agg(*[f(n).alias(n) for n, f in folds.items()]), folds), *folds)
 
 
 def roots(merges: DataFrame) -> DataFrame:
@@ -164,56 +186,74 @@ def branch_lengths(merges: DataFrame, low: float = 10, high: float = 100) -> Dat
     return merges.withColumn("branch_length", F.round(F.when(F.col("score") == -1, F.lit(2.0 * high)).otherwise(length), 2))
 
 
-def without_nested(nodes: DataFrame, up: DataFrame) -> DataFrame:
+def without_nested(merges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes (project, node) that don't stand below others of the set."""
-    other = nodes.select("project", F.col("node").alias("ancestor"))
-    nested = up.join(other, ["project", "ancestor"], "left_semi").select("project", F.col("child").alias("node"))
-    return nodes.join(nested, ["project", "node"], "left_anti")
+    t = Tree(merges)
+    chosen = t.nodes.join(nodes.select("project", "node").distinct().withColumn("_in", F.lit(1)), ["project", "node"], "left").select("id", F.coalesce("_in", F.lit(0)).alias("n"))
+    over = t.climb(kept(chosen, "chosen"), "n").where("n > 1").select("id")
+    return nodes.join(t.named(over), ["project", "node"], "left_anti")
 
 
 def subtree_nodes(merges: DataFrame, root: DataFrame, omit: DataFrame) -> DataFrame:
     """Nodes below each root (project, node), not past merges that have an omitted child."""
     edges = tree_edges(merges)
     gone = edges.join(omit.select("project", F.col("node").alias("child")), ["project", "child"], "left_semi").select("project", "parent")
-    up = closure(edges.join(gone, ["project", "parent"], "left_anti"), "project")
-    return up.join(root.select("project", F.col("node").alias("ancestor")), ["project", "ancestor"], "left_semi").select("project", F.col("child").alias("node"), F.col("ancestor").alias("root"))
+    labels = Tree(merges.join(gone, ["project", "parent"], "left_anti")).labels
+    most = labels.select(F.col("id").alias("top"), F.col("size").alias("most"))
+    rows = labels.join(most, "top").select("project", "top", "node", "pre", "size", "most")
+    below = rows.join(root.select("project", "node").distinct(), ["project", "node"], "left_semi").select("top", F.col("node").alias("root"), (F.col("pre") + 1).alias("first"), (F.col("pre") + F.col("size")).alias("end"), "most")
+    return containing(rows.select("project", "top", "node", "pre", "most"), "pre", below, "first", "end", ["top"]).select("project", "node", "root")
 
 
 def filter_tree(merges: DataFrame, omit: DataFrame) -> DataFrame:
     """The tree without the leaves under omitted nodes: a node keeps a merge only if both sides keep a leaf;
     where one side keeps none, its parent is replaced by the other side."""
-    edges = tree_edges(merges)
-    up = closure(edges, "project")
-    gone = omit.select("project", "node").unionByName(
-        up.join(omit.select("project", F.col("node").alias("ancestor")), ["project", "ancestor"], "left_semi").select("project", F.col("child").alias("node"))
-    ).distinct()
-    alive = leaves(merges, up).join(gone.select("project", F.col("node").alias("leaf")), ["project", "leaf"], "left_anti")
-    live = alive.select("project", "node").distinct()
+    t = Tree(merges)
+    marked = t.nodes.join(omit.select("project", "node").distinct().withColumn("_omit", F.lit(1)), ["project", "node"], "left").select("id", "leaf", F.coalesce("_omit", F.lit(0)).alias("n"))
+    marked = kept(marked, "omitted")
+    gone = marked.select("id", "leaf").join(t.climb(marked, "n"), "id")
+    live = t.fold(gone.select("id", (F.col("leaf") & (F.col("n") == 0)).cast("long").alias("live")), {"live": F.sum})
+    live = kept(t.named(live.where("live > 0")), "live")
     for side in ("a", "b"):
         mark = live.select("project", F.col("node").alias(f"child_{side}"), F.lit(True).alias(f"_{side}"))
         merges = merges.join(mark, ["project", f"child_{side}"], "left")
     a, b = (F.coalesce(f"_{s}", F.lit(False)) for s in "ab")
     marked = kept(merges.withColumn("_stay", a & b).withColumn("_to", F.when(a & ~b, F.col("child_a")).when(b & ~a, F.col("child_b"))), "tree")
-    # a chain of replaced parents ends at the first node that stays: the deepest single child below
-    step = marked.where(F.col("_to").isNotNull()).select("project", F.col("parent").alias("child"), F.col("_to").alias("parent"))
-    chain = closure(step, "project")
-    end = chain.groupBy("project", "child").agg(F.max_by("ancestor", "most").alias("_end"))
+    # a chain of replaced parents ends at the first node that stays
+    end = chain_ends(marked.where(F.col("_to").isNotNull()).select("project", F.col("parent").alias("node"), F.col("_to").alias("to")), "project")
     out = marked.where("_stay").select("project", "step", "child_a", "child_b", "parent", "score")
     for side in ("a", "b"):
-        e = end.select("project", F.col("child").alias(f"child_{side}"), F.col("_end").alias(f"_e{side}"))
+        e = end.select("project", F.col("node").alias(f"child_{side}"), F.col("end").alias(f"_e{side}"))
         out = out.join(e, ["project", f"child_{side}"], "left").withColumn(f"child_{side}", F.coalesce(f"_e{side}", f"child_{side}")).drop(f"_e{side}")
     return out.select("project", "step", "child_a", "child_b", "parent", "score")
 
 
+def cut_ladder(merges: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """(threshold, project, cluster, leaf) of the trees cut at each of the rising thresholds; unmerged leaves stand alone.
+
+    A cut keeps the merges before the first that exceeds its threshold, so one sum a project tells from which threshold on a merge is kept. A
+    node is a cluster from there until its parent is kept; the clusters of all thresholds then meet their leaves in one join of intervals.
+    """
+    n = len(thresholds)
+    first = merges.groupBy("project").agg(F.array(*[F.min(F.when(F.col("score") > t, F.col("step"))) for t in thresholds]).alias("_ends"))  # NaN exceeds all
+    late = F.aggregate("_ends", F.lit(0), lambda k, e: k + F.when(e <= F.col("step"), 1).otherwise(0))
+    since = merges.select("project", F.col("parent").alias("node"), "step").join(first, "project").select("project", "node", late.alias("since"))
+    t = Tree(merges)
+    rows = t.labels.join(since, ["project", "node"], "left").withColumn("since", F.coalesce("since", F.lit(0)))
+    until = since.select("project", F.col("node").alias("parent"), F.col("since").alias("until"))
+    rows = rows.join(until, ["project", "parent"], "left").withColumn("until", F.coalesce("until", F.lit(n)))
+    most = t.labels.select(F.col("id").alias("top"), F.col("many").alias("most"))
+    rows = kept(rows.join(most, "top").select("project", "top", "node", "leaf", "low", "many", "most", "since", "until"), "ladder")
+    tops = rows.where("since < until").select("top", F.col("node").alias("cluster"), F.col("low").alias("first"), (F.col("low") + F.col("many")).alias("end"), "most", "since", "until")
+    own = rows.where("leaf").select("project", "top", F.col("node").alias("_leaf"), "low", "most")
+    met = containing(own, "low", tops, "first", "end", ["top"])
+    cuts = F.explode(F.slice(F.array(*[F.lit(float(x)) for x in thresholds]), F.col("since") + 1, F.col("until") - F.col("since")))
+    return met.select(cuts.alias("threshold"), "project", "cluster", F.col("_leaf").alias("leaf"))
+
+
 def cut_tree(merges: DataFrame, threshold: float) -> DataFrame:
     """(project, cluster, leaf) of the tree cut where a merge first exceeds the threshold; unmerged leaves stand alone."""
-    low = kept(running_cut(merges, threshold), "cut")
-    tops = roots(low)
-    below = leaves(low).join(tops, ["project", "node"], "left_semi").select("project", F.col("node").alias("cluster"), "leaf")
-    edges = tree_edges(merges)
-    own = edges.join(edges.select("project", F.col("parent").alias("child")), ["project", "child"], "left_anti").select("project", F.col("child").alias("leaf")).distinct()
-    alone = own.join(below.select("project", "leaf"), ["project", "leaf"], "left_anti").select("project", F.col("leaf").alias("cluster"), "leaf")
-    return below.unionByName(alone)
+    return cut_ladder(merges, (threshold,)).drop("threshold")
 
 
 def node_keys(merges: DataFrame) -> DataFrame:
@@ -222,58 +262,33 @@ def node_keys(merges: DataFrame) -> DataFrame:
     return ids.select("project", "node", fn.cluster_key(F.col("ids")).alias("key"))
 
 
-def cut_ladder(merges: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """(threshold, project, cluster, leaf) of the trees cut at each threshold."""
-    return reduce(DataFrame.unionByName, [cut_tree(merges, t).select(F.lit(t).alias("threshold"), "project", "cluster", "leaf") for t in thresholds])
-
-
-def folded_text(merges: DataFrame, leaf: Callable[[Column], Column], join: Callable[..., Column], *more: str) -> DataFrame:
-    """(project, node, text) of each root: texts of children joined upwards, level by level.
-
-    ``leaf`` makes a leaf's text of its id; ``join`` a parent's of both children's texts, its id, its score and the columns ``more``.
-    One row holds a tree's whole text. Merges that none of the leaves leads up to (a cycle) are an error.
-    """
-    columns = ["project", "child_a", "child_b", "parent", "score", *more]
-    todo = kept(merges.select(*columns), "fold")
-    edges = tree_edges(merges)
-    own = edges.join(edges.select("project", F.col("parent").alias("child")), ["project", "child"], "left_anti").select("project", F.col("child").alias("node")).distinct()
-    ready = kept(own.withColumn("text", leaf(F.col("node"))), "fold")
-    tops, done = kept(roots(merges), "fold"), Rounds(merges.sparkSession, "folded")
-    while not todo.isEmpty():
-        a, b = (ready.select("project", F.col("node").alias(f"child_{s}"), F.col("text").alias(f"_{s}")) for s in "ab")
-        both = todo.join(a, ["project", "child_a"]).join(b, ["project", "child_b"])
-        made = kept(both.select("project", F.col("parent").alias("node"), join(F.col("_a"), F.col("_b"), F.col("parent"), F.col("score"), *map(F.col, more)).alias("text")), "fold")
-        if made.isEmpty():
-            raise ValueError("the merges have a cycle")
-        done.add(made.join(tops, ["project", "node"], "left_semi"))
-        todo = kept(todo.join(made.select("project", F.col("node").alias("parent")), ["project", "parent"], "left_anti").select(*columns), "fold")
-        waited = tree_edges(todo).select("project", F.col("child").alias("node")).distinct()
-        ready = kept(ready.unionByName(made).join(waited, ["project", "node"], "left_semi").select("project", "node", "text"), "fold")
-    return done.all() if done.n else ready
+def walk_text(merges: DataFrame, enter: Callable[[], Column], leave: Callable[[], Column]) -> DataFrame:
+    """(project, node, text) of each root: what ``enter`` and ``leave`` give for its nodes (columns of ``Tree.labels``, score and branch_length of the merge, and _length of
+    the merge above), put together in the order of a walk through the tree. A leaf is only entered. One row holds a tree's whole text."""
+    long = branch_lengths(merges).select("project", F.col("parent").alias("node"), "score", "branch_length")
+    labels = Tree(merges).labels
+    rows = labels.join(long, ["project", "node"], "left").join(long.select("project", F.col("node").alias("parent"), F.col("branch_length").alias("_length")), ["project", "parent"], "left")
+    second = F.when(F.col("side") == 1, F.lit(",")).otherwise(F.lit(""))
+    tokens = rows.select("top", F.explode(F.array(F.struct(F.col("enter").alias("at"), F.concat(second, enter()).alias("token")), F.struct(F.col("leave").alias("at"), F.when(~F.col("leaf"), leave()).alias("token")))).alias("t"))
+    text = tokens.where("t.token IS NOT NULL").groupBy("top").agg(F.array_sort(F.collect_list("t")).alias("t")).select("top", F.array_join(F.transform("t", lambda x: x["token"]), "").alias("text"))
+    return labels.where("id = top").select("project", "node", "top").join(text, "top").select("project", "node", "text")
 
 
 def newick(merges: DataFrame) -> DataFrame:
-    return folded_text(merges, lambda n: n.cast("string"), lambda a, b, p, s: F.concat(F.lit("("), a, F.lit(","), b, F.lit(")")))
+    name = F.col("node").cast("string")
+    return walk_text(merges, lambda: F.when(F.col("leaf"), name).otherwise(F.lit("(")), lambda: F.lit(")"))
 
 
 def newick_lengths(merges: DataFrame) -> DataFrame:
     """As ``(a:l,b:l)cP``: both branches have the length that ``branch_lengths`` gives the merge, and P is the parent's id."""
-
-    def joined(a: Column, b: Column, parent: Column, score: Column, length: Column) -> Column:
-        n = F.concat(F.lit(":"), length.cast("string"))
-        return F.concat(F.lit("("), a, n, F.lit(","), b, n, F.lit(")c"), parent.cast("string"))
-
-    return folded_text(branch_lengths(merges), lambda n: n.cast("string"), joined, "branch_length")
+    name, length = F.col("node").cast("string"), F.coalesce(F.concat(F.lit(":"), F.col("_length").cast("string")), F.lit(""))
+    return walk_text(merges, lambda: F.when(F.col("leaf"), F.concat(name, length)).otherwise(F.lit("(")), lambda: F.concat(F.lit(")c"), name, length))
 
 
 def json_tree(merges: DataFrame) -> DataFrame:
     """Nested {"id", "name", "score", "data": {"branch_length"}, "children"}; a leaf has neither score nor data. Ids are escaped."""
-    text = lambda n: F.regexp_replace(F.to_json(F.array(n.cast("string"))), r"^\[|\]$", "")
+    name = F.regexp_replace(F.to_json(F.array(F.col("node").cast("string"))), r"^\[|\]$", "")
     number = lambda x: F.coalesce(F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit("null")).otherwise(x.cast("string")), F.lit("null"))
-    named = lambda n: F.concat(F.lit('{"id":'), text(n), F.lit(',"name":'), text(n))
-
-    def joined(a: Column, b: Column, parent: Column, score: Column, length: Column) -> Column:
-        data = F.concat(F.lit(',"score":'), number(score), F.lit(',"data":{"branch_length":'), number(length), F.lit("}"))
-        return F.concat(named(parent), data, F.lit(',"children":['), a, F.lit(","), b, F.lit("]}"))
-
-    return folded_text(branch_lengths(merges), lambda n: F.concat(named(n), F.lit(',"children":[]}')), joined, "branch_length")
+    named = F.concat(F.lit('{"id":'), name, F.lit(',"name":'), name)
+    data = F.concat(F.lit(',"score":'), number(F.col("score")), F.lit(',"data":{"branch_length":'), number(F.col("branch_length")), F.lit("}"))
+    return walk_text(merges, lambda: F.concat(named, F.when(F.col("leaf"), F.lit(',"children":[]}')).otherwise(F.concat(data, F.lit(',"children":[')))), lambda: F.lit("]}"))

@@ -6,9 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from dendrospark.functions import scalar as fn
+from dendrospark.operators.intervals import containing, depth_at
+from dendrospark.operators.storage import kept
+from dendrospark.operators.windows import numbered
 
 # filters --------------------------------------------------------------------------------
 
@@ -101,12 +103,30 @@ def mapped_ids(rows: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
     return rows.join(m, column, "left").withColumn(column, new).drop("_new")
 
 
-def all_pairs(items: DataFrame, order: str, *values: str, with_self: bool = False) -> DataFrame:
+#: Items of a project on one side of a tile.
+TILE = 4096
+
+
+def tiled(left: DataFrame, right: DataFrame, by: tuple[str, str], tile: int = TILE) -> DataFrame:
+    """Each row of ``left`` with each of ``right`` of its project, a tile of both a group: a large project is dealt as many tiles, each row going to those of its strip.
+
+    ``by``: a column of each side that spreads its rows over strips. Projects that only one side has get no rows. Other names must differ.
+    """
+    strips = lambda df, name: df.groupBy("project").agg(F.ceil(F.count("*") / tile).cast("int").alias(name))
+    both = strips(left, "_ln").join(strips(right, "_rn"), "project")
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = left.join(both, "project").withColumn("_li", own(by[0], "_ln")).withColumn("_ri", every("_rn")).drop("_ln", "_rn")
+    b = right.join(both, "project").withColumn("_ri", own(by[1], "_rn")).withColumn("_li", every("_ln")).drop("_ln", "_rn")
+    return a.join(b, ["project", "_li", "_ri"]).drop("_li", "_ri")
+
+
+def all_pairs(items: DataFrame, order: str, *values: str, with_self: bool = False, tile: int = TILE) -> DataFrame:
     """The upper triangle of each project's items: columns of the left with 1, of the right with 2."""
     a = items.select("project", *[F.col(c).alias(f"{c}1") for c in (order, *values)])
     b = items.select("project", *[F.col(c).alias(f"{c}2") for c in (order, *values)])
     x, y = F.col(f"{order}1"), F.col(f"{order}2")
-    return a.join(b, "project").where(x <= y if with_self else x < y)
+    return tiled(a, b, (f"{order}1", f"{order}2"), tile).where(x <= y if with_self else x < y)
 
 
 def triangle_complete(pairs: DataFrame, hits: DataFrame, missing: float = 0.02, name: str = "dist") -> DataFrame:
@@ -118,14 +138,26 @@ def triangle_complete(pairs: DataFrame, hits: DataFrame, missing: float = 0.02,
     return out.withColumn(name, value).drop("_f", "_r")
 
 
+def _lives(births: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Merges and nodes with ``most``, their project's last step; a node lives from ``first`` to before ``end``."""
+    last = merges.groupBy("project").agg(F.max("step").cast("long").alias("most"))
+    lives = births.join(last, "project").select("project", "node", (F.col("birth") + 1).alias("first"), F.coalesce("death", F.col("most") + 1).alias("end"), "most")
+    return merges.select("project", "step", "parent").join(last, "project"), lives
+
+
 def alive_at(births: DataFrame, merges: DataFrame) -> DataFrame:
     """For each merge, the nodes made before it and not merged up to it, other than its parent.
 
-    ``births``: project, node, birth, death (null: never).
+    ``births``: project, node, birth (-1 or more), death (null: never). Steps aren't negative.
     """
-    m = merges.select("project", "step", "parent")
-    alive = (F.col("birth") < F.col("step")) & (F.col("death").isNull() | (F.col("death") > F.col("step")))
-    return m.join(births, "project").where(alive).select("project", "step", "parent", F.col("node").alias("other"))
+    points, lives = _lives(births, merges)
+    return containing(points, "step", lives, "first", "end", ["project"]).select("project", "step", "parent", F.col("node").alias("other"))
+
+
+def alive_counts(births: DataFrame, merges: DataFrame) -> DataFrame:
+    """How many nodes ``alive_at`` gives for each merge, without making them."""
+    points, lives = _lives(births, merges)
+    return depth_at(points, "step", lives, "first", "end", ["project"]).select("project", "step", "parent", "n")
 
 
 def score_compare(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -188,16 +220,15 @@ def sample_pairs(pairs: DataFrame, rows: int, order: Column) -> DataFrame:
 
 def centre_pairs(ids: DataFrame, order: Column, least: int = 10, share: int = 100) -> DataFrame:
     """max(least, n / share) centres of each project by ``order``, each with every other id that isn't a centre."""
-    n = F.count("*").over(Window.partitionBy("project"))
-    at = F.row_number().over(Window.partitionBy("project").orderBy(order, "id"))
-    marked = ids.withColumn("centre", at <= F.greatest(F.lit(least), F.floor(n / share)))
+    n = ids.groupBy("project").agg(F.count("*").alias("_n"))
+    marked = kept(numbered(ids, ["project"], [order, F.col("id")], "_at").join(n, "project").select("project", "id", (F.col("_at") <= F.greatest(F.lit(least), F.floor(F.col("_n") / share))).alias("centre")), "centres")
     a = marked.where("centre").select("project", F.col("id").alias("id1"))
-    return a.join(marked.where("not centre").select("project", F.col("id").alias("id2")), "project")
+    return tiled(a, marked.where("not centre").select("project", F.col("id").alias("id2")), ("id1", "id2"))
 
 
 def first_rows(rows: DataFrame, most: int, *order: Column) -> DataFrame:
     """At most ``most`` rows of each project."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("project").orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+    return numbered(rows, ["project"], order, "_n").where(F.col("_n") <= most).drop("_n")
 
 
 def with_details(rows: DataFrame, *tables: tuple[DataFrame, str, str]) -> DataFrame:

@@ -27,34 +27,46 @@ def dense_rank_over_all(df: DataFrame, keys: Sequence[Column], name: str) -> Dat
     )
 
 
+def numbered(df: DataFrame, groups: Sequence[str], keys: Sequence[Column], name: str) -> DataFrame:
+    """Rows numbered from 1 in the order of ``keys`` in each of ``groups``, without a task that holds a group.
+
+    As ``dense_rank_over_all``, with the rows before a range summed by group: of each a row a range that it reaches into.
+    """
+    order = [*map(F.col, groups), *keys]
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    ranged = kept(ranged, "ranges").withColumns({"_part": F.shiftrightunsigned("_m", 33), "_in": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
+    cells = ranged.groupBy("_part", *groups).agg(F.count("*").alias("_n"), F.min("_in").alias("_first"))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = cells.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_base"))
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    out = ranged.join(bases, same).withColumn(name, (F.col("_in") + F.col("_base")).cast("long"))
+    return out.drop("_m", "_part", "_in", "_p", "_base", *[f"_g{i}" for i in range(len(groups))])
+
+
 def renumber(df: DataFrame, group: str, order: Sequence[Column], name: str = "working_id", prefix: str = "working_", offset: Column | int = 0) -> DataFrame:
     """``working_1`` and on in each group, after ``offset`` that are there already."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(*order)) + offset
-    return df.withColumn(name, F.concat(F.lit(prefix), n.cast("string")))
+    return numbered(df, [group], order, "_n").withColumn(name, F.concat(F.lit(prefix), (F.col("_n") + offset).cast("string"))).drop("_n")
 
 
 def partition_projects(sizes: DataFrame, key: str, count: str, least: int = 1000) -> DataFrame:
-    """Large compositions get project 1, 2, ... by size; all others share the next number.
-
-    Only the large ones are ordered: at most a ``least``-th of all counted rows.
-    """
+    """Large compositions get project 1, 2, ... by size; all others share the next number."""
     large = sizes.where(F.col(count) >= least)
-    order = Window.orderBy(F.desc(count), key)
-    numbered = large.withColumn("project", F.row_number().over(order))
+    own = dense_rank_over_all(large, [F.desc(count), F.col(key)], "project").withColumn("project", F.col("project").cast("int"))
     pooled = sizes.where(F.col(count) < least)
     n = large.agg(F.count("*").alias("_n"))
-    return numbered.unionByName(pooled.join(F.broadcast(n)).withColumn("project", (F.col("_n") + 1).cast("int")).drop("_n"))
+    return own.select(*sizes.columns, "project").unionByName(pooled.join(F.broadcast(n)).withColumn("project", (F.col("_n") + 1).cast("int")).drop("_n"))
 
 
 def running_cut(merges: DataFrame, threshold: float, project: str = "project", step: str = "step", score: str = "score") -> DataFrame:
     """Merges before the first that exceeds the threshold, in each project."""
-    so_far = Window.partitionBy(project).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    return merges.withColumn("_max", F.max(score).over(so_far)).where(F.col("_max") <= threshold).drop("_max")
+    end = merges.groupBy(project).agg(F.min(F.when(F.col(score) > threshold, F.col(step))).alias("_end"))
+    return merges.join(end, project).where(F.col("_end").isNull() | (F.col(step) < F.col("_end"))).select(*merges.columns)
 
 
 def chunks(df: DataFrame, size: int, group: str, order: Sequence[Column], name: str = "chunk") -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn(name, F.floor((n - 1) / size).cast("long"))
+    return numbered(df, [group], order, "_n").withColumn(name, F.floor((F.col("_n") - 1) / size).cast("long")).drop("_n")
 
 
 def ordered_pairs(merges: DataFrame, project: str = "project") -> DataFrame:

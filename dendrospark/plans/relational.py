@@ -457,7 +457,10 @@ def _(spark, d):
     return wn.partition_projects(read(spark, d, "part").groupBy("p_type").agg(F.count("*").alias("n")), "p_type", "n", 20)
 
 
-@query("WN-03_merge_mda_run")
+# of runs of places where the list begins, one after the other at its length, every second is taken; roles don't repeat in the list, so no two overlap
+@query("WN-03_merge_mda_run", """WITH r AS (SELECT conv_id AS protein, turn * 20 AS start, turn * 20 + 15 AS stop, role AS family, lead(role) OVER w AS nf, lead(turn) OVER w * 20 AS ns, lead(turn) OVER w * 20 + 15 AS np FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role)),
+f AS (SELECT *, family = 'user' AND coalesce(nf, '') = 'assistant' AS fits FROM r), g AS (SELECT *, lag(fits, 1, false) OVER (PARTITION BY protein ORDER BY start, family) AS tail FROM f)
+SELECT protein, CASE WHEN fits THEN 'user-assistant' ELSE family END AS family, CASE WHEN fits THEN CASE WHEN ns - stop <= 10 THEN start || '-' || np ELSE start || '-' || stop || '_' || ns || '-' || np END ELSE start || '-' || stop END AS segments FROM g WHERE fits OR NOT tail""")
 def _(spark, d):
     rows = read(spark, d, "conversations").select(F.col("conv_id").alias("protein"), (F.col("turn") * 20).alias("start"), (F.col("turn") * 20 + 15).alias("stop"), F.col("role").alias("family"))
     return wn.merge_runs(rows, ["user", "assistant"]).select("protein", "family", fn.render_segments(F.col("segments")).alias("segments"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dendrospark.operators import hierarchy as h
+from dendrospark.operators import relational as rel
 from dendrospark.operators import windows as wn
 from dendrospark.plans.common import Registry, read
 
@@ -138,7 +139,7 @@ def _(spark, d):
 
 @query("GR-13_node_ancestors", f"WITH {_MUP} SELECT child, ancestor FROM up")
 def _(spark, d):
-    return h.closure(h.tree_edges(part_merges(spark, d)), "project").select("child", "ancestor")
+    return h.node_ancestors(part_merges(spark, d)).select("child", "ancestor")
 
 
 @query("GR-14_node_leaves", f"WITH {_MUP}, {_LEAF} SELECT node, leaf FROM lv")
@@ -150,7 +151,7 @@ def _(spark, d):
 def _(spark, d):
     e = h.tree_edges(part_merges(spark, d))
     chosen = e.where("CAST(child AS BIGINT) % 7 = 3").select("project", F.col("child").alias("node"))
-    return h.without_nested(chosen, h.closure(e, "project")).select("node")
+    return h.without_nested(part_merges(spark, d), chosen).select("node")
 
 
 @query("GR-16_subtree_nodes", f"""WITH RECURSIVE {_M}, ok AS (SELECT * FROM te WHERE parent NOT IN (SELECT parent FROM te WHERE CAST(child AS BIGINT) % 11 = 5)),
@@ -162,7 +163,11 @@ def _(spark, d):
     return h.subtree_nodes(m, root, omit).select("node", "root")
 
 
-@query("GR-17_filter_tree")
+@query("GR-17_filter_tree", f"""WITH {_MUP}, {_LEAF}, o AS (SELECT child AS node FROM te WHERE CAST(child AS BIGINT) % 5 = 2 AND CAST(child AS BIGINT) > 30), gone AS (SELECT node FROM o UNION SELECT child FROM up WHERE ancestor IN (FROM o)),
+live AS (SELECT DISTINCT node FROM lv WHERE leaf NOT IN (FROM gone)), mk AS (SELECT *, child_a IN (FROM live) AS a, child_b IN (FROM live) AS b FROM m),
+hop AS (SELECT parent AS node, CASE WHEN a THEN child_a ELSE child_b END AS nxt FROM mk WHERE a <> b), ch AS (SELECT node, nxt FROM hop UNION ALL SELECT ch.node, hop.nxt FROM ch JOIN hop ON hop.node = ch.nxt),
+fin AS (SELECT node, nxt FROM ch WHERE nxt NOT IN (SELECT node FROM hop))
+SELECT 'p' AS project, step, coalesce(x.nxt, child_a) AS child_a, coalesce(y.nxt, child_b) AS child_b, parent, score FROM mk LEFT JOIN fin x ON x.node = child_a LEFT JOIN fin y ON y.node = child_b WHERE a AND b""")
 def _(spark, d):
     m = part_merges(spark, d)
     omit = h.tree_edges(m).where("CAST(child AS BIGINT) % 5 = 2 AND CAST(child AS BIGINT) > 30").select("project", F.col("child").alias("node"))
@@ -187,8 +192,10 @@ def _(spark, d):
 
 @query("GR-20_propagate_members", f"WITH {_MUP}, {_LEAF} SELECT node, CAST(sum(p_size) AS BIGINT) AS members FROM lv JOIN part ON p_partkey = CAST(leaf AS BIGINT) GROUP BY node")
 def _(spark, d):
-    size = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("leaf"), "p_size")
-    return h.leaves(part_merges(spark, d)).join(size, "leaf").groupBy("node").agg(F.sum("p_size").alias("members"))
+    m = part_merges(spark, d)
+    inner = m.select(F.col("parent").alias("node"))
+    size = read(spark, d, "part").select(F.lit("p").alias("project"), F.col("p_partkey").cast("string").alias("node"), F.col("p_size").cast("long").alias("members")).join(inner, "node", "left_anti")
+    return h.propagated(m, size, members=F.sum).select("node", "members")
 
 
 _CUT = "mm AS (SELECT * FROM m WHERE score <= 0.005), ct AS (SELECT child_a AS child, parent FROM mm UNION ALL SELECT child_b, parent FROM mm)"
@@ -201,7 +208,12 @@ def _(spark, d):
     return h.cut_tree(part_merges(spark, d), 0.005).select("cluster", "leaf")
 
 
-@query("GR-21_cut_ladder")
+@query("GR-21_cut_ladder", f"""WITH RECURSIVE {_M}, th AS (SELECT unnest([{', '.join(map(repr, h.THRESHOLDS))}]::DOUBLE[]) AS threshold), mm AS (SELECT threshold, m.* FROM th, (SELECT *, max(score) OVER (ORDER BY step) AS so_far FROM m) m WHERE so_far <= threshold),
+ct AS (SELECT threshold, child_a AS child, parent FROM mm UNION ALL SELECT threshold, child_b, parent FROM mm),
+up AS (SELECT threshold, child, parent AS ancestor FROM ct UNION ALL SELECT up.threshold, up.child, ct.parent FROM up JOIN ct ON ct.threshold = up.threshold AND ct.child = up.ancestor),
+lf AS (SELECT child FROM te WHERE child NOT IN (SELECT parent FROM te))
+SELECT threshold, ancestor AS cluster, child AS leaf FROM up WHERE child IN (FROM lf) AND NOT EXISTS (SELECT 1 FROM ct WHERE ct.threshold = up.threshold AND ct.child = up.ancestor)
+UNION ALL SELECT threshold, child, child FROM th, lf WHERE NOT EXISTS (SELECT 1 FROM ct WHERE ct.threshold = th.threshold AND ct.child = lf.child)""")
 def _(spark, d):
     return h.cut_ladder(part_merges(spark, d)).select("threshold", "cluster", "leaf")
 
@@ -213,8 +225,7 @@ def _(spark, d):
 
 @query("GR-22_tree_heights", f"WITH {_MUP}, {_LEAF} SELECT node, max(depth) AS height, min(depth) AS min_height FROM lv GROUP BY node")
 def _(spark, d):
-    m = part_merges(spark, d)
-    return h.heights(m).join(h.heights(m, F.min).withColumnRenamed("height", "min_height"), ["project", "node"]).select("node", "height", "min_height")
+    return h.heights(part_merges(spark, d), height=F.max, min_height=F.min).select("node", "height", "min_height")
 
 
 @query("GR-24_resolve_merges", f"WITH {_MUP}, {_LEAF} SELECT node, CASE WHEN count(*) = 1 THEN min(leaf) ELSE 'n0de_' || md5(string_agg(leaf, '' ORDER BY CAST(leaf AS BIGINT))) END AS key FROM lv GROUP BY node")
@@ -227,14 +238,13 @@ def _(spark, d):
     return wn.ordered_pairs(part_merges(spark, d)).select("parent", "first", "second")
 
 
-def _later_scans(m):
-    from dendrospark.operators.relational import alive_at
-
+def _births(m):
+    """When each node is made (-1: a leaf) and merged."""
     e = h.tree_edges(m)
     deaths = e.join(m.select("project", "parent", F.col("step").alias("death")), ["project", "parent"]).select("project", F.col("child").alias("node"), "death")
     births = m.select("project", F.col("parent").alias("node"), F.col("step").alias("birth"))
     births = births.unionByName(e.select("project", F.col("child").alias("node")).distinct().join(births, ["project", "node"], "left_anti").withColumn("birth", F.lit(-1).cast("long")))
-    return alive_at(births.join(deaths, ["project", "node"], "left"), m).select("project", "step", "other")
+    return births.join(deaths, ["project", "node"], "left")
 
 
 #: Parts in one of the small trees.
@@ -258,7 +268,17 @@ e AS (SELECT project, CAST(2 * k AS VARCHAR) AS child, step AS death FROM m UNIO
 nodes AS (SELECT project, parent AS node, step AS birth FROM m UNION ALL SELECT project, child, -1 FROM e WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.project = e.project AND m.parent = e.child))
 SELECT m.project, m.step, o.node AS other FROM m JOIN nodes o ON o.project = m.project LEFT JOIN e ON e.project = o.project AND e.child = o.node WHERE birth < m.step AND (death IS NULL OR death > m.step)""")
 def _(spark, d):
-    return _later_scans(small_merges(spark, d))
+    m = small_merges(spark, d)
+    return rel.alive_at(_births(m), m).select("project", "step", "other")
+
+
+@query("JN-12_later_scan_counts", f"""WITH {_M}, b AS (SELECT parent AS node, step AS birth FROM m UNION ALL SELECT child, -1 FROM te WHERE child NOT IN (SELECT parent FROM m)),
+dd AS (SELECT child AS node, step AS death FROM te JOIN m USING (parent))
+SELECT m.step, m.parent, count(b.node) AS n FROM m LEFT JOIN (b LEFT JOIN dd USING (node)) ON birth < m.step AND (death IS NULL OR death > m.step) GROUP BY m.step, m.parent""")
+def _(spark, d):
+    """One tree over all parts: how many nodes each merge's new node is to be compared with."""
+    m = part_merges(spark, d)
+    return rel.alive_counts(_births(m), m).select("step", "parent", "n")
 
 
 @query("SRC-10_trace_sink", f"""WITH {_M}, s AS (SELECT *, row_number() OVER (ORDER BY step) AS i FROM m), nm AS (SELECT parent AS node, 'merge_node_' || i AS name FROM s)
@@ -269,18 +289,24 @@ def _(spark, d):
     return trace_rows(part_merges(spark, d)).drop("project")
 
 
-@query("SRC-11_newick_sink")
+# a walk: what a node begins with is sorted by its way from the root (0 the first side, 1 the second), what it ends with comes after all below
+_WALK = f"""RECURSIVE {_M}, sd AS (SELECT parent, child_a AS child, '0' AS side FROM m UNION ALL SELECT parent, child_b, '1' FROM m),
+w AS (SELECT DISTINCT parent AS node, '' AS way, '' AS side FROM m WHERE parent NOT IN (SELECT child FROM te) UNION ALL SELECT sd.child, w.way || sd.side, sd.side FROM w JOIN sd ON sd.parent = w.node)"""
+
+
+@query("SRC-11_newick_sink", f"""WITH {_WALK}, tk AS (SELECT way AS k, CASE WHEN side = '1' THEN ',' ELSE '' END || CASE WHEN node IN (SELECT parent FROM m) THEN '(' ELSE node END AS t FROM w UNION ALL SELECT way || '2', ')' FROM w WHERE node IN (SELECT parent FROM m))
+SELECT 'p' AS project, (SELECT node FROM w WHERE way = '') AS node, string_agg(t, '' ORDER BY k) AS text FROM tk""")
 def _(spark, d):
     return h.newick(part_merges(spark, d))
 
 
-@query("SRC-12_json_tree_sink")
+@query("SRC-12_json_tree_sink", f"""WITH {_WALK}, l AS (SELECT min(score) AS low FROM m), bl AS (SELECT parent, CASE WHEN score >= 0.001 THEN CAST(score AS VARCHAR) ELSE '1.0E-' || (length(bin(k)) - 1) END AS score,
+round(10 + (90 - 90 / log10(low) * CASE WHEN log10(score) = 0 THEN 1 ELSE log10(score) END), 2) AS len FROM m, l),
+tk AS (SELECT way AS k, CASE WHEN side = '1' THEN ',' ELSE '' END || '{{"id":"' || node || '","name":"' || node || '"' || CASE WHEN parent IS NULL THEN ',"children":[]}}' ELSE ',"score":' || score || ',"data":{{"branch_length":' || CAST(len AS VARCHAR) || '}},"children":[' END AS t FROM w LEFT JOIN bl ON parent = node
+UNION ALL SELECT way || '2', ']}}' FROM w WHERE node IN (SELECT parent FROM m))
+SELECT 'p' AS project, (SELECT node FROM w WHERE way = '') AS node, string_agg(t, '' ORDER BY k) AS text FROM tk""")
 def _(spark, d):
     return h.json_tree(part_merges(spark, d))
 
 
-# The names that the queries over whole tables had while others read subsets.
-for _name in ["JN-12_later_scans", "GR-04_common_ancestors", "GR-05_most_specific_common_ancestor", "GR-06_most_specific", "GR-06_most_general", "GR-09_annotation_specific", "GR-11_common_lineage"]:
-    query(f"{_name}_all", query.sql[_name])(query.queries[_name])
-
 QUERIES, ORACLE = query.queries, query.sql
