@@ -24,8 +24,8 @@ from dendrospark.llm.common import clearing, scratch, small, table, written
 ARITY = 3
 #: An id is the first leaf's number times this, plus the level; levels above the sources' subroots begin at half of it.
 LEVELS = 128
-#: Rows of nodes near the root that are sent to every task: whole levels, from the top.
-UPPER = 50_000
+#: Rows of nodes near the root that are sent to every task: whole levels, from the top. A row is about 150 bytes.
+UPPER = 200_000
 
 
 def digest(*parts: Column) -> Column:
@@ -68,18 +68,20 @@ def numbered(rows: DataFrame, group: str, *order: Column) -> DataFrame:
 def levels(nodes: DataFrame, most: int, arity: int, first: int = 0) -> tuple[list[DataFrame], DataFrame]:
     """Runs of each level, and the last node of each tree (start, id, h), for trees of ``nodes`` (start, size, pos, id, h).
 
-    A run is its parent (start, size of the parents' level, pos, id, h) and its nodes in order (kids). ``most``: the largest size.
+    A run is its parent (start, size of the parents' level, pos, id, h) and its nodes in order (kids). ``most``: the largest size. Kids keep a
+    column ``folded`` of the first nodes.
     """
     runs, last, level = [], [nodes.where("size = 1").select("start", "id", "h")], 0
+    more = [c for c in ("folded",) if c in nodes.columns]
     while most > 1:
         most, level = -(-most // arity), level + 1
         up = nodes.where("size > 1").groupBy("start", F.ceil(F.col("size") / arity).alias("size"), F.floor(F.col("pos") / arity).alias("pos"))
-        up = up.agg(F.array_sort(F.collect_list(F.struct("pos", "id", "h"))).alias("kids"))
+        up = up.agg(F.array_sort(F.collect_list(F.struct("pos", "id", "h", *more))).alias("kids"))
         own = (F.col("start") + F.col("pos") * arity**level) * LEVELS + (first + level)
         joined = F.array_join(F.transform("kids", lambda k: text_of(k["h"])), "")
         made = written(up.select("start", "size", "pos", own.alias("id"), digest(joined).alias("h"), "kids"), "runs")
         runs.append(made)
-        nodes = made.select("start", "size", "pos", "id", "h")
+        nodes, more = made.select("start", "size", "pos", "id", "h"), []
         last.append(nodes.where("size = 1").select("start", "id", "h"))
     out = last[0]
     for more in last[1:]:
@@ -87,20 +89,30 @@ def levels(nodes: DataFrame, most: int, arity: int, first: int = 0) -> tuple[lis
     return runs, out
 
 
-def linked(runs: Sequence[DataFrame]) -> DataFrame:
-    """(node, parent, left, right): each node of the runs with the digests of its siblings on both sides."""
+def linked(runs: Sequence[DataFrame], *more: str) -> DataFrame:
+    """(node, parent, left, right, ...): each node of the runs with the digests of its siblings on both sides, and its columns ``more``."""
     out = None
     for one in runs:
-        own = one.select(F.col("id").alias("parent"), "kids", F.posexplode(F.transform("kids", lambda k: k["id"])).alias("i", "node"))
+        own = one.select(F.col("id").alias("parent"), "kids", F.posexplode("kids").alias("i", "kid"))
         side = lambda kids: F.unhex(F.array_join(F.transform(kids, lambda k: F.hex(k["h"])), ""))
-        own = own.select("node", "parent", side(F.slice("kids", F.lit(1), F.col("i"))).alias("left"), side(F.slice("kids", F.col("i") + 2, F.size("kids"))).alias("right"))
+        sides = [side(F.slice("kids", F.lit(1), F.col("i"))).alias("left"), side(F.slice("kids", F.col("i") + 2, F.size("kids"))).alias("right")]
+        own = own.select(F.col("kid.id").alias("node"), "parent", *sides, *[F.col(f"kid.{c}").alias(c) for c in more])
         out = own if out is None else out.unionByName(own)
     return out
 
 
+def begun(leaves: DataFrame, first: Sequence[DataFrame]) -> DataFrame:
+    """(leaf, node, folded, proof): leaves after the first step, which their own runs hold; those without siblings or parents in their tree as they are."""
+    alone = leaves.where("size = 1").select(F.col("id").alias("leaf"), F.col("id").alias("node"), "folded", F.unhex(F.lit("")).alias("proof"))
+    if not first:
+        return alone
+    up = digest(F.lower(F.concat(F.hex("left"), F.hex("folded"), F.hex("right"))))
+    return alone.unionByName(linked(first, "folded").select(F.col("node").alias("leaf"), F.col("parent").alias("node"), up.alias("folded"), F.concat("left", "right").alias("proof")))
+
+
 CLIMB = """
 WITH RECURSIVE climb (leaf, step, node, folded, siblings) AS (
-  SELECT leaf, 0, node, folded, CAST(NULL AS BINARY) FROM {leaves}
+  SELECT leaf, 0, node, folded, proof FROM {leaves}
   UNION ALL
   SELECT {hint} c.leaf, c.step + 1, n.parent, unhex(sha2(lower(concat(hex(n.left), hex(c.folded), hex(n.right))), 256)), concat(n.left, n.right)
   FROM climb c JOIN {nodes} n ON n.node = c.node)
@@ -109,7 +121,7 @@ SELECT * FROM climb
 
 
 def climbed(leaves: DataFrame, nodes: DataFrame, few: bool) -> DataFrame:
-    """(leaf, node, folded, proof): where each leaf (leaf, node, folded) ends, what its digest is there, and what it has met on the way.
+    """(leaf, node, folded, proof): where each leaf (leaf, node, folded, proof) ends, what its digest is there, and what it has met on the way.
 
     A node without a row in ``nodes`` ends the climb. ``few``: the nodes are sent to every task, else stored in buckets. The query's settings hold only while it runs.
     """
@@ -128,7 +140,7 @@ def climbed(leaves: DataFrame, nodes: DataFrame, few: bool) -> DataFrame:
         for k, v in conf.items():
             spark.conf.set(k, v)
         met = spark.sql(CLIMB.format(**names)).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("step", "siblings"))).alias("way"), F.max(F.struct("step", "node", "folded")).alias("last"))
-        proof = F.unhex(F.array_join(F.transform("way", lambda w: F.hex(w["siblings"])), ""))  # null at the leaf itself, and left out
+        proof = F.unhex(F.array_join(F.transform("way", lambda w: F.hex(w["siblings"])), ""))
         return written(met.select("leaf", "last.node", "last.folded", proof.alias("proof")), "climbed")
     finally:
         for k, v in old.items():
@@ -141,17 +153,15 @@ def climbed(leaves: DataFrame, nodes: DataFrame, few: bool) -> DataFrame:
 
 
 def proofs(leaves: DataFrame, runs: Sequence[DataFrame], upper: int = UPPER) -> DataFrame:
-    """(leaf, folded, proof) of the whole way up for leaves (leaf, node, folded). ``runs``: of all levels, from below."""
+    """(leaf, folded, proof) of the whole way up for leaves (leaf, node, folded, proof so far). ``runs``: of all levels above, from below."""
     sizes = [one.agg(F.coalesce(F.sum(F.size("kids")), F.lit(0))).first()[0] for one in runs]
     cut = len(runs)
     while cut and sum(sizes[cut - 1 :]) <= upper:
         cut -= 1
-    met = leaves.withColumn("proof", F.unhex(F.lit("")))
     for part, few in ((runs[:cut], False), (runs[cut:], True)):
         if part:
-            way = climbed(met.select("leaf", "node", "folded"), linked(part), few)
-            met = written(met.select("leaf", F.col("proof").alias("before")).join(way, "leaf").select("leaf", "node", "folded", F.concat("before", "proof").alias("proof")), "proofs")
-    return met.select("leaf", "folded", "proof")
+            leaves = climbed(leaves, linked(part), few)
+    return leaves.select("leaf", "folded", "proof")
 
 
 def manifest(docs: DataFrame, tampered: Column, arity: int = ARITY, upper: int = UPPER) -> DataFrame:
@@ -172,13 +182,13 @@ def manifest(docs: DataFrame, tampered: Column, arity: int = ARITY, upper: int =
         if largest is None:
             empty = docs.select("doc_id", *[F.lit(None).cast("string").alias(c) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")], F.lit(None).cast("boolean").alias("verified"))
             return empty.where("false")
-        runs, tops = levels(leaves.select("start", "size", (F.col("at") - F.col("start")).alias("pos"), "id", "h"), largest, arity)
+        runs, tops = levels(leaves.select("start", "size", (F.col("at") - F.col("start")).alias("pos"), "id", "h", "folded"), largest, arity)
         tops = written(tops, "subroots")
         above = numbered(tops.withColumn("g", F.lit("")).drop("start").withColumn("first", F.floor(F.col("id") / LEVELS)), "g", F.col("first"))
         above = written(above.select("start", "size", F.col("at").alias("pos"), "id", "h"), "sources")
         more, ends = levels(above, above.agg(F.max("size")).first()[0], arity, LEVELS // 2)
         root = ends.first()
-        met = proofs(leaves.select(F.col("id").alias("leaf"), F.col("id").alias("node"), "folded"), [*runs, *more], upper)
+        met = proofs(begun(leaves, runs[:1]), [*runs[1:], *more], upper)
         subroots = tops.select("start", F.col("h").alias("subroot"))
         out = leaves.join(met.withColumnsRenamed({"leaf": "id", "folded": "up"}), "id").join(small(subroots), "start")
         top = F.lit(bytes(root["h"]).hex())
