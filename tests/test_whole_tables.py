@@ -33,21 +33,21 @@ def same(spark, name, want):
 def test_common_ancestors(spark, world):
     sets, up, tops = world
     common = {k: set.intersection(*[up[t] for t in s]) for k, s in sets.items()}
-    same(spark, "GR-04_common_ancestors_all", [(k, a) for k, c in common.items() for a in c])
+    same(spark, "GR-04_common_ancestors", [(k, a) for k, c in common.items() for a in c])
     best = [(k, min(s) if len(s) == 1 else min(a for a in common[k] if not any(a in up.get(o, ()) for o in common[k]))) for k, s in sets.items()]
-    same(spark, "GR-05_most_specific_common_ancestor_all", best)
+    same(spark, "GR-05_most_specific_common_ancestor", best)
     line = [(k, a) for k, c in common.items() if len(c) > 1 for a in c]
     few = [k for k, c in common.items() if len(c) < 2]
-    same(spark, "GR-11_common_lineage_all", line + [(k, "everything") for k in few] + [(k, a) for k in few for a in set().union(*[up[t] for t in sets[k]]) & tops])
+    same(spark, "GR-11_common_lineage", line + [(k, "everything") for k in few] + [(k, a) for k in few for a in set().union(*[up[t] for t in sets[k]]) & tops])
 
 
 def test_most_specific_and_general(spark, world):
     sets, up, _ = world
     mixed = {k: s | (set().union(*[up[t] for t in s]) - {"all"} if k.endswith("1") else set()) for k, s in sets.items()}
     low = [(k, t) for k, s in mixed.items() for t in s if not any(t in up.get(o, ()) for o in s)]
-    same(spark, "GR-06_most_specific_all", low)
-    same(spark, "GR-06_most_general_all", [(k, t) for k, s in mixed.items() for t in s if not up.get(t, set()) & s])
-    same(spark, "GR-09_annotation_specific_all", [(k, sum(x == k for x, _ in low)) for k in mixed])
+    same(spark, "GR-06_most_specific", low)
+    same(spark, "GR-06_most_general", [(k, t) for k, s in mixed.items() for t in s if not up.get(t, set()) & s])
+    same(spark, "GR-09_annotation_specific", [(k, sum(x == k for x, _ in low)) for k in mixed])
 
 
 def test_later_scans(spark):
@@ -63,6 +63,6 @@ def test_later_scans(spark):
             alive -= {2 * k, 2 * k + 1}
             want += [(str(tree), step, str(x)) for x in alive]
             alive.add(k)
-    got = queries.QUERIES["JN-12_later_scans_all"](spark, str(DATA))
+    got = queries.QUERIES["JN-12_later_scans"](spark, str(DATA))
     assert len(trees) > 1 and sum(map(len, trees.values())) == len(rows(spark, "part", "p_partkey"))
     assert want and sorted(map(tuple, got.select("project", "step", "other").collect())) == sorted(want)
