@@ -288,12 +288,17 @@ def test_forward_is_the_sum_over_paths():
 # 9, 10 --------------------------------------------------------------------------------------
 
 
-def test_warc(spark, monkeypatch):
-    rows = [(1, "u", "x"), (2, None, "x"), (3, "a\r\nb", None), (4, "u", ""), (None, "u", "x"), (5, "u", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n"), (5, "u", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n"), (None, "u", "é" * 5000)]
-    table = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, digest string")
+@pytest.mark.parametrize("few", [None, 0])
+def test_warc(spark, few):
+    """Digests sent to every task, and attached by page; one page of megabytes among small ones; every record of its own id, found by its index."""
+    import gzip
+
+    odd = "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n"
+    rows = [(1, "u", "x"), (2, None, "x"), (3, "a\r\nb", None), (4, "u", ""), (None, "u", "x"), (5, "u", odd), (5, "u", odd), (None, "u", "é" * 5000), (6, "u", "long " * 900_000)]
+    rows += [(100 + i, "u", f"page {i % 40}") for i in range(200)] + [(None, "u", "none"), (None, "u", "none"), (2, "u", "x"), (2, "u", "x")]
+    table = spark.createDataFrame([(*r, "z", 1) for r in rows], "page_id long, url string, html string, digest string, row int").repartition(2)
     path = scratch(spark, "warc")
-    monkeypatch.setattr(warc, "FILE_BYTES", 30_000)
-    warc.write_warc(warc.resolve(table), path)
+    index = warc.write_warc(warc.resolve(table, few=few), path, file_bytes=30_000).collect()
     got = [tuple(r)[:1] + tuple(r)[2:] for r in warc.resolved_headers(warc.read_warc(spark, path)).collect()]
     want = []
     for i, _, t in rows:
@@ -301,6 +306,14 @@ def test_warc(spark, monkeypatch):
         top = max((j for j, _, u in rows if (u or "").encode() == body and j is not None), default=None)
         want.append((i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if i == top else "revisit", None if i == top else top))
     assert sorted(got, key=str) == sorted(want, key=str)
+    assert len({r.record_id for r in index}) == len(rows)
+    folder = path.removeprefix("file:")
+    for r in index:
+        with open(f"{folder}/{r.file}", "rb") as f:
+            f.seek(r.offset)
+            data = gzip.decompress(f.read(r.length))
+        assert f"WARC-Record-ID: {r.record_id}".encode() in data and data.endswith(b"\r\n\r\n")
+    assert 3 <= len({r.file for r in index}) <= 16
     path = scratch(spark, "warc")
     warc.write_warc(warc.resolve(table.limit(0)), path)
     assert warc.resolved_headers(warc.read_warc(spark, path)).count() == 0
