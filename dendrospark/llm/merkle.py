@@ -120,10 +120,10 @@ SELECT * FROM climb
 """
 
 
-def climbed(leaves: DataFrame, nodes: DataFrame, few: bool) -> DataFrame:
+def climbed(leaves: DataFrame, nodes: DataFrame, few: bool, root: int | None = None, whole: bool = True) -> DataFrame:
     """(leaf, node, folded, proof): where each leaf (leaf, node, folded, proof) ends, what its digest is there, and what it has met on the way.
 
-    A node without a row in ``nodes`` ends the climb. ``few``: the nodes are sent to every task, else stored in buckets. The query's settings hold only while it runs.
+    ``root``: the node where all ways end, if they do. ``whole``: the proof itself, else the sha256 of its text. A node without a row in ``nodes`` ends the climb. ``few``: the nodes are sent to every task, else stored in buckets. The query's settings hold only while it runs.
     """
     spark = leaves.sparkSession
     tag = uuid.uuid4().hex
@@ -139,9 +139,10 @@ def climbed(leaves: DataFrame, nodes: DataFrame, few: bool) -> DataFrame:
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        met = spark.sql(CLIMB.format(**names)).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("step", "siblings"))).alias("way"), F.max(F.struct("step", "node", "folded")).alias("last"))
-        proof = F.unhex(F.array_join(F.transform("way", lambda w: F.hex(w["siblings"])), ""))
-        return written(met.select("leaf", "last.node", "last.folded", proof.alias("proof")), "climbed")
+        end = F.struct("step", "node", "folded") if root is None else F.when(F.col("node") == root, F.struct("step", "node", "folded"))
+        met = spark.sql(CLIMB.format(**names)).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("step", "siblings"))).alias("way"), F.max(end).alias("last"))
+        proof = F.array_join(F.transform("way", lambda w: F.hex(w["siblings"])), "")
+        return written(met.select("leaf", "last.node", "last.folded", (F.unhex(proof) if whole else digest(F.lower(proof))).alias("proof")), "climbed")
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
@@ -152,25 +153,32 @@ def climbed(leaves: DataFrame, nodes: DataFrame, few: bool) -> DataFrame:
             spark.sql(f"DROP TABLE IF EXISTS {names['nodes']}")
 
 
-def proofs(leaves: DataFrame, runs: Sequence[DataFrame], upper: int = UPPER) -> DataFrame:
-    """(leaf, folded, proof) of the whole way up for leaves (leaf, node, folded, proof so far). ``runs``: of all levels above, from below."""
+def proofs(leaves: DataFrame, runs: Sequence[DataFrame], root: int, upper: int = UPPER, whole: bool = True) -> DataFrame:
+    """(leaf, folded, proof) of the whole way up to ``root`` for leaves (leaf, node, folded, proof so far). ``runs``: of all levels above, from below.
+
+    ``whole``: siblings' digests, one after the other, else the sha256 of their text, which is much less to move.
+    """
     sizes = [one.agg(F.coalesce(F.sum(F.size("kids")), F.lit(0))).first()[0] for one in runs]
     cut = len(runs)
     while cut and sum(sizes[cut - 1 :]) <= upper:
         cut -= 1
-    for part, few in ((runs[:cut], False), (runs[cut:], True)):
-        if part:
-            leaves = climbed(leaves, linked(part), few)
+    if cut:
+        ends = cut == len(runs)
+        leaves = climbed(leaves, linked(runs[:cut]), False, root if ends else None, whole or not ends)
+    if cut < len(runs):
+        leaves = climbed(leaves, linked(runs[cut:]), True, root, whole)
+    elif not runs and not whole:
+        leaves = leaves.withColumn("proof", digest(text_of(F.col("proof"))))
     return leaves.select("leaf", "folded", "proof")
 
 
-def manifest(docs: DataFrame, tampered: Column, arity: int = ARITY, upper: int = UPPER) -> DataFrame:
+def manifest(docs: DataFrame, tampered: Column, arity: int = ARITY, upper: int = UPPER, with_proofs: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source, lang, n_chars): leaf, subroot, root, proof_sha256, folded_root, verified.
 
     ``tampered`` is the text to fold, against the siblings of the original. Leaves of a source ascend by doc_id (null first),
     rows of one id by digest; rows alike in all five columns take any order among themselves, each with its own place and proof. Null sources are a
     source of their own, the first. Nulls and empty texts are told apart in a leaf. A lone leaf has an empty proof. Other columns
-    are not read; an empty table gives no rows.
+    are not read; an empty table gives no rows. ``with_proofs``: a column ``proof`` too, the digests themselves.
     """
     with clearing(docs.sparkSession):
         group = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))  # the first is the smaller
@@ -181,20 +189,20 @@ def manifest(docs: DataFrame, tampered: Column, arity: int = ARITY, upper: int =
         largest = leaves.agg(F.max("size")).first()[0]
         if largest is None:
             empty = docs.select("doc_id", *[F.lit(None).cast("string").alias(c) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")], F.lit(None).cast("boolean").alias("verified"))
-            return empty.where("false")
+            return (empty.withColumn("proof", F.lit(None).cast("binary")) if with_proofs else empty).where("false")
         runs, tops = levels(leaves.select("start", "size", (F.col("at") - F.col("start")).alias("pos"), "id", "h", "folded"), largest, arity)
         tops = written(tops, "subroots")
         above = numbered(tops.withColumn("g", F.lit("")).drop("start").withColumn("first", F.floor(F.col("id") / LEVELS)), "g", F.col("first"))
         above = written(above.select("start", "size", F.col("at").alias("pos"), "id", "h"), "sources")
         more, ends = levels(above, above.agg(F.max("size")).first()[0], arity, LEVELS // 2)
         root = ends.first()
-        met = proofs(begun(leaves, runs[:1]), [*runs[1:], *more], upper)
+        met = proofs(begun(leaves, runs[:1]), [*runs[1:], *more], root["id"], upper, whole=with_proofs)
         subroots = tops.select("start", F.col("h").alias("subroot"))
         out = leaves.join(met.withColumnsRenamed({"leaf": "id", "folded": "up"}), "id").join(small(subroots), "start")
         top = F.lit(bytes(root["h"]).hex())
         out = out.select(
-            "doc_id", text_of(F.col("h")).alias("leaf"), text_of(F.col("subroot")).alias("subroot"), top.alias("root"), F.sha2(text_of(F.col("proof")), 256).alias("proof_sha256"),
-            text_of(F.col("up")).alias("folded_root"), (text_of(F.col("up")) == top).alias("verified"),
+            "doc_id", text_of(F.col("h")).alias("leaf"), text_of(F.col("subroot")).alias("subroot"), top.alias("root"), (F.sha2(text_of(F.col("proof")), 256) if with_proofs else text_of(F.col("proof"))).alias("proof_sha256"),
+            text_of(F.col("up")).alias("folded_root"), (text_of(F.col("up")) == top).alias("verified"), *["proof"] * with_proofs,
         )
         return written(out, "manifest", keep=True)
 

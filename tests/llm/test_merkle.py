@@ -90,6 +90,13 @@ def test_whole_manifest(spark, upper):
     assert {g[-1] for g in got} == {True, False}
 
 
+def test_proofs_themselves(spark):
+    rows = fixture()[:60]
+    got = merkle.manifest(table_of(spark, rows), F.col("text"), with_proofs=True).select("proof_sha256", "proof", "verified").collect()
+    assert {r.verified for r in got} == {True}
+    assert all(sha(bytes(r.proof).hex()) == r.proof_sha256 and len(r.proof) % 32 == 0 for r in got)
+
+
 def test_few_rows(spark):
     assert run(spark, []) == []
     for rows in ([(5, "one\n", "s", "en", 1)], [(5, None, "s", "en", 1), (6, "b", "t", "en", 1)], [(i, "t\n", "s", None, i) for i in range(4)]):
