@@ -170,6 +170,7 @@ def inverse_bits(forward: Column, reverse: Column, same: Column, missing: float
     return F.when(same, F.lit(0.0)).otherwise(F.coalesce(1.0 / forward, 1.0 / reverse, F.lit(missing)))
 
 
+# The coefficients of Lanczos' series for the gamma function with six terms and g = 5, as published (Lanczos 1964; Numerical Recipes, section 6.1).
 _LANCZOS = (76.18009172947146, -86.50532032941677, 24.01409824083091, -1.231739572450155, 0.1208650973866179e-2, -0.5395239384953e-5)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from dendrospark.functions import scalar as fn
 from dendrospark.operators.aggregates import symmetrised
 from dendrospark.operators.forest import forest_merges, spanning_forest
-from dendrospark.operators.hierarchy import THRESHOLDS
+from dendrospark.operators.hierarchy import THRESHOLDS, node_keys
 from dendrospark.operators.relational import tiled
 from dendrospark.operators.storage import Rounds, kept
 from dendrospark.operators.windows import numbered
@@ -136,16 +136,21 @@ def single(scores: DataFrame, threshold: float | None = None) -> DataFrame:
     return named_steps(kept(forest_merges(forest), "merges"))
 
 
-def flavours(scores: DataFrame, policies: tuple[str, ...], **kinds: Column) -> DataFrame:
-    """A tree for each kind of score and policy: merges with a project for each of the old ones, and ``kind`` and ``policy`` beside it.
+def flavours(scores: DataFrame, policies: tuple[str, ...], orderings: tuple[str, ...] = ("simple",), **kinds: Column) -> DataFrame:
+    """A tree for each ordering, kind of score and policy: merges with a project for each of the old ones, and ``ordering``, ``kind`` and ``policy`` beside it.
 
-    ``kinds``: name = score as a Column of ``scores``. All kinds of a policy are clustered in the same rounds.
+    ``kinds``: name = score as a Column of ``scores``. All kinds of a policy are clustered in the same rounds. ``orderings``: how a cluster's leaves are listed in ``key``,
+    the digest that names what each merge makes: simple (natural order) or tree (as they stand in the tree).
     """
     ids = [F.col(c) for c in ("project", "id1", "id2")]
     each = [scores.select(F.struct(F.col("project").alias("project"), F.lit(n).alias("kind")).alias("project"), *ids[1:], c.alias("score")) for n, c in kinds.items()]
-    every = kept(reduce(DataFrame.unionByName, each), "flavours")
-    trees = [cluster(every, policy).withColumn("policy", F.lit(policy)) for policy in policies]
-    return reduce(DataFrame.unionByName, trees).select("project.kind", "policy", "project.project", "step", "child_a", "child_b", "parent", "score")
+    every, trees = kept(reduce(DataFrame.unionByName, each), "flavours"), []
+    for policy in policies:
+        merges = kept(cluster(every, policy), "flavour")
+        for ordering in orderings:
+            keys = node_keys(merges, ordering).withColumnRenamed("node", "parent")
+            trees.append(merges.join(keys, ["project", "parent"]).withColumns({"policy": F.lit(policy), "ordering": F.lit(ordering)}))
+    return reduce(DataFrame.unionByName, trees).select("ordering", "project.kind", "policy", "project.project", "step", "child_a", "child_b", "parent", "score", "key")
 
 
 def named_merges(done: DataFrame, by_round: bool = False) -> DataFrame:

@@ -256,9 +256,17 @@ def cut_tree(merges: DataFrame, threshold: float) -> DataFrame:
     return cut_ladder(merges, (threshold,)).drop("threshold")
 
 
-def node_keys(merges: DataFrame) -> DataFrame:
-    """(project, node, key): the digest of each merge's leaves in natural order."""
-    ids = leaves(merges).groupBy("project", "node").agg(fn.natural_sorted(F.collect_list(F.col("leaf").cast("string"))).alias("ids"))
+def node_keys(merges: DataFrame, ordering: str = "simple") -> DataFrame:
+    """(project, node, key): the digest of each node's leaves, in natural order (simple) or as they stand in the tree, the first child's before the second's (tree)."""
+    if ordering == "simple":
+        ids = leaves(merges).groupBy("project", "node").agg(fn.natural_sorted(F.collect_list(F.col("leaf").cast("string"))).alias("ids"))
+    elif ordering == "tree":
+        t = Tree(merges)
+        own = t.labels.where("leaf").select(F.col("id").alias("leaf"), "low", F.col("node").cast("string").alias("name"))
+        ids = t.leaves().join(own, "leaf").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("low", "name"))).alias("x"))
+        ids = t.named(ids.select("id", F.transform("x", lambda x: x["name"]).alias("ids")), "ids")
+    else:
+        raise ValueError(f"no such ordering: {ordering}")
     return ids.select("project", "node", fn.cluster_key(F.col("ids")).alias("key"))
 
 

@@ -69,12 +69,14 @@ def _(spark, d):
     return src.read_scores(spark, path)
 
 
-@query("SRC-06_score_sink", "SELECT count(*) AS n, round(sum(score), 4) AS total FROM (SELECT min(l_discount) AS score FROM lineitem GROUP BY l_suppkey, l_partkey)")
+@query("SRC-06_score_sink", "SELECT CAST(l_suppkey AS VARCHAR) AS id1, CAST(l_orderkey AS VARCHAR) AS id2, min(l_tax) AS score FROM lineitem GROUP BY ALL")
 def _(spark, d):
-    rows = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id1"), F.col("l_partkey").alias("id2")).agg(F.min("l_discount").alias("score"))
+    """Scores in folders by half, read back by a path with a wildcard."""
+    rows = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id1"), F.col("l_orderkey").alias("id2")).agg(F.min("l_tax").alias("score"))
     path = new_path(spark, "scores")
-    src.write_scores(rows, path)
-    return src.read_scores(spark, path).agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
+    for half in (0, 1):
+        src.write_scores(rows.where(F.col("id2") % 2 == half), f"{path}/half{half}")
+    return src.read_scores(spark, f"{path}/half*")
 
 
 @query("SRC-07_profile_hits_scan", "SELECT 'c' || o_custkey % 40 AS query, replace(o_orderpriority, ' ', '_') AS match, min(o_orderkey / 8.0) AS evalue FROM orders GROUP BY ALL")
@@ -153,7 +155,7 @@ def _(spark, d):
     o = read(spark, d, "orders")
     cols = {i: F.lit("x") for i in range(13)} | {0: F.lit("UniProtKB"), 1: F.concat(F.lit("A"), F.col("o_orderkey").cast("string")), 3: F.when(F.col("o_orderstatus") == "P", F.lit("NOT")), 4: F.col("o_orderpriority"), 12: F.col("o_custkey").cast("string")}
     path = new_path(spark, "gaf")
-    o.select(*[c.alias(f"c{i}") for i, c in cols.items()]).write.csv(path, sep="\t")
+    o.select(*[c.alias(f"c{i}") for i, c in cols.items()]).write.csv(path, sep="\t", header=True)
     return src.read_gaf(spark, path).select("acc", "qualifier", "term", "taxon")
 
 
@@ -234,8 +236,7 @@ def _(spark, d):
     rows = _records(spark, d).withColumn("leaf", fn.id_tail(F.col("seq_id"))).join(own, "leaf").select("node", "seq_id", "description", "sequence")
     path = new_path(spark, "nodes")
     src.write_fasta(rows, path, "node")
-    got = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    return got.select(F.col("node").cast("long").alias("node"), F.substring_index(F.substring_index("value", "\n", 1), " ", 1).alias("seq_id"))
+    return src.read_fasta(spark, path, folders=("node",)).select(F.col("node").cast("long").alias("node"), "seq_id")
 
 
 @query("SRC-26_term_names_scan", "SELECT n_name AS term, CAST(n_nationkey AS VARCHAR) AS name, CASE n_nationkey % 3 WHEN 0 THEN 'F' ELSE 'C' END AS type FROM nation WHERE n_nationkey % 3 <> 1")

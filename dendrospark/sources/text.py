@@ -13,18 +13,18 @@ def _stem() -> Column:
     return F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1)
 
 
-def read_fasta(spark: SparkSession, path: str, order: bool = False) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, order: bool = False, folders: tuple[str, ...] = ()) -> DataFrame:
     """file, seq_id (the header's first word), description, sequence (its lines joined). A record begins with ``>`` at a line's start.
 
-    ``order``: a column ``at`` too, by which the records of a file sort as they stand in it.
+    ``order``: a column ``at`` too, by which the records of a file sort as they stand in it. ``folders``: columns by which ``write_fasta`` parted the records.
     """
     rows = spark.read.option("lineSep", "\n>").text(path)
     at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("n"))
-    rows = rows.select(F.regexp_replace("value", r"^\s*>", "").alias("value"), _stem().alias("file"), *[at.alias("at")] * order).where(F.trim("value") != "")
+    rows = rows.select(F.regexp_replace("value", r"^\s*>", "").alias("value"), _stem().alias("file"), *folders, *[at.alias("at")] * order).where(F.trim("value") != "")
     head = F.regexp_replace(F.regexp_extract("value", r"^([^\r\n]*)", 1), r"\s+$", "")
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "")
     seq_id = F.regexp_extract(head, r"^(\S*)", 1)
-    return rows.select("file", seq_id.alias("seq_id"), F.regexp_replace(head, r"^\S*\s*", "").alias("description"), body.alias("sequence"), *["at"] * order)
+    return rows.select("file", seq_id.alias("seq_id"), F.regexp_replace(head, r"^\S*\s*", "").alias("description"), body.alias("sequence"), *folders, *["at"] * order)
 
 
 def last_records(records: DataFrame) -> DataFrame:
@@ -62,9 +62,13 @@ SCORES = T.StructType([T.StructField("id1", T.StringType()), T.StructField("id2"
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    """Triples apart by white space of any kind; a line that isn't one is an error, and so is an empty or missing file."""
+    """Triples apart by white space of any kind; a line that isn't one is an error, and so is an empty or missing file. ``path`` may hold wildcards."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    met = store.globStatus(where)
+    if not met:
+        raise ValueError(f"no scores at {path}")
+    found = [f for top in met for f in (store.listStatus(top.getPath()) if top.isDirectory() else [top])]
     if names := [str(f.getPath()) for f in found if not f.isDirectory() and f.getLen() == 0 and f.getPath().getName()[0] not in "_."]:
         raise ValueError(f"no scores in {names}")
     c = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
@@ -113,9 +117,9 @@ def read_hits(spark: SparkSession, path: str, kind: str = "structure", header_li
     return spark.read.option("mode", "FAILFAST").schema(HITS[kind]).csv(path, sep="\t", comment=header_lines)
 
 
-def read_gaf(spark: SparkSession, path: str) -> DataFrame:
-    """Association rows by position; ``!`` begins a comment."""
-    rows = spark.read.csv(path, sep="\t", comment="!")
+def read_gaf(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """Association rows by position; ``!`` begins a comment. ``header``: the first line that isn't a comment is dropped in each file, as a row of names."""
+    rows = spark.read.schema(", ".join(f"_c{i} string" for i in range(17))).csv(path, sep="\t", comment="!", header=header, enforceSchema=True)
     names = {0: "db", 1: "acc", 3: "qualifier", 4: "term", 5: "source", 6: "evidence", 7: "ec", 9: "name", 12: "taxon"}
     return rows.select(*[F.col(f"_c{i}").alias(n) for i, n in names.items() if f"_c{i}" in rows.columns])
 

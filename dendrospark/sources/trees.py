@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from dendrospark.functions import scalar as fn
+from dendrospark.operators.windows import numbered
 
 
 def trace_rows(merges: DataFrame) -> DataFrame:
     """Merges with steps from 1 and parents ``merge_node_k``, k above any such id among the leaves; missing scores as written out."""
-    step = F.row_number().over(Window.partitionBy("project").orderBy("step")).cast("long")
     ids = merges.select("project", F.explode(F.array("child_a", "child_b")).alias("id")).join(merges.select("project", F.col("parent").alias("id")), ["project", "id"], "left_anti")
     number = F.regexp_extract("id", r"^merge_node_(\d+)$", 1)
     top = ids.where(number != "").groupBy("project").agg(F.max(number.cast("long")).alias("_top"))
-    rows = merges.withColumn("_n", step).join(F.broadcast(top), "project", "left").withColumn("_to", F.concat(F.lit("merge_node_"), (F.col("_n") + F.coalesce("_top", F.lit(0))).cast("string")))
+    rows = numbered(merges, ["project"], [F.col("step")], "_n").join(top, "project", "left").withColumn("_to", F.concat(F.lit("merge_node_"), (F.col("_n") + F.coalesce("_top", F.lit(0))).cast("string")))
     names = rows.select("project", F.col("parent").alias("_old"), F.col("_to").alias("_new"))
     for side in ("child_a", "child_b"):
         own = names.withColumnsRenamed({"_old": side, "_new": f"_{side}"})
