@@ -19,6 +19,7 @@ from dendrospark.functions import scalar as fn
 from dendrospark.operators.aggregates import symmetrised
 from dendrospark.operators.forest import forest_merges, spanning_forest
 from dendrospark.operators.hierarchy import THRESHOLDS, node_keys
+from dendrospark.operators.nearest import ITEMS, one_at_a_time, split_by_size
 from dendrospark.operators.relational import tiled
 from dendrospark.operators.storage import Rounds, kept
 from dendrospark.operators.windows import numbered
@@ -92,13 +93,13 @@ def cluster_pairs(links: DataFrame, sizes: DataFrame) -> DataFrame:
     return links.withColumn("pairs", F.col("_id1") * F.col("_id2")).drop("_id1", "_id2")
 
 
-def cluster(scores: DataFrame, policy: str = "single", pseudo_count: int = 0, window_base: int = 10, threshold: float | None = None, linkage: State | None = None) -> DataFrame:
+def cluster(scores: DataFrame, policy: str = "single", pseudo_count: int = 0, window_base: int = 10, threshold: float | None = None, linkage: State | None = None, items: int = ITEMS) -> DataFrame:
     """The merges (project, step, child_a, child_b, parent, score) of every project.
 
     ``policy``: single, complete, geomean, rescored (mean over scored member pairs) or windowed (a whole bundle a
     round, then re-scored). Clusters none of whose member pairs has a score never link. Where some have none, complete
     linkage puts the clusters infinitely far apart, and the geometric mean takes MISSING for each. ``pseudo_count=1`` divides the
-    geometric mean's exponent by one more; that linkage needs one merge a round. ``threshold``:
+    geometric mean's exponent by one more; that linkage needs one merge at a time: a project of at most ``items`` clusters is one task's, a larger one takes a round a merge. ``threshold``:
     merges above it are not made. ``linkage``: a caller's own state, joining and score, instead of the policy's.
     Of equal scores, a round may take another pair first than one merge at a time would.
     Parents are ``merge_node_1`` and on; children come in the order of their creation. Each round merges something, until nothing is left to merge.
@@ -110,6 +111,11 @@ def cluster(scores: DataFrame, policy: str = "single", pseudo_count: int = 0, wi
     sized = linkage is None and policy in ("complete", "geomean")
     sizes = scores.select("project", F.explode(F.array("id1", "id2")).alias("id")).distinct().withColumn("size", F.lit(1).cast("long"))
     sizes, done, at = kept(sizes, "sizes") if sized else None, Rounds(scores.sparkSession, "merges"), 0
+    if pseudo_count and sized and policy == "geomean":
+        few, links = split_by_size(links, sizes, items)
+        found = one_at_a_time(few, pseudo_count, MISSING, threshold)
+        done.add(found.select("project", "id1", "id2", "score", "round"))
+        links = kept(links, "links")
     while True:
         now = (cluster_pairs(links, sizes) if sized else links).select("project", "id1", "id2", value.alias("score"))
         if threshold is not None:

@@ -47,6 +47,7 @@ def _policy(name, **more):
 query("CL-01_cluster_single")(_policy("single"))
 query("CL-02_cluster_complete")(_policy("complete"))
 query("CL-03_cluster_geomean")(_policy("geomean"))
+query("CL-03_cluster_geomean_pseudo_count")(_policy("geomean", pseudo_count=1))
 query("CL-04_cluster_rescored")(_policy("rescored"))
 query("CL-05_cluster_windowed")(_policy("windowed"))
 

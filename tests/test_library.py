@@ -95,6 +95,10 @@ def test_pseudo_count_and_windows_and_hook(spark):
     rows = scored(7)
     data = spark.createDataFrame(rows, SCORES)
     assert found(cl.cluster(data, "geomean", pseudo_count=1)) == tree(rows, "geomean", extra=1)
+    assert found(cl.cluster(data, "geomean", pseudo_count=1, items=3)) == tree(rows, "geomean", extra=1)  # a round a merge
+    for n, gaps, values in ((30, 0.0, None), (25, 0.5, None), (14, 0.3, (1e-3, 1e-9, 0.0, 2.0))):  # with scores below one, a merge can bring clusters closer
+        more = [(p, a, b, x / 50 if values is None else x) for p, a, b, x in scored(n, gaps, values)]
+        assert found(cl.cluster(spark.createDataFrame(more, SCORES), "geomean", pseudo_count=1)) == tree(more, "geomean", extra=1)
     assert found(cl.cluster(data, "windowed")) == tree(rows, "rescored", bundle=True)
     own = ({"t": F.col("score") * F.col("score"), "n": F.lit(1).cast("long")}, {"t": F.sum("t"), "n": F.sum("n")}, F.sqrt(F.col("t") / F.col("n")))
     assert found(cl.cluster(data, linkage=own)) == tree(rows, "rms")
