@@ -31,8 +31,8 @@ from dendrospark.llm.simhash import components
 COSINE = 0.9
 #: Share of pairs at exactly the wanted cosine that no table brings together; closer pairs are missed less often.
 MISS = 0.001
-#: Vectors that a cell holds on average if all are spread evenly, from which a key's width follows.
-CELL = 16
+#: Vectors that a cell holds on average if all are spread evenly, from which a key's width follows: products are cheap beside rows that tables move.
+CELL = 1024
 #: Standard deviations of an estimate's error beyond which a pair isn't recomputed.
 SIGMAS = 4.5
 #: Vectors of a cell that one task compares with one another; larger cells are dealt as pairs of tiles.
@@ -42,7 +42,7 @@ SEED = 11
 
 def tables_of(rows: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
     """Bits of a key and number of tables for so many vectors."""
-    bits = max(6, math.ceil(math.log2(max(1, rows) / CELL)))
+    bits = max(1, math.ceil(math.log2(max(1, rows) / CELL)))
     meets = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log(1 - meets))
 
