@@ -134,11 +134,11 @@ def links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, key_ro
     return mapped(spread, run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root: the smallest node that each can reach. Alternating large-star and small-star rounds."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: the smallest node that each can reach. Alternating large-star and small-star rounds, until nothing changes."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -156,7 +156,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = state
-    raise RuntimeError(f"components have not settled after {most_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words: int = WORDS, blocks: int = BLOCKS) -> DataFrame:
