@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendrospark.llm.common import fold, give_back, mapped, slices, table, words_of
+from dendrospark.llm.common import fold, mapped, slices, table, words_of
 
 BUCKETS, WIDTH, SHORTEST, LONGEST = 1 << 17, 8, 3, 6  # n-gram lengths in bytes
 #: Bounds of the training sample: rows of each label, and bytes of a text that may be in it.
@@ -219,15 +219,21 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, int
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> tuple[np.ndarray, float]:
-    """A model of ``labels.toxic``, from the rows of ``labels`` where ``learn`` holds (default: all); without any, one that scores all texts alike."""
+    """A model of ``labels.toxic``, from the rows of ``labels`` where ``learn`` holds (default: all); without any, one that scores all texts alike.
+
+    One task trains on the bounded sample; only the model comes to the driver.
+    """
     labels = labels if learn is None else labels.where(learn)
-    rows = sorted(map(tuple, sample(docs, labels, "toxic", SAMPLE).collect()))
-    texts, marks = [r[1] for r in rows], [int(r[2]) for r in rows]
-    del rows
-    model = train(texts, marks)
-    del texts
-    give_back()
-    return model
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [pdf for pdf in batches if len(pdf)]
+        if parts:
+            pdf = pd.concat(parts).sort_values("doc_id")
+            weight, bias = train(pdf["text"].tolist(), pdf["label"].astype(int).tolist())
+            yield pd.DataFrame({"weight": [weight.tobytes()], "bias": [bias]})
+
+    found = mapped(sample(docs, labels, "toxic", SAMPLE).repartition(1), run, "weight binary, bias double").collect()
+    return (np.frombuffer(found[0]["weight"]).copy(), float(found[0]["bias"])) if found else train([], [])
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], *keep: str) -> DataFrame:
