@@ -156,6 +156,7 @@ def contamination(
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items, windows of ten words; nulls, wordless rows and repeats as ``contamination`` says."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

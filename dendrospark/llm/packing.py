@@ -406,7 +406,7 @@ def pack(
 
 
 def packed_digest(docs: DataFrame, tokenizer: str, targets: dict[str | None, float] | None = None, others: float | None = None) -> DataFrame:
-    """``pack`` without the ids."""
+    """``pack`` without the ids; nulls, empty texts, ties and repeats as it says."""
     return pack(docs, tokenizer, targets, others).drop("ids")
 
 

@@ -135,6 +135,7 @@ def histogram_shards(
 
 
 def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near-equal bytes, sorted by text digest. A null text is the empty one; copies are neighbours; more as ``histogram_shards`` says."""
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", "text", F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))

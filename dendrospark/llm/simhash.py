@@ -46,7 +46,7 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed long."""
+    """doc_id and ``fp``, the fingerprint as a signed long, of each row; zero for null, empty and wordless texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -180,6 +180,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words: int = WORD
 
 
 def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, four-word shingles, four bits; nulls, empty texts and repeats as ``near_duplicates`` says."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 

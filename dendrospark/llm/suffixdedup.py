@@ -573,6 +573,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, added: tuple[str, ...] =
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole texts, strings of 400 bytes. A null text is the empty one, repeated rows repeat each other's bytes; more as ``deduplicated`` says."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return deduplicated(docs, added=ADDED[:3]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 

@@ -161,6 +161,7 @@ def top_k(vectors: DataFrame, query: Column, k: int) -> DataFrame:
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all vectors for every fiftieth id; nulls, ties and repeats as ``top_k`` says."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", quantized(F.col("embedding")).alias("v"))
     return top_k(vectors, F.col("vec_id") % 50 == 0, 5)
 
