@@ -130,12 +130,13 @@ def _matrix(kind):
         vectors = read(spark, d, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), "embedding")
         mx.write_matrix(vectors.repartition(3, "name"), path, kind)
         names = read(spark, d, "part").where("p_size > 25").select(F.concat(F.lit("v"), F.col("p_partkey").cast("string")).alias("name"))
-        return mx.read_matrix(spark, path, 100, names)
+        return mx.read_matrix(spark, path, 100, names).select("name", F.posexplode("embedding").alias("at", "value"))
 
     return plan
 
 
-_MATRIX = "SELECT 'v' || vec_id AS name, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings WHERE vec_id IN (SELECT p_partkey FROM part WHERE p_size > 25)"
+_MATRIX = """SELECT 'v' || vec_id AS name, CAST(i - 1 AS INTEGER) AS at, CAST(embedding[i] AS DOUBLE) AS value
+FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE vec_id IN (SELECT p_partkey FROM part WHERE p_size > 25))"""
 query("SRC-14_matrix_scan", _MATRIX)(_matrix("npy"))
 query("SRC-14_archive_scan", _MATRIX)(_matrix("npz"))
 
