@@ -62,14 +62,23 @@ SCORES = T.StructType([T.StructField("id1", T.StringType()), T.StructField("id2"
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    """Triples apart by white space of any kind; a line that isn't one is an error, and so is an empty or missing file. ``path`` may hold wildcards."""
+    """Triples apart by white space of any kind; a line that isn't one is an error, and so is an empty or missing file. ``path`` may hold wildcards.
+
+    The part files that a job writes into a folder are one file in this: a partition without rows leaves an empty one.
+    """
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     met = store.globStatus(where)
     if not met:
         raise ValueError(f"no scores at {path}")
-    found = [f for top in met for f in (store.listStatus(top.getPath()) if top.isDirectory() else [top])]
-    if names := [str(f.getPath()) for f in found if not f.isDirectory() and f.getLen() == 0 and f.getPath().getName()[0] not in "_."]:
+    names = []
+    for top in met:
+        folder = top.isDirectory()
+        files = [f for f in (store.listStatus(top.getPath()) if folder else [top]) if not f.isDirectory() and f.getPath().getName()[0] not in "_."]
+        parts = [f for f in files if folder and f.getPath().getName().startswith("part-")]
+        some = any(f.getLen() for f in parts)
+        names += [str(f.getPath()) for f in files if f.getLen() == 0 and not (some and f in parts)]
+    if names:
         raise ValueError(f"no scores in {names}")
     c = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
     number = F.try_element_at(c, F.lit(3)).try_cast("double")

@@ -211,6 +211,16 @@ def test_scores(spark, tmp_path):
         src.read_scores(spark, f"file://{tmp_path}/missing")
 
 
+def test_scores_of_a_job_with_empty_partitions(spark, tmp_path):
+    rows = spark.range(8).where("id = 7").select(F.col("id").cast("string").alias("id1"), F.lit("y").alias("id2"), F.lit(0.5).alias("score"))
+    src.write_scores(rows, f"file://{tmp_path}/job", sep=" ")
+    (tmp_path / "job" / "part-empty.csv").write_text("")
+    assert [tuple(r) for r in src.read_scores(spark, f"file://{tmp_path}/job").collect()] == [("7", "y", 0.5)]
+    src.write_scores(rows.where("false"), f"file://{tmp_path}/none")
+    with pytest.raises(ValueError):
+        src.read_scores(spark, f"file://{tmp_path}/none")
+
+
 def test_other_formats(spark, tmp_path):
     old = trees.read_old_traces(spark, put(tmp_path, "t.trace", "a 0.5 n1 x\nb 0.5 n1 x\nn1 2.0 n2 x\nc 2.0 n2 x\n"))
     assert sorted(map(tuple, old.collect())) == [("t", 1, "a", "b", "n1", 0.5), ("t", 2, "n1", "c", "n2", 2.0)]
