@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -154,7 +155,13 @@ def log10_nonzero(x: Column) -> Column:
 
 
 def three_digits(score: Column) -> Column:
-    return F.format_string("%.2e", score).cast("double")
+    """Rounded to three digits as C's ``%.2e`` does: by the number's exact binary value, halves to the even digit (the JVM's formats round halves of printed digits)."""
+
+    @F.pandas_udf("double")
+    def rounded(x: pd.Series) -> pd.Series:
+        return pd.Series([float(f"{v:.2e}") for v in x.tolist()], dtype="float64")
+
+    return F.when(score.isNotNull(), rounded(score.cast("double")))
 
 
 def overlap_percent(aligned: Column, len1: Column, len2: Column) -> Column:

@@ -64,3 +64,9 @@ def test_hierarchy_match(spark):
     assert one(spark, fn.hierarchy_match(F.lit("1.10.8"), "1.10")) and not one(spark, fn.hierarchy_match(F.lit("1.100.8"), "1.10"))
     with pytest.raises(ValueError):
         fn.hierarchy_match(F.lit("1"), "1.x")
+
+
+def test_three_digits_round_as_c(spark):
+    values = [198500.0, 65450.0, 9725.0, 432500.0, 1.125, 1.135, 1.005, 0.0, -65450.0, 1e-310, None]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double").select("i", fn.three_digits(F.col("x")).alias("y")).orderBy("i").collect()
+    assert [r.y for r in got] == [None if x is None else float(f"{x:.2e}") for x in values]
