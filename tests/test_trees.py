@@ -233,3 +233,10 @@ def test_numbers_in_groups(spark):
         want |= {i: n + 1 for n, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2])))}
     assert {r.i: r.n for r in got} == want and len(got) == len(rows)
     assert sorted(r.i for r in rel.first_rows(df.withColumnRenamed("g", "project"), 2, F.desc("k"), F.col("i")).collect()) == sorted(i for i, n in want.items() if n <= 2)
+
+
+def test_pairs_of_a_project_are_dealt_to_tasks_by_their_number(spark):
+    items = spark.range(3000).select(F.lit(1).alias("project"), "id")
+    rows = rel.all_pairs(items, "id").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in rows) == 3000 * 2999 // 2
+    assert len(rows) > 4 and max(r["count"] for r in rows) < 2_250_000
