@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from dendrospark.functions import scalar as fn
 from dendrospark.operators.intervals import containing
 from dendrospark.operators.jumps import Tree, chain_ends
-from dendrospark.operators.storage import kept
+from dendrospark.operators.storage import kept, shuffled
 
 #: The ladder of thresholds at which trees are built and cut.
 THRESHOLDS = (1e-100, 1e-90, 1e-80, 1e-70, 1e-60, 1e-50, 1e-40, 1e-30, 1e-20, 1e-10, 1e-05, 100.0)
@@ -141,7 +141,7 @@ def heights(merges: DataFrame, fold: Callable[[str], Column] | None = None, **fo
     folds = folds or {"height": fold or F.max}
     t = Tree(merges)
     deep = t.climb(t.nodes.select("id", F.col("parent").isNotNull().cast("int").alias("depth")), "depth")
-    deep = kept(t.nodes.select("id", "leaf").join(deep.select("id", "depth"), "id"), "depths")
+    deep = shuffled(t.nodes.select("id", "leaf").join(deep.select("id", "depth"), "id"), "depths")
     low = t.fold(deep.select("id", *[F.when(F.col("leaf"), F.col("depth")).alias(n) for n in folds]), folds)
     both = low.join(deep.select("id", "depth"), "id").select("id", *[(F.col(n) - F.col("depth")).alias(n) for n in folds])
     return t.named(both, *folds)
@@ -243,7 +243,7 @@ def cut_ladder(merges: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) ->
     until = since.select("project", F.col("node").alias("parent"), F.col("since").alias("until"))
     rows = rows.join(until, ["project", "parent"], "left").withColumn("until", F.coalesce("until", F.lit(n)))
     most = t.labels.select(F.col("id").alias("top"), F.col("many").alias("most"))
-    rows = kept(rows.join(most, "top").select("project", "top", "node", "leaf", "low", "many", "most", "since", "until"), "ladder")
+    rows = shuffled(rows.join(most, "top").select("project", "top", "node", "leaf", "low", "many", "most", "since", "until"), "ladder")
     tops = rows.where("since < until").select("top", F.col("node").alias("cluster"), F.col("low").alias("first"), (F.col("low") + F.col("many")).alias("end"), "most", "since", "until")
     own = rows.where("leaf").select("project", "top", F.col("node").alias("_leaf"), "low", "most")
     met = containing(own, "low", tops, "first", "end", ["top"])

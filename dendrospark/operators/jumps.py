@@ -13,7 +13,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dendrospark.operators.storage import kept
+from dendrospark.operators.storage import shuffled as kept
 
 
 def doubled(pointers: DataFrame, most: int) -> list[DataFrame]:

@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which ``shuffled`` leaves it to Spark whether a table is sent to every task.
+FEW = 50_000
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -26,6 +30,16 @@ def kept(df: DataFrame, name: str = "round", path: str | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame, name: str = "round") -> DataFrame:
+    """As ``kept``, for tables whose joins are with others of their size: those of more than FEW rows meet by shuffles.
+
+    Numbers in order take few bytes in a file and many in memory, so by the file's size Spark would collect millions of rows in the driver to broadcast them.
+    """
+    seen = Observation()
+    out = kept(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out.hint("merge") if seen.get["n"] > FEW else out
+
+
 class Rounds:
     """Tables of all rounds in one folder, so that what they have in common is one scan, however many they are."""
 

@@ -11,6 +11,7 @@ from dendrospark.operators import forest as fo
 from dendrospark.operators import hierarchy as h
 from dendrospark.operators import intervals as iv
 from dendrospark.operators import relational as rel
+from dendrospark.operators import storage
 from dendrospark.operators import windows as wn
 from dendrospark.operators.jumps import Tree, chain_ends, doubled
 from dendrospark.operators.storage import kept
@@ -240,3 +241,11 @@ def test_pairs_of_a_project_are_dealt_to_tasks_by_their_number(spark):
     rows = rel.all_pairs(items, "id").groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert sum(r["count"] for r in rows) == 3000 * 2999 // 2
     assert len(rows) > 4 and max(r["count"] for r in rows) < 2_250_000
+
+
+def test_tables_of_many_rows_are_not_broadcast_in_tree_joins(spark):
+    few, many = (storage.shuffled(spark.range(n).select("id", (F.col("id") * 3).alias("x"))) for n in (10, storage.FEW + 1))
+    joined = lambda t: t.join(t.select("id", F.col("x").alias("y")), "id").where("x = y").select("id")
+    assert "BroadcastExchange" in joined(few)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in joined(many)._jdf.queryExecution().executedPlan().toString()
+    assert joined(many).count() == storage.FEW + 1
