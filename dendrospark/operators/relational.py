@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dendrospark.functions import scalar as fn
 from dendrospark.operators.intervals import containing, depth_at
@@ -219,9 +220,25 @@ def sample_count(left: int, fraction: float, low: int = 2_000_000, high: int = 1
     return min(left, max(low, min(high, int(left * fraction))))
 
 
-def sample_pairs(pairs: DataFrame, rows: int, order: Column) -> DataFrame:
-    """``rows`` pairs without replacement, those that come first in ``order`` (a hash of the pair)."""
-    return pairs.orderBy(order, *pairs.columns).limit(rows)
+#: Rows that one task may sort, and sampled rows that find where larger samples end.
+ONE_TASK, PIVOTS = 100_000, 20_000
+
+
+def sample_pairs(pairs: DataFrame, rows: int, order: Column, one_task: int = ONE_TASK) -> DataFrame:
+    """``rows`` pairs without replacement, those that come first in ``order`` (a hash of the pair).
+
+    Beyond ``one_task`` rows they come in no order: a value just beyond the last of them, found in a random sample, leaves out most others (all stay if it proves too low), and
+    the rest are numbered by ranges.
+    """
+    if rows <= one_task:
+        return pairs.orderBy(order, *pairs.columns).limit(rows)
+    sure = PIVOTS + math.ceil(6 * math.sqrt(PIVOTS))
+    first = pairs.select(order.alias("_o")).sample(min(1.0, PIVOTS / rows), seed=1).orderBy("_o").limit(sure)
+    n, end = first.agg(F.count("*"), F.max("_o")).first()
+    if n == sure:
+        near = kept(pairs.where(order.isNull() | (order <= F.lit(end))), "near")
+        pairs = near if near.count() >= rows else pairs
+    return numbered(pairs, [], [order, *map(F.col, pairs.columns)], "_n").where(F.col("_n") <= rows).drop("_n")
 
 
 def centre_pairs(ids: DataFrame, order: Column, least: int = 10, share: int = 100) -> DataFrame:
@@ -233,8 +250,10 @@ def centre_pairs(ids: DataFrame, order: Column, least: int = 10, share: int = 10
 
 
 def first_rows(rows: DataFrame, most: int, *order: Column) -> DataFrame:
-    """At most ``most`` rows of each project."""
-    return numbered(rows, ["project"], order, "_n").where(F.col("_n") <= most).drop("_n")
+    """At most ``most`` rows of each project. Where they are few, each task leaves only that many of what it has before rows are shuffled (up to 1,000, by Spark's default)."""
+    if most > 1000:
+        return numbered(rows, ["project"], order, "_n").where(F.col("_n") <= most).drop("_n")
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("project").orderBy(*order))).where(F.col("_n") <= most).drop("_n")
 
 
 def with_details(rows: DataFrame, *tables: tuple[DataFrame, str, str]) -> DataFrame:

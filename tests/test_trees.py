@@ -249,3 +249,15 @@ def test_tables_of_many_rows_are_not_broadcast_in_tree_joins(spark):
     assert "BroadcastExchange" in joined(few)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in joined(many)._jdf.queryExecution().executedPlan().toString()
     assert joined(many).count() == storage.FEW + 1
+
+
+def test_first_rows_and_large_samples_load_no_single_task(spark):
+    df = spark.range(60_000).select((F.col("id") % 3).alias("project"), F.col("id").alias("id1"), (F.col("id") * 7 % 60_000).alias("id2"))
+    plan = rel.first_rows(df, 2, F.col("id2"))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    order = F.xxhash64("id1", "id2")
+    for rows in (25_000, 60_000):
+        got = rel.sample_pairs(df, rows, order, one_task=1000)
+        assert "TakeOrderedAndProject" not in got._jdf.queryExecution().executedPlan().toString()
+        want = df.orderBy(order, *df.columns).limit(rows)
+        assert got.count() == rows and got.exceptAll(want).isEmpty()
