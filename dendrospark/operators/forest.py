@@ -1,15 +1,20 @@
 """Single linkage by a minimum spanning forest.
 
 Boruvka's rounds: every cluster takes its least link, whether or not it is that of the other side too, so clusters at least halve in
-a round. Of equal scores the smaller (id1, id2) is the lesser link. The forest's links, sorted, are the merges; which clusters each joins is found
+a round. Of equal scores the smaller (id1, id2) is the lesser link. Before the first round each task leaves the forest of every PART of its own links: what isn't in the
+forest of some links isn't in that of all. The forest's links, sorted, are the merges; which clusters each joins is found
 by halving the sorted links: the clusters that a lower half makes are names in the upper half, until a block of links is small enough for one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from dendrospark.operators.jumps import chain_ends
 from dendrospark.operators.storage import Rounds, kept
@@ -18,6 +23,9 @@ from dendrospark.operators.windows import numbered
 #: Links that one task joins one after the other.
 BLOCK = 10_000
 
+#: Links that a task thins at once.
+PART = 1 << 19
+
 
 def _relabelled(links: DataFrame, names: DataFrame, *group: str) -> DataFrame:
     """``links`` with a and b replaced through names (group, node, end)."""
@@ -27,9 +35,58 @@ def _relabelled(links: DataFrame, names: DataFrame, *group: str) -> DataFrame:
     return links
 
 
+def thinned(links: DataFrame, part: int = PART) -> DataFrame:
+    """Links (project, id1, id2, score) without those that aren't in the forest of some ``part`` links of their task: where a task has all links of a tile, few are left."""
+
+    def forest_rows(pdf: pd.DataFrame) -> np.ndarray:
+        """Which rows (project, id1, id2, score) are links of their own minimum spanning forest, by Boruvka's rounds."""
+        ids, names = pd.factorize(pd.concat([pdf["id1"], pdf["id2"]], ignore_index=True), sort=True)
+        one, two = ids[: len(pdf)], ids[len(pdf) :]
+        order = np.lexsort((two, one, pdf["score"].to_numpy()))
+        project = pd.factorize(pdf["project"])[0].astype("int64") * len(names)
+        ends, nodes = pd.factorize(np.concatenate([(project + one)[order], (project + two)[order]]))
+        a, b, n, m = ends[: len(pdf)], ends[len(pdf) :], len(nodes), len(pdf)
+        root, left, taken = np.arange(n), np.arange(m), []
+        while True:
+            x, y = root[a[left]], root[b[left]]
+            apart = x != y
+            left, x, y = left[apart], x[apart], y[apart]
+            if not len(left):
+                return order[np.concatenate(taken)] if taken else order[:0]
+            best = np.full((2, n), m)
+            for side, end in enumerate((x, y)):
+                best[side, end[::-1]] = left[::-1]  # of repeats the last stands: the least
+            best = best.min(axis=0)
+            some = np.flatnonzero(best < m)
+            taken.append(np.unique(best[some]))
+            to, link = np.arange(n), best[some]
+            to[some] = np.where(root[a[link]] == some, root[b[link]], root[a[link]])
+            same = (to[to] == np.arange(n)) & (np.arange(n) < to)  # of two that take the same link, the smaller stays
+            to[same] = np.flatnonzero(same)
+            while (to[to] != to).any():
+                to = to[to]
+            root = to[root]
+
+    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            held.append(pdf)
+            if sum(map(len, held)) >= part:
+                rows = pd.concat(held, ignore_index=True)
+                held = []
+                yield rows.iloc[forest_rows(rows)]
+        if held:
+            rows = pd.concat(held, ignore_index=True)
+            yield rows.iloc[forest_rows(rows)]
+
+    return links.select("project", "id1", "id2", "score").mapInPandas(thin, links.select("project", "id1", "id2", "score").schema)
+
+
 def spanning_forest(scores: DataFrame) -> tuple[DataFrame, int]:
     """The links (project, id1, id2, score) of each project's minimum spanning forest, and how many rounds it took. Links without a score don't count."""
     known = scores.where("score IS NOT NULL")
+    if isinstance(scores.schema["project"].dataType, AtomicType):
+        known = thinned(known.where("project IS NOT NULL AND id1 IS NOT NULL AND id2 IS NOT NULL"))
     links = kept(known.select("project", F.struct("score", "id1", "id2").alias("edge"), F.col("id1").alias("a"), F.col("id2").alias("b")), "links")
     taken = Rounds(scores.sparkSession, "forest")
     while True:

@@ -261,3 +261,20 @@ def test_first_rows_and_large_samples_load_no_single_task(spark):
         assert "TakeOrderedAndProject" not in got._jdf.queryExecution().executedPlan().toString()
         want = df.orderBy(order, *df.columns).limit(rows)
         assert got.count() == rows and got.exceptAll(want).isEmpty()
+
+
+def test_tasks_thin_their_links_and_keep_the_forest(spark):
+    rng = random.Random(7)
+    rows = [(p, a, b, float(rng.randint(0, 20))) for p in ("p", "q") for a in range(40) for b in range(a + 1, 40)]
+    want = []
+    for p in ("p", "q"):
+        root = list(range(40))
+        for _, x, y, s in sorted((r for r in rows if r[0] == p), key=lambda r: (r[3], r[1], r[2])):
+            if root[x] != root[y]:
+                want.append((p, x, y, s))
+                root = [root[x] if r == root[y] else r for r in root]
+    df = spark.createDataFrame(rows, "project string, id1 long, id2 long, score double").repartition(2)
+    for part in (100, 10_000):
+        thin = fo.thinned(df, part).collect()
+        assert set(want) <= set(map(tuple, thin)) and len(thin) < len(rows) / 2
+    assert sorted(map(tuple, fo.spanning_forest(df)[0].collect())) == sorted(want)
