@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dendrospark.functions import scalar as fn
+from dendrospark.operators.storage import FEW, dealt, kept
 
 
 def composition(rows: DataFrame, key: str, order: str, family: str, name: str = "mda") -> DataFrame:
@@ -90,15 +91,30 @@ def collected(rows: DataFrame, key: str, term: str, name: str, none: str = "none
     return rows.groupBy(key).agg(F.when(text == "", F.lit(none)).otherwise(text).alias(name))
 
 
-def annotation_transfer(terms: DataFrame, codes: DataFrame, reliable: DataFrame) -> tuple[DataFrame, DataFrame]:
+def spread_join(rows: DataFrame, own: DataFrame, key: str, by: str, few: int = FEW, part: int = 1 << 20) -> DataFrame:
+    """``rows`` with each row of ``own`` (written, so that it can be counted) of equal ``key``, where a few keys may have most rows.
+
+    Up to ``few`` rows of ``own`` are sent to every task. Of more, a key's ``rows`` are dealt by ``by`` to parts of about ``part`` rows, and ``own`` is copied for each part of its key.
+    """
+    if own.count() <= few:
+        return rows.join(F.broadcast(own), key)
+    parts = rows.groupBy(key).agg(F.ceil(F.count("*") / part).cast("int").alias("_parts")).where("_parts > 1")
+    split = kept(parts, "large-keys")
+    n = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(F.broadcast(split), key, "left").withColumn("_part", F.pmod(F.xxhash64(by), n).cast("int")).drop("_parts")
+    copied = own.join(F.broadcast(split), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_part"]).drop("_part")
+
+
+def annotation_transfer(terms: DataFrame, codes: DataFrame, reliable: DataFrame, few: int = FEW, part: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """Terms that go with a code are added to its items; a code whose whole term set an item has is added to it.
 
-    ``terms``: item, term. ``codes``: item, code. ``reliable``: term.
+    ``terms``: item, term. ``codes``: item, code. ``reliable``: term. ``few``, ``part``: as in ``spread_join``.
     """
-    seen = codes.join(terms, "item").join(reliable, "term", "left_semi").select("code", "term").distinct()
-    more_terms = codes.join(seen, "code").select("item", "term").unionByName(terms).distinct()
+    seen = kept(codes.join(terms, "item").join(reliable, "term", "left_semi").select("code", "term").distinct(), "seen")
+    more_terms = spread_join(codes, seen, "code", "item", few, part).select("item", "term").unionByName(terms).distinct()
     size = seen.groupBy("code").agg(F.count("*").alias("need"))
-    has = terms.distinct().join(seen, "term").groupBy("item", "code").agg(F.count("*").alias("has"))
+    has = spread_join(dealt(terms, "item", rows=part).distinct(), seen, "term", "item", few, part).groupBy("item", "code").agg(F.count("*").alias("has"))
     more_codes = has.join(size, "code").where("has = need").select("item", "code").unionByName(codes).distinct()
     return more_terms, more_codes
 

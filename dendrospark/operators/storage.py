@@ -40,6 +40,11 @@ def shuffled(df: DataFrame, name: str = "round") -> DataFrame:
     return out.hint("merge") if seen.get["n"] > FEW else out
 
 
+def dealt(df: DataFrame, *keys: str, rows: int = 1 << 20) -> DataFrame:
+    """``df`` by ``keys`` to as many tasks as have about ``rows`` rows each, counted first: by their bytes, narrow rows would be few tasks with many groups each."""
+    return df.repartition(min(4096, df.count() // rows + 1), *keys)
+
+
 class Rounds:
     """Tables of all rounds in one folder, so that what they have in common is one scan, however many they are."""
 

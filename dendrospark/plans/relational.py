@@ -426,7 +426,7 @@ seen AS (SELECT DISTINCT code, term FROM c JOIN t USING (item) WHERE term <= 3),
 has AS (SELECT item, code, count(*) AS has FROM t JOIN seen USING (term) GROUP BY ALL)
 SELECT item, code FROM has JOIN need USING (code) WHERE has = need UNION SELECT item, code FROM c""")
 def _(spark, d):
-    terms = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("term")).distinct()
+    terms = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("term"))
     codes = read(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("item"), F.col("o_orderpriority").alias("code"))
     return ag.annotation_transfer(terms, codes, terms.where("term <= 3").select("term").distinct())[1]
 
