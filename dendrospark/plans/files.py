@@ -81,11 +81,16 @@ def _(spark, d):
 
 @query("SRC-07_profile_hits_scan", "SELECT 'c' || o_custkey % 40 AS query, replace(o_orderpriority, ' ', '_') AS match, min(o_orderkey / 8.0) AS evalue FROM orders GROUP BY ALL")
 def _(spark, d):
-    o = read(spark, d, "orders").select((F.col("o_custkey") % 40).alias("q"), F.replace("o_orderpriority", F.lit(" "), F.lit("_")).alias("p"), (F.col("o_orderkey") / F.lit(8.0)).alias("e"))
+    """A customer's reports have about 65,536 hits each, so that no task or row holds all of them."""
+    o = read(spark, d, "orders")
+    part = F.pmod(F.xxhash64("o_orderkey"), F.lit(o.count() // (40 * 65536) + 1)).alias("part")
+    o = o.select((F.col("o_custkey") % 40).alias("q"), part, F.replace("o_orderpriority", F.lit(" "), F.lit("_")).alias("p"), (F.col("o_orderkey") / F.lit(8.0)).alias("e"))
     line = F.concat_ws(" ", F.lit("1"), "p", F.lit("99.9"), F.col("e").cast("string"), F.lit("0 1 2 3 4-5 6-7 (8)"))
-    text = F.concat(F.lit("Query         c"), F.col("q").cast("string"), F.lit("\n\n No Hit Prob\n"), F.array_join("lines", "\n"), F.lit("\n\nNo 1\n"))
+    around = {0: F.concat(F.lit("Query         c"), F.col("q").cast("string")), 1: F.lit(""), 2: F.lit(" No Hit Prob"), 4: F.lit(""), 5: F.lit("No 1")}
+    ends = F.inline(F.array(*[F.struct(F.lit(i).alias("at"), x.alias("value")) for i, x in around.items()]))
+    rows = o.select("q", "part", F.lit(3).alias("at"), line.alias("value")).unionByName(o.select("q", "part").distinct().select("q", "part", ends))
     path = new_path(spark, "hits")
-    o.groupBy("q").agg(F.collect_list(line).alias("lines")).select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    rows.repartition("q", "part").sortWithinPartitions("q", "part", "at").select("q", "part", "value").write.partitionBy("q", "part").text(path)
     return src.read_profile_hits(spark, path)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dendrospark.functions import scalar as fn
+from dendrospark.operators.storage import kept
 
 
 def _stem() -> Column:
@@ -98,14 +99,22 @@ def write_scores(scores: DataFrame, path: str, sep: str = "\t") -> None:
 
 
 def read_profile_hits(spark: SparkSession, path: str) -> DataFrame:
-    """query, match, evalue of search reports: eleven columns from the line ``No Hit`` to a blank one; best e-value of each pair."""
-    lines = spark.read.text(path, wholetext=True)
-    query = F.regexp_extract("value", r"(?m)^Query\s+(\S+)", 1)
-    block = F.regexp_extract("value", r"(?s)\n\s*No Hit[^\n]*\n(.*?)(\n\s*\n|$)", 1)
-    rows = lines.select(query.alias("query"), F.explode(F.split(block, "\n")).alias("line")).where(F.trim("line") != "")
-    c = F.split(F.trim("line"), r"\s+")
-    good = F.when(F.size(c) >= 11, c).otherwise(F.raise_error(F.concat(F.lit("not a hit: "), F.col("line"))).cast("array<string>"))
-    hits = rows.select("query", good.alias("c")).select("query", F.col("c")[1].alias("match"), F.col("c")[3].cast("double").alias("evalue"))
+    """query, match, evalue of search reports: eleven columns from the line ``No Hit`` to a blank one; best e-value of each pair.
+
+    A report is read by lines, by as many tasks as its size asks for: where its block begins and ends are two least places of its lines.
+    """
+    lines = spark.read.text(path).withColumns({"file": F.col("_metadata.file_path"), "start": F.col("_metadata.file_block_start"), "m": F.monotonically_increasing_id()})
+    lines = kept(lines.select("file", F.struct("start", "m").alias("at"), "value"), "lines")
+    name = F.regexp_extract("value", r"^Query\s+(\S+)", 1)
+    begins, blank = F.col("value").rlike(r"^\s*No Hit"), ~F.col("value").rlike(r"\S")
+    heads = lines.where(F.col("value").rlike(r"^Query\s+\S") | begins).groupBy("file")
+    heads = kept(heads.agg(F.min_by(name, F.when(name != "", F.col("at"))).alias("query"), F.min(F.when(begins, F.col("at"))).alias("begin")).where("begin IS NOT NULL"), "heads")
+    after = lines.where(blank).join(heads, "file").where(F.col("at") > F.col("begin"))
+    blocks = kept(heads.join(after.groupBy("file").agg(F.min("at").alias("end")), "file", "left"), "blocks")
+    rows = lines.where(~blank).join(blocks, "file").where((F.col("at") > F.col("begin")) & (F.col("end").isNull() | (F.col("at") < F.col("end"))))
+    c = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")
+    good = F.when(F.size(c) >= 11, c).otherwise(F.raise_error(F.concat(F.lit("not a hit: "), F.col("value"))).cast("array<string>"))
+    hits = rows.select(F.coalesce("query", F.lit("")).alias("query"), good.alias("c")).select("query", F.col("c")[1].alias("match"), F.col("c")[3].cast("double").alias("evalue"))
     return hits.groupBy("query", "match").agg(F.min("evalue").alias("evalue"))
 
 

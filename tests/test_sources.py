@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dendrospark.sources import jdbc, matrix
+from dendrospark.sources import jdbc, matrix, text
 
 DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
 
@@ -77,3 +77,20 @@ def test_one_matrix_file_and_lost_names(spark, tmp_path):
         matrix.read_matrix(spark, str(tmp_path), 2).collect()
     np.save(tmp_path / "a.npy", np.asfortranarray(np.arange(12.0).reshape(4, 3)))
     assert matrix.rows_of(str(tmp_path / "a.npy"), 1, 3).tolist() == [[3, 4, 5], [6, 7, 8]]
+
+
+def test_profile_reports_are_read_by_lines(spark, tmp_path):
+    hit = "  1 {}   98.5 {} 1.7E-15   69.1   0.0   49    2-52      2-50  (50)"
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a").write_text("\n".join(["Query         q1", "Neff 1", "", " No Hit   Prob", hit.format("m", "3E-5"), hit.format("n", "7"), hit.format("m", "1E-9"), "  ", "No 1", "Query  other", hit.format("late", "1")]))
+    (tmp_path / "r" / "b").write_text("\n".join(["Query q2", " No Hit", *[hit.format(f"m{i % 50}", i) for i in range(5000)]]) + "\n")
+    (tmp_path / "r" / "c").write_text("Query q3\n\nnothing\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        got = text.read_profile_hits(spark, str(tmp_path / "r"))
+        rows = sorted(map(tuple, got.collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows == sorted([("q1", "m", 1e-9), ("q1", "n", 7.0), *[("q2", f"m{i}", float(i)) for i in range(50)]])
+    files = [x for x in got.inputFiles()]
+    assert not any(x.endswith(("/r/a", "/r/b")) for x in files)  # no report is a row
