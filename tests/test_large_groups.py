@@ -30,3 +30,22 @@ def test_spread_join_gives_no_task_a_whole_key(spark):
     assert got.count() == 8000 and got.select("x", "name").distinct().count() == 8000
     by_plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "_part" in by_plan
+
+
+def test_triples_without_pairs_of_pairs(spark):
+    from dendrospark.operators.relational import score_triples
+
+    rows = [(i % 2, i, j, float(i * 100 + j)) for i in range(24) for j in range(i + 2, 24, 2) if (i * j) % 5]
+    rows += [(0, 2, 4, 7.5), (0, 6, 6, 1.0)]  # a second score of a pair; an item with itself
+    want = []
+    both = [(i, j, s) for _, i, j, s in rows if i != j] + [(j, i, s) for _, i, j, s in rows if i != j]
+    for a, b, ab in both:
+        for b2, c, bc in both:
+            if b2 == b and c != a:
+                want += [(a, b, c, ab, bc, ac) for a2, c2, ac in both if (a2, c2) == (a, c)]
+    scores = spark.createDataFrame(rows, "project int, id1 long, id2 long, score double")
+    got = score_triples(scores, side=5)
+    assert got.columns == ["a", "b", "c", "ab", "bc", "ac"]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("MapInPandas")[0]
+    assert sorted(map(tuple, score_triples(scores.drop("project"), side=5).collect())) == sorted(want)
