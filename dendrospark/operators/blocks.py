@@ -1,15 +1,15 @@
 """Agglomeration of projects all of whose pairs are scored, on tiles of their matrix of links instead of a row a pair.
 
-A project's items lie in strips of about SIDE; of two strips one row of a table holds all links. A round finds each cluster's nearest in tasks over
-tiles, pairs that are each other's nearest merge, and the tiles go on with the merged clusters' links joined: a merged pair stands in the strip of its
-smaller leaf, and only what stays is written, so rounds get smaller as clusters do. A project of up to WHOLE strips' clusters is finished in one task.
+A project's clusters lie in strips of about SIDE; the links of two strips are a tile, made anew from the vectors of the clusters' members in the task that
+looks at it, so no round writes or shuffles links. A round finds each cluster's nearest in tasks over tiles, and pairs that are each other's nearest merge.
+A project of up to WHOLE strips' clusters is finished in one task, to which its tiles are sent.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
@@ -26,7 +26,7 @@ from dendrospark.operators.windows import numbered
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this package
 
-#: Items of a strip.
+#: Clusters of a strip.
 SIDE = 1024
 
 #: Strips whose clusters one task finishes, as a matrix of 134 MB at most.
@@ -35,7 +35,13 @@ WHOLE = 4
 #: Clusters whose merges can bring them closer that are one task's, at most.
 CLOSE = 4096
 
-_BLOCKS, _FOUND = "p long, a int, b int, cells binary", "p long, r1 long, r2 long, score double, round int"
+#: Members whose distances a tile holds at once, before they are joined.
+ROWS = 256
+
+_FOUND = "p long, r1 long, r2 long, score double, round int"
+
+#: Merges (place, place, score, round) of a matrix of links and the clusters' sizes.
+Run = Callable[[np.ndarray, np.ndarray], Iterator[tuple[int, int, float, int]]]
 
 
 @dataclass(frozen=True)
@@ -47,32 +53,57 @@ class Linkage:
     largest: bool = False
 
 
-@dataclass
+@dataclass(frozen=True)
 class Tiles:
-    """Blocks (p, a, b, cells: the links of strips a <= b), nodes (p, rank, strip, slot, size) in them and ids (project, id, p, rank); p is a project's number, rank an item's place among its ids."""
+    """Items (p, rank, head, embedding), nodes (p, rank, strip, slot, size) and ids (project, id, p, rank); p is a project's number, rank an item's place among its ids, head the rank of the node that it is in.
+
+    ``start`` makes links of Euclidean distances, ``largest`` says how those that become one are joined.
+    """
 
-    blocks: DataFrame
+    items: DataFrame
     nodes: DataFrame
     ids: DataFrame
+    start: Callable[[np.ndarray], np.ndarray]
+    largest: bool = False
+    side: int = SIDE
+
+
+@dataclass
+class Tile:
+    """Links of the nodes of strips a and b of a project, with the nodes' ranks and sizes."""
+
+    p: int
+    a: int
+    b: int
+    cells: np.ndarray
+    ranks: tuple[np.ndarray, np.ndarray]
+    sizes: tuple[np.ndarray, np.ndarray]
+
+    def scores(self, linkage: Linkage) -> np.ndarray:
+        """A cluster's own at infinity."""
+        with np.errstate(over="ignore", divide="ignore"):
+            s = linkage.score(self.cells, self.sizes[0][:, None] * self.sizes[1][None].astype("float64"))
+        if self.a == self.b:
+            s = s.copy()
+            np.fill_diagonal(s, np.inf)
+        return s
 
 
 def rounded(x: np.ndarray, places: int) -> np.ndarray:
     """As ``F.round``: halves of the printed digits go up."""
     y = x * 10.0**places
-    whole = np.floor(y + 0.5)
-    for at in zip(*np.nonzero(np.abs(y + 0.5 - whole) % 1 < 1e-5)):
+    y += 0.5
+    whole = np.floor(y)
+    y -= whole
+    for at in zip(*np.nonzero((y < 1e-5) | (y > 1 - 1e-5))):
         whole[at] = int(Decimal(repr(float(x[at]))).scaleb(places).quantize(Decimal(1), ROUND_HALF_UP))
     return whole / 10.0**places
 
 
-def _nodes(items: DataFrame, side: int) -> tuple[DataFrame, DataFrame]:
-    """Ids and nodes of items (project, id)."""
-    projects = kept(items.groupBy("project").agg(F.ceil(F.count("*") / side).cast("int").alias("n")), "projects").withColumn("p", F.monotonically_increasing_id())
-    projects = kept(projects, "projects")
-    ranked = numbered(items.select("project", "id"), ["project"], [F.col("id")], "rank")
-    rows = ranked.join(F.broadcast(projects), "project")
-    ids = kept(rows.select("project", "id", "p", "rank", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("strip")), "ids")
-    return ids, kept(_slotted(ids.select("p", "rank", "strip", F.lit(1).cast("long").alias("size"))), "nodes")
+def _placed(nodes: DataFrame, side: int) -> DataFrame:
+    """Nodes (p, rank, size) in strips of about ``side``."""
+    count = nodes.groupBy("p").agg(F.ceil(F.count("*") / side).cast("int").alias("_n"))
+    return kept(_slotted(nodes.join(F.broadcast(count), "p").withColumn("strip", F.pmod(F.xxhash64("rank"), F.col("_n")).cast("int"))), "nodes")
 
 
 def _slotted(nodes: DataFrame) -> DataFrame:
@@ -80,142 +111,77 @@ def _slotted(nodes: DataFrame) -> DataFrame:
     return nodes.select("p", "rank", "strip", slot.alias("slot"), "size")
 
 
-def _strips(nodes: DataFrame, *values: str) -> DataFrame:
-    """A row a strip (p, strip) with arrays of its nodes' ranks and ``values``, in the order of slots."""
-    rows = F.array_sort(F.collect_list(F.struct("slot", "rank", *values))).alias("v")
-    return nodes.groupBy("p", "strip").agg(rows).select("p", "strip", *[F.col(f"v.{c}").alias(c) for c in ("rank", *values)])
-
-
-def _beside(blocks: DataFrame, strips: DataFrame) -> DataFrame:
-    """``blocks`` with the arrays of both strips, named _a and _b."""
-    for end in "ab":
-        own = strips.withColumnsRenamed({c: f"{c}_{end}" for c in strips.columns if c not in ("p", "strip")})
-        blocks = blocks.join(F.broadcast(own.withColumnRenamed("strip", end)), ["p", end])
-    return blocks
-
-
-def _tasks(nodes: DataFrame) -> int:
-    """As many as have about 4 million links each."""
-    n = nodes.groupBy("p").agg(F.count("*").cast("double").alias("n"))
-    return int(min(4096, 1 + (n.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0) // (1 << 22)))
-
-
-def from_vectors(items: DataFrame, start: Callable[[np.ndarray], np.ndarray], side: int = SIDE) -> Tiles:
+def from_vectors(items: DataFrame, start: Callable[[np.ndarray], np.ndarray], largest: bool = False, side: int = SIDE) -> Tiles:
     """Tiles of what ``start`` makes of the Euclidean distances of ``comparable`` items (project, id, embedding) with ids of their own."""
-    ids, nodes = _nodes(items, side)
-    rows = items.join(ids, ["project", "id"]).join(nodes.select("p", "rank", "slot"), ["p", "rank"]).select("p", "strip", "slot", "embedding")
-    count = nodes.groupBy("p").agg((F.max("strip") + 1).alias("n"))
-    rows = rows.join(F.broadcast(count), "p").withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    rows = rows.select("p", F.least("strip", "_t").alias("a"), F.greatest("strip", "_t").alias("b"), "strip", "slot", "embedding")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["strip", "slot"], ignore_index=True)
+    projects = kept(kept(items.select("project").distinct(), "projects").withColumn("p", F.monotonically_increasing_id()), "projects")
+    ranked = numbered(items.select("project", "id"), ["project"], [F.col("id")], "rank")
+    ids = kept(ranked.join(F.broadcast(projects), "project").select("project", "id", "p", "rank"), "ids")
+    rows = items.join(ids, ["project", "id"]).select("p", "rank", F.col("rank").alias("head"), "embedding")
+    return Tiles(kept(rows, "items"), _placed(ids.select("p", "rank", F.lit(1).cast("long").alias("size")), side), ids, start, largest, side)
+
+
+def _folded(links: Callable[[np.ndarray, np.ndarray], np.ndarray], ends: list[tuple[np.ndarray, np.ndarray]], largest: bool) -> np.ndarray:
+    """``links`` of all vectors of both ends (vectors, places: rising), those of one place joined; ROWS vectors at a time."""
+    join = np.maximum if largest else np.add
+    (x, i), (y, j) = ends
+    first = np.flatnonzero(np.diff(j, prepend=-1))
+    out = np.full((i[-1] + 1, len(first)), -np.inf if largest else 0.0)
+    for at in range(0, len(x), ROWS):
+        m, own = links(x[at : at + ROWS], y), i[at : at + ROWS]
+        begin = np.flatnonzero(np.diff(own, prepend=-1))
+        if len(begin) < len(own):
+            m = join.reduceat(m, begin, axis=0)
+        if len(first) < len(j):
+            m = join.reduceat(m, first, axis=1)
+        out[own[begin]] = join(out[own[begin]], m)
+    return out
+
+
+def over(t: Tiles, run: Callable[[Tile], pd.DataFrame], schema: str, within: bool = False) -> DataFrame:
+    """What ``run`` gives for each tile; ``within``: for those of one strip only."""
+    start, largest, columns = t.start, t.largest, [c.split()[0] for c in schema.split(", ")]
+    rows = t.items.join(t.nodes.withColumnRenamed("rank", "head"), ["p", "head"]).select("p", "strip", "slot", "rank", "head", "size", "embedding")
+    other = F.col("strip")
+    if not within:
+        count = t.nodes.groupBy("p").agg((F.max("strip") + 1).alias("_n"))
+        rows, other = rows.join(F.broadcast(count), "p").withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))), F.col("_t")
+    rows = rows.select("p", F.least("strip", other).alias("a"), F.greatest("strip", other).alias("b"), "strip", "slot", "rank", "head", "size", "embedding")
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
         p, a, b = (int(pdf[c].iloc[0]) for c in ("p", "a", "b"))
-        vectors = np.stack(pdf["embedding"].to_numpy()).astype("float64")
-        one = (pdf["strip"] == a).to_numpy()
-        cells = start(euclidean(vectors[one], vectors[one] if a == b else vectors[~one]))
-        return pd.DataFrame({"p": [p], "a": [a], "b": [b], "cells": [cells.tobytes()]})
-
-    # a strip without items has no tiles
-    blocks = rows.repartition(_tasks(nodes), "p", "a", "b").groupBy("p", "a", "b").applyInPandas(run, _BLOCKS)
-    return Tiles(kept(_whole(blocks, nodes), "blocks"), nodes, ids)
-
-
-def _whole(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of which both strips have nodes."""
-    some = nodes.select("p", "strip").distinct()
-    for end in "ab":
-        blocks = blocks.join(F.broadcast(some.withColumnRenamed("strip", end)), ["p", end], "left_semi")
-    return blocks.select("p", "a", "b", "cells")
-
-
-def _assembled(pieces: DataFrame, nodes: DataFrame, largest: bool) -> DataFrame:
-    """Blocks of pieces (p, a, b, i, j, cells): values of rows i and columns j, those for one place joined."""
-    count = F.broadcast(nodes.groupBy("p", "strip").agg(F.count("*").alias("n")))
-    sized = pieces.join(count.withColumnsRenamed({"strip": "a", "n": "na"}), ["p", "a"]).join(count.withColumnsRenamed({"strip": "b", "n": "nb"}), ["p", "b"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, a, b, na, nb = (int(pdf[c].iloc[0]) for c in ("p", "a", "b", "na", "nb"))
-        out = np.full((na, nb), -np.inf if largest else 0.0)
-        for i, j, cells in zip(pdf["i"], pdf["j"], pdf["cells"]):
-            i, j = np.frombuffer(i, dtype="<i4"), np.frombuffer(j, dtype="<i4")
-            at, own = np.ix_(i, j), np.frombuffer(cells).reshape(len(i), len(j))
-            out[at] = np.maximum(out[at], own) if largest else out[at] + own
-        return pd.DataFrame({"p": [p], "a": [a], "b": [b], "cells": [out.tobytes()]})
-
-    return sized.repartition(_tasks(nodes), "p", "a", "b").groupBy("p", "a", "b").applyInPandas(run, _BLOCKS)
-
-
-def _folded(m: np.ndarray, to: np.ndarray, largest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of ``m`` that go to one place (not below 0) as one, and the places."""
-    order = np.argsort(to, kind="stable")
-    order = order[to[order] >= 0]
-    places, first = np.unique(to[order], return_index=True)
-    if not len(places):
-        return m[:0], places
-    return (np.maximum if largest else np.add).reduceat(m[order], first, axis=0), places
-
-
-def moved(blocks: DataFrame, places: DataFrame, nodes: DataFrame, largest: bool, within: bool = False) -> DataFrame:
-    """Blocks of the new ``nodes`` from those of the old, whose ``places`` (p, rank, strip, slot, to_strip, to_slot) say where each goes; to_strip -1: it is left out. ``within``: only tiles of one strip are made."""
-    shift = 1 << 31
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples():
-                n, k = len(r.rank_a), len(r.rank_b)
-                rows, columns = (np.asarray(s, dtype="int64") * shift + np.asarray(t) for s, t in ((r.to_strip_a, r.to_slot_a), (r.to_strip_b, r.to_slot_b)))
-                m, i = _folded(np.frombuffer(r.cells).reshape(n, k), rows, largest)
-                m, j = _folded(m.T, columns, largest)
-                m = m.T
-                for x in np.unique(i // shift):
-                    own = i // shift == x
-                    for y in np.unique(j // shift):
-                        if (r.a == r.b and x > y) or (within and x != y):
-                            continue
-                        other = j // shift == y
-                        u, v, cells = (i[own] % shift).astype("<i4"), (j[other] % shift).astype("<i4"), m[np.ix_(own, other)]
-                        if x > y or (x == y and r.a != r.b):
-                            yield pd.DataFrame({"p": [r.p], "a": [int(y)], "b": [int(x)], "i": [v.tobytes()], "j": [u.tobytes()], "cells": [np.ascontiguousarray(cells.T).tobytes()]})
-                        if x <= y:
-                            yield pd.DataFrame({"p": [r.p], "a": [int(x)], "b": [int(y)], "i": [u.tobytes()], "j": [v.tobytes()], "cells": [np.ascontiguousarray(cells).tobytes()]})
-
-    beside = _beside(blocks, _strips(places, "to_strip", "to_slot"))
-    return _assembled(beside.mapInPandas(run, "p long, a int, b int, i binary, j binary, cells binary"), nodes, largest)
-
-
-def _scores(linkage: Linkage, r) -> np.ndarray:
-    """A tile's scores, a cluster's own at infinity."""
-    n, k = len(r.rank_a), len(r.rank_b)
-    with np.errstate(over="ignore", divide="ignore"):
-        s = linkage.score(np.frombuffer(r.cells).reshape(n, k), np.asarray(r.size_a)[:, None] * np.asarray(r.size_b, dtype="float64")[None])
-    if r.a == r.b:
-        s = s.copy()
-        np.fill_diagonal(s, np.inf)
-    return s
-
-
-def nearest(blocks: DataFrame, nodes: DataFrame, linkage: Linkage) -> DataFrame:
-    """(p, rank, e.score, e.partner): each node's nearest, of equal ones the smaller (r1, r2). Nodes that aren't ``open`` have none and are none."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples():
-                s, ranks = _scores(linkage, r), (np.asarray(r.rank_a), np.asarray(r.rank_b))
-                on = np.asarray(r.open_a, dtype=bool), np.asarray(r.open_b, dtype=bool)
-                if not (on[0].all() and on[1].all()):
-                    s = s[np.ix_(*on)]
-                    ranks = ranks[0][on[0]], ranks[1][on[1]]
-                for way in range(1 if r.a == r.b else 2):
-                    if not s.size:
-                        continue
-                    at = s.argmin(axis=1 - way)
-                    low = s[np.arange(len(at)), at] if way == 0 else s[at, np.arange(len(at))]
-                    some = low < np.inf
-                    yield pd.DataFrame({"p": r.p, "rank": ranks[way][some], "score": low[some], "partner": ranks[1 - way][at[some]]})
-
-    nodes = nodes if "open" in nodes.columns else nodes.withColumn("open", F.lit(True))
-    found = _beside(blocks, _strips(nodes, "size", "open")).mapInPandas(run, "p long, rank long, score double, partner long")
+        ends, ranks, sizes = [], [], []
+        for strip in (a,) if a == b else (a, b):
+            own = pdf[pdf["strip"] == strip].sort_values(["slot", "rank"])
+            if not len(own):  # a strip without nodes
+                return pd.DataFrame({c: [] for c in columns})
+            place = np.cumsum(np.diff(own["slot"].to_numpy(), prepend=-1) > 0) - 1
+            first = np.flatnonzero(np.diff(place, prepend=-1))
+            ends.append((np.stack(own["embedding"].to_numpy()).astype("float64"), place))
+            ranks.append(own["head"].to_numpy()[first])
+            sizes.append(own["size"].to_numpy()[first])
+        cells = _folded(lambda x, y: start(euclidean(x, y)), [ends[0], ends[-1]], largest)
+        if a == b:  # sums the other way round can differ in the last digit
+            cells = np.triu(cells) + np.triu(cells, 1).T
+        return run(Tile(p, a, b, cells, (ranks[0], ranks[-1]), (sizes[0], sizes[-1])))
+
+    n = t.items.groupBy("p").agg(F.count("*").cast("double").alias("n"))
+    tasks = int(min(4096, 1 + (n.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0) // (1 << 22)))
+    return rows.repartition(tasks, "p", "a", "b").groupBy("p", "a", "b").applyInPandas(each, schema)
+
+
+def nearest(t: Tiles, linkage: Linkage) -> DataFrame:
+    """(p, rank, score, partner): each node's nearest, of equal ones the smaller (r1, r2)."""
+
+    def run(tile: Tile) -> pd.DataFrame:
+        s, out = tile.scores(linkage), []
+        for way in range(1 if tile.a == tile.b else 2):
+            at = s.argmin(axis=1 - way)
+            low = s[np.arange(len(at)), at] if way == 0 else s[at, np.arange(len(at))]
+            some = low < np.inf
+            out.append(pd.DataFrame({"p": tile.p, "rank": tile.ranks[way][some], "score": low[some], "partner": tile.ranks[1 - way][at[some]]}))
+        return pd.concat(out)
+
+    found = over(t, run, "p long, rank long, score double, partner long")
     return found.groupBy("p", "rank").agg(F.min(F.struct("score", "partner")).alias("e")).select("p", "rank", "e.score", "e.partner")
 
 
@@ -225,41 +191,55 @@ def mutual(near: DataFrame) -> DataFrame:
     return pairs.agg(F.min("score").alias("score"), F.count("*").alias("_n")).where("_n = 2").drop("_n")
 
 
-def merged(t: Tiles, pairs: DataFrame, largest: bool, side: int) -> Tiles:
-    """Tiles after r2 of each pair (p, r1, r2) has become r1; strips become one by two where they are half empty."""
-    now = t.nodes.join(pairs.select("p", F.col("r2").alias("rank"), "r1"), ["p", "rank"], "left").withColumn("head", F.coalesce("r1", "rank")).drop("r1")
-    left = now.groupBy("p", F.col("head").alias("rank")).agg(F.max(F.when(F.col("rank") == F.col("head"), F.col("strip"))).alias("strip"), F.sum("size").alias("size"))
-    full = left.groupBy("p").agg(F.count("*").alias("_n"), (F.max("strip") + 1).alias("_s"))
-    by = F.when(F.col("_n") <= WHOLE * side, F.lit(30)).otherwise(F.greatest(F.lit(0), F.floor(F.log2(F.col("_s") * side / F.col("_n"))).cast("int")))
-    strip = F.floor(F.col("strip") / F.pow(F.lit(2.0), by)).cast("int")
-    nodes = kept(_slotted(left.join(F.broadcast(full), "p").select("p", "rank", strip.alias("strip"), "size")), "nodes")
-    to = nodes.select("p", F.col("rank").alias("head"), F.col("strip").alias("to_strip"), F.col("slot").alias("to_slot"))
-    places = now.join(to, ["p", "head"]).select("p", "rank", "strip", "slot", "to_strip", "to_slot")
-    return Tiles(kept(moved(t.blocks, places, nodes, largest), "blocks"), nodes, t.ids)
+def merged(t: Tiles, pairs: DataFrame) -> Tiles:
+    """Tiles after r2 of each pair (p, r1, r2) has become r1."""
+    moved = pairs.select("p", F.col("r2").alias("head"), "r1")
+    items = kept(t.items.join(moved, ["p", "head"], "left").select("p", "rank", F.coalesce("r1", "head").alias("head"), "embedding"), "items")
+    return replace(t, items=items, nodes=_placed(items.groupBy("p", F.col("head").alias("rank")).agg(F.count("*").alias("size")), t.side))
+
 
+def _merges(p: int, ranks: np.ndarray, found: Iterator[tuple[int, int, float, int]], at: int = 0) -> pd.DataFrame:
+    got = pd.DataFrame(list(found), columns=["r1", "r2", "score", "round"])
+    return pd.DataFrame({"p": p, "r1": ranks[got["r1"].astype("int64")], "r2": ranks[got["r2"].astype("int64")], "score": got["score"].astype("float64"), "round": (got["round"] + at).astype("int32")})
 
-def _finished(t: Tiles, run: Callable[[np.ndarray, np.ndarray], Iterator[tuple[int, int, float, int]]], at: int = 0) -> DataFrame:
-    """What ``run`` gives for the links and sizes of each tile of one strip, as (p, r1, r2, score, round)."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples():
-                ranks, n = np.asarray(r.rank_a), len(r.rank_a)
-                got = pd.DataFrame(list(run(np.frombuffer(r.cells).reshape(n, n).copy(), np.asarray(r.size_a, dtype="float64"))), columns=["r1", "r2", "score", "round"])
-                yield pd.DataFrame({"p": r.p, "r1": ranks[got["r1"].astype("int64")], "r2": ranks[got["r2"].astype("int64")], "score": got["score"].astype("float64"), "round": (got["round"] + at).astype("int32")})
+def _finished(t: Tiles, run: Callable[[int], Run], at: int = 0) -> DataFrame:
+    """What ``run`` of each project gives for the links and sizes of all its nodes, as (p, r1, r2, score, round); all tiles of a project are one task's."""
 
-    tiles = _beside(t.blocks.where("a = b"), _strips(t.nodes, "size"))
-    return tiles.select("p", "cells", "rank_a", "size_a").mapInPandas(each, _FOUND)
+    def piece(tile: Tile) -> pd.DataFrame:
+        row = {"p": tile.p, "cells": tile.cells.tobytes()}
+        for k, end in enumerate("ab"):
+            row |= {f"rank_{end}": tile.ranks[k].astype("int64").tobytes(), f"size_{end}": tile.sizes[k].astype("int64").tobytes()}
+        return pd.DataFrame([row])
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        size = {}
+        for r in pdf.itertuples():
+            for i, n in ((r.rank_a, r.size_a), (r.rank_b, r.size_b)):
+                size |= zip(np.frombuffer(i, dtype="int64").tolist(), np.frombuffer(n, dtype="int64").tolist())
+        ranks = np.array(sorted(size), dtype="int64")
+        cells = np.zeros((len(ranks), len(ranks)))
+        for r in pdf.itertuples():
+            i, j = (np.searchsorted(ranks, np.frombuffer(x, dtype="int64")) for x in (r.rank_a, r.rank_b))
+            own = np.frombuffer(r.cells).reshape(len(i), len(j))
+            cells[np.ix_(i, j)] = own
+            cells[np.ix_(j, i)] = own.T
+        p = int(pdf["p"].iloc[0])
+        return _merges(p, ranks, run(p)(cells, np.array([size[x] for x in ranks.tolist()], dtype="float64")), at)
+
+    pieces = over(t, piece, "p long, cells binary, rank_a binary, size_a binary, rank_b binary, size_b binary")
+    projects = t.nodes.select("p").distinct().count()
+    return pieces.repartition(min(4096, 4 * projects + 1), "p").groupBy("p").applyInPandas(whole, _FOUND)
 
 
 def _split(t: Tiles) -> tuple[Tiles | None, Tiles | None]:
-    """Projects of one strip, and the others, if there are any."""
-    one = t.nodes.groupBy("p").agg((F.min("strip") == F.max("strip")).alias("one"))
-    kinds = {r[0] for r in one.select("one").distinct().collect()}
+    """Projects of up to WHOLE strips' nodes, and the others, if there are any."""
+    few = kept(t.nodes.groupBy("p").agg((F.count("*") <= WHOLE * t.side).alias("few")), "few")
+    kinds = {r[0] for r in few.select("few").distinct().collect()}
     out = []
     for kind in (True, False):
-        own = F.broadcast(one.where(F.col("one") == kind).select("p"))
-        out.append(None if kind not in kinds else t if len(kinds) == 1 else Tiles(t.blocks.join(own, "p", "left_semi"), t.nodes.join(own, "p", "left_semi"), t.ids))
+        own = F.broadcast(few.where(F.col("few") == kind).select("p"))
+        out.append(None if kind not in kinds else t if len(kinds) == 1 else replace(t, items=t.items.join(own, "p", "left_semi"), nodes=t.nodes.join(own, "p", "left_semi")))
     return out[0], out[1]
 
 
@@ -338,42 +318,40 @@ def bundles(linkage: Linkage, tops: Callable[[float], list[float]], most: float
     return run
 
 
-def reduced(t: Tiles, linkage: Linkage, threshold: float | None = None, side: int = SIDE) -> DataFrame:
+def reduced(t: Tiles, linkage: Linkage, threshold: float | None = None) -> DataFrame:
     """The merges (p, r1, r2, score, round) for a linkage that no merge brings closer: mutual nearest clusters merge in a round."""
     done, at, rest = Rounds(t.nodes.sparkSession, "merges"), 0, t
     most = np.inf if threshold is None else threshold
     while rest is not None:
         few, rest = _split(rest)
         if few is not None:
-            done.add(_finished(few, one_by_one(linkage, most), at))
+            done.add(_finished(few, lambda p: one_by_one(linkage, most), at))
         if rest is None:
             break
-        found = mutual(nearest(rest.blocks, rest.nodes, linkage)).where(F.col("score") <= most)
+        found = mutual(nearest(rest, linkage)).where(F.col("score") <= most)
         found = done.add(found.withColumn("round", F.lit(at)))
         if found.isEmpty():
             break
-        rest, at = merged(rest, found, linkage.largest, side), at + 1
+        rest, at = merged(rest, found), at + 1
     return done.all()
 
 
-def closest_first(t: Tiles, linkage: Linkage, threshold: float | None = None, side: int = SIDE) -> DataFrame | None:
+def closest_first(t: Tiles, linkage: Linkage, threshold: float | None = None) -> DataFrame | None:
     """As ``reduced`` with ``key`` (score, r1, r2), in whose order the merges come, for a geometric mean with a pseudo count.
 
     While scores are below one, a merge can bring clusters closer still, but only those that are joined by such scores: what they make of clusters not so joined is one or more. So
     each component of such links is merged one at a time, apart from the others; after that no merge brings clusters closer. None where a component has more than CLOSE items.
     """
 
-    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples():
-                i, j = np.nonzero(_scores(linkage, r) < 1)
-                yield pd.DataFrame({"p": r.p, "a": np.asarray(r.rank_a)[i], "b": np.asarray(r.rank_b)[j]})
+    def close(tile: Tile) -> pd.DataFrame:
+        i, j = np.nonzero(tile.scores(linkage) < 1)
+        return pd.DataFrame({"p": tile.p, "a": tile.ranks[0][i], "b": tile.ranks[1][j]})
 
     most = np.inf if threshold is None else threshold
-    links = kept(_beside(t.blocks, _strips(t.nodes, "size")).mapInPandas(close, "p long, a long, b long").where("a <> b").distinct(), "close")
+    links = kept(over(t, close, "p long, a long, b long").where("a <> b").distinct(), "close")
     key = F.struct("score", "r1", "r2").alias("key")
     if links.isEmpty():
-        return reduced(t, linkage, threshold, side).withColumn("key", key)
+        return reduced(t, linkage, threshold).withColumn("key", key)
     ends = kept(components(links, "p").select("p", F.col("node").alias("rank"), "end"), "ends")
     sizes = ends.groupBy("p", "end").count()
     if sizes.agg(F.max("count")).first()[0] >= CLOSE:
@@ -381,94 +359,119 @@ def closest_first(t: Tiles, linkage: Linkage, threshold: float | None = None, si
     heads = ends.select("p", F.col("end").alias("rank"), "end").distinct().unionByName(ends)
     part = F.dense_rank().over(Window.partitionBy("p").orderBy("end")) - 1
     own = kept(_slotted(heads.select("p", "rank", part.alias("strip"), F.lit(1).cast("long").alias("size"))), "close-nodes")
-    to = own.select("p", "rank", F.col("strip").alias("to_strip"), F.col("slot").alias("to_slot"))
-    places = kept(t.nodes.join(to, ["p", "rank"], "left").select("p", "rank", "strip", "slot", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("to_strip", "to_slot")]), "places")
-    small = Tiles(kept(moved(t.blocks, places, own, linkage.largest, within=True), "close-blocks"), own, t.ids)
-    first = kept(_finished(small, one_by_one(linkage, most, 1.0)), "close-merges")
+    alone = one_by_one(linkage, most, 1.0)
+    first = kept(over(replace(t, nodes=own), lambda tile: _merges(tile.p, tile.ranks[0], alone(tile.cells, tile.sizes[0].astype("float64"))), _FOUND, within=True), "close-merges")
     part = own.select("p", F.col("rank").alias("r1"), "strip")
     ranked = first.join(part, ["p", "r1"]).withColumn("key", F.max(F.struct("score", "r1", "r2")).over(Window.partitionBy("p", "strip").orderBy("round"))).drop("strip")
     heads = components(first.select("p", F.col("r1").alias("a"), F.col("r2").alias("b")), "p")
-    rest = merged(t, heads.select("p", F.col("end").alias("r1"), F.col("node").alias("r2")), linkage.largest, side)
-    later = reduced(rest, linkage, threshold, side).withColumns({"key": key, "round": F.col("round") + F.lit(1 << 24)})
+    rest = merged(t, heads.select("p", F.col("end").alias("r1"), F.col("node").alias("r2")))
+    later = reduced(rest, linkage, threshold).withColumns({"key": key, "round": F.col("round") + F.lit(1 << 24)})
     return ranked.select(*later.columns).unionByName(later)
 
 
-def _matched(t: Tiles, linkage: Linkage, top: Callable[[Column], Column], most: float, side: int) -> DataFrame:
-    """(p, r1, r2, score): the greedy matching of each project's scores up to ``top`` of its least one; projects of up to WHOLE * ``side`` nodes that are left are one task's each."""
-    spark = t.nodes.sparkSession
-    taken, nodes, tops = Rounds(spark, "matched"), t.nodes.withColumn("open", F.lit(True)), None
+def _matched(t: Tiles, linkage: Linkage, top: Callable[[Column], Column], most: float) -> DataFrame:
+    """(p, r1, r2, score): the greedy matching of each project's scores up to ``top`` of its least one; projects of up to WHOLE strips' nodes that are left are one task's each."""
+    taken, rest, tops = Rounds(t.nodes.sparkSession, "matched"), t, None
     while True:
-        near = kept(nearest(t.blocks, nodes, linkage), "near")
+        near = kept(nearest(rest, linkage), "near")
         if tops is None:
             tops = kept(near.groupBy("p").agg(F.least(top(F.min("score")), F.lit(most)).alias("_top")), "tops")
         found = taken.add(mutual(near.join(F.broadcast(tops), "p").where("score <= _top")))
         if found.isEmpty():
             return taken.all()
-        used = found.select("p", F.explode(F.array("r1", "r2")).alias("rank")).withColumn("_used", F.lit(True))
-        nodes = kept(nodes.join(used, ["p", "rank"], "left").withColumn("open", F.col("open") & F.col("_used").isNull()).drop("_used"), "open")
-        left = kept(nodes.where("open").groupBy("p").agg(F.count("*").alias("n")), "left")
-        few = left.where(F.col("n") <= WHOLE * side).select("p")
-        own = kept(_slotted(nodes.where("open").join(F.broadcast(few), "p", "left_semi").select("p", "rank", F.lit(0).alias("strip"), "size")), "few")
-        if not own.isEmpty():
-            to = own.select("p", "rank", F.col("strip").alias("to_strip"), F.col("slot").alias("to_slot"))
-            places = nodes.join(F.broadcast(few), "p", "left_semi").join(to, ["p", "rank"], "left").select("p", "rank", "strip", "slot", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("to_strip", "to_slot")])
-            small = Tiles(kept(moved(t.blocks.join(F.broadcast(few), "p", "left_semi"), kept(places, "places"), own, linkage.largest), "few-blocks"), own, t.ids)
-            limits = {r["p"]: r["_top"] for r in tops.join(few, "p").collect()}
-            taken.add(_limited(small, linkage, limits))
-            nodes = nodes.join(F.broadcast(few), "p", "left_anti")
-            if left.where(F.col("n") > WHOLE * side).isEmpty():
-                return taken.all()
-
-
-def _limited(t: Tiles, linkage: Linkage, limits: dict[int, float]) -> DataFrame:
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples():
-                s, ranks = _scores(linkage, r), np.asarray(r.rank_a)
-                s[s > limits[r.p]] = np.inf
-                got = pd.DataFrame(list(_greedy(s)), columns=["r1", "r2", "score"])
-                yield pd.DataFrame({"p": r.p, "r1": ranks[got["r1"].astype("int64")], "r2": ranks[got["r2"].astype("int64")], "score": got["score"].astype("float64")})
-
-    return _beside(t.blocks, _strips(t.nodes, "size")).mapInPandas(each, "p long, r1 long, r2 long, score double")
-
-
-def windowed(t: Tiles, linkage: Linkage, top: Callable[[Column], Column], local: Callable[[float], float], threshold: float | None = None, side: int = SIDE) -> DataFrame:
+        used = found.select("p", F.explode(F.array("r1", "r2")).alias("rank"))
+        few, rest = _split(replace(rest, nodes=_placed(rest.nodes.join(used, ["p", "rank"], "left_anti").select("p", "rank", "size"), t.side)))
+        if few is not None:
+            limits = {r["p"]: r["_top"] for r in tops.join(few.nodes.select("p").distinct(), "p").collect()}
+            taken.add(_finished(few, lambda p, limits=limits: _limited(linkage, limits.get(p, -np.inf))).drop("round"))
+        if rest is None:
+            return taken.all()
+
+
+def _limited(linkage: Linkage, most: float) -> Run:
+    def run(t: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
+        with np.errstate(over="ignore", divide="ignore"):
+            s = linkage.score(t, size[:, None] * size[None]).copy()
+        np.fill_diagonal(s, np.inf)
+        s[s > most] = np.inf
+        for a, b, x in _greedy(s):
+            yield a, b, x, 0
+
+    return run
+
+
+def windowed(t: Tiles, linkage: Linkage, top: Callable[[Column], Column], local: Callable[[float], float], threshold: float | None = None) -> DataFrame:
     """The merges (p, r1, r2, score, round) of bundles: all of a greedy matching of scores up to ``top`` of each project's least (``local``: the same of a number) merge in a round."""
     done, at, rest = Rounds(t.nodes.sparkSession, "merges"), 0, t
     most = np.inf if threshold is None else threshold
     while rest is not None:
         few, rest = _split(rest)
         if few is not None:
-            done.add(_finished(few, bundles(linkage, lambda x: [local(x)], most), at))
+            done.add(_finished(few, lambda p: bundles(linkage, lambda x: [local(x)], most), at))
         if rest is None:
             break
-        found = done.add(_matched(rest, linkage, top, most, side).withColumn("round", F.lit(at)))
+        found = done.add(_matched(rest, linkage, top, most).withColumn("round", F.lit(at)))
         if found.isEmpty():
             break
-        rest, at = merged(rest, found, linkage.largest, side), at + 1
+        rest, at = merged(rest, found), at + 1
     return done.all()
 
 
-def laddered(t: Tiles, linkage: Linkage, thresholds: tuple[float, ...], bundle: int | None = None, side: int = SIDE) -> DataFrame:
+def laddered(t: Tiles, linkage: Linkage, thresholds: tuple[float, ...], bundle: int | None = None) -> DataFrame:
     """The merges (p, r1, r2, score, round) at rising thresholds: at each, greedy matchings of the scores up to it merge until one is empty."""
     done, at, rest = Rounds(t.nodes.sparkSession, "merges"), 0, t
     for k, threshold in enumerate(thresholds):
         while rest is not None:
             few, rest = _split(rest)
             if few is not None:
-                done.add(_finished(few, bundles(linkage, lambda x, own=thresholds[k:]: list(own), bundle=bundle), at))
+                done.add(_finished(few, lambda p, own=thresholds[k:]: bundles(linkage, lambda x: list(own), bundle=bundle), at))
             if rest is None:
                 break
-            found = _matched(rest, linkage, lambda c, x=threshold: F.lit(x), threshold, side)
+            found = _matched(rest, linkage, lambda c, x=threshold: F.lit(x), threshold)
             if bundle is not None:
                 found = numbered(found, ["p"], [F.col(c) for c in ("score", "r1", "r2")], "_n").where(F.col("_n") <= bundle).drop("_n")
             found = done.add(found.withColumn("round", F.lit(at)))
             if found.isEmpty():
                 break
-            rest, at = merged(rest, found, linkage.largest, side), at + 1
+            rest, at = merged(rest, found), at + 1
     return done.all()
 
 
+def _grown(s: np.ndarray, ranks: tuple[np.ndarray, np.ndarray], one: bool) -> Iterator[tuple[int, int, float]]:
+    """The minimum spanning tree (rank, rank, score) of a tile's scores, in the order of (score, r1, r2); ``one``: both strips are the same."""
+    n = s.shape[0]
+    every = ranks[0] if one else np.concatenate(ranks)
+    best, by, out = np.full(len(every), np.inf), np.full(len(every), -1), np.ones(len(every), dtype=bool)
+    across, last = np.ascontiguousarray(s.T), 0
+    for _ in range(len(every) - 1):
+        out[last], best[last] = False, np.inf
+        own = slice(None) if one else slice(n, None) if last < n else slice(0, n)
+        row = s[last] if last < n else across[last - n]
+        low, held = best[own], by[own]
+        nearer = out[own] & ((row < low) | ((row == low) & (every[last] < held)))
+        low[nearer], held[nearer] = row[nearer], every[last]
+        at = np.flatnonzero((best == best.min()) & out)
+        if len(at) > 1:
+            at = at[np.lexsort((np.maximum(every[at], by[at]), np.minimum(every[at], by[at])))]
+        last = int(at[0])
+        if best[last] == np.inf:
+            return
+        yield min(int(every[last]), int(by[last])), max(int(every[last]), int(by[last])), float(best[last])
+
+
+def spanning(t: Tiles) -> DataFrame:
+    """(project, id1, id2, score): links among which a minimum spanning forest of all is, one tree a tile."""
+
+    def run(tile: Tile) -> pd.DataFrame:
+        s = tile.cells.copy()
+        if tile.a == tile.b:
+            np.fill_diagonal(s, np.inf)
+        return pd.DataFrame(list(_grown(s, tile.ranks, tile.a == tile.b)), columns=["r1", "r2", "score"]).assign(p=tile.p)[["p", "r1", "r2", "score"]]
+
+    found = kept(over(t, run, "p long, r1 long, r2 long, score double").withColumn("round", F.lit(0)), "spanning")
+    return named(t, found).drop("round")
+
+
 def named(t: Tiles, merges: DataFrame, *more: str) -> DataFrame:
     """``merges`` as (project, id1, id2, score, round, more)."""
     ids = t.ids.select("p", "rank", "project", "id")

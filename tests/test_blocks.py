@@ -78,3 +78,18 @@ def test_rounding_as_spark_does(spark):
     values = [1.0000005, 1.0000015, 2.5, 0.1234565, 7.0000004999, 123.4567895, 0.0]
     want = [r[0] for r in spark.createDataFrame([(x,) for x in values], "x double").select(F.round("x", 6)).collect()]
     assert blocks.rounded(blocks.np.array(values), 6).tolist() == want
+
+
+def test_rounding_just_below_a_half():
+    """Digits that end in a half go up even where the product with a power of ten comes out a little lower."""
+    assert blocks.rounded(blocks.np.array([1.005, 8.345, 2.675]), 2).tolist() == [1.01, 8.35, 2.68]
+
+
+@pytest.mark.parametrize("policy", [*WAYS, "pseudo"])
+def test_no_round_writes_links(spark, rows, policy, monkeypatch):
+    """Tiles are made anew from the vectors: a table kept between rounds has a row an item or a merge at most, and no column of links."""
+    seen, keep = [], blocks.kept
+    monkeypatch.setattr(blocks, "kept", lambda df, *a, **k: seen.append(df.dtypes) or keep(df, *a, **k))
+    more = {"pseudo_count": 1} if policy == "pseudo" else {}
+    cl.cluster_vectors(spark.createDataFrame(rows, ITEMS), "geomean" if more else policy, 6, side=4, **more)
+    assert seen and not [x for x in seen if "binary" in dict(x).values()]
