@@ -137,8 +137,8 @@ def _folded(links: Callable[[np.ndarray, np.ndarray], np.ndarray], ends: list[tu
     return out
 
 
-def over(t: Tiles, run: Callable[[Tile], pd.DataFrame], schema: str, within: bool = False) -> DataFrame:
-    """What ``run`` gives for each tile; ``within``: for those of one strip only."""
+def over(t: Tiles, run: Callable[..., pd.DataFrame], schema: str, within: bool = False, beside: DataFrame | None = None) -> DataFrame:
+    """What ``run`` gives for each tile; ``within``: for those of one strip only. ``beside``: rows of each p that ``run`` takes as well."""
     start, largest, columns = t.start, t.largest, [c.split()[0] for c in schema.split(", ")]
     rows = t.items.join(t.nodes.withColumnRenamed("rank", "head"), ["p", "head"]).select("p", "strip", "slot", "rank", "head", "size", "embedding")
     other = F.col("strip")
@@ -147,7 +147,9 @@ def over(t: Tiles, run: Callable[[Tile], pd.DataFrame], schema: str, within: boo
         rows, other = rows.join(F.broadcast(count), "p").withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))), F.col("_t")
     rows = rows.select("p", F.least("strip", other).alias("a"), F.greatest("strip", other).alias("b"), "strip", "slot", "rank", "head", "size", "embedding")
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+    def each(pdf: pd.DataFrame, *more: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({c: [] for c in columns})
         p, a, b = (int(pdf[c].iloc[0]) for c in ("p", "a", "b"))
         ends, ranks, sizes = [], [], []
         for strip in (a,) if a == b else (a, b):
@@ -162,11 +164,16 @@ def over(t: Tiles, run: Callable[[Tile], pd.DataFrame], schema: str, within: boo
         cells = _folded(lambda x, y: start(euclidean(x, y)), [ends[0], ends[-1]], largest)
         if a == b:  # sums the other way round can differ in the last digit
             cells = np.triu(cells) + np.triu(cells, 1).T
-        return run(Tile(p, a, b, cells, (ranks[0], ranks[-1]), (sizes[0], sizes[-1])))
+        return run(Tile(p, a, b, cells, (ranks[0], ranks[-1]), (sizes[0], sizes[-1])), *more)
 
     n = t.items.groupBy("p").agg(F.count("*").cast("double").alias("n"))
     tasks = int(min(4096, 1 + (n.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0) // (1 << 22)))
-    return rows.repartition(tasks, "p", "a", "b").groupBy("p", "a", "b").applyInPandas(each, schema)
+    rows = rows.repartition(tasks, "p", "a", "b").groupBy("p", "a", "b")
+    if beside is None:
+        return rows.applyInPandas(each, schema)
+    ends = t.nodes.groupBy("p").agg(F.sequence(F.lit(0), F.max("strip")).alias("_n")).withColumn("a", F.explode("_n")).withColumn("b", F.explode("_n")).where("a = b" if within else "a <= b")
+    beside = beside.join(ends.drop("_n"), "p").repartition(tasks, "p", "a", "b").groupBy("p", "a", "b")
+    return rows.cogroup(beside).applyInPandas(lambda x, y: each(x, y), schema)
 
 
 def nearest(t: Tiles, linkage: Linkage) -> DataFrame:
@@ -278,17 +285,25 @@ def one_by_one(linkage: Linkage, most: float, below: float = np.inf) -> Callable
 
 
 def _greedy(s: np.ndarray) -> Iterator[tuple[int, int, float]]:
-    """What taking pairs of finite score in order, each place once, gives; ``s`` is used up."""
-    rows = np.arange(len(s))
-    while len(s):
-        near = s.argmin(axis=1)
-        low = s[rows, near]
-        a = np.flatnonzero((near[near] == rows) & (rows < near) & (low < np.inf))
+    """What taking pairs of finite score in order, each place once, gives; only places whose nearest was taken are searched again."""
+    rows, live = np.arange(len(s)), np.ones(len(s), dtype=bool)
+    near = s.argmin(axis=1) if len(s) else rows
+    low = s[rows, near]
+    live &= low < np.inf
+    while live.any():
+        a = np.flatnonzero(live & (near[near] == rows) & (rows < near))
         if not len(a):
             return
         yield from zip(a.tolist(), near[a].tolist(), low[a].tolist())
-        used = np.concatenate([a, near[a]])
-        s[used], s[:, used] = np.inf, np.inf
+        live[a], live[near[a]] = False, False
+        left = np.flatnonzero(live)
+        again = left[~live[near[left]]]
+        for at in range(0, len(again), 256):
+            own = again[at : at + 256]
+            part = s[np.ix_(own, left)]
+            k = part.argmin(axis=1)
+            near[own], low[own] = left[k], part[np.arange(len(own)), k]
+        live[again] = low[again] < np.inf
 
 
 def bundles(linkage: Linkage, tops: Callable[[float], list[float]], most: float = np.inf, bundle: int | None = None) -> Callable[[np.ndarray, np.ndarray], Iterator[tuple[int, int, float, int]]]:
@@ -380,7 +395,9 @@ def _matched(t: Tiles, linkage: Linkage, top: Callable[[Column], Column], most:
         if found.isEmpty():
             return taken.all()
         used = found.select("p", F.explode(F.array("r1", "r2")).alias("rank"))
-        few, rest = _split(replace(rest, nodes=_placed(rest.nodes.join(used, ["p", "rank"], "left_anti").select("p", "rank", "size"), t.side)))
+        # what has nothing up to the top now won't have later
+        some = near.join(F.broadcast(tops), "p").where("score <= _top").select("p", "rank").join(used, ["p", "rank"], "left_anti")
+        few, rest = _split(replace(rest, nodes=_placed(rest.nodes.join(some, ["p", "rank"], "left_semi").select("p", "rank", "size"), t.side)))
         if few is not None:
             limits = {r["p"]: r["_top"] for r in tops.join(few.nodes.select("p").distinct(), "p").collect()}
             taken.add(_finished(few, lambda p, limits=limits: _limited(linkage, limits.get(p, -np.inf))).drop("round"))
@@ -472,6 +489,27 @@ def spanning(t: Tiles) -> DataFrame:
     return named(t, found).drop("round")
 
 
+def ranks(t: Tiles, scores: DataFrame) -> DataFrame:
+    """(project, score, rank): one more than the links of a project that are below each of ``scores`` (project, score)."""
+    names = t.ids.select("p", "project").distinct()
+    limits = scores.join(F.broadcast(names), "project").groupBy("p").agg(F.array_sort(F.collect_set("score")).alias("limits"))
+
+    def count(tile: Tile, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame({"p": [], "limits": [], "below": []})
+        limits = np.asarray(own["limits"].iloc[0], dtype="float64")
+        links = tile.cells[np.triu_indices(len(tile.cells), 1)] if tile.a == tile.b else tile.cells.ravel()
+        links = np.sort(links)
+        return pd.DataFrame({"p": [tile.p], "limits": [limits.tobytes()], "below": [np.searchsorted(links, limits).astype("int64").tobytes()]})
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        below = sum(np.frombuffer(x, dtype="int64") for x in pdf["below"])
+        return pd.DataFrame({"p": pdf["p"].iloc[0], "score": np.frombuffer(pdf["limits"].iloc[0]), "rank": below + 1.0})
+
+    counted = over(t, count, "p long, limits binary, below binary", beside=kept(limits, "limits"))
+    return counted.groupBy("p").applyInPandas(total, "p long, score double, rank double").join(F.broadcast(names), "p").drop("p")
+
+
 def named(t: Tiles, merges: DataFrame, *more: str) -> DataFrame:
     """``merges`` as (project, id1, id2, score, round, more)."""
     ids = t.ids.select("p", "rank", "project", "id")

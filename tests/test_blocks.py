@@ -93,3 +93,55 @@ def test_no_round_writes_links(spark, rows, policy, monkeypatch):
     more = {"pseudo_count": 1} if policy == "pseudo" else {}
     cl.cluster_vectors(spark.createDataFrame(rows, ITEMS), "geomean" if more else policy, 6, side=4, **more)
     assert seen and not [x for x in seen if "binary" in dict(x).values()]
+
+
+@pytest.fixture(scope="module")
+def lines():
+    """Suppliers' kind of items: one number each, with distances that are equal."""
+    rng = random.Random(4)
+    return [(p, i, [round(rng.uniform(0, 30), 1)]) for p in (1, 2) for i in range(1, 31 - 9 * p)]
+
+
+def flat(df):
+    return sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect())
+
+
+def no_pairs(monkeypatch):
+    monkeypatch.setattr(cl, "all_pairs", lambda *a: pytest.fail("a table of all pairs"))
+
+
+def test_single_linkage_by_tiles(spark, lines, monkeypatch):
+    items = spark.createDataFrame(lines, "project int, id long, embedding array<double>")
+    want = flat(cl.single(cl.distances(items, 2)))
+    no_pairs(monkeypatch)
+    assert flat(cl.cluster_vectors(items, "single", 2, side=4)) == want
+
+
+@pytest.mark.parametrize("most", [None, 2])
+def test_ladder_by_tiles(spark, lines, most, monkeypatch):
+    items = spark.createDataFrame(lines, "project int, id long, embedding array<double>")
+    score = (lambda s: s * 2, lambda c: c * 2)
+    want = flat(cl.cluster_ladder(cl.distances(items, 2).withColumn("score", score[1](F.col("score"))), (1.0, 5.0, 30.0), most))
+    no_pairs(monkeypatch)
+    assert flat(cl.ladder_vectors(items, (1.0, 5.0, 30.0), most, 2, score, side=4)) == want
+
+
+def test_flavours_by_tiles(spark, lines, monkeypatch):
+    items = spark.createDataFrame(lines, "project int, id long, embedding array<double>").where("project = 2 OR id < 9")
+    rank = F.rank().over(cl.Window.partitionBy("project").orderBy("score")).cast("double")
+    want = flat(cl.flavours(cl.kept(cl.distances(items, 2)).withColumn("rank", rank), ("single", "complete"), ("simple", "tree"), difference=F.col("score"), rank=F.col("rank")))
+    no_pairs(monkeypatch)
+    assert flat(cl.vector_flavours(items, ("single", "complete"), ("simple", "tree"), 2)) == want
+
+
+def test_own_linkage_by_tiles(spark, rows, monkeypatch):
+    no_pairs(monkeypatch)
+    own = (blocks.Linkage(lambda s: s * s, lambda t, n: blocks.np.sqrt(t / n)), None)
+    got = found(cl.cluster_vectors(spark.createDataFrame(rows, ITEMS), places=6, side=4, own=own))
+    for p in (1, 2):
+        want = tree([r for r in rows if r[0] == p], lambda v: math.sqrt(MEAN([x * x for x in v])))
+        assert sorted((l, pytest.approx(s, abs=2e-6)) for l, s in want) == sorted(got[p])
+
+
+def test_no_items(spark):
+    assert cl.cluster_vectors(spark.createDataFrame([], ITEMS), "complete").count() == 0
