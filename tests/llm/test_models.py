@@ -141,3 +141,21 @@ def test_runs_add_up_to_whole_texts(cut):
         start += aa
     assert got == pytest.approx(want) and moves == pytest.approx(m) and start == pytest.approx(a)
     assert got.sum() == pytest.approx(sum(map(len, seqs))) and start.sum() == pytest.approx(len(seqs))
+
+
+def test_first_model_is_of_all_runs(spark):
+    """Every symbol of every text counts in the first model, also behind the first 256 and in more than 1,200 texts, which were its bounds before."""
+    rng = np.random.default_rng(6)
+    same = np.zeros(hmm.CUT, dtype="<u2")
+    kinds = [rng.permutation(np.arange(1 + 20 * j, 21 + 20 * j)) for j in (0, 1)]
+    texts = [np.append(same, rng.choice(kinds[i % 2], 2 * hmm.CUT + i % 5)).astype("<u2") for i in range(1300)]
+    encoded = spark.createDataFrame([(bytearray(t.tobytes()),) for t in [*texts, np.zeros(0, dtype="<u2")]], "symbols binary").repartition(5)
+    flat = np.concatenate(texts)
+    for cut in (1, 7, 256, 10_000):
+        assert (hmm.dealt_runs(encoded, rng.normal(size=(41, 3)), cut).sum(axis=1) == np.bincount(flat, minlength=41)).all()
+    prior = np.bincount(flat, minlength=41) / len(flat)
+    for states in (1, 2, 3):
+        model = hmm.seeded(encoded, prior, states, 2)
+        assert model.emit.shape == (41, states) and model.emit.sum(axis=0) == pytest.approx(1) and model.moves.sum(axis=1) == pytest.approx(1)
+    ratio = np.log(model.emit[1:41, :, None] / model.emit[1:41, None, :]).max(axis=(1, 2))
+    assert (ratio > 1).all()  # words that stand behind the first run only tell the states apart
