@@ -1,5 +1,7 @@
 """Groups with most rows of a table are dealt to several tasks."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from dendrospark.operators import aggregates as ag
@@ -49,3 +51,18 @@ def test_triples_without_pairs_of_pairs(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("MapInPandas")[0]
     assert sorted(map(tuple, score_triples(scores.drop("project"), side=5).collect())) == sorted(want)
+
+
+def test_triples_of_projects_with_odd_names(spark):
+    """Tiles have short names that no project's name can confuse, and rows that hold what a tile needs only."""
+    from dendrospark.operators.relational import score_triples
+
+    rng = random.Random(4)
+    rows = [(p, 100 * k + i, 100 * k + j, float(rng.randint(1, 9))) for k, p in enumerate(("1", "1/1", "0/1", "")) for i in range(12) for j in range(i) if rng.random() < 0.7]
+    link = {(a, b): s for _, i, j, s in rows for a, b in ((i, j), (j, i))}
+    want = sorted((a, b, c, s, link[b, c], link[a, c]) for (a, b), s in link.items() for c in range(a // 100 * 100, a // 100 * 100 + 12) if (b, c) in link and (a, c) in link)
+    for side in (2, 5, 512):
+        got = score_triples(spark.createDataFrame(rows, "project string, id1 long, id2 long, score double"), side)
+        assert sorted(map(tuple, got.collect())) == want
+    shuffled = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if " AS tile#" in x]
+    assert len(shuffled) == 1 and shuffled[0].count("#") and " AS t0#" not in shuffled[0] and "to_json" not in shuffled[0]
